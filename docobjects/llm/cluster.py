@@ -1,0 +1,24 @@
+"""What operators need to know of the session: where lineage may be cut and how wide a shuffle is."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names.
+
+    Only where the session names none (tests, one machine) a temporary folder is set.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions of a shuffle in this session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
