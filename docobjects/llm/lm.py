@@ -26,8 +26,8 @@ from .kernels import U64, Tokens, blocks, crc_mod5, gaps, mix, narrow, pack, tex
 
 #: The mark that ends every text, and stands before its first word as context.
 END = U64(0x243F6A8885A308D3)
-#: Bytes of text in a block.
-BLOCK = 4 << 20
+#: Bytes of text in a block, and in the slices it is tokenised in.
+BLOCK, SLICE = 16 << 20, 4 << 20
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ...
 BUCKETS = 40
 #: Bits of a bigram's hash; the chance that a bigram shares its hash with another stays below 2**-20 up to 2**36 bigrams.
@@ -42,8 +42,21 @@ def _key(hashes: np.ndarray, bits: int, keys: int) -> np.ndarray:
     return ((hashes >> U64(bits - 32)) * U64(keys)) >> U64(32)
 
 
-def _sequence(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sequence(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Predicted tokens (words, then one end per text), whether each is the first of its text, text lengths."""
+    parts = [_slice_sequence(Tokens(*text_bytes(part.column(1)))) for part in blocks(block, "text", SLICE)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _by_frequency(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequency ranks instead of indices (small numbers for common words), and the index of each rank."""
+    order = np.argsort(-np.bincount(at, minlength=n), kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(n)
+    return rank[at], order
+
+
+def _slice_sequence(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(tokens.hash) + tokens.n_docs
     sequence = np.full(n, END, dtype=U64)
     sequence[np.arange(len(tokens.hash)) + tokens.doc] = tokens.hash
@@ -69,7 +82,7 @@ def _ask(keys: int, id_type: str, test_fold: int, deleted_fold: int):
         for batch in batches:
             for block in blocks(batch, "text", BLOCK):
                 ids, folds = block.column(0), crc_mod5(block.column(0).to_pylist())
-                sequence, first, lengths = _sequence(Tokens(*text_bytes(block.column(1))))
+                sequence, first, lengths = _sequence(block)
                 role = np.where(folds == test_fold, 2, np.where(folds == deleted_fold, 1, 0)).astype(np.uint8)
                 roles = np.repeat(role, lengths)
                 words, at = np.unique(sequence, return_inverse=True)
@@ -90,7 +103,7 @@ def _ask(keys: int, id_type: str, test_fold: int, deleted_fold: int):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
                     out.write_batch(pa.record_batch([ids], names=["id"]))
-                rows.append((hash_key(name, keys), name, 1, pack(np.frombuffer(sink.getvalue(), np.uint8), role, narrow(lengths), narrow(at))))
+                rows.append((hash_key(name, keys), name, 1, pack(np.frombuffer(sink.getvalue(), np.uint8), role, narrow(lengths), *map(narrow, _by_frequency(at, len(words))))))
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["key", "block", "kind", "body"]), schema=pa.schema([("key", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("body", pa.binary())]), preserve_index=False)
 
     return run
@@ -127,15 +140,15 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     """A block's documents and all answers to it, as one blob; statistics pass through."""
     if (pdf.kind == 2).all():
         return pdf[["key", "block", "kind", "body"]]
-    (ids, role, lengths, at), = [unpack(b) for b in pdf.body[pdf.kind == 1]]
+    ((ids, role, lengths, rank, order),) = [unpack(b) for b in pdf.body[pdf.kind == 1]]
     answers = [unpack(b) for b in pdf[pdf.kind == 0].sort_values("key").body]
     words = np.concatenate([np.cumsum(a[0]) for a in answers])
     join = lambda i: np.concatenate([a[i] for a in answers])
     lengths = lengths.astype(np.int64)
     first = np.zeros(int(lengths.sum()), dtype=bool)
     first[np.cumsum(lengths) - lengths] = True
-    _, pair_at = _bigram_index(words, at.astype(np.int64), first)
-    body = pack(ids, role, narrow(lengths), at, np.array([np.searchsorted(words, END)]), narrow(join(1)), narrow(join(2)), narrow(join(3)[pair_at]), narrow(join(4)[pair_at]))
+    _, pair_at = _bigram_index(words, order.astype(np.int64)[rank], first)
+    body = pack(ids, role, narrow(lengths), rank, narrow(np.array([np.flatnonzero(order == np.searchsorted(words, END))[0]])), narrow(join(1)[order]), narrow(join(2)[order]), narrow(join(3)[pair_at]), narrow(join(4)[pair_at]))
     return pd.DataFrame([(0, pdf.block.iloc[0], 1, body)], columns=["key", "block", "kind", "body"])
 
 
@@ -143,10 +156,10 @@ class Block:
     """The resolved counts of a block, by position."""
 
     def __init__(self, body: bytes):
-        ids, self.role, lengths, at, end, in1, del1, in2, del2 = unpack(body)
+        ids, self.role, lengths, rank, end, in1, del1, in2, del2 = unpack(body)
         self.ids = pa.ipc.open_stream(pa.py_buffer(ids.tobytes())).read_all().column("id")
         self.lengths = lengths.astype(np.int64)
-        self.at = at.astype(np.int64)
+        self.at = rank.astype(np.int64)
         context = np.empty_like(self.at)
         context[1:] = self.at[:-1]
         context[np.cumsum(self.lengths) - self.lengths] = end[0]
