@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import near_duplicate_vectors
+from .jaccard import jaccard_components
 from .licenses import scan_licenses
 from .lm import score_corpus
 from .mixing import mixed_sizes
@@ -25,6 +26,10 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -45,5 +50,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_deleted_interpolation, op5_embeddings, op6_licenses, op7_mixing, op8_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_deleted_interpolation, op4_ngram_jaccard, op5_embeddings, op6_licenses, op7_mixing, op8_toxicity, op10_quality)}
 ORACLES: dict[str, str] = {}
