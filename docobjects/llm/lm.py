@@ -28,6 +28,8 @@ from .kernels import U64, Tokens, blocks, crc_mod5, gaps, mix, narrow, pack, tex
 END = U64(0x243F6A8885A308D3)
 #: Bytes of text in a block, and in the slices it is tokenised in.
 BLOCK, SLICE = 16 << 20, 4 << 20
+#: Positions that are scored at once.
+CHUNK = 1 << 18
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ...
 BUCKETS = 40
 #: Bits of a bigram's hash; the chance that a bigram shares its hash with another stays below 2**-20 up to 2**36 bigrams.
@@ -143,29 +145,38 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     ((ids, role, lengths, rank, order),) = [unpack(b) for b in pdf.body[pdf.kind == 1]]
     answers = [unpack(b) for b in pdf[pdf.kind == 0].sort_values("key").body]
     words = np.concatenate([np.cumsum(a[0]) for a in answers])
-    join = lambda i: np.concatenate([a[i] for a in answers])
+    in1, del1, in2, del2 = (np.concatenate([a[i] for a in answers]).astype(np.uint64) for i in range(1, 5))
     lengths = lengths.astype(np.int64)
     first = np.zeros(int(lengths.sum()), dtype=bool)
     first[np.cumsum(lengths) - lengths] = True
     _, pair_at = _bigram_index(words, order.astype(np.int64)[rank], first)
-    body = pack(ids, role, narrow(lengths), rank, narrow(np.array([np.flatnonzero(order == np.searchsorted(words, END))[0]])), narrow(join(1)[order]), narrow(join(2)[order]), narrow(join(3)[pair_at]), narrow(join(4)[pair_at]))
+    held = np.repeat(role == 1, lengths)
+    end = np.flatnonzero(order == np.searchsorted(words, END))
+    body = pack(ids, role, narrow(lengths), rank, narrow(end), narrow(in1[order]), narrow((in1 + del1)[order]), narrow(in2[pair_at[held]]), narrow((in2 + del2)[pair_at]))
     return pd.DataFrame([(0, pdf.block.iloc[0], 1, body)], columns=["key", "block", "kind", "body"])
 
 
 class Block:
-    """The resolved counts of a block, by position."""
+    """The resolved counts of a block, by position: of the word, its context and both, held in and in all training rows."""
 
     def __init__(self, body: bytes):
-        ids, self.role, lengths, rank, end, in1, del1, in2, del2 = unpack(body)
-        self.ids = pa.ipc.open_stream(pa.py_buffer(ids.tobytes())).read_all().column("id")
+        ids, self.role, lengths, self.rank, self.end, self.in1, self.all1, self.in2, self.all2 = unpack(body)
+        self.ids = pa.ipc.open_stream(pa.py_buffer(ids.tobytes())).read_all().column("id").combine_chunks()
         self.lengths = lengths.astype(np.int64)
-        self.at = rank.astype(np.int64)
-        context = np.empty_like(self.at)
-        context[1:] = self.at[:-1]
-        context[np.cumsum(self.lengths) - self.lengths] = end[0]
-        self.context = context
-        self.one = in1.astype(np.int64), del1.astype(np.int64)
-        self.two = in2.astype(np.int64), del2.astype(np.int64)
+        self.start = np.cumsum(self.lengths) - self.lengths
+
+    def chunks(self) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+        """Documents, positions, words and contexts of runs of documents that hold about CHUNK positions."""
+        i = 0
+        while i < len(self.lengths):
+            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + CHUNK)))
+            low, high = int(self.start[i]), int(self.start[j - 1] + self.lengths[j - 1])
+            word = self.rank[low:high].astype(np.int64)
+            context = np.empty_like(word)
+            context[1:] = word[:-1]
+            context[self.start[i:j] - low] = self.end[0]
+            yield slice(i, j), slice(low, high), word, context
+            i = j
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -177,16 +188,17 @@ def _cells(pdfs: Iterator[pd.DataFrame], n_in: int) -> Iterator[pd.DataFrame]:
     """Held-out positions summed by (bucket, eighth of an octave of c2/c, eighth of an octave of c1), with mean probabilities."""
     for pdf in pdfs:
         for body in pdf.body:
-            b = Block(body)
-            held = np.repeat(b.role == 1, b.lengths)
-            ctx, one = b.one[0][b.context[held]], b.one[0][b.at[held]]
-            p2 = np.where(ctx > 0, b.two[0][held] / np.maximum(ctx, 1), 0.0)
-            p1 = one / max(n_in, 1)
-            grid = lambda p: np.where(p > 0, np.round(8 * np.log2(np.where(p > 0, p, 1))).astype(np.int64) + 1000, 0)
-            code = (bucket(ctx) * 2000 + grid(p2)) * 2000 + grid(p1)
-            cell, at = np.unique(code, return_inverse=True)
-            total = lambda w: np.bincount(at, weights=w, minlength=len(cell))
-            yield pd.DataFrame({"cell": cell, "n": total(np.ones(len(at))), "p2": total(p2), "p1": total(p1)})
+            b, seen = Block(body), 0
+            for docs, _, word, context in b.chunks():
+                held = np.repeat(b.role[docs] == 1, b.lengths[docs])
+                two = b.in2[seen : seen + int(held.sum())].astype(np.float64)
+                seen += len(two)
+                ctx, one = b.in1[context[held]].astype(np.float64), b.in1[word[held]].astype(np.float64)
+                p2, p1 = np.where(ctx > 0, two / np.maximum(ctx, 1), 0.0), one / max(n_in, 1)
+                grid = lambda p: np.where(p > 0, np.round(8 * np.log2(np.where(p > 0, p, 1))).astype(np.int64) + 1000, 0)
+                cell, at = np.unique((bucket(ctx) * 2000 + grid(p2)) * 2000 + grid(p1), return_inverse=True)
+                total = lambda w, at=at, n=len(cell): np.bincount(at, weights=w, minlength=n)
+                yield pd.DataFrame({"cell": cell, "n": total(np.ones(len(at))), "p2": total(p2), "p1": total(p1)})
 
 
 def learn_weights(cells: pd.DataFrame, vocabulary: int, rounds: int = 60) -> np.ndarray:
@@ -220,25 +232,25 @@ def _score(pdfs: Iterator[pd.DataFrame], weights: np.ndarray, tokens: int, vocab
     for pdf in pdfs:
         for body in pdf.body:
             b = Block(body)
-            one, two = b.one[0] + b.one[1], b.two[0] + b.two[1]
-            ctx, own = one[b.context], one[b.at]
-            w = weights[bucket(ctx)]
-            p = np.where(ctx > 0, w[:, 0] * two / np.maximum(ctx, 1), 0.0) + w[:, 1] * own / max(tokens, 1) + w[:, 2] / (vocabulary + 1)
-            starts = np.cumsum(b.lengths) - b.lengths
-            base = np.log10((own + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
-            score = np.add.reduceat(np.log10(p), starts)
-            yield pd.DataFrame(
-                {
-                    "doc_id": b.ids.to_pandas(types_mapper=pd.ArrowDtype),
-                    "held_out": b.role == 2,
-                    "n_tokens": b.lengths,
-                    "n_known": np.add.reduceat((own > 0).astype(np.int64), starts),
-                    "train_tokens": np.full(len(starts), tokens),
-                    "base_score": np.add.reduceat(base, starts),
-                    "score": score,
-                    "bits_per_token": -score / b.lengths / np.log10(2),
-                }
-            )
+            for docs, places, word, context in b.chunks():
+                ctx, own, two = b.all1[context].astype(np.float64), b.all1[word].astype(np.float64), b.all2[places].astype(np.float64)
+                level = bucket(ctx)
+                p = weights[level, 0] * np.where(ctx > 0, two / np.maximum(ctx, 1), 0.0) + weights[level, 1] * own / max(tokens, 1) + weights[level, 2] / (vocabulary + 1)
+                starts = b.start[docs] - places.start
+                base = np.log10((own + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
+                score, lengths = np.add.reduceat(np.log10(p), starts), b.lengths[docs]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": b.ids[docs].to_pandas(types_mapper=pd.ArrowDtype),
+                        "held_out": b.role[docs] == 2,
+                        "n_tokens": lengths,
+                        "n_known": np.add.reduceat((own > 0).astype(np.int64), starts),
+                        "train_tokens": np.full(len(starts), tokens),
+                        "base_score": np.add.reduceat(base, starts),
+                        "score": score,
+                        "bits_per_token": -score / lengths / np.log10(2),
+                    }
+                )
 
 
 def score_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", test_fold: int = 1, deleted_fold: int = 4) -> DataFrame:
