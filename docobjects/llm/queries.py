@@ -11,6 +11,7 @@ from .lm import score_corpus
 from .mixing import mixed_sizes
 from .quality import score_quality
 from .sharding import shard_by_bytes
+from .substrings import remove_repeats
 from .toxicity import score_toxicity
 
 
@@ -26,6 +27,10 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -50,5 +55,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_deleted_interpolation, op4_ngram_jaccard, op5_embeddings, op6_licenses, op7_mixing, op8_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_deleted_interpolation, op3_suffix_dedup, op4_ngram_jaccard, op5_embeddings, op6_licenses, op7_mixing, op8_toxicity, op10_quality)}
 ORACLES: dict[str, str] = {}
