@@ -4,7 +4,8 @@ The distinct shingles of all documents lie in one global order, cut into fragmen
 fragment counts in how many documents each of its shingles stands; a shingle that stands in one document alone can
 be in no overlap. What is left of a document is ordered by (document frequency, hash): two documents can
 only reach the threshold if they share a shingle of their prefixes in that order (shingles of their own go first).
-Candidate pairs are verified by counting partial overlaps in each fragment apart and summing them per pair.
+Documents that hang together by prefixes form families; within a family, pairs are verified
+by counting partial overlaps in each fragment of its shingles apart and summing them per pair.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +24,13 @@ from .components import connected_components
 from .kernels import U64, Tokens, blocks, gaps, mix, narrow, pack, shingles, text_bytes, unpack
 
 #: Bytes of text in a block, and in the slices it is tokenised in.
-BLOCK, SLICE = 16 << 20, 4 << 20
+BLOCK, SLICE = 16 << 20, 2 << 20
 #: Bits of a shingle's hash: two different shingles of a pair of documents with 1000 shingles each agree with probability 2**-36.
 BITS = 56
-#: Fragments in which a pair's overlap is counted.
-FRAGMENTS = 4
+#: Most documents of a family that are compared with as many others in one task.
+PART = 1000
+#: Cells of a fragment's document-by-shingle table.
+CELLS = 1 << 23
 
 ROWS = pa.schema([("key", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("body", pa.binary())])
 ROWS_DDL = "key int, block string, kind int, body binary"
@@ -57,7 +61,7 @@ def _deal(keys: int, words: int):
                 docs, values, sizes, at = [], [], [], 0
                 for part in blocks(block, "text", SLICE):
                     d, v = shingles(Tokens(*text_bytes(part.column(1))), words)
-                    docs.append(d + at), values.append(v), sizes.append(np.bincount(d, minlength=part.num_rows))
+                    docs.append((d + at).astype(np.int32)), values.append(v), sizes.append(np.bincount(d, minlength=part.num_rows))
                     at += part.num_rows
                 doc, value, n = np.concatenate(docs), np.concatenate(values), np.concatenate(sizes)
                 digest = _set_digest(doc, value, n)
@@ -135,14 +139,93 @@ def _prefixes(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose Jaccard similarity reaches percent/100: partial overlaps by fragment, summed per pair."""
-    left = segments.select(F.col("c").alias("a"), "fragment", F.col("segment").alias("of_a"))
-    right = segments.select(F.col("c").alias("b"), F.col("fragment").alias("fragment_b"), F.col("segment").alias("of_b"))
-    met = pairs.join(left, "a").alias("l").join(right.alias("r"), F.expr("l.b = r.b and l.fragment = r.fragment_b"))
-    partial = met.select("a", "l.b", "na", "nb", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return total.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common shingles of every left with every right set: the shingles of both sides lie in one order, which is cut into
+    fragments; partial overlaps are counted in each fragment and summed per pair."""
+    sizes = np.array([len(x) for x in left + right])
+    owner, value = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(left + right)
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    term = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]])) - 1
+    sides = np.bincount(term, weights=owner < len(left)), np.bincount(term, weights=owner >= len(left))
+    both = (sides[0] > 0) & (sides[1] > 0)
+    owner, term = owner[both[term]], (np.cumsum(both) - 1)[term[both[term]]]
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    width_ = max(1, CELLS // len(sizes))
+    for low in range(0, int(both.sum()), width_):
+        i, j = np.searchsorted(term, [low, low + width_])
+        table = np.zeros((len(sizes), min(width_, int(both.sum()) - low)), dtype=np.float32)
+        table[owner[i:j], term[i:j] - low] = 1
+        total += table[: len(left)] @ table[len(left) :].T
+    return total.astype(np.int64)
+
+
+def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least index that each of n vertices reaches over the links i-j."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _compare(percent: int):
+    """Parts of families, all their documents against all: links of different components, as few as hold the same ones together."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in pdf.groupby(["family", "p", "q"], sort=False):
+            own = own.sort_values(["label", "c"])
+            p, q = own.p.iloc[0], own.q.iloc[0]
+            left, right = (np.flatnonzero(own.label == x) for x in (p, q))
+            if not len(left) or not len(right):
+                continue
+            n, component, c = own.n.to_numpy(), own.component.to_numpy(), own.c.to_numpy()
+            sets = [np.asarray(x) for x in own.shared]
+            common = overlaps([sets[k] for k in left], [sets[k] for k in right])
+            linked = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+            linked &= component[left][:, None] != component[right][None, :]
+            i, j = np.nonzero(linked)
+            if len(i):
+                i, j = left[i], right[j]
+                root = _spanning(i, j, len(own))
+                touched = np.flatnonzero(root != np.arange(len(own)))
+                out.append(pd.DataFrame({"a": c[touched], "b": c[root[touched]]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype=np.int64), "b": pd.Series(dtype=np.int64)})
+
+    return run
+
+
+def _family_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a family. members: family, c, n, component, shared.
+
+    A component that fills a part or more has parts of its own, never compared with one another; the other members of
+    a family share parts. Every other pair of parts is compared by one task.
+    """
+    spark = members.sparkSession
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.withColumn("pure", F.col("size") >= PART)
+    families = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("components"), F.sum(F.when(~F.col("pure"), F.col("size"))).alias("rest"), F.sum("size").alias("all")).where("components > 1")
+    own = sizes.where("pure").select(F.col("family").alias("f"), F.col("component").alias("k"), F.ceil(F.col("size") / PART).cast("long").alias("own_parts"))
+    placed = (
+        members.join(families, "family")
+        .join(own, (F.col("family") == F.col("f")) & (F.col("component") == F.col("k")), "left")
+        .withColumn("label", F.when(F.col("own_parts").isNotNull(), F.concat(F.col("component").cast("string"), F.lit(":"), F.pmod(F.xxhash64("c"), F.col("own_parts")).cast("string"))).otherwise(F.concat(F.lit("-:"), F.pmod(F.xxhash64("c"), F.ceil(F.col("rest") / PART).cast("long")).cast("string"))))
+        .select("family", "c", "n", "component", "shared", "label", "all")
+    )
+    pure = own.select(F.col("f").alias("family"), F.col("k").cast("string").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_parts") - 1)).alias("i"))
+    mixed = families.where("rest > 0").select("family", F.lit("-").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rest") / PART).cast("long") - 1)).alias("i"))
+    labels = cut(pure.join(families.select("family"), "family", "left_semi").unionByName(mixed).select("family", "head", F.concat("head", F.lit(":"), F.col("i").cast("string")).alias("label")))
+    meets = labels.alias("x").join(labels.alias("y"), F.expr("x.family = y.family and x.label <= y.label and (x.head = '-' or x.head <> y.head)")).select("x.family", F.col("x.label").alias("p"), F.col("y.label").alias("q"))
+    sides = meets.select("family", "p", "q", F.col("p").alias("label")).unionByName(meets.where("p <> q").select("family", "p", "q", F.col("q").alias("label")))
+    spread = 16 * width(spark)
+    task = F.when(F.col("all") < PART // 4, F.pmod(F.xxhash64("family"), F.lit(spread))).otherwise(F.xxhash64("family", "p", "q"))
+    tasks = placed.join(sides, ["family", "label"]).withColumn("task", task).drop("all")
+    return tasks.groupBy("task").applyInPandas(_compare(percent), "a long, b long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -168,26 +251,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # One vertex for each class that can link; its number holds since it is written down.
     alive = sets.where(F.size("prefix") > 0).groupBy("class").agg(F.first(F.struct("n", "prefix", "shared")).alias("x"))
     vertices = cut(alive.select(F.monotonically_increasing_id().alias("c"), "class", "x.*"))
-    entries = cut(vertices.select("c", "n", F.explode("prefix").alias("shingle")))
-    shift = BITS - (FRAGMENTS - 1).bit_length()
-    pieces = F.expr(f"transform(sequence(0, {FRAGMENTS - 1}), f -> struct(f as fragment, filter(shared, x -> shiftright(x, {shift}) = f) as segment))")
-    segments = vertices.select("c", F.explode(pieces).alias("x")).select("c", "x.*")
-    close = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-
-    # Stars first: every document against the smallest one of each of its buckets.
-    hubs = entries.groupBy("shingle").agg(F.min(F.struct("c", "n")).alias("y"), F.count(F.lit(1)).alias("size")).where("size > 1").select("shingle", "y")
-    stars = entries.alias("x").join(hubs, "shingle").where(f"y.c < x.c and {close}").select(F.col("y.c").alias("a"), F.col("x.c").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb")).distinct()
-    links = cut(verified(stars, segments, percent))
-    # Then all pairs of a bucket that the stars left in different components.
+    # A family: documents that hang together by shingles of their prefixes. Links do not leave a family.
+    entries = vertices.select("c", F.explode("prefix").alias("shingle"))
+    heads = entries.groupBy("shingle").agg(F.min("c").alias("head"), F.max("c").alias("last")).where("head < last").select("shingle", "head")
+    family = connected_components(entries.join(heads, "shingle").select(F.col("c").alias("a"), F.col("head").alias("b")))
+    members = cut(vertices.select("c", "n", "shared").join(family.select(F.col("id").alias("c"), F.col("component").alias("family")), "c"))
+    # Stars first: the document of a family with the fewest shingles of its own against all others, one row per document.
+    lone = (F.col("n") - F.size("shared")).alias("lone")
+    hubs = members.groupBy(F.col("family").alias("f")).agg(F.min(F.struct(lone, "c")).alias("h")).select("f", F.col("h.c").alias("hub"))
+    hub_sets = members.select("c", F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared")).join(hubs, F.col("c") == F.col("hub")).drop("c")
+    common = F.size(F.array_intersect("shared", "hub_shared"))
+    stars = members.join(hub_sets, F.col("family") == F.col("f")).where("c <> hub").where(100 * common >= percent * (F.col("n") + F.col("hub_n") - common)).select(F.col("c").alias("a"), F.col("hub").alias("b"))
+    links = cut(stars)
     found = connected_components(links)
-    labelled = cut(entries.join(found, entries.c == found.id, "left").select("c", "n", "shingle", F.coalesce("component", "c").alias("component")))
-    split = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    open_ = cut(labelled.join(split, "shingle", "left_semi"))
-    rest = open_.alias("x").join(open_.alias("y"), F.expr(f"x.shingle = y.shingle and x.c < y.c and x.component <> y.component and {close}"))
-    rest = rest.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(verified(rest, segments, percent))
-    joined = connected_components(links.unionByName(more))
+    labelled = members.join(found, F.col("c") == F.col("id"), "left").select("family", "c", "n", F.coalesce("component", "c").alias("component"), "shared")
+    joined = connected_components(links.unionByName(cut(_family_links(labelled, percent))))
     of_class = vertices.select("class", "c").join(joined, F.col("c") == F.col("id"), "left").select("class", F.coalesce("component", "c").alias("group"))
     # Documents of equal sets share a group; a class without vertex is a group of its own.
     rows = sets.select("doc_id", "n", "class").join(of_class, "class", "left").select("doc_id", "n", "class", "group")

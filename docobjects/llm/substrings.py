@@ -26,7 +26,7 @@ from .kernels import POWERS, U64, Powers, blocks, gaps, mix, narrow, pack, prefi
 #: Bytes of an anchor.
 ANCHOR = 24
 #: Bytes of text in a block, and in the slices that are hashed at once.
-BLOCK, SLICE = 16 << 20, 4 << 20
+BLOCK, SLICE = 8 << 20, 1 << 20
 #: Distinct contexts of an anchor from which its windows are dealt by their own hashes.
 HOT = 256
 #: Sorts after every id.
@@ -79,11 +79,21 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     return grams[anchor], context, low, high, anchor - low, doc
 
 
+def hashes_at(data: np.ndarray, start: np.ndarray, length: int, powers: Powers = POWERS) -> np.ndarray:
+    """Hashes of data[start:start+length], worked out slice by slice."""
+    out, order = np.empty(len(start), dtype=U64), np.argsort(start, kind="stable")
+    edges = np.searchsorted(start[order], np.arange(0, len(data) + SLICE, SLICE))
+    for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if j > i:
+            own, base = order[i:j], k * SLICE
+            at = start[own] - base
+            out[own] = range_hash(prefix_hash(data[base : base + SLICE + length], powers), at, at + length, powers)
+    return out
+
+
 def window_hashes(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """64 + 32 bits of hash of data[start:start+length]."""
-    a = mix(range_hash(prefix_hash(data), start, start + length))
-    b = mix(range_hash(prefix_hash(data, SECOND), start, start + length, SECOND) + U64(1))
-    return a, (b >> U64(32)).astype(np.uint32)
+    return mix(hashes_at(data, start, length)), (mix(hashes_at(data, start, length, SECOND) + U64(1)) >> U64(32)).astype(np.uint32)
 
 
 def suffix_sort(data: np.ndarray, start: np.ndarray, segment: np.ndarray, length: int, powers: Powers = POWERS) -> tuple[np.ndarray, np.ndarray]:
@@ -155,19 +165,26 @@ def suffix_sort(data: np.ndarray, start: np.ndarray, segment: np.ndarray, length
 
 def finish(data: np.ndarray, offsets: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[list, ...]:
     """n_bytes, n_removed, n_spans, kept_sha256 of each document when the byte ranges low:high go."""
-    n = len(data)
-    cover = np.bincount(low, minlength=n + 1).astype(np.int64) - np.bincount(high, minlength=n + 1)
-    gone = np.cumsum(cover[:n]) > 0
-    begins = gone.copy()
-    begins[1:] &= ~gone[:-1]
-    inner = offsets[:-1][offsets[:-1] < n]
-    begins[inner] = gone[inner]
-    removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
-    digests = []
-    for i, j in zip(offsets[:-1], offsets[1:], strict=True):
-        part = data[i:j]
-        digests.append(hashlib.sha256(part.tobytes() if removed[j] == removed[i] else part[~gone[i:j]].tobytes()).hexdigest())
-    return np.diff(offsets), removed[offsets[1:]] - removed[offsets[:-1]], spans[offsets[1:]] - spans[offsets[:-1]], digests
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], high[order]
+    removed, spans, digests, i = [], [], [], 0
+    while i < len(offsets) - 1:
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1), len(offsets) - 1)
+        base, own = offsets[i], offsets[i : j + 1] - offsets[i]
+        a, b = np.searchsorted(low, [offsets[i], offsets[j]])
+        part, n = data[base : offsets[j]], int(own[-1])
+        gone = np.cumsum(np.bincount(low[a:b] - base, minlength=n + 1)[:n] - np.bincount(high[a:b] - base, minlength=n + 1)[:n]) > 0
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        inner = own[:-1][own[:-1] < n]
+        begins[inner] = gone[inner]
+        for out, marks in ((removed, gone), (spans, begins)):
+            total = np.concatenate([[0], np.cumsum(marks)])
+            out.append(total[own[1:]] - total[own[:-1]])
+        for x, y, lost in zip(own[:-1], own[1:], removed[-1], strict=True):
+            digests.append(hashlib.sha256((part[x:y][~gone[x:y]] if lost else part[x:y]).tobytes()).hexdigest())
+        i = j
+    return np.diff(offsets), np.concatenate(removed), np.concatenate(spans), digests
 
 
 def _results(ids: np.ndarray, valid: np.ndarray, figures: tuple) -> bytes:
@@ -301,7 +318,7 @@ def _ask_contexts(keys: int, length: int):
             low, high = low + move[docs], high + move[docs]
             ids_of = ids[docs]
             cold = np.flatnonzero(state == 2)
-            gram = mix(range_hash(prefix_hash(text), low[cold] + lead[cold], low[cold] + lead[cold] + ANCHOR))
+            gram = mix(hashes_at(text, low[cold] + lead[cold], ANCHOR))
             order = np.argsort(gram, kind="stable")
             cold, gram = cold[order], gram[order]
             edges = np.searchsorted(_key(gram, keys), np.arange(keys + 1))
