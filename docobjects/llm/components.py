@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .cluster import cut
 
 
+def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """For every row the named pairs of its columns as (u, v)."""
+    return df.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("x")).select("x.u", "x.v")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id that an edge between two different ids touches; component is the smallest
     id that can be reached.
@@ -25,12 +30,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if not seen.n or (seen.n, seen.h) == mark:
             break
         mark = seen.n, seen.h
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _each(now, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large.where("u <> v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = cut(pair(small))
-    members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return members.unionByName(members.select(F.col("component").alias("id"), "component").distinct())
+        now = cut(pair(_each(large.join(least, "u"), ("v", "m"), ("u", "m"))))
+    return _each(now, ("u", "v"), ("v", "v")).select(F.col("u").alias("id"), F.col("v").alias("component")).distinct()
