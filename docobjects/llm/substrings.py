@@ -26,7 +26,7 @@ from .kernels import POWERS, U64, Powers, blocks, gaps, mix, narrow, pack, prefi
 #: Bytes of an anchor.
 ANCHOR = 24
 #: Bytes of text in a block, and in the slices that are hashed at once.
-BLOCK, SLICE = 8 << 20, 1 << 20
+BLOCK, SLICE = 4 << 20, 1 << 19
 #: Distinct contexts of an anchor from which its windows are dealt by their own hashes.
 HOT = 256
 #: Sorts after every id.
