@@ -274,3 +274,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = rows.where("n > 0").join(smallest, F.col("group").eqNullSafe(F.col("g")) & F.col("own").eqNullSafe(F.col("o")))
     lone = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(lone.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+
+
+def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df, with all their columns, that stand for their group: the one whose id is the component's smallest.
+
+    Documents without words are in no group and stay. Of rows that repeat a staying id one stays; rows without id
+    cannot stand for a group and stay all.
+    """
+    groups = jaccard_components(df, id_col, text_col, words, percent)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    kept = df.join(stay, F.col(id_col).cast("long") == F.col("_stay"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(df.where(F.col(id_col).isNull()))

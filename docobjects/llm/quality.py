@@ -180,17 +180,21 @@ def train_network(x: np.ndarray, y: np.ndarray, totals: dict[int, int], settings
     return Network(mean, scale, w1, b1, w2, b2, min(np.geomspace(0.25, 8, 61), key=loss))
 
 
-def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, held_out_fold: int = 0, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every whole text of df.
+class Scorer:
+    """Scores blocks of texts with term vectors and a network."""
 
-    Term vectors come from all texts (no labels enter them); the network learns from at most
-    training.ROWS_PER_CLASS labelled rows of each class outside the held-out fold. A null or empty text is
-    the zero vector; a null id counts as the empty text in the fold; rows with equal ids are scored apart;
-    without labels of both classes the score is the share of label 1. Other columns are not read.
-    """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    vectors = df.sparkSession.sparkContext.broadcast(term_vectors(docs.select("text"), settings))
-    rows, totals = training_rows(df, labels, label_col, id_col, text_col, held_out_fold, ROWS_PER_CLASS)
+    def __init__(self, vectors: np.ndarray, network: Network, settings: Settings):
+        self.vectors, self.network, self.settings = vectors, network, settings
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        return self.network.score(pool(*text_bytes(column), self.vectors, self.settings))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held_out_fold: int, settings: Settings) -> Scorer:
+    """Term vectors from all texts of docs (no labels enter them), and a network from at most ROWS_PER_CLASS labelled
+    rows of each class outside the held-out fold."""
+    vectors = docs.sparkSession.sparkContext.broadcast(term_vectors(docs.select(F.col(text_col).alias("text")), settings))
+    rows, totals = training_rows(docs, labels, label_col, id_col, text_col, held_out_fold, ROWS_PER_CLASS)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,13 +205,36 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sample = rows.mapInArrow(pooled, f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<double>").collect()  # bounded: ROWS_PER_CLASS
     sample.sort(key=lambda r: (r.id, r.x))
     x = np.array([r.x for r in sample]).reshape(len(sample), 2 * settings.dims + 3)
-    network = train_network(x, np.array([r.y for r in sample], dtype=np.int64), totals, settings)
+    return Scorer(vectors.value, train_network(x, np.array([r.y for r in sample], dtype=np.int64), totals, settings), settings)
+
+
+def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, held_out_fold: int = 0, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, held_out, score, predicted for every whole text of df.
+
+    A null or empty text is the zero vector; a null id counts as the empty text in the fold; rows with equal ids
+    are scored apart; without labels of both classes the score is the share of label 1. Other columns are not read.
+    """
+    scorer = df.sparkSession.sparkContext.broadcast(learn(df, labels, id_col, text_col, label_col, held_out_fold, settings))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text", BLOCK):
-                score = network.score(pool(*text_bytes(block.column(1)), vectors.value, settings))
+                score = scorer.value(block.column(1))
                 held = crc_mod5(block.column(0).to_pylist()) == held_out_fold
                 yield pa.record_batch([block.column(0), pa.array(held), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, held_out_fold: int = 0, settings: Settings = Settings()) -> DataFrame:
+    """The rows of df, with all their columns, whose quality score reaches the threshold; row by row, without a join."""
+    scorer = df.sparkSession.sparkContext.broadcast(learn(df, labels, id_col, text_col, label_col, held_out_fold, settings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, text_col, BLOCK):
+                column = block.column(block.schema.get_field_index(text_col))
+                yield block.filter(pa.array(scorer.value(column) >= threshold))
+
+    return df.mapInArrow(run, df.schema)

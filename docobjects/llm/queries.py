@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .contamination import contaminated
 from .embeddings import near_duplicate_vectors
 from .jaccard import jaccard_components
 from .licenses import scan_licenses
@@ -51,9 +52,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_deleted_interpolation, op3_suffix_dedup, op4_ngram_jaccard, op5_embeddings, op6_licenses, op7_mixing, op8_toxicity, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_deleted_interpolation,
+        op3_suffix_dedup,
+        op4_ngram_jaccard,
+        op5_embeddings,
+        op6_licenses,
+        op7_mixing,
+        op8_toxicity,
+        op9_decontamination,
+        op10_quality,
+    )
+}
+#: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}

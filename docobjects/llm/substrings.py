@@ -26,7 +26,7 @@ from .kernels import POWERS, U64, Powers, blocks, gaps, mix, narrow, pack, prefi
 #: Bytes of an anchor.
 ANCHOR = 24
 #: Bytes of text in a block, and in the slices that are hashed at once.
-BLOCK, SLICE = 4 << 20, 1 << 19
+BLOCK, SLICE = 8 << 20, 1 << 19
 #: Distinct contexts of an anchor from which its windows are dealt by their own hashes.
 HOT = 256
 #: Sorts after every id.
@@ -48,6 +48,11 @@ def _key(hashes: np.ndarray, keys: int) -> np.ndarray:
     return ((hashes >> U64(32)) * U64(keys)) >> U64(32)
 
 
+def spread(grams: np.ndarray) -> np.ndarray:
+    """Anchors are least hashes, so they crowd at the low end; mixed once more they are even."""
+    return mix(grams + U64(0x632BE59BD9B4E019))
+
+
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: anchor hash, context hash, first and last window, first window to anchor, document."""
     n = len(data)
@@ -76,7 +81,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     low, high, anchor, doc = window[first], window[last], anchor[first], doc[first]
     other = prefix_hash(data, SECOND)
     context = mix(range_hash(other, low, high + length, SECOND) + (anchor - low).astype(U64) * U64(1000003) + (anchor - high).astype(U64) * U64(7919))
-    return grams[anchor], context, low, high, anchor - low, doc
+    return spread(grams[anchor]), context, low, high, anchor - low, doc
 
 
 def hashes_at(data: np.ndarray, start: np.ndarray, length: int, powers: Powers = POWERS) -> np.ndarray:
@@ -318,7 +323,7 @@ def _ask_contexts(keys: int, length: int):
             low, high = low + move[docs], high + move[docs]
             ids_of = ids[docs]
             cold = np.flatnonzero(state == 2)
-            gram = mix(hashes_at(text, low[cold] + lead[cold], ANCHOR))
+            gram = spread(mix(hashes_at(text, low[cold] + lead[cold], ANCHOR)))
             order = np.argsort(gram, kind="stable")
             cold, gram = cold[order], gram[order]
             edges = np.searchsorted(_key(gram, keys), np.arange(keys + 1))
