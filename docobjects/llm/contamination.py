@@ -28,12 +28,12 @@ class Settings:
     words: int = 16  # of a passage
     stride: int = 8  # between passages of a document
     item_stride: int = 4  # between passages of an item
-    dims: int = 48  # of the latent space
+    dims: int = 32  # of the latent space
     counters: int = 1 << 18  # for word frequencies
-    share: float = 0.5  # least part of a passage's length (TF-IDF) in the benchmark's words
-    cosine: float = 0.5  # least cosine in the latent space
+    share: float = 0.55  # least part of a passage's length (TF-IDF) in the benchmark's words, and in those of one item
+    cosine: float = 0.7  # least cosine in the latent space
     covered: float = 0.75  # of an item's words in the common subsequence
-    covered_with_answer: float = 0.5  # the same, if the item's answer is there too
+    covered_with_answer: float = 0.6  # the same, if the item's answer is there too
     answer_words: int = 6
     seed: int = 3
 
@@ -191,6 +191,8 @@ class Searcher:
                 self.item.append(k)
         self.vectors = self._unit(np.array(vectors, dtype=np.float32).reshape(len(vectors), space.shape[1]))
         self.item = np.array(self.item, dtype=np.int64)
+        n = len(bench.vocabulary)
+        self.item_words = np.unique(np.concatenate([k * n + bench.lookup(x) for k, x in enumerate(bench.items)]))
 
     def _starts(self, n: int, stride: int) -> list[int]:
         last = max(n - self.settings.words, 0)
@@ -235,9 +237,19 @@ class Searcher:
                 begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 vectors[owner[begins]] = np.add.reduceat(self.space[word] * self.own[word][:, None], begins, axis=0)
             close = self._unit(vectors) @ self.vectors.T >= s.cosine
-            for i, j in zip(*np.nonzero(close), strict=True):
-                p = part[i]
-                pairs.setdefault((int(tokens.doc[start[p]]), int(self.item[j])), []).append(int(start[p]))
+            i, j = np.nonzero(close)
+            i, item = np.divmod(np.unique(i * len(bench.items) + self.item[j]), len(bench.items))
+            # Of these pairs, those whose passage has enough of its length in the item's own words.
+            begins = np.searchsorted(owner, np.arange(len(part) + 1))
+            size = (begins[1:] - begins[:-1])[i]
+            entry = np.repeat(begins[:-1][i] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            pair = np.repeat(np.arange(len(i)), size)
+            wanted = item[pair] * len(bench.vocabulary) + word[entry]
+            at = np.minimum(np.searchsorted(self.item_words, wanted), len(self.item_words) - 1)
+            shared = np.bincount(pair, weights=np.where(self.item_words[at] == wanted, self.own[word[entry]].astype(np.float64) ** 2, 0), minlength=len(i))
+            keep = shared >= s.share**2 * (whole[end[part]] - whole[start[part]])[i]
+            for p, k in zip(part[i[keep]], item[keep], strict=True):
+                pairs.setdefault((int(tokens.doc[start[p]]), int(k)), []).append(int(start[p]))
         out = []
         for (doc, item), places in sorted(pairs.items()):
             best = self._verify(tokens, doc, bench.items[item], sorted(set(places)))
