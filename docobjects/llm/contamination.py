@@ -21,6 +21,8 @@ from .kernels import U64, Tokens, blocks, text_bytes
 BLOCK = 4 << 20
 #: Items that are searched for in one pass over the documents.
 MOST_ITEMS = 20_000
+#: Up to so many cells, a table says which item holds which word; beyond, a sorted list.
+TABLE_CELLS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -30,8 +32,8 @@ class Settings:
     item_stride: int = 4  # between passages of an item
     dims: int = 32  # of the latent space
     counters: int = 1 << 18  # for word frequencies
-    share: float = 0.55  # least part of a passage's length (TF-IDF) in the benchmark's words, and in those of one item
-    cosine: float = 0.7  # least cosine in the latent space
+    share: float = 0.62  # least part of a passage's length (TF-IDF) in the benchmark's words, and in those of one item
+    cosine: float = 0.5  # least cosine in the latent space
     covered: float = 0.75  # of an item's words in the common subsequence
     covered_with_answer: float = 0.6  # the same, if the item's answer is there too
     answer_words: int = 6
@@ -193,6 +195,10 @@ class Searcher:
         self.item = np.array(self.item, dtype=np.int64)
         n = len(bench.vocabulary)
         self.item_words = np.unique(np.concatenate([k * n + bench.lookup(x) for k, x in enumerate(bench.items)]))
+        self.table = None
+        if n * len(bench.items) <= TABLE_CELLS:
+            self.table = np.zeros(n * len(bench.items), dtype=bool)
+            self.table[self.item_words] = True
 
     def _starts(self, n: int, stride: int) -> list[int]:
         last = max(n - self.settings.words, 0)
@@ -245,8 +251,7 @@ class Searcher:
             entry = np.repeat(begins[:-1][i] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             pair = np.repeat(np.arange(len(i)), size)
             wanted = item[pair] * len(bench.vocabulary) + word[entry]
-            at = np.minimum(np.searchsorted(self.item_words, wanted), len(self.item_words) - 1)
-            shared = np.bincount(pair, weights=np.where(self.item_words[at] == wanted, self.own[word[entry]].astype(np.float64) ** 2, 0), minlength=len(i))
+            shared = np.bincount(pair, weights=np.where(self._stands(wanted), self.own[word[entry]].astype(np.float64) ** 2, 0), minlength=len(i))
             keep = shared >= s.share**2 * (whole[end[part]] - whole[start[part]])[i]
             for p, k in zip(part[i[keep]], item[keep], strict=True):
                 pairs.setdefault((int(tokens.doc[start[p]]), int(k)), []).append(int(start[p]))
@@ -257,6 +262,13 @@ class Searcher:
                 out.append((doc, item, *best))
         return out
 
+    def _stands(self, codes: np.ndarray) -> np.ndarray:
+        """Whether an item holds a word, by item x words + word."""
+        if self.table is not None:
+            return self.table[codes]
+        at = np.minimum(np.searchsorted(self.item_words, codes), len(self.item_words) - 1)
+        return self.item_words[at] == codes
+
     def _verify(self, tokens: Tokens, doc: int, words: np.ndarray, places: list[int]) -> tuple[int, bool] | None:
         s, first, last = self.settings, int(tokens.first[doc]), int(tokens.first[doc + 1])
         n, best, i = len(words), None, 0
