@@ -30,7 +30,7 @@ class Settings:
     words: int = 16  # of a passage
     stride: int = 8  # between passages of a document
     item_stride: int = 4  # between passages of an item
-    dims: int = 32  # of the latent space
+    dims: int = 24  # of the latent space
     counters: int = 1 << 18  # for word frequencies
     share: float = 0.62  # least part of a passage's length (TF-IDF) in the benchmark's words, and in those of one item
     cosine: float = 0.5  # least cosine in the latent space
@@ -63,7 +63,7 @@ class Benchmark:
     ids: list
     items: list[np.ndarray]
     vocabulary: np.ndarray
-    known: np.ndarray
+    slots: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Benchmark:
@@ -72,17 +72,26 @@ class Benchmark:
         items = [tokens.hash[i:j] for i, j in zip(tokens.first[:-1], tokens.first[1:], strict=True)]
         keep = [k for k, x in enumerate(items) if len(x)]
         vocabulary = np.unique(tokens.hash)
-        known = np.zeros(1 << 20, dtype=bool)
-        known[(vocabulary >> U64(44)).astype(np.int64)] = True
-        return cls([rows[k][0] for k in keep], [items[k] for k in keep], vocabulary, known)
+        # Words by the first 20 bits of their hash: where their slot begins in the sorted vocabulary.
+        slots = np.append(np.searchsorted(vocabulary, np.arange(1 << 20, dtype=np.uint64) << U64(44)), len(vocabulary)).astype(np.int32)
+        return cls([rows[k][0] for k in keep], [items[k] for k in keep], vocabulary, slots)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Index in the vocabulary, -1 for other words."""
         out = np.full(len(hashes), -1, dtype=np.int64)
-        maybe = np.flatnonzero(self.known[(hashes >> U64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), len(self.vocabulary) - 1)
-        hit = self.vocabulary[at] == hashes[maybe]
-        out[maybe[hit]] = at[hit]
+        if not len(self.vocabulary):
+            return out
+        slot = (hashes >> U64(44)).astype(np.int64)
+        begin = self.slots[slot].astype(np.int64)
+        size = self.slots[slot + 1] - begin
+        left = np.flatnonzero(size > 0)
+        step = 0
+        while len(left):
+            at = begin[left] + step
+            hit = self.vocabulary[at] == hashes[left]
+            out[left[hit]] = at[hit]
+            step += 1
+            left = left[~hit & (size[left] > step)]
         return out
 
 
