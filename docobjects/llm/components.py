@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from ..lineage import cut
 
 
 def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:

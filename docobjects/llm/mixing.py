@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import cut
+from ..lineage import cut
 
 #: Beyond so many distinct membership patterns the flow is no longer a small problem for the driver.
 MOST_PATTERNS = 100_000

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .cluster import width
+from ..lineage import width
 from .kernels import POWERS, U64, Powers, blocks, gaps, mix, narrow, pack, prefix_hash, range_hash, text_bytes, unpack
 
 #: Bytes of an anchor.

@@ -22,15 +22,15 @@ def labelled(spark):
     rng = random.Random(3)
     stems = ["blork", "zarg", "quim"]
     rows, labels = [], []
-    for i in range(900):
+    for i in range(1600):
         words, toxic, good = prose(rng, rng.randint(5, 80)).split(), i % 4 == 0, i % 3 != 0
         if toxic:
             words.insert(rng.randrange(len(words)), rng.choice(stems) + "".join(rng.choices("aeioust", k=3)))
         text = " ".join(words) if good else " ".join(w.upper() + "!!" for w in words)
         rows.append((i, text, 7))
         labels.append((i, int(good), int(toxic)))
-    rows += [(900, "", 1), (901, None, 1), (None, "text without id", 1), (5, "again", 1)]
-    return spark.createDataFrame(rows, "doc_id long, text string, score int"), spark.createDataFrame(labels + [(None, 1, 1), (950, None, None)], "doc_id long, quality int, toxic int")
+    rows += [(1600, "", 1), (1601, None, 1), (None, "text without id", 1), (5, "again", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, score int"), spark.createDataFrame(labels + [(None, 1, 1), (1650, None, None)], "doc_id long, quality int, toxic int")
 
 
 def accuracy(rows, want):
@@ -41,8 +41,8 @@ def accuracy(rows, want):
 def test_toxicity_learns_subwords(labelled, spark):
     docs, labels = labelled
     rows = score_toxicity(docs, labels).collect()
-    assert len(rows) == 904 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (brute.fold(r.doc_id) == 0) for r in rows)
-    assert accuracy([r for r in rows if r.doc_id != 5], {i: int(i % 4 == 0) for i in range(900)}) > 0.95
+    assert len(rows) == 1604 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (brute.fold(r.doc_id) == 0) for r in rows)
+    assert accuracy([r for r in rows if r.doc_id != 5], {i: int(i % 4 == 0) for i in range(1600)}) > 0.95
     assert score_toxicity(docs.limit(0), labels).collect() == []
     flat = score_toxicity(docs, labels.limit(0)).collect()
     assert len({r.score for r in flat}) == 1
@@ -51,8 +51,8 @@ def test_toxicity_learns_subwords(labelled, spark):
 def test_quality(labelled):
     docs, labels = labelled
     rows = score_quality(docs, labels).collect()
-    assert len(rows) == 904 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
-    assert accuracy([r for r in rows if r.doc_id != 5], {i: int(i % 3 != 0) for i in range(900)}) > 0.95
+    assert len(rows) == 1604 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert accuracy([r for r in rows if r.doc_id != 5], {i: int(i % 3 != 0) for i in range(1600)}) > 0.95
     kept = keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.predicted)
