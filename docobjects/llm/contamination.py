@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .kernels import U64, Tokens, blocks, text_bytes
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Items that are searched for in one pass over the documents.
 MOST_ITEMS = 20_000
 #: Up to so many cells, a table says which item holds which word; beyond, a sorted list.
@@ -32,8 +32,8 @@ class Settings:
     item_stride: int = 4  # between passages of an item
     dims: int = 24  # of the latent space
     counters: int = 1 << 18  # for word frequencies
-    share: float = 0.62  # least part of a passage's length (TF-IDF) in the benchmark's words, and in those of one item
-    cosine: float = 0.5  # least cosine in the latent space
+    share: float = 0.65  # least part of a passage's length (TF-IDF) in the benchmark's words, and in those of one item
+    cosine: float = 0.55  # least cosine in the latent space
     covered: float = 0.75  # of an item's words in the common subsequence
     covered_with_answer: float = 0.6  # the same, if the item's answer is there too
     answer_words: int = 6
@@ -135,7 +135,7 @@ def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, settings: S
         own = idf[_counter(bench.vocabulary, settings)]
         total = np.zeros((n, settings.dims))
         for batch in batches:
-            for block in blocks(batch, "text", BLOCK // 4):
+            for block in blocks(batch, "text", BLOCK // 2):
                 tokens = stripped(*text_bytes(block.column(0)))
                 if not len(tokens.hash):
                     continue
@@ -202,6 +202,7 @@ class Searcher:
                 self.item.append(k)
         self.vectors = self._unit(np.array(vectors, dtype=np.float32).reshape(len(vectors), space.shape[1]))
         self.item = np.array(self.item, dtype=np.int64)
+        self.first = np.flatnonzero(np.diff(self.item, prepend=-1))
         n = len(bench.vocabulary)
         self.item_words = np.unique(np.concatenate([k * n + bench.lookup(x) for k, x in enumerate(bench.items)]))
         self.table = None
@@ -252,8 +253,7 @@ class Searcher:
                 begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 vectors[owner[begins]] = np.add.reduceat(self.space[word] * self.own[word][:, None], begins, axis=0)
             close = self._unit(vectors) @ self.vectors.T >= s.cosine
-            i, j = np.nonzero(close)
-            i, item = np.divmod(np.unique(i * len(bench.items) + self.item[j]), len(bench.items))
+            i, item = np.nonzero(np.logical_or.reduceat(close, self.first, axis=1))
             # Of these pairs, those whose passage has enough of its length in the item's own words.
             begins = np.searchsorted(owner, np.arange(len(part) + 1))
             size = (begins[1:] - begins[:-1])[i]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .kernels import U64, Tokens, blocks, crc_mod5, mix, text_bytes
 from .training import ROWS_PER_CLASS, Adam, sigmoid, training_rows
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,7 @@ from .jaccard import jaccard_components
 from .licenses import scan_licenses
 from .lm import score_corpus
 from .mixing import mixed_sizes
+from .oracles import OP3, OP4, OP5, OP6
 from .quality import score_quality
 from .sharding import shard_by_bytes
 from .substrings import remove_repeats
@@ -76,4 +77,4 @@ QUERIES = {
     )
 }
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_suffix_dedup": OP3, "op4_ngram_jaccard": OP4, "op5_embeddings": OP5, "op6_licenses": OP6}
