@@ -90,9 +90,9 @@ def compression_label(kind: Column, chain: Column) -> Column:
 
 
 def utf16_hex(value: Column) -> Column:
-    """Hex digits as UTF-16BE text; an odd number of digits gets a leading 0."""
-    even = F.when(F.length(value) % 2 == 1, F.concat(F.lit("0"), value)).otherwise(value)
-    return F.decode(F.unhex(even), "UTF-16BE")
+    """Hex digits as UTF-16BE text; leading zeros fill them up to whole code units."""
+    units = F.concat(F.repeat(F.lit("0"), F.pmod(-F.length(value), F.lit(4))), value)
+    return F.decode(F.unhex(units), "UTF-16BE")
 
 
 def progress(completed: Column, total: Column) -> Column:
