@@ -113,3 +113,29 @@ def error_kind(exception: Column, message: Column) -> Column:
         .when(exception == "OSError", "Io")
         .otherwise("Unknown")
     )
+
+
+# What to do about each kind of error.
+REMEDIES = {
+    "AccessDenied": "Check that the file may be read and is not open elsewhere.",
+    "Corrupted": "Open the file in its program and save it again.",
+    "EncryptedOrProtected": "Remove the password or protection first.",
+    "FileNotFound": "Check whether the file was moved or deleted.",
+    "Io": "Check the disk and try again.",
+    "NotAPdf": "Choose a PDF file.",
+    "OutOfMemory": "Close other programs or choose a smaller file.",
+    "Unknown": "Try again.",
+}
+
+
+def error_remedy(kind: Column) -> Column:
+    """What to do about a kind of error; kinds without advice count as unknown."""
+    out = F.lit(REMEDIES["Unknown"])
+    for name, remedy in REMEDIES.items():
+        out = F.when(kind == name, remedy).otherwise(out)
+    return out
+
+
+def file_parts(path: Column) -> tuple[Column, Column, Column]:
+    """File name, stem and extension (lower case, with its dot) of a path."""
+    return F.regexp_extract(path, "([^/]*)$", 1), F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1), F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))

@@ -66,22 +66,29 @@ def number_within_file(groups: DataFrame, key: str = "identity") -> DataFrame:
     return groups.withColumn("object_id", F.format_string("%s_%03d", kind_name(F.col("kind"), KIND_PREFIXES), F.row_number().over(order)))
 
 
-def number_corpus(groups: DataFrame, key: str = "hash") -> DataFrame:
-    """object_id by kind over the whole corpus: most used first, ties by key.
+def global_positions(rows: DataFrame, order: list[Column], by: list[str] | None = None, out: str = "position") -> DataFrame:
+    """rows with their position (from 1) in one global order, or in that of each value of `by` (which comes first in it).
 
-    The rows are dealt to ranges of that order and numbered inside each; one count per range and kind is summed up
-    over the ranges, so no kind has to pass through a single task.
+    The rows are dealt to ranges of the order and numbered inside each; one count per range (and value) is summed up over
+    the ranges, so neither the whole table nor one value of `by` has to pass through a single task.
     """
-    order = [F.col("kind").asc(), F.col("usage_count").desc(), F.col(key).asc()]
-    ranged = cut(groups.repartitionByRange(2 * width(groups.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
-    ahead = Window.partitionBy("kind").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("_part", "kind").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("_part", F.col("kind").alias("_kind"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("_part", "kind").orderBy(*order)
+    by = by or []
+    full = [F.col(c).asc() for c in by] + order
+    ranged = cut(rows.repartitionByRange(2 * width(rows.sparkSession), *full).withColumn("_part", F.spark_partition_id()))
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("_part", *[F.col(c).alias(f"_{c}") for c in by], F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_part", *by).orderBy(*full)
+    same = " and ".join(["g._part = c._part", *[f"g.{c} <=> c._{c}" for c in by]])
     numbered = ranged.withColumn("_row", F.row_number().over(inside)).alias("g")
-    joined = numbered.join(F.broadcast(counts.alias("c")), F.expr("g._part = c._part and g.kind = c._kind"))  # a row per range and kind
-    number = (F.col("_row") + F.col("_ahead")).cast("long")
-    return joined.select(F.format_string("%s_%03d", kind_name(F.col("kind"), KIND_PREFIXES), number).alias("object_id"), number.alias("number"), "g.*").drop("_part", "_row")
+    joined = numbered.join(F.broadcast(counts.alias("c")), F.expr(same))  # a row per range and value
+    return joined.select(*[F.col(f"g.{c}") for c in rows.columns], (F.col("_row") + F.col("_ahead")).cast("long").alias(out))
+
+
+def number_corpus(groups: DataFrame, key: str = "hash") -> DataFrame:
+    """number and object_id by kind over the whole corpus: most used first, ties by key."""
+    numbered = global_positions(groups, [F.col("usage_count").desc(), F.col(key).asc()], ["kind"], "number")
+    return numbered.withColumn("object_id", F.format_string("%s_%03d", kind_name(F.col("kind"), KIND_PREFIXES), F.col("number")))
 
 
 def page_runs(pages: DataFrame, by: list[str], page: str = "page_number", out: str = "page_ranges") -> DataFrame:
@@ -117,3 +124,10 @@ def visible_window(first: int, count: int) -> tuple[int, int]:
     """Rows [start, stop) to have ready for a view of `count` rows from `first`: half a view more on both sides."""
     margin = count // 2
     return max(first - margin, 0), first + count + margin
+
+
+def first_warnings(warnings: DataFrame, by: list[str], order: list[str], message: str, most: int = 4) -> DataFrame:
+    """The first few warnings of a group, line by line, and how many more there are."""
+    ranked = warnings.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    shown = F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.struct("_k", F.col(message).alias("m")))))
+    return ranked.groupBy(*by).agg(F.array_join(F.transform(shown, lambda x: x["m"]), "\n").alias("shown"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).cast("long").alias("more"))

@@ -171,8 +171,7 @@ def usage_rows(spark, sf_dir):
 def display_sort(spark, sf_dir):
     g = placements(spark, sf_dir).groupBy("identity", "kind").agg(F.count(F.lit(1)).alias("usage_count"), F.max(F.col("w") * F.col("h")).alias("area"), F.bool_and("hides").alias("is_safe"))
     g = g.withColumn("warning_key", F.when(~F.col("is_safe"), 0).otherwise(2))
-    # A display list: one row per group; the position is its rank in one global order.
-    return g.withColumn("position", F.row_number().over(Window.orderBy("warning_key", F.desc("usage_count"), "identity")).cast("long"))
+    return A.global_positions(g, [F.col("warning_key").asc(), F.col("usage_count").desc(), F.col("identity").asc()])
 
 
 @query(f"{PLACED}, g AS (SELECT identity, count(*) AS usage_count, row_number() OVER (ORDER BY count(*) DESC, identity) AS position FROM placed GROUP BY identity) SELECT * FROM g WHERE position > 15 AND position <= 55")
@@ -180,8 +179,8 @@ def viewport_window(spark, sf_dir):
     start, stop = A.visible_window(25, 20)
     g = placements(spark, sf_dir).groupBy("identity").agg(F.count(F.lit(1)).alias("usage_count"))
     # A view on the sorted list: its rows are the feature.
-    ranked = A.display_sorted(g, "usage_count", False).limit(stop).withColumn("position", F.row_number().over(Window.orderBy(F.desc("usage_count"), "identity")).cast("long"))
-    return ranked.where(F.col("position") > start)
+    ranked = A.global_positions(g, [F.col("usage_count").desc(), F.col("identity").asc()])
+    return ranked.where((F.col("position") > start) & (F.col("position") <= stop))
 
 
 @query(f"{GROUPS} SELECT file_id, kind, identity FROM grouped WHERE kind IN (0, 2, 4) AND is_safe")
@@ -469,3 +468,76 @@ def quality_argmin(spark, sf_dir):
 def progress_and_errors(spark, sf_dir):
     kind = X.error_kind(F.when(F.col("event_type") == "click", "PdfError").otherwise("X"), F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", X.progress(F.col("value"), F.col("user_id") % 4).alias("progress"), kind.alias("error_kind"))
+
+
+# ---- lists and totals --------------------------------------------------------------------------------------
+
+
+@query(f"{GROUPS} SELECT file_id, count(*) AS group_count, CAST(sum(usage_count) AS BIGINT) AS total_usage FROM grouped GROUP BY file_id")
+def document_totals(spark, sf_dir):
+    return _groups(spark, sf_dir).groupBy("file_id").agg(F.count(F.lit(1)).alias("group_count"), F.sum("usage_count").alias("total_usage"))
+
+
+@query(f"""{PLACED}, {SELECTED}, hit AS (SELECT p.*, s.identity IS NOT NULL AS chosen FROM placed p LEFT JOIN selected s USING (identity)) SELECT file_id, count(DISTINCT CASE WHEN chosen THEN page_uid END) AS pages_modified,
+    CAST(sum(CASE WHEN chosen THEN 1 ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN chosen AND kind = 0 AND w > 50 THEN 1 ELSE 0 END) AS BIGINT) AS flattened, CAST(sum(CASE WHEN chosen AND NOT hides THEN 1 ELSE 0 END) AS BIGINT) AS kept_back FROM hit GROUP BY file_id""")
+def batch_totals(spark, sf_dir):
+    chosen = placements(spark, sf_dir).join(_selected(spark, sf_dir).withColumn("chosen", F.lit(True)), "identity", "left")
+    n = lambda condition: F.sum(F.when(F.expr(condition), 1).otherwise(0)).alias
+    return chosen.groupBy("file_id").agg(
+        F.count_distinct(F.when(F.col("chosen"), F.col("page_uid"))).alias("pages_modified"),
+        n("chosen")("removed"),
+        n("chosen and kind = 0 and w > 50")("flattened"),
+        n("chosen and not hides")("kept_back"),
+    )
+
+
+@query(f"{NUMBERED}, f AS (SELECT DISTINCT page_uid, identity FROM numbered WHERE kind = 0 AND w > 30), d AS (SELECT DISTINCT page_uid, identity FROM numbered WHERE kind = 0 AND w <= 30) SELECT * FROM f EXCEPT SELECT * FROM d")
+def undrawn_names(spark, sf_dir):
+    drawn = numbered_placements(spark, sf_dir).where("kind = 0").select("page_uid", "identity", "w")
+    return drawn.where("w > 30").select("page_uid", "identity").distinct().join(drawn.where("w <= 30"), ["page_uid", "identity"], "left_anti")
+
+
+@query(f"""{NUMBERED}, k AS (SELECT *, row_number() OVER (PARTITION BY page_uid ORDER BY obj) AS k FROM numbered WHERE NOT hides)
+    SELECT page_uid, string_agg(CASE WHEN k <= 4 THEN 'object ' || obj || ' hides nothing' END, chr(10) ORDER BY k) AS shown, CAST(greatest(count(*) - 4, 0) AS BIGINT) AS more FROM k GROUP BY page_uid""")
+def warnings_top4(spark, sf_dir):
+    warnings = numbered_placements(spark, sf_dir).where("not hides").select("page_uid", "obj", F.concat(F.lit("object "), F.col("obj").cast("string"), F.lit(" hides nothing")).alias("message"))
+    return A.first_warnings(warnings, ["page_uid"], ["obj"], "message")
+
+
+@query(f"""{NUMBERED}, units AS (SELECT DISTINCT file_id, page_uid, CAST(obj % 4 AS BIGINT) AS unit, 0 AS loose FROM numbered WHERE obj % 3 = 0), loose AS (SELECT file_id, page_uid, obj AS unit, 1 AS loose FROM numbered WHERE obj % 50 = 7),
+    l AS (SELECT * FROM units UNION ALL SELECT * FROM loose) SELECT *, dense_rank() OVER (ORDER BY file_id) AS document_no, row_number() OVER (PARTITION BY file_id ORDER BY page_uid, loose, unit) AS row_no FROM l""")
+def unit_list(spark, sf_dir):
+    p = numbered_placements(spark, sf_dir)
+    units = p.where("obj % 3 = 0").select("file_id", "page_uid", (F.col("obj") % 4).cast("long").alias("unit"), F.lit(0).alias("loose")).distinct()
+    both = units.unionByName(p.where("obj % 50 = 7").select("file_id", "page_uid", F.col("obj").cast("long").alias("unit"), F.lit(1).alias("loose")))
+    documents = A.global_positions(both.select("file_id").distinct(), [F.col("file_id").asc()], out="document_no")
+    listed = A.global_positions(both, [F.col("page_uid").asc(), F.col("loose").asc(), F.col("unit").asc()], ["file_id"], "row_no")
+    return listed.join(documents, "file_id")
+
+
+@query(f"{GROUPS}, {SELECTED}, g AS (SELECT g.*, s.identity IS NOT NULL AS chosen FROM grouped g LEFT JOIN selected s USING (identity)) SELECT file_id, kind, identity, chosen, row_number() OVER (ORDER BY chosen DESC, usage_count DESC, file_id, kind, identity) AS position FROM g")
+def selected_first_sort(spark, sf_dir):
+    g = _groups(spark, sf_dir).join(_selected(spark, sf_dir).withColumn("chosen", F.lit(True)), "identity", "left").select("file_id", "kind", "identity", "usage_count", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    return A.global_positions(g, [F.col("chosen").desc(), F.col("usage_count").desc(), F.col("file_id").asc(), F.col("kind").asc(), F.col("identity").asc()]).drop("usage_count")
+
+
+@query("h AS (SELECT p_partkey, printf('%04X', 1024 + p_partkey % 200) || printf('%04X', 65 + p_partkey % 26) AS code FROM part) SELECT p_partkey, code, chr(CAST(1024 + p_partkey % 200 AS INT)) || chr(CAST(65 + p_partkey % 26 AS INT)) AS text FROM h")
+def hex_text(spark, sf_dir):
+    code = F.concat(F.format_string("%04X", 1024 + F.col("p_partkey") % 200), F.format_string("%04X", 65 + F.col("p_partkey") % 26))
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), X.utf16_hex(code).alias("text"))
+
+
+@query(rf"""p AS (SELECT doc_id, '/in/' || lang || '/' || source || (CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.v2.PDF' ELSE '' END) AS path FROM documents)
+    SELECT doc_id, path, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_extract(path, '([^/]*?)(\.[^./]*)?$', 1) AS stem, lower(regexp_extract(path, '(\.[^./]*)$', 1)) AS ext FROM p""")
+def file_name_parts(spark, sf_dir):
+    ending = F.when(F.expr("doc_id % 3 = 0"), ".pdf").when(F.expr("doc_id % 3 = 1"), ".v2.PDF").otherwise("")
+    path = F.concat(F.lit("/in/"), F.col("lang"), F.lit("/"), F.col("source"), ending)
+    name, stem, ext = X.file_parts(F.col("path"))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).select("doc_id", "path", name.alias("name"), stem.alias("stem"), ext.alias("ext"))
+
+
+@query("""e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'Corrupted' WHEN 'view' THEN 'NotAPdf' ELSE 'Unknown' END AS kind FROM events), t(kind, remedy) AS (VALUES ('Corrupted', 'Open the file in its program and save it again.'), ('NotAPdf', 'Choose a PDF file.'), ('Unknown', 'Try again.'))
+    SELECT event_id, kind, remedy FROM e JOIN t USING (kind)""")
+def error_remedies(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "Corrupted").when(F.col("event_type") == "view", "NotAPdf").otherwise("Unknown")
+    return table(spark, sf_dir, "events").select("event_id", kind.alias("kind")).withColumn("remedy", X.error_remedy(F.col("kind")))
