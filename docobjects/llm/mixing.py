@@ -162,26 +162,29 @@ def mix_sources(
         passes, rest = divmod(sum(flow[i].values()), words[p]) if words[p] else (0, 0)
         plan.append((list(p), passes, rest, sum(sizes[s] for s in p), float(sum(targets[s] for s in p))))
     plan = df.sparkSession.createDataFrame(plan, "_p array<string>, _passes int, _rest long, _source_size long, _target double")
-    # A pattern's documents fall into 2**14 ranges of the seeded order; only the range that holds the cut is
-    # ranked document by document.
+    # Where a pattern's cut lies: its documents fall into 1024 ranges of the seeded order, those of the range that holds
+    # the cut into 1024 again, and only what is left in that range is ranked document by document.
     same = F.col("pattern").eqNullSafe(F.col("_p"))
-    ranged = rows.withColumn("range", F.shiftright("order", 49))
-    along = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        ranged.groupBy("pattern", "range")
-        .agg(F.sum("size").alias("words"))
-        .withColumn("upto", F.sum("words").over(along))
-        .join(F.broadcast(plan), same)
-        .where("upto - words < _rest and upto >= _rest")
-        .select("_p", F.col("range").alias("_range"), (F.col("_rest") - F.col("upto") + F.col("words")).alias("_left"))
-    )
-    inside = Window.partitionBy("pattern").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    cuts, near = plan.where("_rest > 0").select("_p", F.lit(0).cast("long").alias("_low"), F.col("_rest").alias("_left")), rows
+    for shift in (53, 43):
+        near = near.join(F.broadcast(cuts), same).where(F.shiftright("order", shift + 10) == F.col("_low"))  # one row per pattern at most
+        along = Window.partitionBy("_p").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+        cuts = cut(
+            near.groupBy("_p", "_left", F.shiftright("order", shift).alias("_range"))
+            .agg(F.sum("size").alias("words"))
+            .withColumn("upto", F.sum("words").over(along))
+            .where("upto - words < _left and upto >= _left")
+            .select("_p", F.col("_range").alias("_low"), (F.col("_left") - F.col("upto") + F.col("words")).alias("_left"))
+        )
+        near = near.select("pattern", "size", "order")
+    inside = Window.partitionBy("_p").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
     lasts = (
-        ranged.join(F.broadcast(cuts), same & (F.col("range") == F.col("_range")))  # one row per pattern at most
+        near.join(F.broadcast(cuts), same)
+        .where(F.shiftright("order", 43) == F.col("_low"))
         .withColumn("upto", F.sum("size").over(inside))
-        .groupBy("_p", "_range")
+        .groupBy("_p", "_low")
         .agg(F.max(F.when(F.col("upto") - F.col("size") / 2 <= F.col("_left"), F.col("order"))).alias("_within"))
-        .select("_p", F.coalesce("_within", F.shiftleft(F.col("_range").cast("long"), 49) - 1).alias("_last"))
+        .select("_p", F.coalesce("_within", F.shiftleft("_low", 43) - 1).alias("_last"))
     )
     done = plan.alias("a").join(lasts.alias("b"), F.expr("a._p <=> b._p"), "left").select("a.*", "_last").drop("_rest")
     return Mix(source_col, id_col, text_col, seed, cut(done), {s: float(t) for s, t in targets.items()}, sizes, {p: {sources[s]: w for s, w in flow[i].items()} for i, p in enumerate(patterns)})
