@@ -21,7 +21,7 @@ from pyspark.taskcontext import TaskContext
 
 from ..lineage import cut, width
 from .components import connected_components
-from .kernels import U64, Tokens, blocks, gaps, mix, narrow, pack, shingles, text_bytes, unpack
+from .kernels import U64, Tokens, blocks, gaps, mix, narrow, pack, release, shingles, text_bytes, unpack
 
 #: Bytes of text in a block, and in the slices it is tokenised in.
 BLOCK, SLICE = 16 << 20, 2 << 20
@@ -106,6 +106,7 @@ def _prefixes(percent: int):
     """A block's documents: size, digest of the set, and, if it can reach the threshold at all, the shared part of its prefix and all its shared shingles."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         head, parts = None, []
         for kind, body in zip(table.column("kind").to_pylist(), table.column("body").to_pylist(), strict=True):
             if kind == 1:

@@ -6,6 +6,7 @@ found with whole-array operations, so no Python code runs per document or per wo
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import zlib
 
@@ -83,6 +84,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task, and its memory counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(batch: pa.RecordBatch, text: str, most: int):
     """Slices of a batch whose texts hold at most `most` bytes (a longer text is alone in its slice)."""
     if not batch.num_rows:
@@ -95,6 +109,7 @@ def blocks(batch: pa.RecordBatch, text: str, most: int):
         end = min(max(end, at + 1), batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
+    release()
 
 
 class Tokens:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ..lineage import cut, width
-from .kernels import U64, Tokens, blocks, crc_mod5, gaps, mix, narrow, pack, text_bytes, unpack
+from .kernels import U64, Tokens, blocks, crc_mod5, gaps, mix, narrow, pack, release, text_bytes, unpack
 
 #: The mark that ends every text, and stands before its first word as context.
 END = U64(0x243F6A8885A308D3)
@@ -142,6 +142,7 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     """A block's documents and all answers to it, as one blob; statistics pass through."""
     if (pdf.kind == 2).all():
         return pdf[["key", "block", "kind", "body"]]
+    release()
     ((ids, role, lengths, rank, order),) = [unpack(b) for b in pdf.body[pdf.kind == 1]]
     answers = [unpack(b) for b in pdf[pdf.kind == 0].sort_values("key").body]
     words = np.concatenate([np.cumsum(a[0]) for a in answers])

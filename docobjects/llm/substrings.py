@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ..lineage import width
-from .kernels import POWERS, U64, Powers, blocks, gaps, mix, narrow, pack, prefix_hash, range_hash, text_bytes, unpack
+from .kernels import POWERS, U64, Powers, blocks, gaps, mix, narrow, pack, prefix_hash, range_hash, release, text_bytes, unpack
 
 #: Bytes of an anchor.
 ANCHOR = 24
@@ -284,6 +284,7 @@ def _ask_contexts(keys: int, length: int):
     """A block with all its anchors' states: settles what it can, asks about the contexts and windows that are left."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         head, answers = None, []
         for key, name, kind, body in zip(*(table.column(c).to_pylist() for c in ROWS.names), strict=True):
             block = name
@@ -415,6 +416,7 @@ def _finish_block(length: int):
     """A block with all answers: its documents' results."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         done, head, answers = [], None, {CONTEXTS: [], WINDOWS: []}
         for key, kind, body in zip(*(table.column(c).to_pylist() for c in ("key", "kind", "body")), strict=True):
             if kind == DONE:

@@ -22,7 +22,7 @@ from .training import Adam, sigmoid, training_rows
 #: At most so many labelled rows of each class are learned from.
 ROWS_PER_CLASS = 1500
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 @dataclass(frozen=True)
