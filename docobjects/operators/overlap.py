@@ -25,12 +25,19 @@ def is_furniture(page_w, page_h):
     return (F.col("kind") == SHAPE) & (F.col("right") - F.col("left") >= FULL_PAGE * page_w) & (F.col("top") - F.col("bottom") >= FULL_PAGE * page_h)
 
 
-def overlap_edges(placements: DataFrame, page: list[str], page_w, page_h) -> DataFrame:
+def _in_cells(boxes: DataFrame, cell: float) -> DataFrame:
+    """A row for every grid cell that a box touches: cx, cy."""
+    span = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
+    return boxes.withColumn("cx", F.explode(span("left", "right"))).withColumn("cy", F.explode(span("bottom", "top")))
+
+
+def overlap_edges(placements: DataFrame, page: list[str], page_w, page_h, cell: float | None = None) -> DataFrame:
     """Pairs a < b (by obj) of a page that belong together; obj numbers a page's objects in drawing order.
 
     An object that does not hide what is below joins what it lies inside; otherwise, if the other does not hide, that one
     has to lie inside; two that hide join where they truly overlap (common edges do not count). The page is an equality
-    key, so pairs are only formed within pages.
+    key, so pairs are only formed within pages. For crowded pages (thousands of objects) give `cell`, the side of a grid in points:
+    pairs are then only formed within cells, each in the one cell that holds the lower left corner of what both cover.
     """
     boxed = with_boxes(placements).where(~is_furniture(page_w, page_h)).select(*page, "obj", "hides", "left", "bottom", "right", "top")
     inside = lambda p, q: f"({p}.left >= {q}.left and {p}.right <= {q}.right and {p}.bottom >= {q}.bottom and {p}.top <= {q}.top)"
@@ -39,6 +46,10 @@ def overlap_edges(placements: DataFrame, page: list[str], page_w, page_h) -> Dat
     rule = f"case when not a.hides then {inside('a', 'b')} when not b.hides then {inside('b', 'a')} else {strict} end"
     # The plain touch test goes first; it needs no branches and rejects nearly all pairs.
     touch = "a.left <= b.right and b.left <= a.right and a.bottom <= b.top and b.bottom <= a.top"
+    if cell is not None:
+        boxed = _in_cells(boxed, cell)
+        corner = f"a.cx = floor(greatest(a.left, b.left) / {cell}) and a.cy = floor(greatest(a.bottom, b.bottom) / {cell})"
+        keys += f" and a.cx = b.cx and a.cy = b.cy and {corner}"
     joined = boxed.alias("a").join(boxed.alias("b"), F.expr(f"{keys} and a.obj < b.obj and {touch} and {rule}"))
     return joined.select(*[F.col(f"a.{k}").alias(k) for k in page], F.col("a.obj").alias("a"), F.col("b.obj").alias("b"))
 

@@ -92,6 +92,8 @@ def test_overlap_matches_plain_python(spark):
     df = placed(spark, objects)
     edges = O.overlap_edges(df.repartition(3), PAGE, F.lit(800), F.lit(600))
     assert {(r.a, r.b) for r in edges.collect()} == want
+    gridded = O.overlap_edges(df, PAGE, F.lit(800), F.lit(600), cell=37.5).collect()
+    assert {(r.a, r.b) for r in gridded} == want and len(gridded) == len(want)
     root = list(range(len(objects) + 1))
     changed = True
     while changed:
