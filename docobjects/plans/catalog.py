@@ -367,11 +367,11 @@ def picture_match(spark, sf_dir):
     return S.first_match(left, p, ["page_uid"], S.same_box("l", "r", ("x", "w")) & F.expr("l.obj <> r.obj"), "obj", ["r.obj"]).select(F.col("l.page_uid").alias("page_uid"), F.col("l.obj").alias("place"), F.col("r.obj").alias("picture"))
 
 
-UNITS = f"{NUMBERED}, units AS (SELECT page_uid, CAST(obj % 6 AS BIGINT) AS unit, obj FROM numbered), chosen AS (SELECT page_uid, unit, obj FROM units WHERE obj % 10 IN (3, 4))"
+UNITS = f"{NUMBERED}, units AS (SELECT page_uid, CAST(obj % 6 AS BIGINT) AS unit, obj, w FROM numbered), chosen AS (SELECT page_uid, unit, obj FROM units WHERE w > 45)"
 
 
 def _units(spark, sf_dir):
-    return numbered_placements(spark, sf_dir).select("page_uid", (F.col("obj") % 6).cast("long").alias("unit"), "obj")
+    return numbered_placements(spark, sf_dir).select("page_uid", (F.col("obj") % 6).cast("long").alias("unit"), "obj", "w")
 
 
 @query(
@@ -381,7 +381,7 @@ def _units(spark, sf_dir):
 )
 def merge_units(spark, sf_dir):
     units = _units(spark, sf_dir)
-    return S.merge_units(units, units.where("obj % 10 in (3, 4)").select("page_uid", "obj"), ["page_uid"])
+    return S.merge_units(units.drop("w"), units.where("w > 45").select("page_uid", "obj"), ["page_uid"])
 
 
 @query(
@@ -390,7 +390,7 @@ def merge_units(spark, sf_dir):
 )
 def split_units(spark, sf_dir):
     units = _units(spark, sf_dir)
-    return S.split_unit(units, units.where("obj % 10 in (3, 4)").select("page_uid", "obj"), ["page_uid"])
+    return S.split_unit(units.drop("w"), units.where("w > 45").select("page_uid", "obj"), ["page_uid"])
 
 
 @query(
@@ -404,7 +404,7 @@ def depth_insertion_point(spark, sf_dir):
 
 
 @query(
-    f"""{PLACED}, {SELECTED}, names AS (SELECT DISTINCT file_id, identity FROM placed WHERE identity % 3 <> 0), removed AS (SELECT DISTINCT file_id, identity FROM placed SEMI JOIN selected USING (identity) WHERE identity % 3 = 0),
+    f"""{PLACED}, {SELECTED}, names AS (SELECT DISTINCT file_id, identity FROM placed WHERE h > 9), removed AS (SELECT DISTINCT file_id, identity FROM placed SEMI JOIN selected USING (identity) WHERE h <= 12),
     kept AS (SELECT DISTINCT file_id, identity FROM placed WHERE kind IN (0, 3, 4) EXCEPT SELECT * FROM removed), roles AS (SELECT *, 'removed' AS role FROM removed UNION ALL SELECT *, 'retained' FROM kept),
     f AS (SELECT r.file_id, CAST(sum(CASE WHEN role = 'removed' AND n.identity IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS removed_left, CAST(sum(CASE WHEN role = 'retained' THEN 1 ELSE 0 END) AS BIGINT) AS retained,
       CAST(sum(CASE WHEN role = 'retained' AND n.identity IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS retained_there FROM roles r LEFT JOIN names n ON n.file_id = r.file_id AND n.identity = r.identity GROUP BY r.file_id)
@@ -412,8 +412,8 @@ def depth_insertion_point(spark, sf_dir):
 )
 def verify_flags(spark, sf_dir):
     p = placements(spark, sf_dir)
-    names = p.where("identity % 3 <> 0")
-    removed = p.join(_selected(spark, sf_dir), "identity", "left_semi").where("identity % 3 = 0")
+    names = p.where("h > 9")
+    removed = p.join(_selected(spark, sf_dir), "identity", "left_semi").where("h <= 12")
     return S.verification(names, removed, p.where(F.col("kind").isin(0, 3, 4)), "file_id", "identity")
 
 
@@ -421,13 +421,14 @@ def verify_flags(spark, sf_dir):
 
 
 @query(
-    f"""{PLACED}, n AS (SELECT DISTINCT identity * identity * (CASE WHEN kind = 0 THEN 1 WHEN kind = 1 THEN 1024 ELSE 70000 END) - 10 AS n FROM placed)
+    f"""{PLACED}, n AS (SELECT DISTINCT 2 * identity * identity * (CASE WHEN kind = 0 THEN 1 WHEN kind = 1 THEN 1024 ELSE 70000 END) - 9 AS n FROM placed)
     SELECT n, CASE WHEN n >= 1073741824 THEN regexp_replace(printf('%.1f', n / 1073741824.0), '\\.0$', '') || ' GB' WHEN n >= 1048576 THEN regexp_replace(printf('%.1f', n / 1048576.0), '\\.0$', '') || ' MB'
-      WHEN n >= 1024 THEN regexp_replace(printf('%.1f', n / 1024.0), '\\.0$', '') || ' KB' ELSE greatest(n, 0) || ' B' END AS size FROM n WHERE (n * 20) % 1024 <> 0"""
+      WHEN n >= 1024 THEN regexp_replace(printf('%.1f', n / 1024.0), '\\.0$', '') || ' KB' ELSE greatest(n, 0) || ' B' END AS size FROM n"""
 )
 def byte_size_format(spark, sf_dir):
-    n = F.expr("identity * identity * (case when kind = 0 then 1 when kind = 1 then 1024 else 70000 end) - 10")
-    return placements(spark, sf_dir).select(n.alias("n")).distinct().where("(n * 20) % 1024 <> 0").withColumn("size", X.byte_size(F.col("n")))
+    # Odd numbers never lie half way between two tenths, which formatters round differently.
+    n = F.expr("2 * identity * identity * (case when kind = 0 then 1 when kind = 1 then 1024 else 70000 end) - 9")
+    return placements(spark, sf_dir).select(n.alias("n")).distinct().withColumn("size", X.byte_size(F.col("n")))
 
 
 NAMES = "SELECT DISTINCT source || (CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '_cleaned.PDF' WHEN 2 THEN '_cleaned(' || (doc_id % 13) || ').pdf' WHEN 3 THEN '_cleaned' ELSE '' END) AS name FROM documents"
@@ -504,12 +505,12 @@ def warnings_top4(spark, sf_dir):
     return A.first_warnings(warnings, ["page_uid"], ["obj"], "message")
 
 
-@query(f"""{NUMBERED}, units AS (SELECT DISTINCT file_id, page_uid, CAST(obj % 4 AS BIGINT) AS unit, 0 AS loose FROM numbered WHERE obj % 3 = 0), loose AS (SELECT file_id, page_uid, obj AS unit, 1 AS loose FROM numbered WHERE obj % 50 = 7),
+@query(f"""{NUMBERED}, units AS (SELECT DISTINCT file_id, page_uid, CAST(obj % 4 AS BIGINT) AS unit, 0 AS loose FROM numbered WHERE hides), loose AS (SELECT file_id, page_uid, obj AS unit, 1 AS loose FROM numbered WHERE NOT hides),
     l AS (SELECT * FROM units UNION ALL SELECT * FROM loose) SELECT *, dense_rank() OVER (ORDER BY file_id) AS document_no, row_number() OVER (PARTITION BY file_id ORDER BY page_uid, loose, unit) AS row_no FROM l""")
 def unit_list(spark, sf_dir):
     p = numbered_placements(spark, sf_dir)
-    units = p.where("obj % 3 = 0").select("file_id", "page_uid", (F.col("obj") % 4).cast("long").alias("unit"), F.lit(0).alias("loose")).distinct()
-    both = units.unionByName(p.where("obj % 50 = 7").select("file_id", "page_uid", F.col("obj").cast("long").alias("unit"), F.lit(1).alias("loose")))
+    units = p.where("hides").select("file_id", "page_uid", (F.col("obj") % 4).cast("long").alias("unit"), F.lit(0).alias("loose")).distinct()
+    both = units.unionByName(p.where("not hides").select("file_id", "page_uid", F.col("obj").cast("long").alias("unit"), F.lit(1).alias("loose")))
     documents = A.global_positions(both.select("file_id").distinct(), [F.col("file_id").asc()], out="document_no")
     listed = A.global_positions(both, [F.col("page_uid").asc(), F.col("loose").asc(), F.col("unit").asc()], ["file_id"], "row_no")
     return listed.join(documents, "file_id")
