@@ -21,7 +21,7 @@ from pyspark.taskcontext import TaskContext
 
 from ..lineage import cut, width
 from .components import connected_components
-from .kernels import U64, Tokens, blocks, gaps, mix, narrow, pack, release, shingles, text_bytes, unpack
+from .kernels import U64, Tokens, blocks, gaps, home_key, mix, narrow, pack, release, shingles, text_bytes, unpack
 
 #: Bytes of text in a block, and in the slices it is tokenised in.
 BLOCK, SLICE = 16 << 20, 2 << 20
@@ -74,7 +74,7 @@ def _deal(keys: int, words: int):
                 rows = [(k, name, 0, pack(gaps(value[i:j]), narrow(doc[i:j]))) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
                 ids = block.column(0)
                 valid, plain = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)).astype(np.int64)
-                rows.append((number % keys, name, 1, pack(plain, valid.astype(np.uint8), narrow(n), digest[:, 0].copy(), digest[:, 1].copy())))
+                rows.append((home_key(name, keys), name, 1, pack(plain, valid.astype(np.uint8), narrow(n), digest[:, 0].copy(), digest[:, 1].copy())))
                 yield from _rows(rows).to_batches()
 
     return run

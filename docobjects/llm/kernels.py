@@ -22,6 +22,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes whose words are hashed at once.
+SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MASK = (1 << 64) - 1
@@ -137,8 +139,13 @@ class Tokens:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            h = range_hash(prefix_hash(self.data), self.start, self.end)
-            self._hash = mix(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+            out, i = np.empty(len(self.start), dtype=U64), 0
+            while i < len(out):  # slice by slice, so that the prefix sums stay small
+                low = int(self.start[i])
+                j = max(i + 1, int(np.searchsorted(self.end, low + SLICE, side="right")))
+                out[i:j] = range_hash(prefix_hash(self.data[low : self.end[j - 1]]), self.start[i:j] - low, self.end[i:j] - low)
+                i = j
+            self._hash = mix(out + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
         return self._hash
 
     def word(self, i: int) -> bytes:
@@ -214,3 +221,8 @@ def narrow(a: np.ndarray) -> np.ndarray:
 def crc_mod5(ids) -> np.ndarray:
     """crc32 of each id written as text, modulo 5; a null id counts as the empty text."""
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 5 for i in ids], dtype=np.int64)
+
+
+def home_key(block: str, keys: int) -> int:
+    """The range that carries a block's own documents through a shuffle: blocks spread evenly over all ranges."""
+    return zlib.crc32(block.encode()) % keys

@@ -11,7 +11,6 @@ block in the order it asked.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ..lineage import cut, width
-from .kernels import U64, Tokens, blocks, crc_mod5, gaps, mix, narrow, pack, release, text_bytes, unpack
+from .kernels import U64, Tokens, blocks, crc_mod5, gaps, home_key, mix, narrow, pack, release, text_bytes, unpack
 
 #: The mark that ends every text, and stands before its first word as context.
 END = U64(0x243F6A8885A308D3)
@@ -105,17 +104,12 @@ def _ask(keys: int, id_type: str, test_fold: int, deleted_fold: int):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
                     out.write_batch(pa.record_batch([ids], names=["id"]))
-                rows.append((hash_key(name, keys), name, 1, pack(np.frombuffer(sink.getvalue(), np.uint8), role, narrow(lengths), *map(narrow, _by_frequency(at, len(words))))))
+                rows.append((home_key(name, keys), name, 1, pack(np.frombuffer(sink.getvalue(), np.uint8), role, narrow(lengths), *map(narrow, _by_frequency(at, len(words))))))
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["key", "block", "kind", "body"]), schema=pa.schema([("key", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("body", pa.binary())]), preserve_index=False)
 
     return run
 
 
-def hash_key(name: str, keys: int) -> int:
-    """A range that carries a block's documents."""
-    return zlib.crc32(name.encode()) % keys
-
-
 def _sum_range(pdf: pd.DataFrame) -> pd.DataFrame:
     """All requests for one range of hashes: sums them and answers each; passes the blocks' documents on."""
     out = [(0, r.block, 1, r.body) for r in pdf.itertuples() if r.kind == 1]

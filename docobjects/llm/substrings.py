@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ..lineage import width
-from .kernels import POWERS, U64, Powers, blocks, gaps, mix, narrow, pack, prefix_hash, range_hash, release, text_bytes, unpack
+from .kernels import POWERS, U64, Powers, blocks, gaps, home_key, mix, narrow, pack, prefix_hash, range_hash, release, text_bytes, unpack
 
 #: Bytes of an anchor.
 ANCHOR = 24
@@ -249,7 +249,7 @@ def _ask(keys: int, length: int):
                         own = order[i:j]
                         rows.append((k, name, ANCHORS, pack(gaps(gram[own]), context[own] >> U64(16), plain[doc[own]], narrow(low[own]))))
                 body = pack(plain, valid, narrow(np.diff(offsets)), _squeeze(data), narrow(low[again]), narrow(high[again] - low[again]), narrow(low[order]), narrow(high[order] - low[order]), narrow(lead[order]))
-                rows.append((number % keys, name, DOCUMENTS, body))
+                rows.append((home_key(name, keys), name, DOCUMENTS, body))
                 yield from _rows(rows).to_batches()
 
     return run

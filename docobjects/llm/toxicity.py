@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BASE, U64, Tokens, blocks, crc_mod5, mix, text_bytes
+from .kernels import BASE, U64, Tokens, blocks, crc_mod5, mix, release, text_bytes
 from .training import Adam, sigmoid, training_rows
 
 #: At most so many labelled rows of each class are learned from.
@@ -154,6 +154,8 @@ def train(texts: list[str | None], y: np.ndarray, totals: dict[int, int], settin
         pull = share * (sigmoid(slope * x + shift) - y) / share.sum()
         calibration.step([np.array([(pull * x).sum()]) + 1e-4 * slope, np.array([pull.sum()])])
     model.slope, model.shift = float(slope[0]), float(shift[0])
+    del tokens, owner, bucket, vectors, adam
+    release()
     return model
 
 
