@@ -82,6 +82,7 @@ def _deal(keys: int, words: int):
 
 def _frequencies(table: pa.Table) -> pa.Table:
     """A fragment: document frequencies of its shingles; tells each block about those that stand in several documents."""
+    release()
     rows, asks = [], []
     for key, block, kind, body in zip(*(table.column(c).to_pylist() for c in ROWS.names), strict=True):
         if kind == 1:
@@ -178,6 +179,7 @@ def _compare(percent: int):
     """Parts of families, all their documents against all: links of different components, as few as hold the same ones together."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         out = []
         for _, own in pdf.groupby(["family", "p", "q"], sort=False):
             own = own.sort_values(["label", "c"])
