@@ -2,12 +2,15 @@
 
 Passages of 16 words are TF-IDF vectors over the benchmark's words. A randomised SVD over all passages of the corpus (one
 product A'AG with a random G, summed over partitions) spans the latent space. Passages whose TF-IDF vectors can
-be close to an item at all are compared with the items' passages by cosine in that space; the texts around the hits are
-then verified by their longest common subsequence with the item and by a check of the item's answer.
+be close to an item at all are compared with the items' passages by cosine in that space. What both tests may miss is looked
+up by the items' rare words: a text that is to be reported misses few words of the item, so it holds some of its rarest.
+The texts around all hits are then verified by their longest common subsequence with the item and by a check of the item's
+answer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +26,8 @@ BLOCK = 2 << 20
 MOST_ITEMS = 20_000
 #: Up to so many cells, a table says which item holds which word; beyond, a sorted list.
 TABLE_CELLS = 1 << 24
+#: Places of rare words that are looked at in one go.
+PLACES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -30,13 +35,14 @@ class Settings:
     words: int = 16  # of a passage
     stride: int = 8  # between passages of a document
     item_stride: int = 4  # between passages of an item
-    dims: int = 24  # of the latent space
+    dims: int = 32  # of the latent space
     counters: int = 1 << 18  # for word frequencies
-    share: float = 0.65  # least part of a passage's length (TF-IDF) in the benchmark's words, and in those of one item
-    cosine: float = 0.55  # least cosine in the latent space
+    share: float = 0.62  # least part of a passage's length (TF-IDF) in the benchmark's words, and in those of one item
+    cosine: float = 0.5  # least cosine in the latent space
     covered: float = 0.75  # of an item's words in the common subsequence
     covered_with_answer: float = 0.6  # the same, if the item's answer is there too
     answer_words: int = 6
+    rare: int = 6  # rare words of an item that must stand together for a look at the text around them
     seed: int = 3
 
 
@@ -209,6 +215,28 @@ class Searcher:
         if n * len(bench.items) <= TABLE_CELLS:
             self.table = np.zeros(n * len(bench.items), dtype=bool)
             self.table[self.item_words] = True
+        self._index()
+
+    def _index(self) -> None:
+        """The items by their rarest words, so many that every text to be reported holds `together` of them.
+
+        A reported text has `least` of an item's n words in order, so it misses n - least of them at most.
+        """
+        s, bench, words, items = self.settings, self.bench, [], []
+        self.size = np.array([len(x) for x in bench.items], dtype=np.int64)
+        self.least = np.array([math.ceil(min(s.covered, s.covered_with_answer) * n) for n in self.size.tolist()], dtype=np.int64)
+        self.together = np.minimum(self.least, s.rare)
+        for k, x in enumerate(bench.items):
+            if len(x) < s.words:
+                continue
+            term = bench.lookup(x)
+            rarest = term[np.lexsort((term, -self.own[term]))][: len(x) - self.least[k] + self.together[k]]
+            words.append(np.unique(rarest))
+            items.append(np.full(len(words[-1]), k))
+        word, item = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (words, items))
+        order = np.argsort(word, kind="stable")
+        self.rare_item = item[order]
+        self.rare_first = np.searchsorted(word[order], np.arange(len(bench.vocabulary) + 1))
 
     def _starts(self, n: int, stride: int) -> list[int]:
         last = max(n - self.settings.words, 0)
@@ -264,6 +292,8 @@ class Searcher:
             keep = shared >= s.share**2 * (whole[end[part]] - whole[start[part]])[i]
             for p, k in zip(part[i[keep]], item[keep], strict=True):
                 pairs.setdefault((int(tokens.doc[start[p]]), int(k)), []).append(int(start[p]))
+        for doc, item, places in self._by_rare_words(tokens, term):
+            pairs.setdefault((doc, item), []).extend(places)
         out = []
         for (doc, item), places in sorted(pairs.items()):
             best = self._verify(tokens, doc, bench.items[item], sorted(set(places)))
@@ -271,6 +301,50 @@ class Searcher:
                 out.append((doc, item, *best))
         return out
 
+    def _by_rare_words(self, tokens: Tokens, term: np.ndarray) -> Iterator[tuple[int, int, range]]:
+        """(document, item, places) wherever enough of an item's rare words, and enough of all its words, stand near each other.
+
+        The places are `stride` words apart, so that the regions around them cover whatever may hold these words.
+        """
+        s = self.settings
+        count = np.where(term >= 0, np.diff(self.rare_first)[term], 0)
+        total = np.concatenate([[0], np.cumsum(count)])[tokens.first]
+        reach = np.maximum(self.size, s.words) + 2 * self.size  # words of a region
+        d = 0
+        while d < tokens.n_docs:
+            e = max(d + 1, int(np.searchsorted(total, total[d] + PLACES, side="right")) - 1)
+            at = np.arange(tokens.first[d], tokens.first[e])
+            at, d = at[count[at] > 0], e
+            if not len(at):
+                continue
+            n = count[at]
+            item = self.rare_item[np.repeat(self.rare_first[term[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            place = np.repeat(at, n)
+            order = np.argsort(item, kind="stable")
+            item, place = item[order], place[order]
+            # The last of so many rare words from here on, if it is of the same text and near enough.
+            j = np.arange(len(item)) + self.together[item] - 1
+            fits, j = j < len(item), np.minimum(j, len(item) - 1)
+            fits &= (item[j] == item) & (place[j] - place < reach[item]) & (tokens.doc[place[j]] == tokens.doc[place])
+            item, low, high = item[fits], place[fits], place[j[fits]]
+            begin = np.maximum(high - reach[item] + 1, tokens.first[tokens.doc[low]])
+            end = np.minimum(low + reach[item], tokens.first[tokens.doc[low] + 1])
+            size = end - begin
+            cuts = np.append(np.arange(0, len(item), 4096), len(item))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                length = size[a:b]
+                near = np.repeat(begin[a:b] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+                owner = np.repeat(np.arange(b - a), length)
+                known = term[near] >= 0
+                near, owner = near[known], owner[known]
+                held = np.bincount(owner[self._stands(item[a:b][owner] * len(self.bench.vocabulary) + term[near])], minlength=b - a)
+                for i in np.flatnonzero(held >= self.least[item[a:b]]) + a:
+                    doc, k = int(tokens.doc[low[i]]), int(item[i])
+                    first, last = int(tokens.first[doc]), int(tokens.first[doc + 1])
+                    lowest = max(int(high[i]) - int(reach[k]) + int(self.size[k]) - first, 0) // s.stride
+                    highest = min(int(low[i]) + int(self.size[k]) + s.stride, last - 1) - first
+                    yield doc, k, range(first + lowest * s.stride, first + highest + 1, s.stride)
+
     def _stands(self, codes: np.ndarray) -> np.ndarray:
         """Whether an item holds a word, by item x words + word."""
         if self.table is not None:
@@ -280,21 +354,17 @@ class Searcher:
 
     def _verify(self, tokens: Tokens, doc: int, words: np.ndarray, places: list[int]) -> tuple[int, bool] | None:
         s, first, last = self.settings, int(tokens.first[doc]), int(tokens.first[doc + 1])
-        n, best, i = len(words), None, 0
-        while i < len(places):
-            j = i
-            while j + 1 < len(places) and places[j + 1] - places[j] <= n:
-                j += 1
-            # Around a place, a stretch as long as the item on both sides; long runs of places are cut up.
-            for at in range(places[i], places[j] + 1, max(n, s.words)):
-                region = tokens.hash[max(first, at - n) : min(last, at + max(n, s.words) + n)]
-                if len(np.intersect1d(region, words)) >= s.covered_with_answer * len(np.unique(words)):
-                    common = common_subsequence(words, region)
-                    tail = words[-min(s.answer_words, n) :]
-                    answer = common_subsequence(tail, region) >= 0.8 * len(tail)
-                    if common >= s.covered * n or answer and common >= s.covered_with_answer * n:
-                        best = max(best or (0, False), (common, answer))
-            i = j + 1
+        n, best, distinct = len(words), None, len(np.unique(words))
+        for at in places:  # around a place, a stretch as long as the item on both sides
+            region = tokens.hash[max(first, at - n) : min(last, at + max(n, s.words) + n)]
+            if len(np.intersect1d(region, words)) >= s.covered_with_answer * distinct:
+                common = common_subsequence(words, region)
+                tail = words[-min(s.answer_words, n) :]
+                answer = common_subsequence(tail, region) >= 0.8 * len(tail)
+                if common >= s.covered * n or answer and common >= s.covered_with_answer * n:
+                    best = max(best or (0, False), (common, answer))
+                    if best == (n, True):
+                        break
         return best
 
 

@@ -87,6 +87,30 @@ def test_contamination(spark):
     assert contaminated(docs.limit(0), bench).collect() == [] and contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_contamination_paraphrased(spark):
+    rng = random.Random(12)
+    syllables = "qua vel mor sti lan gro pex dun".split()
+    items = [(i, prose(rng, rng.randint(16, 50), syllables)) for i in range(12)]
+    rare = (f"w{k}x" for k in itertools.count())
+    rows, planted = [], set()
+    for d in range(96):
+        words, (k, item) = prose(rng, 150, syllables).split(), items[d % 12]
+        item = item.split()
+        if d % 4 == 0:  # a foreign word after each word
+            item = [w for x in item for w in (x, next(rare))]
+        elif d % 4 == 1:  # a fifth of the words replaced, foreign words between the others
+            item = [w for j, x in enumerate(item) for w in (x if j % 5 != 2 else next(rare), *([next(rare)] if j % 2 else []))]
+        elif d % 4 == 2:  # two fifths replaced, the answer stands
+            item = [x if j % 5 not in (1, 3) or j >= len(item) - 6 else next(rare) for j, x in enumerate(item)]
+        else:  # two halves apart
+            item = item[: len(item) // 2] + [next(rare) for _ in item[::2]] + item[len(item) // 2 :]
+        words[70:70] = item
+        planted.add((d, k))
+        rows.append((d, " ".join(words)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert planted <= {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
