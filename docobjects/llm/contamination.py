@@ -227,8 +227,6 @@ class Searcher:
         self.least = np.array([math.ceil(min(s.covered, s.covered_with_answer) * n) for n in self.size.tolist()], dtype=np.int64)
         self.together = np.minimum(self.least, s.rare)
         for k, x in enumerate(bench.items):
-            if len(x) < s.words:
-                continue
             term = bench.lookup(x)
             rarest = term[np.lexsort((term, -self.own[term]))][: len(x) - self.least[k] + self.together[k]]
             words.append(np.unique(rarest))
@@ -390,7 +388,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the answer. Every document is searched over its whole text.
 
     Null or empty texts and items give no rows; items or rows with equal ids are reported apart; an item with fewer
-    words than a passage is one passage; empty tables give an empty result. Other columns are not read.
+    words than a passage is found by its rare words alone, down to a single word; empty tables give an empty result. Other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     item_type = benchmark.schema[item_col].dataType.simpleString()

@@ -111,6 +111,20 @@ def test_contamination_paraphrased(spark):
     assert planted <= {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
 
 
+def test_contamination_short_items(spark):
+    rng = random.Random(13)
+    syllables = "qua vel mor sti lan gro pex dun".split()
+    items = [(n, " ".join(f"{w}{n}" for w in prose(rng, n, syllables).split())) for n in range(1, 16)]
+    rows = [(n, " ".join([*prose(rng, 150, syllables).split(), item, *(f"w{n}x{k}" for k in range(150))])) for n, item in items]
+    # The rarer words around the item outweigh it; short documents hold the item alone.
+    rows += [(100 + n, " ".join([*(f"r{n}x{k}" for k in range(60)), item, *(f"s{n}x{k}" for k in range(60))])) for n, item in items]
+    rows += [(200 + n, item) for n, item in items] + [(300, prose(rng, 400, syllables)), (301, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.n_common) for r in contaminated(docs, bench).collect()}
+    assert found == {(d + n, n, n) for d in (0, 100, 200) for n, _ in items}
+    assert {r.doc_id for r in without_contaminated(docs, bench).collect()} == {300, 301}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
