@@ -272,7 +272,7 @@ class Searcher:
             size = end[part] - start[part]
             at = np.repeat(start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             owner = np.repeat(np.arange(len(part)), size)
-            code = np.unique(owner[term[at] >= 0] * len(bench.vocabulary) + term[at][term[at] >= 0])
+            code, times = np.unique(owner[term[at] >= 0] * len(bench.vocabulary) + term[at][term[at] >= 0], return_counts=True)
             owner, word = code // len(bench.vocabulary), code % len(bench.vocabulary)
             vectors = np.zeros((len(part), self.space.shape[1]), dtype=np.float32)
             if len(code):
@@ -280,13 +280,13 @@ class Searcher:
                 vectors[owner[begins]] = np.add.reduceat(self.space[word] * self.own[word][:, None], begins, axis=0)
             close = self._unit(vectors) @ self.vectors.T >= s.cosine
             i, item = np.nonzero(np.logical_or.reduceat(close, self.first, axis=1))
-            # Of these pairs, those whose passage has enough of its length in the item's own words.
+            # Of these pairs, those whose passage has enough of its length in the item's own words, repetitions counted as in `whole`.
             begins = np.searchsorted(owner, np.arange(len(part) + 1))
             size = (begins[1:] - begins[:-1])[i]
             entry = np.repeat(begins[:-1][i] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             pair = np.repeat(np.arange(len(i)), size)
             wanted = item[pair] * len(bench.vocabulary) + word[entry]
-            shared = np.bincount(pair, weights=np.where(self._stands(wanted), self.own[word[entry]].astype(np.float64) ** 2, 0), minlength=len(i))
+            shared = np.bincount(pair, weights=np.where(self._stands(wanted), times[entry] * self.own[word[entry]].astype(np.float64) ** 2, 0), minlength=len(i))
             keep = shared >= s.share**2 * (whole[end[part]] - whole[start[part]])[i]
             for p, k in zip(part[i[keep]], item[keep], strict=True):
                 pairs.setdefault((int(tokens.doc[start[p]]), int(k)), []).append(int(start[p]))
@@ -352,17 +352,30 @@ class Searcher:
 
     def _verify(self, tokens: Tokens, doc: int, words: np.ndarray, places: list[int]) -> tuple[int, bool] | None:
         s, first, last = self.settings, int(tokens.first[doc]), int(tokens.first[doc + 1])
-        n, best, distinct = len(words), None, len(np.unique(words))
-        for at in places:  # around a place, a stretch as long as the item on both sides
-            region = tokens.hash[max(first, at - n) : min(last, at + max(n, s.words) + n)]
-            if len(np.intersect1d(region, words)) >= s.covered_with_answer * distinct:
+        n, best = len(words), None
+        least = min(s.covered, s.covered_with_answer) * n
+        distinct, times = np.unique(words, return_counts=True)
+        for i in range(0, len(places), 64):
+            # Around a place, a stretch as long as the item on both sides.
+            at = np.array(places[i : i + 64])
+            low, high = np.maximum(at - n, first), np.minimum(at + max(n, s.words) + n, last)
+            span = tokens.hash[low[0] : high[-1]]
+            word = np.minimum(np.searchsorted(distinct, span), len(distinct) - 1)
+            hit = np.flatnonzero(distinct[word] == span)
+            # How often each word of the item stands in each stretch; no more of it than that can be common.
+            inside = (hit >= (low - low[0])[:, None]) & (hit < (high - low[0])[:, None])
+            held = inside.astype(np.float32) @ (word[hit][:, None] == np.arange(len(distinct))).astype(np.float32)
+            for j in np.flatnonzero(np.minimum(held, times).sum(axis=1) >= least).tolist():
+                region = tokens.hash[low[j] : high[j]]
                 common = common_subsequence(words, region)
+                if common < least:
+                    continue
                 tail = words[-min(s.answer_words, n) :]
                 answer = common_subsequence(tail, region) >= 0.8 * len(tail)
                 if common >= s.covered * n or answer and common >= s.covered_with_answer * n:
                     best = max(best or (0, False), (common, answer))
                     if best == (n, True):
-                        break
+                        return best
         return best
 
 

@@ -125,6 +125,27 @@ def test_contamination_short_items(spark):
     assert {r.doc_id for r in without_contaminated(docs, bench).collect()} == {300, 301}
 
 
+def test_contamination_repeated_words(spark):
+    rng = random.Random(14)
+    syllables = "qua vel mor sti lan gro pex dun".split()
+    items = []
+    for k in range(8):  # refrains and number sequences: 16 and more words, one to six distinct ones
+        own = [f"n{k}{j}" for j in range(k % 6 + 1)]
+        items.append((k, " ".join([*own, *(own[0] for _ in range(14)), *own])))
+    rows, planted = [], set()
+    for d in range(48):
+        words, (k, item) = prose(rng, 120, syllables).split(), items[d % 8]
+        copy = item.split()
+        if d % 2:  # the distinct words but one replaced, the repeated one stands
+            copy = [x if j == 0 or x == copy[0] else f"z{d}{j}" for j, x in enumerate(copy)]
+        words[50:50] = copy
+        if lcs(item.split(), copy) >= 0.75 * len(item.split()):
+            planted.add((d, k))
+        rows.append((d, " ".join(words)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(planted) > 24 and planted <= {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
