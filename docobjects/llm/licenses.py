@@ -56,8 +56,6 @@ RULES = [
     ("Proprietary", ["AllRights"]),
 ]
 
-#: A text without any of these words can hold no known sentence, so it needs no splitting. Derived from SENTENCES.
-_CUES = "(?i)licen[sc]|rights reserved|redistribution|public domain|free software|warranty|permission is hereby|later version"
 #: Sentences end at a line end or at . ! ? ; : before white space or the end.
 _END = r"[\r\n]+|[.!?;:]+(?=\s|$)"
 
@@ -87,10 +85,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     texts = F.array(*[F.lit(s) for s in known])
-    ids = F.when(
-        text.rlike(_CUES) if sentences is None else F.lit(True),
-        F.transform(F.filter(sentences_of(text), lambda s: F.array_contains(texts, s)), lambda s: F.element_at(table, s)),
-    ).otherwise(F.array().cast("array<string>"))
+    ids = F.transform(F.filter(sentences_of(text), lambda s: F.array_contains(texts, s)), lambda s: F.element_at(table, s))
     sequence = F.concat(F.lit(" "), F.array_join(F.col("_ids"), " "), F.lit(" "))
     # In " A B C " the rules are rewritten to "=number" in their order, so a longer rule goes before its parts.
     marked = sequence

@@ -231,3 +231,9 @@ def test_licenses(spark):
     assert scan_licenses(empty(spark)).collect() == [] and len(scan_licenses(odd(spark)).collect()) == 5
     plan = scan_licenses(spark.createDataFrame(rows, DOCS))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_licenses_any_gaps(spark):
+    texts = ["All  rights reserved.", "Released into the public-domain.", "This program is free\tsoftware", "This program is free\u00a0software", "ALL-RIGHTS\t RESERVED!", "all rights, reserved"]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [(got[i].n_known, got[i].verdict) for i in range(6)] == [(1, "single"), (1, "single"), (1, "unknown"), (1, "unknown"), (1, "single"), (1, "single")]
