@@ -10,15 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Only a session on one machine (tests) may name none; it gets a temporary folder. On a cluster that is an error, since
+    executors do not share such a folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df, with rows that stand in the same partitions and order however often they are worked out.
+
+    A scan of files is so by itself. Rows that come out of a shuffle arrive in any order, so they are written down first:
+    what is named by partition or place then means the same after a lost executor.
+    """
+    return cut(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
