@@ -3,9 +3,12 @@
 The distinct shingles of all documents lie in one global order, cut into fragments by ranges of their hashes. Each
 fragment counts in how many documents each of its shingles stands; a shingle that stands in one document alone can
 be in no overlap. What is left of a document is ordered by (document frequency, hash): two documents can
-only reach the threshold if they share a shingle of their prefixes in that order (shingles of their own go first).
-Documents that hang together by prefixes form families; within a family, pairs are verified
-by counting partial overlaps in each fragment of its shingles apart and summing them per pair.
+only reach the threshold if they share a shingle of their prefixes in that order (shingles of their own go first), at
+places that leave enough shingles behind them. Every such pair is verified in one way: its overlap is counted in each
+fragment apart, and the partial overlaps are summed per pair.
+
+A large group of copies is not expanded into all its pairs. As long as pairs abound, only a star of each list is verified: one
+document with all others that no link has yet joined to it. In the end every pair of different components is verified.
 """
 
 from __future__ import annotations
@@ -13,24 +16,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from ..lineage import cut, width
+from ..lineage import cut, steady, width
 from .components import connected_components
 from .kernels import U64, Tokens, blocks, gaps, home_key, mix, narrow, pack, release, shingles, text_bytes, unpack
+from .names import own_columns, private
 
 #: Bytes of text in a block, and in the slices it is tokenised in.
 BLOCK, SLICE = 16 << 20, 2 << 20
 #: Bits of a shingle's hash: two different shingles of a pair of documents with 1000 shingles each agree with probability 2**-36.
 BITS = 56
-#: Most documents of a family that are compared with as many others in one task.
-PART = 1000
-#: Cells of a fragment's document-by-shingle table.
-CELLS = 1 << 23
+#: Bits of a shingle's hash that say in which fragment its overlaps are counted.
+FRAGMENT_BITS = 3
+#: Pairs for each place of a prefix that are verified at once; as long as there are more, and stars at least halve them, stars are verified.
+PAIRS = 4
 
 ROWS = pa.schema([("key", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("body", pa.binary())])
 ROWS_DDL = "key int, block string, kind int, body binary"
@@ -74,7 +77,8 @@ def _deal(keys: int, words: int):
                 rows = [(k, name, 0, pack(gaps(value[i:j]), narrow(doc[i:j]))) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
                 ids = block.column(0)
                 valid, plain = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)).astype(np.int64)
-                rows.append((home_key(name, keys), name, 1, pack(plain, valid.astype(np.uint8), narrow(n), digest[:, 0].copy(), digest[:, 1].copy())))
+                mark = np.asarray(block.column(2)).astype(np.int64)
+                rows.append((home_key(name, keys), name, 1, pack(plain, valid.astype(np.uint8), narrow(n), digest[:, 0].copy(), digest[:, 1].copy(), mark)))
                 yield from _rows(rows).to_batches()
 
     return run
@@ -100,11 +104,13 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return _rows(rows)
 
 
-DOCS_DDL = "doc_id long, n long, class binary, prefix array<long>, shared array<long>"
+DOCS_DDL = "doc_id long, mark long, n long, class binary, prefix array<long>, parts array<array<long>>"
 
 
 def _prefixes(percent: int):
-    """A block's documents: size, digest of the set, and, if it can reach the threshold at all, the shared part of its prefix and all its shared shingles."""
+    """A block's documents: size, digest of the set, and, if it can reach the threshold at all, the shared part of its prefix in
+    the global order and its shared shingles by fragment."""
+    fragments = 1 << FRAGMENT_BITS
 
     def run(table: pa.Table) -> pa.Table:
         release()
@@ -115,120 +121,107 @@ def _prefixes(percent: int):
             else:
                 gap, doc, often = unpack(body)
                 parts.append((np.cumsum(gap), doc.astype(np.int64), often.astype(np.int64)))
-        ids, valid, n, d0, d1 = head
+        ids, valid, n, d0, d1, mark = head
         n = n.astype(np.int64)
         value, doc, often = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-        order = np.lexsort((value, often, doc))
-        value, doc = value[order].astype(np.int64), doc[order]
+        value = value.astype(np.int64)
         shared = np.bincount(doc, minlength=len(n))
         need = -(-percent * n // 100)
         prefix = np.clip(n - need + 1 - (n - shared), 0, shared)
-        rank = np.arange(len(doc)) - (np.cumsum(shared) - shared)[doc]
-        alive = (prefix > 0)[doc]
-        first = alive & (rank < prefix[doc])
-        lists = lambda keep: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(n)))]).astype(np.int32)), pa.array(value[keep]))
+        order = np.lexsort((value, often, doc))
+        rank = np.arange(len(doc)) - (np.cumsum(shared) - shared)[doc[order]]
+        first = order[rank < prefix[doc[order]]]
+        live = np.flatnonzero((prefix > 0)[doc])
+        live = live[np.lexsort((value[live], doc[live]))]
+        cell = doc[live] * fragments + (value[live] >> (BITS - FRAGMENT_BITS))
+        edges = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        inner = pa.ListArray.from_arrays(edges(np.bincount(cell, minlength=len(n) * fragments).reshape(len(n), fragments)[prefix > 0].reshape(-1)), pa.array(value[live]))
         digest = np.stack([d0, d1], axis=1)
         return pa.table(
             {
                 "doc_id": pa.array(ids, mask=valid == 0),
+                "mark": pa.array(mark),
                 "n": pa.array(n),
                 "class": pa.array([x.tobytes() if k else None for x, k in zip(digest, n, strict=True)], pa.binary()),
-                "prefix": lists(first),
-                "shared": lists(alive),
+                "prefix": pa.ListArray.from_arrays(edges(np.bincount(doc[first], minlength=len(n))), pa.array(value[first])),
+                "parts": pa.ListArray.from_arrays(edges(np.where(prefix > 0, fragments, 0)), inner),
             }
         )
 
     return run
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Common shingles of every left with every right set: the shingles of both sides lie in one order, which is cut into
-    fragments; partial overlaps are counted in each fragment and summed per pair."""
-    sizes = np.array([len(x) for x in left + right])
-    owner, value = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(left + right)
-    order = np.argsort(value, kind="stable")
-    owner, value = owner[order], value[order]
-    term = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]])) - 1
-    sides = np.bincount(term, weights=owner < len(left)), np.bincount(term, weights=owner >= len(left))
-    both = (sides[0] > 0) & (sides[1] > 0)
-    owner, term = owner[both[term]], (np.cumsum(both) - 1)[term[both[term]]]
-    total = np.zeros((len(left), len(right)), dtype=np.float32)
-    width_ = max(1, CELLS // len(sizes))
-    for low in range(0, int(both.sum()), width_):
-        i, j = np.searchsorted(term, [low, low + width_])
-        table = np.zeros((len(sizes), min(width_, int(both.sum()) - low)), dtype=np.float32)
-        table[owner[i:j], term[i:j] - low] = 1
-        total += table[: len(left)] @ table[len(left) :].T
-    return total.astype(np.int64)
-
-
-def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The least index that each of n vertices reaches over the links i-j."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, i, root[j])
-        np.minimum.at(low, j, root[i])
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
-def _compare(percent: int):
-    """Parts of families, all their documents against all: links of different components, as few as hold the same ones together."""
+def _reach(percent: int) -> Column:
+    """Whether two documents whose first common shingle stands at x.place and y.place can reach the threshold."""
+    most = F.expr("least(x.n - x.place, y.n - y.place)")  # it and all shingles after it
+    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        release()
-        out = []
-        for _, own in pdf.groupby(["family", "p", "q"], sort=False):
-            own = own.sort_values(["label", "c"])
-            p, q = own.p.iloc[0], own.q.iloc[0]
-            left, right = (np.flatnonzero(own.label == x) for x in (p, q))
-            if not len(left) or not len(right):
-                continue
-            n, component, c = own.n.to_numpy(), own.component.to_numpy(), own.c.to_numpy()
-            sets = [np.asarray(x) for x in own.shared]
-            common = overlaps([sets[k] for k in left], [sets[k] for k in right])
-            linked = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
-            linked &= component[left][:, None] != component[right][None, :]
-            i, j = np.nonzero(linked)
-            if len(i):
-                i, j = left[i], right[j]
-                root = _spanning(i, j, len(own))
-                touched = np.flatnonzero(root != np.arange(len(own)))
-                out.append(pd.DataFrame({"a": c[touched], "b": c[root[touched]]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype=np.int64), "b": pd.Series(dtype=np.int64)})
-
-    return run
 
+def count_overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """pairs (a, b, and others) with `common`, the size of their overlap.
 
-def _family_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of a family. members: family, c, n, component, shared.
-
-    A component that fills a part or more has parts of its own, never compared with one another; the other members of
-    a family share parts. Every other pair of parts is compared by one task.
+    parts: c, f, part (the shingles of c in fragment f). Each fragment counts its part of the overlap; parts are summed per pair.
     """
-    spark = members.sparkSession
-    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.withColumn("pure", F.col("size") >= PART)
-    families = sizes.groupBy("family").agg(F.count(F.lit(1)).alias("components"), F.sum(F.when(~F.col("pure"), F.col("size"))).alias("rest"), F.sum("size").alias("all")).where("components > 1")
-    own = sizes.where("pure").select(F.col("family").alias("f"), F.col("component").alias("k"), F.ceil(F.col("size") / PART).cast("long").alias("own_parts"))
-    placed = (
-        members.join(families, "family")
-        .join(own, (F.col("family") == F.col("f")) & (F.col("component") == F.col("k")), "left")
-        .withColumn("label", F.when(F.col("own_parts").isNotNull(), F.concat(F.col("component").cast("string"), F.lit(":"), F.pmod(F.xxhash64("c"), F.col("own_parts")).cast("string"))).otherwise(F.concat(F.lit("-:"), F.pmod(F.xxhash64("c"), F.ceil(F.col("rest") / PART).cast("long")).cast("string"))))
-        .select("family", "c", "n", "component", "shared", "label", "all")
-    )
-    pure = own.select(F.col("f").alias("family"), F.col("k").cast("string").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_parts") - 1)).alias("i"))
-    mixed = families.where("rest > 0").select("family", F.lit("-").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rest") / PART).cast("long") - 1)).alias("i"))
-    labels = cut(pure.join(families.select("family"), "family", "left_semi").unionByName(mixed).select("family", "head", F.concat("head", F.lit(":"), F.col("i").cast("string")).alias("label")))
-    meets = labels.alias("x").join(labels.alias("y"), F.expr("x.family = y.family and x.label <= y.label and (x.head = '-' or x.head <> y.head)")).select("x.family", F.col("x.label").alias("p"), F.col("y.label").alias("q"))
-    sides = meets.select("family", "p", "q", F.col("p").alias("label")).unionByName(meets.where("p <> q").select("family", "p", "q", F.col("q").alias("label")))
-    spread = 16 * width(spark)
-    task = F.when(F.col("all") < PART // 4, F.pmod(F.xxhash64("family"), F.lit(spread))).otherwise(F.xxhash64("family", "p", "q"))
-    tasks = placed.join(sides, ["family", "label"]).withColumn("task", task).drop("all")
-    return tasks.groupBy("task").applyInPandas(_compare(percent), "a long, b long")
+    left = pairs.join(parts.select(F.col("c").alias("a"), "f", F.col("part").alias("left")), "a")
+    both = left.join(parts.select(F.col("c").alias("b"), "f", F.col("part").alias("right")), ["b", "f"])
+    partial = both.withColumn("part", F.size(F.array_intersect("left", "right")))
+    return partial.groupBy(*pairs.columns).agg(F.sum("part").alias("common"))
+
+
+def _links(vertices: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold together what all linked pairs of vertices (c, n, prefix, parts) do."""
+    parts = vertices.select("c", F.posexplode("parts").alias("f", "part")).where(F.size("part") > 0)
+    lone = F.col("n") - F.aggregate("parts", F.lit(0).cast("long"), lambda total, p: total + F.size(p))
+    places = vertices.select("c", "n", lone.alias("lone"), F.posexplode("prefix").alias("i", "shingle"))
+    places = places.select("c", "n", "lone", "shingle", (F.col("lone") + F.col("i")).alias("place"))
+    links, turn, before = None, 0, float("inf")
+    while True:
+        if links is None:
+            now = places.withColumn("component", F.col("c"))
+        else:
+            now = places.join(connected_components(links).select(F.col("id").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        # Only lists of shingles that stand in several components are of interest.
+        open_ = now.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+        now = cut(now.join(open_, "shingle"))
+        sizes = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("ordered"), F.sum("k").alias("k"))
+        left = sizes.agg(F.sum(F.col("ordered").cast("double") / 2).alias("pairs"), F.sum("k").alias("places")).first()
+        if not left.places:
+            return links
+        last, before = left.pairs <= PAIRS * left.places or left.pairs > before / 2, left.pairs
+        others = F.col("x.component") != F.col("y.component")
+        if last:
+            met = now.alias("x").join(now.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") < F.col("y.c")) & others & _reach(percent))
+        else:
+            # The first star of a list stands around the document with the fewest shingles of its own, the next ones around any.
+            rank = F.col("lone") if not turn else F.xxhash64("c", F.lit(turn))
+            heads = now.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), "c", "n", "place", "component")).alias("h")).select("shingle", "h.*")
+            met = now.alias("x").join(heads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & others & _reach(percent))
+        pairs = met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+        found = count_overlaps(pairs, parts).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+        links = cut(found if links is None else links.unionByName(found))
+        turn += 1
+        if last:
+            return links
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """docs (doc_id, text, mark) as rows (doc_id, mark, n, group, own): rows of equal group and own, n > 0, are a component."""
+    keys = 8 * width(docs.sparkSession)
+    dealt = steady(docs).mapInArrow(_deal(keys, words), ROWS_DDL)
+    counted = dealt.groupBy("key").applyInArrow(_frequencies, ROWS_DDL)
+    sets = cut(counted.groupBy("block").applyInArrow(_prefixes(percent), DOCS_DDL))
+    # One vertex for each class that can link; its number holds since it is written down.
+    alive = sets.where(F.size("prefix") > 0).groupBy("class").agg(F.first(F.struct("n", "prefix", "parts")).alias("x"))
+    vertices = cut(alive.select(F.monotonically_increasing_id().alias("c"), "class", "x.*"))
+    links = _links(vertices, percent)
+    if links is None:
+        of_class = vertices.select("class", F.col("c").alias("group"))
+    else:
+        joined = connected_components(links)
+        of_class = vertices.select("class", "c").join(joined, F.col("c") == F.col("id"), "left").select("class", F.coalesce("component", "c").alias("group"))
+    # Documents of equal sets share a group; a class without vertex is a group of its own.
+    rows = sets.select("doc_id", "mark", "n", "class").join(of_class, "class", "left").select("doc_id", "mark", "n", "class", "group")
+    return cut(rows.withColumn("own", F.when(F.col("group").isNull(), F.col("class"))).drop("class"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -239,40 +232,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links with nothing. Ids must be integers. Documents of equal sets are one class from the start.
 
     Every linked pair of classes is either found and verified, or lies within one component that verified links
-    already hold together; no bucket, however large, is capped or skipped. Rows that repeat an id are documents of
+    already hold together; no list of documents, however large, is capped or skipped. Rows that repeat an id are documents of
     their own, with the component of their own set; a null id takes part but is nobody's component_id (a component
-    without other ids has null). An empty table gives an empty result; other columns are not read.
+    without other ids has null). Very long texts are blocks of their own. An empty table gives an empty result; other columns
+    are not read, whatever their names.
 
     One row per row of df: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
     """
-    spark = df.sparkSession
-    keys = 8 * width(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = docs.mapInArrow(_deal(keys, words), ROWS_DDL)
-    counted = dealt.groupBy("key").applyInArrow(_frequencies, ROWS_DDL)
-    sets = cut(counted.groupBy("block").applyInArrow(_prefixes(percent), DOCS_DDL))
-    # One vertex for each class that can link; its number holds since it is written down.
-    alive = sets.where(F.size("prefix") > 0).groupBy("class").agg(F.first(F.struct("n", "prefix", "shared")).alias("x"))
-    vertices = cut(alive.select(F.monotonically_increasing_id().alias("c"), "class", "x.*"))
-    # A family: documents that hang together by shingles of their prefixes. Links do not leave a family.
-    entries = vertices.select("c", F.explode("prefix").alias("shingle"))
-    heads = entries.groupBy("shingle").agg(F.min("c").alias("head"), F.max("c").alias("last")).where("head < last").select("shingle", "head")
-    family = connected_components(entries.join(heads, "shingle").select(F.col("c").alias("a"), F.col("head").alias("b")))
-    members = cut(vertices.select("c", "n", "shared").join(family.select(F.col("id").alias("c"), F.col("component").alias("family")), "c"))
-    # Stars first: the document of a family with the fewest shingles of its own against all others, one row per document.
-    lone = (F.col("n") - F.size("shared")).alias("lone")
-    hubs = members.groupBy(F.col("family").alias("f")).agg(F.min(F.struct(lone, "c")).alias("h")).select("f", F.col("h.c").alias("hub"))
-    hub_sets = members.select("c", F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared")).join(hubs, F.col("c") == F.col("hub")).drop("c")
-    common = F.size(F.array_intersect("shared", "hub_shared"))
-    stars = members.join(hub_sets, F.col("family") == F.col("f")).where("c <> hub").where(100 * common >= percent * (F.col("n") + F.col("hub_n") - common)).select(F.col("c").alias("a"), F.col("hub").alias("b"))
-    links = cut(stars)
-    found = connected_components(links)
-    labelled = members.join(found, F.col("c") == F.col("id"), "left").select("family", "c", "n", F.coalesce("component", "c").alias("component"), "shared")
-    joined = connected_components(links.unionByName(cut(_family_links(labelled, percent))))
-    of_class = vertices.select("class", "c").join(joined, F.col("c") == F.col("id"), "left").select("class", F.coalesce("component", "c").alias("group"))
-    # Documents of equal sets share a group; a class without vertex is a group of its own.
-    rows = sets.select("doc_id", "n", "class").join(of_class, "class", "left").select("doc_id", "n", "class", "group")
-    rows = cut(rows.withColumn("own", F.when(F.col("group").isNull(), F.col("class"))).drop("class"))
+    rows = _grouped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("mark")), words, percent)
     smallest = rows.where("n > 0").groupBy("group", "own").agg(F.min("doc_id").alias("component_id")).select(F.col("group").alias("g"), F.col("own").alias("o"), "component_id")
     placed = rows.where("n > 0").join(smallest, F.col("group").eqNullSafe(F.col("g")) & F.col("own").eqNullSafe(F.col("o")))
     lone = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
@@ -280,12 +247,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df, with all their columns, that stand for their group: the one whose id is the component's smallest.
+    """The rows of df, with all their columns, that stand for their group.
 
-    Documents without words are in no group and stay. Of rows that repeat a staying id one stays; rows without id
-    cannot stand for a group and stay all.
+    Of each component one row stays: the one with the smallest id (null after all others) and, where an id has several texts,
+    the least hash of the text; rows that repeat both id and text are one row, the one with the least hash of its
+    columns. Documents without words are in no group and stay all. Nothing else goes, whichever ids repeat. Very long texts,
+    empty tables and columns of any name are handled as by `jaccard_components`.
     """
-    groups = jaccard_components(df, id_col, text_col, words, percent)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = df.join(stay, F.col(id_col).cast("long") == F.col("_stay"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    text_hash = F.xxhash64(F.col(text_col))
+    rows = _grouped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash.alias("mark")), words, percent)
+    of_text = rows.where("n > 0").groupBy("group", "own", "doc_id", "mark").agg(F.count(F.lit(1)).alias("times"))
+    chosen = of_text.groupBy("group", "own").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "times")).alias("x"))
+    key, mark, times = (private(df, x) for x in ("id", "mark", "times"))
+    stay = chosen.select(F.col("x.doc_id").alias(key), F.col("x.mark").alias(mark), F.col("x.times").alias(times))
+    wordless = rows.where("n = 0").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.lit(0).cast("long").alias(times)).distinct()
+    kept = df.join(stay.unionByName(wordless), F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash == F.col(mark)))
+    once = kept.where(F.col(times) < 2).select(*own_columns(df))
+    of_row = F.xxhash64(*[F.to_json(F.struct(c)) for c in own_columns(df)])
+    several = kept.where(F.col(times) > 1).groupBy(key, mark).agg(F.min_by(F.struct(*own_columns(df)), of_row).alias(times))
+    return once.unionByName(several.select(f"{times}.*"))

@@ -3,9 +3,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docobjects.llm import kernels, substrings
-from docobjects.llm.jaccard import jaccard_components, one_of_each_group, overlaps
+from docobjects.llm.jaccard import count_overlaps, jaccard_components, one_of_each_group
 from docobjects.llm.licenses import scan_licenses
 from docobjects.llm.lm import learn_weights, score_corpus
 from docobjects.llm.mixing import capped_targets, cheapest_flow, mixed_sizes, repeat_documents
@@ -115,28 +116,59 @@ def test_jaccard(docs, spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute.jaccard([(i, t) for i, t, _ in rows])}) and kept.columns == df.columns
 
 
-def test_jaccard_family_larger_than_a_part(spark, monkeypatch):
-    from docobjects.llm import jaccard
-
-    monkeypatch.setattr(jaccard, "PART", 7)
-    rng = random.Random(9)
+def near_copies(n, seed=9):
+    rng = random.Random(seed)
     source = [f"w{rng.randrange(500)}" for _ in range(60)]
     rows = []
-    for i in range(50):
+    for i in range(n):
         w = list(source)
         for _ in range(rng.randrange(4)):
             w[rng.randrange(60)] = f"x{rng.randrange(60)}"
         rows.append((i, " ".join(w), None))
-    assert collected(jaccard_components(spark.createDataFrame(rows, DOCS))) == brute.jaccard([(i, t) for i, t, _ in rows])
+    return rows
 
 
-def test_overlaps_in_many_fragments(monkeypatch):
+@pytest.mark.parametrize("pairs", [0.5, 1e9])
+def test_jaccard_by_stars_and_by_pairs(spark, monkeypatch, pairs):
+    """All links come from partial overlaps that are summed per pair, whether stars or all pairs are verified."""
     from docobjects.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "CELLS", 40)
+    found = []
+
+    def counted(pairs, parts):
+        out = count_overlaps(pairs, parts)
+        found.extend((r.na, r.nb, r.common) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "count_overlaps", counted)
+    rows = near_copies(50)
+    got = collected(jaccard_components(spark.createDataFrame(rows, DOCS)))
+    assert got == brute.jaccard([(i, t) for i, t, _ in rows])
+    linked = [x for x in found if 100 * x[2] >= 80 * (x[0] + x[1] - x[2])]
+    sets = len({brute.shingle_set(t) for _, t, _ in rows})
+    assert len(linked) >= sets - len({c for *_, c in got}) and (pairs > 1 or len(found) < 50 * 49 / 4)
+
+
+def test_overlaps_are_summed_over_fragments(spark):
     rng = random.Random(4)
-    sets = [np.array(sorted(rng.sample(range(80), rng.randint(1, 40)))) for _ in range(9)]
-    assert overlaps(sets[:4], sets[4:]).tolist() == [[len(set(a) & set(b)) for b in sets[4:]] for a in sets[:4]]
+    sets = [set(rng.sample(range(80), rng.randint(1, 40))) for _ in range(9)]
+    parts = spark.createDataFrame([(c, f, [x for x in sorted(s) if x // 20 == f]) for c, s in enumerate(sets) for f in range(4)], "c long, f int, part array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in range(4) for b in range(4, 9)], "a long, b long")
+    want = {(a, b): len(sets[a] & sets[b]) for a in range(4) for b in range(4, 9)}
+    assert {(r.a, r.b): r.common for r in count_overlaps(pairs, parts).collect()} == want
+
+
+def test_one_of_each_group_with_repeated_ids(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "ONE two three four five six")
+    rows = [(1, a, 0), (3, a, 1), (3, b, 2), (5, a, 3), (5, b, 4), (6, None, 5), (6, None, 6), (None, "alone here and there now", 7), (None, "alone here and there now", 8), (None, a, 9), (1, c, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_id` int").withColumnRenamed("_id", "a.b").withColumn("_mark", F.lit(1)).withColumn("component_id", F.lit("x"))
+    kept = one_of_each_group(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (6, ""), (6, ""), (None, "alone here and there now")], key=str)
+    assert sorted(map(str, one_of_each_group(df.repartition(5)).collect())) == sorted(map(str, kept.collect()))
+    assert one_of_each_group(df.limit(0)).collect() == []
 
 
 def test_language_model(docs, spark):
