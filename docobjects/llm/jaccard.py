@@ -34,6 +34,8 @@ BITS = 56
 FRAGMENT_BITS = 3
 #: Pairs for each place of a prefix that are verified at once; as long as there are more, and stars at least halve them, stars are verified.
 PAIRS = 4
+#: Places of a prefix, from its end, whose lists have stars.
+STAR_PLACES = 3
 
 ROWS = pa.schema([("key", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("body", pa.binary())])
 ROWS_DDL = "key int, block string, kind int, body binary"
@@ -168,40 +170,51 @@ def count_overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return partial.groupBy(*pairs.columns).agg(F.sum("part").alias("common"))
 
 
+def _verified(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those that reach the threshold."""
+    pairs = cut(pairs)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    parts = vertices.select("c", "parts").join(needed, "c", "left_semi").select("c", F.posexplode("parts").alias("f", "part")).where(F.size("part") > 0)
+    return count_overlaps(pairs, parts).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
 def _links(vertices: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that hold together what all linked pairs of vertices (c, n, prefix, parts) do."""
-    parts = vertices.select("c", F.posexplode("parts").alias("f", "part")).where(F.size("part") > 0)
     lone = F.col("n") - F.aggregate("parts", F.lit(0).cast("long"), lambda total, p: total + F.size(p))
-    places = vertices.select("c", "n", lone.alias("lone"), F.posexplode("prefix").alias("i", "shingle"))
-    places = places.select("c", "n", "lone", "shingle", (F.col("lone") + F.col("i")).alias("place"))
-    links, turn, before = None, 0, float("inf")
-    while True:
+    places = vertices.select("c", "n", lone.alias("lone"), F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "shingle"))
+    places = places.select("c", "n", "lone", "shingle", (F.col("lone") + F.col("i")).alias("place"), (F.col("i") >= F.col("size") - STAR_PLACES).alias("common"))
+    links, before, turn = None, float("inf"), 0
+
+    def placed(own: DataFrame) -> DataFrame:
+        """Places with the components so far, of shingles that stand in several."""
         if links is None:
-            now = places.withColumn("component", F.col("c"))
+            now = own.withColumn("component", F.col("c"))
         else:
-            now = places.join(connected_components(links).select(F.col("id").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        # Only lists of shingles that stand in several components are of interest.
+            now = own.join(connected_components(links).select(F.col("id").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
         open_ = now.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-        now = cut(now.join(open_, "shingle"))
+        return cut(now.join(open_, "shingle"))
+
+    others = F.col("x.component") != F.col("y.component")
+    while True:
+        # Stars stand around documents of the most common shingles of the prefixes, whose lists are the longest.
+        now = placed(places.where("common"))
         sizes = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("ordered"), F.sum("k").alias("k"))
-        left = sizes.agg(F.sum(F.col("ordered").cast("double") / 2).alias("pairs"), F.sum("k").alias("places")).first()
-        if not left.places:
-            return links
-        last, before = left.pairs <= PAIRS * left.places or left.pairs > before / 2, left.pairs
-        others = F.col("x.component") != F.col("y.component")
-        if last:
-            met = now.alias("x").join(now.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") < F.col("y.c")) & others & _reach(percent))
-        else:
-            # The first star of a list stands around the document with the fewest shingles of its own, the next ones around any.
-            rank = F.col("lone") if not turn else F.xxhash64("c", F.lit(turn))
-            heads = now.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), "c", "n", "place", "component")).alias("h")).select("shingle", "h.*")
-            met = now.alias("x").join(heads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & others & _reach(percent))
-        pairs = met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-        found = count_overlaps(pairs, parts).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+        left = sizes.agg(F.coalesce(F.sum(F.col("ordered").cast("double") / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("k"), F.lit(0)).alias("places")).first()
+        if left.pairs <= PAIRS * left.places or left.pairs > before / 2:
+            break
+        # The first star of a list stands around the document with the fewest shingles of its own, the next ones around any;
+        # a document is verified with one of them.
+        rank = F.col("lone") if not turn else F.xxhash64("c", F.lit(turn))
+        heads = now.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), "c", "n", "place", "component")).alias("h")).select("shingle", "h.*")
+        met = now.alias("x").join(heads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & others & _reach(percent))
+        nearest = met.groupBy(F.col("x.c").alias("a"), F.col("x.n").alias("na")).agg(F.min(F.struct("y.rank", F.col("y.c").alias("b"), F.col("y.n").alias("nb"))).alias("h"))
+        found = _verified(nearest.select("a", "h.b", "na", "h.nb"), vertices, percent)
         links = cut(found if links is None else links.unionByName(found))
-        turn += 1
-        if last:
-            return links
+        before, turn = left.pairs, turn + 1
+    now = placed(places)
+    met = now.alias("x").join(now.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") < F.col("y.c")) & others & _reach(percent))
+    found = _verified(met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct(), vertices, percent)
+    return cut(found if links is None else links.unionByName(found))
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -213,12 +226,8 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # One vertex for each class that can link; its number holds since it is written down.
     alive = sets.where(F.size("prefix") > 0).groupBy("class").agg(F.first(F.struct("n", "prefix", "parts")).alias("x"))
     vertices = cut(alive.select(F.monotonically_increasing_id().alias("c"), "class", "x.*"))
-    links = _links(vertices, percent)
-    if links is None:
-        of_class = vertices.select("class", F.col("c").alias("group"))
-    else:
-        joined = connected_components(links)
-        of_class = vertices.select("class", "c").join(joined, F.col("c") == F.col("id"), "left").select("class", F.coalesce("component", "c").alias("group"))
+    joined = connected_components(_links(vertices, percent))
+    of_class = vertices.select("class", "c").join(joined, F.col("c") == F.col("id"), "left").select("class", F.coalesce("component", "c").alias("group"))
     # Documents of equal sets share a group; a class without vertex is a group of its own.
     rows = sets.select("doc_id", "mark", "n", "class").join(of_class, "class", "left").select("doc_id", "mark", "n", "class", "group")
     return cut(rows.withColumn("own", F.when(F.col("group").isNull(), F.col("class"))).drop("class"))
