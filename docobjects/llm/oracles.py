@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import RULES, SENTENCES
+from .licenses import END, RULES, SENTENCES, STEPS, sentence_pattern
 
 _LOWER = f"translate(coalesce(text, ''), '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +42,14 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id
 
 def _licenses() -> str:
     known = ", ".join(f"('{s}', '{name}')" for name, variants in SENTENCES.items() for s in variants)
+    text = "lower(coalesce(text, ''))"
+    quote = lambda x: "'" + x.replace(END, "' || chr(1) || '")+ "'"
+    for pattern, to in STEPS:
+        text = f"regexp_replace({text}, {quote(pattern or r'[.!?;:]+([\x20\x09-\x0D]|$)')}, {quote(to)}, 'g')"
+    text = f"regexp_replace(chr(1) || {text} || chr(1), {quote(f'[ \n]?{END}[ \n{END}]*')}, chr(1), 'g')"
+    # Every end stands twice, so that a sentence does not take the one before the next.
+    twice = f"regexp_replace({text}, {quote(f'([\n{END}])')}, '\\1\\1', 'g')"
+    found = f"regexp_extract_all({twice}, {quote(f'[\n{END}](' + sentence_pattern([s for variants in SENTENCES.values() for s in variants], '(?: |\n\n)') + f')[\n{END}]')}, 1)"
     marked = "' ' || coalesce(sentence_ids, '') || ' '"
     for k, (_, parts) in enumerate(RULES):
         # Twice, since neighbours share the space between them.
@@ -49,8 +57,8 @@ def _licenses() -> str:
             marked = f"regexp_replace({marked}, ' {' '.join(parts)} ', ' ={k} ', 'g')"
     names = ", ".join(f"({k}, '{name}')" for k, (name, _) in enumerate(RULES))
     return f"""WITH known(s, id) AS (VALUES {known}), names(k, name) AS (VALUES {names}),
-  cut AS (SELECT doc_id, unnest(a) AS raw, unnest(range(len(a))) AS p FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[\\r\\n]+|[.!?;:]+(\\s|$)') AS a FROM documents)),
-  hits AS (SELECT doc_id, p, id FROM cut JOIN known ON s = trim(regexp_replace(raw, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))),
+  cut AS (SELECT doc_id, unnest(a) AS raw, unnest(range(len(a))) AS p FROM (SELECT doc_id, {found} AS a FROM documents)),
+  hits AS (SELECT doc_id, p, id FROM cut JOIN known ON s = replace(raw, chr(10) || chr(10), ' ')),
   seq AS (SELECT doc_id, count(*) AS n_known, string_agg(id, ' ' ORDER BY p) AS sentence_ids FROM hits GROUP BY doc_id),
   marked AS (SELECT *, {marked} AS m FROM seq),
   parts AS (SELECT doc_id, unnest(string_split(trim(m), ' ')) AS part FROM marked),
