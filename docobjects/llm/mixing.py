@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import cut
+from .names import own_columns, private, quoted
 
-#: Beyond so many distinct membership patterns the flow is no longer a small problem for the driver.
+#: Membership patterns whose flow is worked out at once; more are dealt into parts, each with its share of the quotas.
 MOST_PATTERNS = 100_000
 
 
@@ -39,79 +41,107 @@ def capped_targets(sizes: dict, weights: dict, share: Fraction, most: int) -> di
 
 
 def cheapest_flow(capacity: list[int], members: list[list[int]], quota: list[int], costs: list[int]) -> list[dict[int, int]]:
-    """Words that each pattern sends to each of its sources at least total cost.
+    """Words that each pattern sends to each of its sources, as many as fit at least total cost.
 
-    Pattern p may be used once at costs[0] a word, again at costs[1], and so on (a convex cost, so cheap
-    passes fill first). Successive shortest paths over residual links; all figures are whole words.
+    Pattern p may be used once at costs[0] a word, again at costs[1], and so on (ascending, so the cost is convex). Only
+    these uses cost anything, so a shortest augmenting path is one that begins with the cheapest use still open: the uses are
+    opened one by one, and each time blocking flows in the layered residual network route what fits. All figures are whole words.
     """
-    n_p, n_s = len(capacity), len(quota)
-    source, sink, n = n_p + n_s, n_p + n_s + 1, n_p + n_s + 2
-    links: list[list[int]] = [[] for _ in range(n)]
-    to, room, price = [], [], []
-
-    def link(a: int, b: int, cap: int, cost: int) -> int:
-        for x, y, c, p in ((a, b, cap, cost), (b, a, 0, -cost)):
-            links[x].append(len(to))
-            to.append(y), room.append(c), price.append(p)
-        return len(to) - 2
-
-    route = {}
-    for p, cap in enumerate(capacity):
-        for cost in costs:
-            link(source, p, cap, cost)
-        for s in members[p]:
-            route[p, s] = link(p, n_p + s, cap * len(costs), 0)
-    for s, q in enumerate(quota):
-        link(n_p + s, sink, q, 0)
-    while True:
-        dist, via, queue, queued = [None] * n, [0] * n, [source], {source}
-        dist[source] = 0
-        while queue:
-            a = queue.pop(0)
-            queued.discard(a)
-            for e in links[a]:
-                if room[e] and (dist[to[e]] is None or dist[a] + price[e] < dist[to[e]]):
-                    dist[to[e]], via[to[e]] = dist[a] + price[e], e
-                    if to[e] not in queued:
-                        queued.add(to[e])
-                        queue.append(to[e])
-        if dist[sink] is None:
-            break
-        path, at = [], sink
-        while at != source:
-            path.append(via[at])
-            at = to[via[at] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-    return [{s: room[route[p, s] ^ 1] for s in members[p]} for p in range(n_p)]
+    if sorted(costs) != costs:
+        raise ValueError("costs must ascend")
+    n, left = len(capacity), list(quota)
+    sent = [dict.fromkeys(m, 0) for m in members]
+    # Nodes: patterns, then sources. A pattern can send to all its sources, a source give back what patterns have sent.
+    links = [[n + s for s in m] for m in members] + [[] for _ in quota]
+    for p, m in enumerate(members):
+        for s in m:
+            links[n + s].append(p)
+    spare = [0] * n
+    for _ in costs:
+        spare = [x + c for x, c in zip(spare, capacity, strict=True)]
+        while True:
+            level, queue, ends = [-1] * len(links), deque(p for p in range(n) if spare[p]), False
+            for p in queue:
+                level[p] = 0
+            while queue:
+                a = queue.popleft()
+                ends |= a >= n and left[a - n] > 0
+                for b in links[a]:
+                    if level[b] < 0 and (a < n or sent[b][a - n]):
+                        level[b] = level[a] + 1
+                        queue.append(b)
+            if not ends:
+                break
+            turn = [0] * len(links)
+            for p in [p for p in range(n) if spare[p]]:
+                path = [p]
+                while path and spare[p]:
+                    a = path[-1]
+                    if a >= n and left[a - n]:
+                        back = list(zip(path[1:-1:2], path[2::2], strict=True))
+                        words = min([spare[p], left[a - n], *(sent[b][s - n] for s, b in back)])
+                        spare[p] -= words
+                        left[a - n] -= words
+                        for s, b in back:
+                            sent[b][s - n] -= words
+                        for b, s in zip(path[::2], path[1::2], strict=True):
+                            sent[b][s - n] += words
+                        path = [p]
+                        continue
+                    while turn[a] < len(links[a]):
+                        b = links[a][turn[a]]
+                        if level[b] == level[a] + 1 and (a < n or sent[b][a - n]):
+                            path.append(b)
+                            break
+                        turn[a] += 1
+                    else:
+                        path.pop()
+                        if path:
+                            turn[path[-1]] += 1
+    return sent
 
 
 @dataclass
 class Mix:
-    """A mix that is worked out: `apply` says how often each row is taken; targets, sizes and flow by source."""
+    """A mix that is worked out: `apply` says how often each row is taken; targets and sizes by source."""
 
     source_col: str
     id_col: str
     text_col: str
     seed: int
     plan: DataFrame
+    small: bool
+    ties: bool
     targets: dict
     sizes: dict
-    flow: dict
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        """df with _times, _source_size and _target; a join with one broadcast row per membership pattern."""
-        keyed = df.withColumns({"_pattern": pattern_of(df, self.source_col), "_order": seeded_order(self.seed, F.col(self.id_col), F.col(self.text_col))})
-        joined = keyed.join(F.broadcast(self.plan), F.col("_pattern").eqNullSafe(F.col("_p")))  # at most MOST_PATTERNS rows
-        more = F.when(F.col("_order") <= F.col("_last"), 1).otherwise(0)
-        return joined.withColumn("_times", F.col("_passes") + more).drop("_pattern", "_p", "_order", "_last", "_passes")
+    def apply(self, df: DataFrame, out: str) -> DataFrame:
+        """df with the column `out`, a struct of times, source_size and target, by a join with one row per membership pattern."""
+        pattern, order, p, plan = (private(df, f"{x}_{out}") for x in ("pattern", "order", "p", "plan"))
+        keyed = df.select(*own_columns(df), pattern_of(df, self.source_col).alias(pattern), seeded_order(self.seed, F.col(quoted(self.id_col)), F.col(quoted(self.text_col))).alias(order))
+        plans = self.plan.select(F.col("p").alias(p), F.struct("passes", "last", "tied", "some", "source_size", "target").alias(plan))
+        joined = keyed.join(F.broadcast(plans) if self.small else plans, F.col(pattern).eqNullSafe(F.col(p)))  # small: at most MOST_PATTERNS rows
+        taken = lambda more: F.struct((F.col(f"{plan}.passes") + F.when(more, 1).otherwise(0)).alias("times"), f"{plan}.source_size", f"{plan}.target").alias(out)
+        whole = F.coalesce(F.col(order) <= F.col(f"{plan}.last"), F.lit(False))
+        if not self.ties:
+            return joined.select(*own_columns(df), taken(whole))
+        # Rows of one id and text of which only some are taken once more: they are written down with numbers, and counted off
+        # within the stretches that the numbers fall into, after the sum of all stretches before.
+        tie = F.coalesce(F.col(order) == F.col(f"{plan}.tied"), F.lit(False))
+        number, stretch, at, before = (private(df, f"{x}_{out}") for x in ("number", "stretch", "at", "before"))
+        tied = cut(joined.where(tie).withColumn(number, F.monotonically_increasing_id())).withColumn(stretch, F.shiftright(number, 33))
+        along = Window.partitionBy(p).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+        counts = tied.groupBy(p, stretch).agg(F.count(F.lit(1)).alias(before)).withColumn(before, F.coalesce(F.sum(before).over(along), F.lit(0)))
+        counts = counts.select(F.col(p).alias(f"{p}_"), F.col(stretch).alias(f"{stretch}_"), before)
+        inside = Window.partitionBy(p, stretch).orderBy(number)
+        placed = tied.withColumn(at, F.row_number().over(inside)).join(counts, F.col(p).eqNullSafe(F.col(f"{p}_")) & (F.col(stretch) == F.col(f"{stretch}_")))
+        some = placed.select(*own_columns(df), taken(F.col(at) + F.col(before) <= F.col(f"{plan}.some")))
+        return joined.where(~tie).select(*own_columns(df), taken(whole)).unionByName(some)
 
 
 def pattern_of(df: DataFrame, source_col: str) -> Column:
     """The sorted sources of a row as an array; a null source or an empty array is the null source."""
-    names, none = F.col(source_col), F.array(F.lit(None).cast("string"))
+    names, none = F.col(quoted(source_col)), F.array(F.lit(None).cast("string"))
     if df.schema[source_col].dataType.typeName() != "array":
         return F.array(names.cast("string"))
     return F.coalesce(F.when(F.size(names) > 0, F.array_sort(F.array_distinct(names)).cast("array<string>")), none)
@@ -138,67 +168,95 @@ def mix_sources(
     summed by membership pattern; the patterns' words are routed to the sources' quotas at least cost,
     where a second pass over a pattern costs more than the first. Each pattern then takes whole passes
     over all its documents and, for the rest, documents in the order of a seeded hash up to the one that
-    brings it nearest to the words routed.
+    brings it nearest to the words routed. Of rows that repeat id and text, as many are taken once more as bring it nearest.
+    More than MOST_PATTERNS patterns are dealt into parts by their hash; each part routes its share of every quota
+    (by its words of the source), so no pattern is left out and the driver holds one part at a time.
 
     Sources stand in code point order, null last (an empty array counts as null), and weights repeat
-    along it. Null or empty texts have size 0 and can be taken with 0 words. Rows of one id and text are
-    decided together, other rows with equal ids apart; an empty table gives an empty result. The result
-    depends on the rows alone, not on their order or partitions. Other columns are not looked at.
+    along it. Null or empty texts have size 0 and can be taken with 0 words; very long texts count whole. Rows with equal ids
+    and different texts are decided apart; an empty table gives an empty result. The result
+    depends on the rows alone, not on their order or partitions. Other columns are not looked at, whatever their names.
     """
-    rows = cut(df.select(pattern_of(df, source_col).alias("pattern"), word_count(F.col(text_col)).alias("size"), seeded_order(seed, F.col(id_col), F.col(text_col)).alias("order")))
-    totals = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
-    if len(totals) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns: reduce the sources of a document first")
+    spark = df.sparkSession
+    rows = cut(df.select(pattern_of(df, source_col).alias("pattern"), word_count(F.col(quoted(text_col))).alias("size"), seeded_order(seed, F.col(quoted(id_col)), F.col(quoted(text_col))).alias("order")))
+    totals = cut(rows.groupBy("pattern").agg(F.sum("size").alias("words")))
     by_code = lambda s: (s is None, (s or "").encode())
-    words = {tuple(r.pattern): r.words for r in totals}
-    patterns = sorted(words, key=lambda p: [by_code(s) for s in p])
-    sources = sorted({s for p in patterns for s in p}, key=by_code)
-    sizes = {s: sum(words[p] for p in patterns if s in p) for s in sources}
-    targets = capped_targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(sources)}, share, most)
-    at = {s: i for i, s in enumerate(sources)}
-    flow = cheapest_flow([words[p] for p in patterns], [[at[s] for s in p] for p in patterns], [round(targets[s]) for s in sources], list(range(most)))
-    plan = []
-    for i, p in enumerate(patterns):
-        passes, rest = divmod(sum(flow[i].values()), words[p]) if words[p] else (0, 0)
-        plan.append((list(p), passes, rest, sum(sizes[s] for s in p), float(sum(targets[s] for s in p))))
-    plan = df.sparkSession.createDataFrame(plan, "_p array<string>, _passes int, _rest long, _source_size long, _target double")
+    of_source = totals.select(F.explode("pattern").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("words")).collect()  # one row per source
+    sizes = {r.source: r.words for r in sorted(of_source, key=lambda r: by_code(r.source))}
+    targets = capped_targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(sizes)}, share, most)
+    at = {s: i for i, s in enumerate(sizes)}
+    parts = max(1, -(-totals.count() // MOST_PATTERNS))
+    plan, seen = None, dict.fromkeys(sizes, 0)
+    for part in range(parts):
+        own = {tuple(r.pattern): r.words for r in totals.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).collect()}  # about MOST_PATTERNS
+        patterns = sorted(own, key=lambda p: [by_code(s) for s in p])
+        # A source's quota up to here, in proportion to its words up to here, less what the parts before had.
+        upto = dict(seen)
+        for p in patterns:
+            for s in p:
+                upto[s] += own[p]
+        goal = lambda s, words: round(targets[s] * words / sizes[s]) if sizes[s] else 0
+        flow = cheapest_flow([own[p] for p in patterns], [[at[s] for s in p] for p in patterns], [goal(s, upto[s]) - goal(s, seen[s]) for s in sizes], list(range(most)))
+        seen = upto
+        lines = []
+        for i, p in enumerate(patterns):
+            passes, rest = divmod(sum(flow[i].values()), own[p]) if own[p] else (0, 0)
+            lines.append((list(p), passes, rest, sum(sizes[s] for s in p), float(sum(targets[s] for s in p))))
+        table = spark.createDataFrame(lines, "p array<string>, passes int, rest long, source_size long, target double")
+        plan = table if plan is None else cut(plan.unionByName(table))
     # Where a pattern's cut lies: its documents fall into 1024 ranges of the seeded order, those of the range that holds
-    # the cut into 1024 again, and only what is left in that range is ranked document by document.
-    same = F.col("pattern").eqNullSafe(F.col("_p"))
-    cuts, near = plan.where("_rest > 0").select("_p", F.lit(0).cast("long").alias("_low"), F.col("_rest").alias("_left")), rows
+    # the cut into 1024 again, and only what is left in that range is ranked, by distinct id and text.
+    same, hint = F.col("pattern").eqNullSafe(F.col("p")), F.broadcast if parts == 1 else (lambda x: x)
+    cuts, near = plan.where("rest > 0").select("p", F.lit(0).cast("long").alias("low"), F.col("rest").alias("left")), rows
     for shift in (53, 43):
-        near = near.join(F.broadcast(cuts), same).where(F.shiftright("order", shift + 10) == F.col("_low"))  # one row per pattern at most
-        along = Window.partitionBy("_p").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+        near = near.join(hint(cuts), same).where(F.shiftright("order", shift + 10) == F.col("low"))  # one row per pattern at most
+        along = Window.partitionBy("p").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
         cuts = cut(
-            near.groupBy("_p", "_left", F.shiftright("order", shift).alias("_range"))
+            near.groupBy("p", "left", F.shiftright("order", shift).alias("range"))
             .agg(F.sum("size").alias("words"))
             .withColumn("upto", F.sum("words").over(along))
-            .where("upto - words < _left and upto >= _left")
-            .select("_p", F.col("_range").alias("_low"), (F.col("_left") - F.col("upto") + F.col("words")).alias("_left"))
+            .where("upto - words < left and upto >= left")
+            .select("p", F.col("range").alias("low"), (F.col("left") - F.col("upto") + F.col("words")).alias("left"))
         )
         near = near.select("pattern", "size", "order")
-    inside = Window.partitionBy("_p").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("p").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        near.join(hint(cuts), same)
+        .where(F.shiftright("order", 43) == F.col("low"))
+        .groupBy("p", "low", "left", "order")
+        .agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+        .withColumn("open", F.col("left") - F.sum("words").over(inside) + F.col("words"))
+        .withColumn("some", F.when(F.col("words") > 0, F.floor(F.col("open") * F.col("rows") / F.col("words") + 0.5)).when(F.col("open") >= 0, F.col("rows")).otherwise(0))
+        .withColumn("some", F.greatest(F.lit(0), F.least("rows", "some")).cast("long"))
+    )
+    partial = F.expr("some > 0 and some < rows")
     lasts = (
-        near.join(F.broadcast(cuts), same)
-        .where(F.shiftright("order", 43) == F.col("_low"))
-        .withColumn("upto", F.sum("size").over(inside))
-        .groupBy("_p", "_low")
-        .agg(F.max(F.when(F.col("upto") - F.col("size") / 2 <= F.col("_left"), F.col("order"))).alias("_within"))
-        .select("_p", F.coalesce("_within", F.shiftleft("_low", 43) - 1).alias("_last"))
+        ranked.groupBy("p", "low")
+        .agg(F.max(F.when(F.col("some") == F.col("rows"), F.col("order"))).alias("whole"), F.max(F.when(partial, F.col("order"))).alias("tied"), F.max(F.when(partial, F.col("some"))).alias("some"))
+        .select("p", F.coalesce("whole", F.shiftleft("low", 43) - 1).alias("last"), "tied", "some")
     )
-    done = plan.alias("a").join(lasts.alias("b"), F.expr("a._p <=> b._p"), "left").select("a.*", "_last").drop("_rest")
-    return Mix(source_col, id_col, text_col, seed, cut(done), {s: float(t) for s, t in targets.items()}, sizes, {p: {sources[s]: w for s, w in flow[i].items()} for i, p in enumerate(patterns)})
+    done = cut(plan.alias("a").join(lasts.alias("b"), F.expr("a.p <=> b.p"), "left").select("a.*", "last", "tied", "some").drop("rest"))
+    ties = not done.where("tied is not null").isEmpty()
+    return Mix(source_col, id_col, text_col, seed, done, parts == 1, ties, {s: float(t) for s, t in targets.items()}, sizes)
 
 
 def mixed_sizes(df: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
+
+    Nulls, ties, repeated rows and empty tables are handled as by `mix_sources`.
+    """
     mix = mix_sources(df, **options)
-    rows = mix.apply(df.select(F.col(mix.id_col), F.col(mix.text_col), F.col(mix.source_col)))
-    size = word_count(F.col(mix.text_col))
-    return rows.select(F.col(mix.id_col).alias("doc_id"), size.alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (size * F.col("_times")).alias("taken"))
+    rows = mix.apply(df.select(*dict.fromkeys((mix.id_col, mix.text_col, mix.source_col))), "_mix")
+    size = word_count(F.col(quoted(mix.text_col)))
+    return rows.select(F.col(quoted(mix.id_col)).alias("doc_id"), size.alias("size"), F.col("_mix.source_size").alias("source_size"), F.col("_mix.target").alias("target"), (size * F.col("_mix.times")).alias("taken"))
 
 
 def repeat_documents(df: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of df as many times as the mix takes it, with df's columns."""
-    rows = mix_sources(df, **options).apply(df)
-    return rows.select(*df.columns, F.explode(F.expr("if(_times > 0, sequence(1, _times), cast(array() as array<int>))"))).drop("col")
+    """The mixed corpus: each row of df as many times as the mix takes it, with df's columns, whatever their names.
+
+    Nulls, ties, repeated rows and empty tables are handled as by `mix_sources`.
+    """
+    mix = private(df, "mix")
+    rows = mix_sources(df, **options).apply(df, mix)
+    turn = private(df, "turn")
+    return rows.select(*own_columns(df), F.explode(F.expr(f"if({mix}.times > 0, sequence(1, {mix}.times), cast(array() as array<int>))")).alias(turn)).drop(turn)
