@@ -231,6 +231,64 @@ def test_mixing(spark):
     assert mixed_sizes(empty(spark)).collect() == [] and len(mixed_sizes(odd(spark)).collect()) == 5
 
 
+def test_mixing_repeated_rows_come_near_the_target(spark):
+    rows = [(1, "a b c d e", "x")] * 200 + [(2, "f g", "y"), (3, "h i j", "y")] + [(None, "k l", None)] * 50
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = mixed_sizes(df)
+    assert collected(got.select("doc_id", "taken").where("doc_id is not null")) == collected(mixed_sizes(df.repartition(3)).select("doc_id", "taken").where("doc_id is not null"))
+    sums = {r.doc_id: r for r in got.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.max("target").alias("target"), F.max("taken").alias("most")).collect()}
+    assert abs(sums[1].taken - sums[1].target) <= 5 and sums[1].most <= 10
+    assert abs(sums[None].taken - sums[None].target) <= 2
+    mixed = repeat_documents(df.withColumns({c: F.lit(7) for c in ("col", "_p", "_mix", "_turn", "times", "a.b")}))
+    assert mixed.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "col", "_p", "_mix", "_turn", "times", "a.b"]
+    assert mixed.where("doc_id = 1").count() * 5 == sums[1].taken
+
+
+def test_mixing_in_parts(spark, monkeypatch):
+    from docobjects.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 4)
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(5, 30)), sorted(rng.sample("abcde", rng.randint(1, 3)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    mix = mixing.mix_sources(df)
+    taken = mix.apply(df, "m").selectExpr("m.times as n", "text").collect()
+    assert len(taken) == 500 and not mix.small and sum(r.n * len(r.text.split()) for r in taken) > 0.8 * min(sum(mix.targets.values()), 2 * sum(len(t.split()) for _, t, _ in rows))
+
+
+def plain_flow(capacity, members, quota, costs):
+    """Most words at least cost, by trying how many words each use of each pattern sends: a linear programme over tiny figures."""
+    import itertools
+
+    best = None
+    shares = [list(itertools.product(range(c * len(costs) + 1), repeat=len(m))) for c, m in zip(capacity, members)]
+    for choice in itertools.product(*shares):
+        if any(sum(x) > c * len(costs) for x, c in zip(choice, capacity)):
+            continue
+        got = [0] * len(quota)
+        for x, m in zip(choice, members):
+            for words, s in zip(x, m):
+                got[s] += words
+        if any(g > q for g, q in zip(got, quota)):
+            continue
+        cost = sum(costs[k] * max(0, min(sum(x) - k * c, c)) for x, c in zip(choice, capacity) for k in range(len(costs)))
+        best = min(best or (0, 0), (-sum(got), cost))
+    return best
+
+
+def test_flow_is_the_cheapest():
+    rng = random.Random(8)
+    for _ in range(25):
+        n = rng.randint(1, 3)
+        capacity = [rng.randint(0, 3) for _ in range(n)]
+        members = [sorted(rng.sample(range(2), rng.randint(1, 2))) for _ in range(n)]
+        quota = [rng.randint(0, 7) for _ in range(2)]
+        flow = cheapest_flow(capacity, members, quota, [0, 1])
+        sums = [sum(f.values()) for f in flow]
+        assert all(0 <= x <= 2 * c for x, c in zip(sums, capacity)) and all(sum(f.get(s, 0) for f in flow) <= q for s, q in enumerate(quota))
+        assert (-sum(sums), sum(max(0, x - c) for x, c in zip(sums, capacity))) == plain_flow(capacity, members, quota, [0, 1])
+
+
 def test_mixing_overlapping_sources(spark):
     flow = cheapest_flow([100, 50, 30], [[0], [0, 1], [1]], [120, 60], [0, 1])
     assert sum(f.get(0, 0) for f in flow) == 120 and sum(f.get(1, 0) for f in flow) == 60
@@ -269,3 +327,84 @@ def test_licenses_any_gaps(spark):
     texts = ["All  rights reserved.", "Released into the public-domain.", "This program is free\tsoftware", "This program is free\u00a0software", "ALL-RIGHTS\t RESERVED!", "all rights, reserved"]
     got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOCS)).collect()}
     assert [(got[i].n_known, got[i].verdict) for i in range(6)] == [(1, "single"), (1, "single"), (1, "unknown"), (1, "unknown"), (1, "single"), (1, "single")]
+
+
+def licence_texts():
+    """Public licence texts, as they are wrapped in files."""
+    mit = """The MIT License (MIT)
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details."""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+    names = """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    return {mit: "MIT", gpl: "GPL-3.0-or-later", bsd: "BSD-2-Clause", bsd + names: "BSD-3-Clause", "x\nSPDX-License-Identifier: MIT\ny": "MIT", "title: nothing": ""}
+
+
+def test_licenses_of_wrapped_texts(spark):
+    texts = licence_texts()
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [got[i].licenses for i in range(len(texts))] == list(texts.values()) and got[0].unmatched == 0 and got[1].unmatched == 0
+
+
+def test_licenses_agree_with_sql(spark, tmp_path):
+    """Known sentences between other words, in any case, spacing, punctuation and wrapping."""
+    import duckdb
+
+    from docobjects.llm.licenses import SENTENCES
+    from docobjects.llm.oracles import OP6
+
+    rng = random.Random(12)
+    known = [s for variants in SENTENCES.values() for s in variants]
+    rows = [(i, t, None) for i, t in enumerate([*licence_texts(), "", None, "\x01", ": : a:\n:b", "\r\n\r", "....x ... y", "all rights reserved\nall rights reserved"])]
+    for i in range(len(rows), 400):
+        text = ""
+        for _ in range(rng.randint(1, 6)):
+            words = rng.choice(known).split(" ") if rng.random() < 0.7 else rng.choices(["other", "É", "a1", "the", "software"], k=rng.randint(1, 5))
+            gap = rng.choice([[" "], [" ", "\n"], [" ", "  ", "\t", "\r\n"], ["-", ", ", " \n * "]])
+            text += "".join(rng.choice([w, w.upper(), w.title()]) + rng.choice(gap) for w in words).rstrip("-, *") + rng.choice([". ", "\n", "\n\n", "; ", ": ", ":\n", " ", "!", "...\n", "\r\n#\r\n"])
+        rows.append((i, text, None))
+    df = spark.createDataFrame(rows, DOCS)
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    want = con.sql(OP6)
+    got = scan_licenses(df).select(*want.columns)
+    assert collected(got) == sorted(want.fetchall()) and got.where("n_known > 0").count() > 150
