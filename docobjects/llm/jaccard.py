@@ -32,9 +32,11 @@ BLOCK, SLICE = 16 << 20, 2 << 20
 BITS = 56
 #: Bits of a shingle's hash that say in which fragment its overlaps are counted.
 FRAGMENT_BITS = 3
-#: Pairs for each place of a prefix that are verified at once; as long as there are more, and stars at least halve them, stars are verified.
-PAIRS = 4
-#: Places of a prefix, from its end, whose lists have stars.
+#: Pairs for each place of a prefix that are verified at once; as long as there are more, stars are verified.
+PAIRS = 1
+#: Stars end, too, when less than this share of their pairs are links.
+PROGRESS = 0.5
+#: Places of a document's prefix whose lists have stars.
 STAR_PLACES = 3
 
 ROWS = pa.schema([("key", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("body", pa.binary())])
@@ -106,7 +108,9 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return _rows(rows)
 
 
-DOCS_DDL = "doc_id long, mark long, n long, class binary, prefix array<long>, parts array<array<long>>"
+#: Words of 64 bits in the map of a prefix, and in that of all shared shingles.
+MAP, SKETCH = 4, 16
+DOCS_DDL = "doc_id long, mark long, n long, class binary, prefix array<long>, parts array<array<long>>, " + ", ".join(f"m{k} long" for k in range(MAP)) + ", sketch array<long>"
 
 
 def _prefixes(percent: int):
@@ -139,6 +143,13 @@ def _prefixes(percent: int):
         edges = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         inner = pa.ListArray.from_arrays(edges(np.bincount(cell, minlength=len(n) * fragments).reshape(len(n), fragments)[prefix > 0].reshape(-1)), pa.array(value[live]))
         digest = np.stack([d0, d1], axis=1)
+
+        def bits(of: np.ndarray, words: int) -> np.ndarray:
+            out = np.zeros((len(n), words), dtype=np.int64)
+            np.bitwise_or.at(out, (doc[of], value[of] % words), np.int64(1) << (value[of] // words % 64))
+            return out
+
+        maps, sketch = bits(first, MAP), bits(live, SKETCH)
         return pa.table(
             {
                 "doc_id": pa.array(ids, mask=valid == 0),
@@ -147,16 +158,31 @@ def _prefixes(percent: int):
                 "class": pa.array([x.tobytes() if k else None for x, k in zip(digest, n, strict=True)], pa.binary()),
                 "prefix": pa.ListArray.from_arrays(edges(np.bincount(doc[first], minlength=len(n))), pa.array(value[first])),
                 "parts": pa.ListArray.from_arrays(edges(np.where(prefix > 0, fragments, 0)), inner),
+                **{f"m{k}": pa.array(maps[:, k].copy()) for k in range(MAP)},
+                "sketch": pa.ListArray.from_arrays(edges(np.where(prefix > 0, SKETCH, 0)), pa.array(sketch[prefix > 0].reshape(-1))),
             }
         )
 
     return run
 
 
+#: What is known of a document at each place of its prefix: size, shingles of the prefix that others have too, its map.
+FACTS = ["c", "n", "p", *[f"m{k}" for k in range(MAP)]]
+
+
 def _reach(percent: int) -> Column:
-    """Whether two documents whose first common shingle stands at x.place and y.place can reach the threshold."""
-    most = F.expr("least(x.n - x.place, y.n - y.place)")  # it and all shingles after it
-    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n")))
+    """Whether two documents whose first common shingle stands at x.place and y.place can reach the threshold.
+
+    All common shingles stand there or later. And one prefix ends first: up to there, all that is common stands in both
+    prefixes (each bit that one map has and the other lacks is a shingle that is not), and behind it less than its
+    document's `percent` share is left.
+    """
+    most = F.expr("least(x.n - x.place, y.n - y.place)")
+    apart = lambda a, b: " + ".join(f"bit_count({a}.m{k} & ~{b}.m{k})" for k in range(MAP))
+    common = F.expr(f"least(x.p - ({apart('x', 'y')}), y.p - ({apart('y', 'x')}))")
+    behind = F.floor((percent * F.greatest("x.n", "y.n") + 99) / 100) - 1
+    need = percent * (F.col("x.n") + F.col("y.n"))
+    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * most >= need) & ((100 + percent) * (common + behind) >= need)
 
 
 def count_overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -172,7 +198,12 @@ def count_overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb) those that reach the threshold."""
-    pairs = cut(pairs)
+    # A bit of one sketch that the other lacks is a shingle that is not common; pairs that cannot reach the threshold go first.
+    sketches = vertices.select("c", "shared", "sketch")
+    sketched = pairs.join(sketches.select(F.col("c").alias("a"), F.col("shared").alias("sa"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("c").alias("b"), F.col("shared").alias("sb"), F.col("sketch").alias("kb")), "b")
+    apart = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (t, k) -> t + k)"
+    most = F.expr(f"least(sa - {apart('ka', 'kb')}, sb - {apart('kb', 'ka')})")
+    pairs = cut(sketched.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select(*pairs.columns))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     parts = vertices.select("c", "parts").join(needed, "c", "left_semi").select("c", F.posexplode("parts").alias("f", "part")).where(F.size("part") > 0)
     return count_overlaps(pairs, parts).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
@@ -180,13 +211,12 @@ def _verified(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
 
 def _links(vertices: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that hold together what all linked pairs of vertices (c, n, prefix, parts) do."""
-    lone = F.col("n") - F.aggregate("parts", F.lit(0).cast("long"), lambda total, p: total + F.size(p))
-    places = vertices.select("c", "n", lone.alias("lone"), F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "shingle"))
-    places = places.select("c", "n", "lone", "shingle", (F.col("lone") + F.col("i")).alias("place"), (F.col("i") >= F.col("size") - STAR_PLACES).alias("common"))
-    links, before, turn = None, float("inf"), 0
+    prefixes = vertices.withColumn("p", F.size("prefix")).select(*FACTS, (F.col("n") - F.col("shared")).alias("lone"), F.transform("prefix", lambda s, i: F.struct((i + 0).alias("i"), s.alias("shingle"))).alias("prefix"))
+    links, turn = None, 0
 
     def placed(own: DataFrame) -> DataFrame:
         """Places with the components so far, of shingles that stand in several."""
+        own = own.select(*FACTS, "lone", F.explode("prefix").alias("x")).select(*FACTS, "lone", "x.shingle", (F.col("lone") + F.col("x.i")).alias("place"))
         if links is None:
             now = own.withColumn("component", F.col("c"))
         else:
@@ -196,22 +226,25 @@ def _links(vertices: DataFrame, percent: int) -> DataFrame:
 
     others = F.col("x.component") != F.col("y.component")
     while True:
-        # Stars stand around documents of the most common shingles of the prefixes, whose lists are the longest.
-        now = placed(places.where("common"))
+        # Documents that share much of their prefixes are likely to share the shingles of least hash: each turn has other ones.
+        least = F.slice(F.array_sort(F.transform("prefix", lambda x: F.struct(F.xxhash64(x["shingle"], F.lit(turn)).alias("h"), x["i"].alias("i"), x["shingle"].alias("shingle")))), 1, STAR_PLACES)
+        now = placed(prefixes.withColumn("prefix", least))
         sizes = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("ordered"), F.sum("k").alias("k"))
         left = sizes.agg(F.coalesce(F.sum(F.col("ordered").cast("double") / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("k"), F.lit(0)).alias("places")).first()
-        if left.pairs <= PAIRS * left.places or left.pairs > before / 2:
+        if left.pairs <= PAIRS * left.places:
             break
-        # The first star of a list stands around the document with the fewest shingles of its own, the next ones around any;
+        # The first stars stand around the documents with the fewest shingles of their own, the next ones around any;
         # a document is verified with one of them.
         rank = F.col("lone") if not turn else F.xxhash64("c", F.lit(turn))
-        heads = now.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), "c", "n", "place", "component")).alias("h")).select("shingle", "h.*")
+        heads = now.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), *FACTS, "place", "component")).alias("h")).select("shingle", "h.*")
         met = now.alias("x").join(heads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & others & _reach(percent))
         nearest = met.groupBy(F.col("x.c").alias("a"), F.col("x.n").alias("na")).agg(F.min(F.struct("y.rank", F.col("y.c").alias("b"), F.col("y.n").alias("nb"))).alias("h"))
-        found = _verified(nearest.select("a", "h.b", "na", "h.nb"), vertices, percent)
-        links = cut(found if links is None else links.unionByName(found))
-        before, turn = left.pairs, turn + 1
-    now = placed(places)
+        nearest = cut(nearest.select("a", "h.b", "na", "h.nb"))
+        found = cut(_verified(nearest, vertices, percent))
+        links, turn = found if links is None else cut(links.unionByName(found)), turn + 1
+        if found.count() < PROGRESS * nearest.count():
+            break
+    now = placed(prefixes)
     met = now.alias("x").join(now.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") < F.col("y.c")) & others & _reach(percent))
     found = _verified(met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct(), vertices, percent)
     return cut(found if links is None else links.unionByName(found))
@@ -224,8 +257,9 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     counted = dealt.groupBy("key").applyInArrow(_frequencies, ROWS_DDL)
     sets = cut(counted.groupBy("block").applyInArrow(_prefixes(percent), DOCS_DDL))
     # One vertex for each class that can link; its number holds since it is written down.
-    alive = sets.where(F.size("prefix") > 0).groupBy("class").agg(F.first(F.struct("n", "prefix", "parts")).alias("x"))
-    vertices = cut(alive.select(F.monotonically_increasing_id().alias("c"), "class", "x.*"))
+    alive = sets.where(F.size("prefix") > 0).groupBy("class").agg(F.first(F.struct("n", "prefix", "parts", *[f"m{k}" for k in range(MAP)], "sketch")).alias("x"))
+    shared = F.expr("aggregate(x.parts, 0L, (t, p) -> t + size(p))")
+    vertices = cut(alive.select(F.monotonically_increasing_id().alias("c"), "class", "x.*", shared.alias("shared")))
     joined = connected_components(_links(vertices, percent))
     of_class = vertices.select("class", "c").join(joined, F.col("c") == F.col("id"), "left").select("class", F.coalesce("component", "c").alias("group"))
     # Documents of equal sets share a group; a class without vertex is a group of its own.
