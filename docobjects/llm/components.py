@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 
+#: Edges of a task: few edges lie in few partitions, so that a round of them leaves few files behind.
+EDGES = 20_000
+
 
 def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     """For every row the named pairs of its columns as (u, v)."""
@@ -30,10 +33,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if not seen.n or (seen.n, seen.h) == mark:
             break
         mark = seen.n, seen.h
+        few = seen.n // EDGES + 1
+        now = now.coalesce(few)
         both = _each(now, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large.where("u <> v"))
+        large = cut(large.where("u <> v").coalesce(few))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = cut(pair(_each(large.join(least, "u"), ("v", "m"), ("u", "m"))))
+        now = cut(pair(_each(large.join(least, "u"), ("v", "m"), ("u", "m"))).coalesce(few))
     return _each(now, ("u", "v"), ("v", "v")).select(F.col("u").alias("id"), F.col("v").alias("component")).distinct()

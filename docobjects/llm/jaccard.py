@@ -36,6 +36,8 @@ FRAGMENT_BITS = 3
 PAIRS = 1
 #: Stars end, too, when less than this share of their pairs are links.
 PROGRESS = 0.5
+#: Vertices of a task: few vertices lie in few partitions, so that a turn leaves few files behind.
+VERTICES = 500
 #: Places of a document's prefix whose lists have stars.
 STAR_PLACES = 3
 
@@ -260,6 +262,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     alive = sets.where(F.size("prefix") > 0).groupBy("class").agg(F.first(F.struct("n", "prefix", "parts", *[f"m{k}" for k in range(MAP)], "sketch")).alias("x"))
     shared = F.expr("aggregate(x.parts, 0L, (t, p) -> t + size(p))")
     vertices = cut(alive.select(F.monotonically_increasing_id().alias("c"), "class", "x.*", shared.alias("shared")))
+    vertices = vertices.coalesce(vertices.count() // VERTICES + 1)
     joined = connected_components(_links(vertices, percent))
     of_class = vertices.select("class", "c").join(joined, F.col("c") == F.col("id"), "left").select("class", F.coalesce("component", "c").alias("group"))
     # Documents of equal sets share a group; a class without vertex is a group of its own.
