@@ -100,40 +100,56 @@ def progress(completed: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.greatest(completed / total, F.lit(0.0)), F.lit(1.0)))
 
 
-def error_kind(exception: Column, message: Column) -> Column:
-    """Kind of a failure from its exception name and message, by the first rule that holds."""
-    text = F.lower(F.coalesce(message, F.lit("")))
-    return (
-        F.when(text.contains("password") | text.contains("encrypt"), "EncryptedOrProtected")
-        .when(exception.isin("FileNotFoundError", "NotADirectoryError"), "FileNotFound")
-        .when(exception == "PermissionError", "AccessDenied")
-        .when(exception == "MemoryError", "OutOfMemory")
-        .when(exception == "NotAPdf", "NotAPdf")
-        .when(exception.isin("PdfError", "error", "ValueError", "KeyError", "IndexError", "RecursionError"), "Corrupted")
-        .when(exception == "OSError", "Io")
-        .otherwise("Unknown")
-    )
+def shown_step(completed: Column, total: Column) -> Column:
+    """The step that a progress line names: the one after those completed, never beyond the last."""
+    return F.least(completed + 1, F.greatest(total, F.lit(1)))
 
 
-# What to do about each kind of error.
+# All kinds of errors, and what to do about each.
 REMEDIES = {
-    "AccessDenied": "Check that the file may be read and is not open elsewhere.",
-    "Corrupted": "Open the file in its program and save it again.",
-    "EncryptedOrProtected": "Remove the password or protection first.",
-    "FileNotFound": "Check whether the file was moved or deleted.",
-    "Io": "Check the disk and try again.",
+    "DestinationNotWritable": "Choose a folder that may be written to.",
+    "DiskFull": "Free some space and try again.",
+    "FileInUse": "Close the file in other programs.",
+    "ImageExtractionFailed": "The picture cannot be shown; the file can still be cleaned.",
+    "ImageRemovalUnsafe": "Leave this object out of the selection.",
     "NotAPdf": "Choose a PDF file.",
-    "OutOfMemory": "Close other programs or choose a smaller file.",
-    "Unknown": "Try again.",
+    "PdfCorrupted": "Open the file in its program and save it again.",
+    "PdfEncrypted": "Remove the password or protection first.",
+    "PdfPasswordRequired": "Open the file with its password and save it without.",
+    "PostSaveVerificationFailed": "The file is left as it was; report what it holds.",
+    "Unexpected": "Try again, and report it if it happens again.",
+    "UnsupportedEncryption": "Save the file without protection.",
+    "UserCanceled": "Nothing was changed.",
 }
 
+#: Exceptions of a reader that meets something that is no sound PDF.
+READER_ERRORS = ("PdfError", "error", "ValueError", "KeyError", "IndexError", "TypeError", "RecursionError", "UnicodeDecodeError")
+#: Exceptions of input and output.
+IO_ERRORS = ("OSError", "IOError", "BlockingIOError", "ConnectionError", "InterruptedError", "TimeoutError")
+
+
+def error_kind(exception: Column, message: Column) -> Column:
+    """Kind of a failure from its exception name and message, by the first rule that holds; a kind's own name is that kind."""
+    has = lambda *words: F.lower(F.coalesce(message, F.lit(""))).rlike("|".join(words))
+    reader, io = exception.isin(*READER_ERRORS), exception.isin(*IO_ERRORS)
+    return (
+        F.when(exception.isin(*REMEDIES), exception)
+        .when(reader & has("password", "encrypt"), "PdfEncrypted")
+        .when(reader & has("not a pdf", "header"), "NotAPdf")
+        .when(reader | exception.isin("FileNotFoundError", "NotADirectoryError", "IsADirectoryError"), "PdfCorrupted")
+        .when(exception == "PermissionError", "DestinationNotWritable")
+        .when(io & has("space", "disk"), "DiskFull")
+        .when(io & has("used by another", "being used"), "FileInUse")
+        .when(io, "DestinationNotWritable")
+        .when(exception.isin("KeyboardInterrupt", "CancelledError", "Py4JInterrupted"), "UserCanceled")
+        .otherwise("Unexpected")
+    )
+
 
 def error_remedy(kind: Column) -> Column:
-    """What to do about a kind of error; kinds without advice count as unknown."""
-    out = F.lit(REMEDIES["Unknown"])
-    for name, remedy in REMEDIES.items():
-        out = F.when(kind == name, remedy).otherwise(out)
-    return out
+    """What to do about a kind of error; kinds without advice count as unexpected."""
+    table = F.create_map(*[F.lit(x) for pair in REMEDIES.items() for x in pair])
+    return F.coalesce(F.element_at(table, kind), F.lit(REMEDIES["Unexpected"]))
 
 
 def file_parts(path: Column) -> tuple[Column, Column, Column]:

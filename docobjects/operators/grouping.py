@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import content_hash, readable_count
 from ..lineage import cut, width
-from ..schema import KIND_LABELS, KIND_PREFIXES
+from ..schema import KIND_LABELS, KIND_PREFIXES, TEXT
 
 
 def kind_name(kind: Column, names: list[str]) -> Column:
@@ -50,8 +50,32 @@ def object_groups(placements: DataFrame) -> DataFrame:
 
 
 def merge_files(groups: DataFrame, by: list[str], file_col: str) -> DataFrame:
-    """Per-file groups merged across files: usage_count, file_count."""
-    return groups.groupBy(*by).agg(F.sum("usage_count").alias("usage_count"), F.count_distinct(file_col).alias("file_count"))
+    """Per-file groups merged across files: usage_count, file_count and, where the groups have them, the sum of
+    estimated_bytes, is_safe (of all), full_page (of any) and the thumbnail of the first file that has one."""
+    more = {
+        "estimated_bytes": F.sum("estimated_bytes"),
+        "is_safe": F.bool_and("is_safe"),
+        "full_page": F.bool_or("full_page"),
+        "thumbnail": F.min_by("thumbnail", F.when(F.col("thumbnail").isNotNull(), F.col(file_col))),
+    }
+    return groups.groupBy(*by).agg(
+        F.sum("usage_count").alias("usage_count"), F.count_distinct(file_col).alias("file_count"), *[how.alias(c) for c, how in more.items() if c in groups.columns]
+    )
+
+
+def first_thumbnails(placements: DataFrame, thumbnails: DataFrame, by: list[str], hash_col: str = "identity") -> DataFrame:
+    """by and the thumbnail of a group's first placement (by seq) that has one; null where no placement has.
+
+    thumbnails: hash and thumbnail, one row per hash.
+    """
+    seen = placements.join(thumbnails.select(F.col("hash").alias(hash_col), "thumbnail"), hash_col, "left")
+    return seen.groupBy(*by).agg(F.min_by("thumbnail", F.when(F.col("thumbnail").isNotNull(), F.col("seq"))).alias("thumbnail"))
+
+
+def occurrences(placements: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Every showing of a group as a row, numbered in order over all files: what a list of occurrences would hold, without
+    gathering it in one place, so that a group shown everywhere is no hot key."""
+    return global_positions(placements, [F.col(c).asc() for c in order], by, "occurrence_no")
 
 
 def text_groups(showings: DataFrame) -> DataFrame:
@@ -81,7 +105,9 @@ def global_positions(rows: DataFrame, order: list[Column], by: list[str] | None
     inside = Window.partitionBy("_part", *by).orderBy(*full)
     same = " and ".join(["g._part = c._part", *[f"g.{c} <=> c._{c}" for c in by]])
     numbered = ranged.withColumn("_row", F.row_number().over(inside)).alias("g")
-    joined = numbered.join(F.broadcast(counts.alias("c")), F.expr(same))  # a row per range and value
+    # A row per range, small; with `by` a row per range and value, which the planner may broadcast if it is small.
+    counts = counts.alias("c") if by else F.broadcast(counts.alias("c"))
+    joined = numbered.join(counts, F.expr(same))
     return joined.select(*[F.col(f"g.{c}") for c in rows.columns], (F.col("_row") + F.col("_ahead")).cast("long").alias(out))
 
 
@@ -114,10 +140,41 @@ def estimated_sizes(discoveries: DataFrame, occurrences: DataFrame, by: list[str
     return sizes.join(usage, by)
 
 
-def display_sorted(groups: DataFrame, column: str, ascending: bool, key: str = "identity") -> DataFrame:
-    """Groups in display order: the column, then most used, then the key."""
-    first = F.col(column).asc() if ascending else F.col(column).desc()
-    return groups.orderBy(first, F.col("usage_count").desc(), F.col(key).asc())
+#: Columns that a list can be sorted by, and whether a first click sorts them upwards; the list starts with the most used.
+SORT_COLUMNS = {"kind": True, "object_id": True, "size": False, "usage_count": False, "file_count": False, "warning": True}
+DEFAULT_SORT = ("usage_count", False)
+
+
+def size_key(kind: Column, width: Column, height: Column, value: Column) -> Column:
+    """What a list sorts by under size: the length of a text in UTF-16 units, the area of anything else."""
+    units = F.length(F.encode(F.coalesce(value, F.lit("")), "UTF-16BE")) / 2
+    return F.when(kind == TEXT, units.cast("double")).otherwise((width * height).cast("double"))
+
+
+def warning_key(is_safe: Column, full_page: Column) -> Column:
+    """What a list sorts by under warnings: unsafe groups, then those that cover a page, then all others."""
+    return F.when(~is_safe, 0).when(full_page, 1).otherwise(2)
+
+
+def display_positions(groups: DataFrame, column: str | None = None, ascending: bool | None = None, key: str = "identity", out: str = "position") -> DataFrame:
+    """groups with their position in a list sorted by a column, then most used, then the key.
+
+    Without a column the list's default holds; without a direction that of the column's first click.
+    """
+    column, up = (column, SORT_COLUMNS.get(column, True)) if column else DEFAULT_SORT
+    up = up if ascending is None else ascending
+    first = F.col(column).asc() if up else F.col(column).desc()
+    return global_positions(groups, [first, F.col("usage_count").desc(), F.col(key).asc()], out=out)
+
+
+def kept_selection(selected: DataFrame, rebuilt: DataFrame, key: list[str]) -> DataFrame:
+    """What stays selected when a list is built anew: what it still holds."""
+    return selected.join(rebuilt, key, "left_semi")
+
+
+def shown_kinds(shown: set[int], turned_off: int) -> set[int]:
+    """The kinds that a list shows after one is turned off; the last one cannot be."""
+    return shown - {turned_off} or shown
 
 
 def visible_window(first: int, count: int) -> tuple[int, int]:

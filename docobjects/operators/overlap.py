@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,32 +25,32 @@ def is_furniture(page_w, page_h):
     return (F.col("kind") == SHAPE) & (F.col("right") - F.col("left") >= FULL_PAGE * page_w) & (F.col("top") - F.col("bottom") >= FULL_PAGE * page_h)
 
 
-def _in_cells(boxes: DataFrame, cell: float) -> DataFrame:
-    """A row for every grid cell that a box touches: cx, cy."""
-    span = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
-    return boxes.withColumn("cx", F.explode(span("left", "right"))).withColumn("cy", F.explode(span("bottom", "top")))
+#: Side of a cell of the grid that pairs are formed in, in points.
+CELL = 64.0
 
 
-def overlap_edges(placements: DataFrame, page: list[str], page_w, page_h, cell: float | None = None) -> DataFrame:
+def overlap_edges(placements: DataFrame, page: list[str], page_w, page_h, cell: float = CELL) -> DataFrame:
     """Pairs a < b (by obj) of a page that belong together; obj numbers a page's objects in drawing order.
 
     An object that does not hide what is below joins what it lies inside; otherwise, if the other does not hide, that one
-    has to lie inside; two that hide join where they truly overlap (common edges do not count). The page is an equality
-    key, so pairs are only formed within pages. For crowded pages (thousands of objects) give `cell`, the side of a grid in points:
-    pairs are then only formed within cells, each in the one cell that holds the lower left corner of what both cover.
+    has to lie inside; two that hide join where they truly overlap (common edges do not count). Page and grid cell are equality
+    keys: an object stands in every cell that its box touches (cells beyond the page count as its border cells), and a
+    pair is formed in the one cell that holds the lower left corner of what both cover. So a crowded page is no hot key.
     """
-    boxed = with_boxes(placements).where(~is_furniture(page_w, page_h)).select(*page, "obj", "hides", "left", "bottom", "right", "top")
+    boxed = with_boxes(placements).where(~is_furniture(page_w, page_h))
+    last = {"x": F.ceil(F.lit(page_w) / cell) if isinstance(page_w, (int, float)) else F.ceil(page_w / cell), "y": F.ceil(F.lit(page_h) / cell) if isinstance(page_h, (int, float)) else F.ceil(page_h / cell)}
+    boxed = boxed.select(*page, "obj", "hides", "left", "bottom", "right", "top", last["x"].alias("nx"), last["y"].alias("ny"))
+    index = lambda at, n: f"least(greatest(floor({at} / {cell}D), -1L), {n})"
+    cells = lambda low, high, n: F.explode(F.expr(f"sequence({index(low, n)}, {index(high, n)})"))
+    boxed = boxed.withColumn("cx", cells("left", "right", "nx")).withColumn("cy", cells("bottom", "top", "ny"))
     inside = lambda p, q: f"({p}.left >= {q}.left and {p}.right <= {q}.right and {p}.bottom >= {q}.bottom and {p}.top <= {q}.top)"
     strict = "(a.left < b.right and b.left < a.right and a.bottom < b.top and b.bottom < a.top)"
-    keys = " and ".join(f"a.{k} = b.{k}" for k in page)
+    keys = " and ".join(f"a.{k} = b.{k}" for k in [*page, "cx", "cy"])
+    corner = f"a.cx = {index('greatest(a.left, b.left)', 'a.nx')} and a.cy = {index('greatest(a.bottom, b.bottom)', 'a.ny')}"
     rule = f"case when not a.hides then {inside('a', 'b')} when not b.hides then {inside('b', 'a')} else {strict} end"
     # The plain touch test goes first; it needs no branches and rejects nearly all pairs.
     touch = "a.left <= b.right and b.left <= a.right and a.bottom <= b.top and b.bottom <= a.top"
-    if cell is not None:
-        boxed = _in_cells(boxed, cell)
-        corner = f"a.cx = floor(greatest(a.left, b.left) / {cell}) and a.cy = floor(greatest(a.bottom, b.bottom) / {cell})"
-        keys += f" and a.cx = b.cx and a.cy = b.cy and {corner}"
-    joined = boxed.alias("a").join(boxed.alias("b"), F.expr(f"{keys} and a.obj < b.obj and {touch} and {rule}"))
+    joined = boxed.alias("a").join(boxed.alias("b"), F.expr(f"{keys} and a.obj < b.obj and {touch} and {corner} and {rule}"))
     return joined.select(*[F.col(f"a.{k}").alias(k) for k in page], F.col("a.obj").alias("a"), F.col("b.obj").alias("b"))
 
 
@@ -80,7 +80,10 @@ def region_members(edges: DataFrame, page: list[str]) -> DataFrame:
 
 
 def regions(placements: DataFrame, members: DataFrame, page: list[str], page_w, page_h) -> DataFrame:
-    """Regions of at least two objects and two kinds: box of their padded boxes, members, kinds, covers_page."""
+    """Regions of at least two objects and two kinds: box of their padded boxes, members, kinds, covers_page.
+
+    page_w and page_h are numbers, or columns of placements that are the same all over a page.
+    """
     boxed = with_boxes(placements).join(members, [*page, "obj"])
     out = boxed.groupBy(*page, "region").agg(
         F.count(F.lit(1)).alias("members"),
@@ -89,9 +92,11 @@ def regions(placements: DataFrame, members: DataFrame, page: list[str], page_w,
         F.min("bottom").alias("bottom"),
         F.max("right").alias("right"),
         F.max("top").alias("top"),
+        F.max(page_w if isinstance(page_w, Column) else F.lit(page_w)).alias("_width"),
+        F.max(page_h if isinstance(page_h, Column) else F.lit(page_h)).alias("_height"),
     )
-    full = (F.col("right") - F.col("left") >= FULL_PAGE * page_w) & (F.col("top") - F.col("bottom") >= FULL_PAGE * page_h)
-    return out.where("members >= 2 and kinds >= 2").withColumn("covers_page", full)
+    full = (F.col("right") - F.col("left") >= FULL_PAGE * F.col("_width")) & (F.col("top") - F.col("bottom") >= FULL_PAGE * F.col("_height"))
+    return out.where("members >= 2 and kinds >= 2").withColumn("covers_page", full).drop("_width", "_height")
 
 
 def reading_order(objects: DataFrame, page: list[str], top: str, left: str, ties: list[str], out: str = "position") -> DataFrame:

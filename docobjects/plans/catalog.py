@@ -188,6 +188,61 @@ def visible_kinds(spark, sf_dir):
     return _groups(spark, sf_dir).where(F.col("kind").isin(0, 2, 4) & F.col("is_safe")).select("file_id", "kind", "identity")
 
 
+@query(
+    f"""{PLACED}, g AS (SELECT kind, identity, count(*) AS usage_count, max(w * h) AS area, bool_and(hides OR w > 10) AS is_safe, bool_or(w >= 0.05 * {PAGE_WIDTH} AND h >= 0.03 * {PAGE_HEIGHT}) AS full_page FROM placed GROUP BY ALL),
+    k AS (SELECT *, CASE WHEN NOT is_safe THEN 0 WHEN full_page THEN 1 ELSE 2 END AS warning, CASE WHEN kind = 1 THEN CAST(length('text ' || identity) AS DOUBLE) ELSE CAST(area AS DOUBLE) END AS size FROM g)
+    SELECT kind, identity, usage_count, warning, size, row_number() OVER (ORDER BY usage_count DESC, identity) AS by_default, row_number() OVER (ORDER BY size DESC, usage_count DESC, identity) AS by_size,
+      row_number() OVER (ORDER BY size, usage_count DESC, identity) AS by_size_up, row_number() OVER (ORDER BY warning, usage_count DESC, identity) AS by_warning FROM k"""
+)
+def display_sort_keys(spark, sf_dir):
+    p = placements(spark, sf_dir)
+    wide = (F.col("w") >= 0.05 * PAGE_WIDTH) & (F.col("h") >= 0.03 * PAGE_HEIGHT)
+    g = p.groupBy("kind", "identity").agg(F.count(F.lit(1)).alias("usage_count"), F.max(F.col("w") * F.col("h")).alias("area"), F.expr("bool_and(hides or w > 10)").alias("is_safe"), F.bool_or(wide).alias("full_page"))
+    shown = F.concat(F.lit("text "), F.col("identity").cast("string"))
+    keyed = g.withColumns({"warning": A.warning_key(F.col("is_safe"), F.col("full_page")), "size": A.size_key(F.col("kind"), F.col("area"), F.lit(1), shown)})
+    out = keyed.select("kind", "identity", "usage_count", "warning", "size")
+    for name, column, up in (("by_default", None, None), ("by_size", "size", None), ("by_size_up", "size", True), ("by_warning", "warning", None)):
+        out = A.display_positions(out, column, up, out=name)
+    return out
+
+
+@query(f"{PLACED} SELECT kind, identity, seq, file_id, page_number, x, y, row_number() OVER (PARTITION BY kind, identity ORDER BY seq, x, y, w, h) AS occurrence_no FROM placed")
+def group_occurrences(spark, sf_dir):
+    listed = A.occurrences(placements(spark, sf_dir), ["kind", "identity"], ["seq", "x", "y", "w", "h"])
+    return listed.select("kind", "identity", "seq", "file_id", "page_number", "x", "y", "occurrence_no")
+
+
+@query(
+    f"""{GROUPS}, stored AS (SELECT file_id, kind, identity, w, max(w * h) AS n_bytes FROM placed GROUP BY ALL), sizes AS (SELECT file_id, kind, identity, sum(n_bytes) AS n_bytes FROM stored GROUP BY ALL),
+    pages AS (SELECT file_id, kind, identity, bool_or(w >= 0.05 * {PAGE_WIDTH} AND h >= 0.03 * {PAGE_HEIGHT}) AS full_page, min(CASE WHEN h % 3 = 0 THEN {{'seq': seq, 't': 'thumb ' || h}} END).t AS thumbnail FROM placed GROUP BY ALL)
+    SELECT kind, identity, CAST(sum(usage_count) AS BIGINT) AS usage_count, count(*) AS file_count, CAST(sum(n_bytes) AS BIGINT) AS estimated_bytes, bool_and(is_safe) AS is_safe, bool_or(full_page) AS full_page,
+      min(CASE WHEN thumbnail IS NOT NULL THEN {{'file_id': file_id, 't': thumbnail}} END).t AS thumbnail FROM grouped JOIN sizes USING (file_id, kind, identity) JOIN pages USING (file_id, kind, identity) GROUP BY kind, identity"""
+)
+def groups_merged_over_files(spark, sf_dir):
+    p, by = placements(spark, sf_dir), ["file_id", "kind", "identity"]
+    stored = p.groupBy(*by, "w").agg(F.max(F.col("w") * F.col("h")).alias("n_bytes"))
+    sizes = A.estimated_sizes(stored, p, by, ["w"]).select(*by, "estimated_bytes")
+    wide = (F.col("w") >= 0.05 * PAGE_WIDTH) & (F.col("h") >= 0.03 * PAGE_HEIGHT)
+    full = p.groupBy(*by).agg(F.bool_or(wide).alias("full_page"))
+    pictures = spark.range(100).where("id % 3 = 0").select(F.col("id").alias("hash"), F.concat(F.lit("thumb "), F.col("id").cast("string")).alias("thumbnail"))
+    thumbs = A.first_thumbnails(p, pictures, by, "h")
+    groups = _groups(spark, sf_dir).select(*by, "usage_count", "is_safe").join(sizes, by).join(full, by).join(thumbs, by)
+    return A.merge_files(groups, ["kind", "identity"], "file_id")
+
+
+@query(f"{GROUPS} SELECT file_id, kind, identity, least(usage_count + 1, greatest(page_count, 1)) AS step FROM grouped WHERE kind <> 3")
+def progress_steps(spark, sf_dir):
+    shown = A.shown_kinds({0, 1, 2, 3, 4}, 3)
+    g = _groups(spark, sf_dir).where(F.col("kind").isin(*A.shown_kinds(shown, 9)))
+    return g.select("file_id", "kind", "identity", X.shown_step(F.col("usage_count"), F.col("page_count")).alias("step"))
+
+
+@query(f"{GROUPS}, selected AS (SELECT p_partkey AS identity FROM part WHERE p_size <= 10 UNION SELECT -1) SELECT DISTINCT identity FROM selected SEMI JOIN grouped USING (identity)")
+def selection_kept(spark, sf_dir):
+    chosen = _selected(spark, sf_dir).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("identity"))).distinct()
+    return A.kept_selection(chosen, _groups(spark, sf_dir), ["identity"])
+
+
 # ---- geometry ----------------------------------------------------------------------------------------------
 
 
@@ -339,21 +394,21 @@ def retained_except(spark, sf_dir):
 
 
 @query(
-    """refs AS (SELECT o_orderkey AS from_object, l_partkey AS to_object FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 6 AND l_quantity > 30 AND o_orderstatus <> 'F'), doomed AS (SELECT p_partkey AS object_id FROM part),
+    """refs AS (SELECT o_orderkey AS from_object, l_partkey AS to_object FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F'), doomed AS (SELECT p_partkey AS object_id FROM part),
     gone AS (SELECT object_id FROM doomed WHERE object_id NOT IN (SELECT to_object FROM refs)), masks AS (SELECT p_partkey AS image_id, p_partkey + 1 AS mask_id FROM part), left_refs AS (SELECT * FROM refs WHERE from_object NOT IN (SELECT object_id FROM gone)),
     orphans AS (SELECT DISTINCT mask_id AS object_id FROM masks WHERE image_id IN (SELECT object_id FROM gone) AND mask_id NOT IN (SELECT to_object FROM left_refs))
     SELECT object_id, 'object' AS role FROM gone UNION ALL SELECT object_id, 'mask' AS role FROM orphans"""
 )
 def prune_unreferenced(spark, sf_dir):
     orders, items, parts = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
-    refs = orders.where("o_orderstatus <> 'F'").join(items.where("l_linenumber = 6 and l_quantity > 30"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("from_object"), F.col("l_partkey").alias("to_object"))
+    refs = orders.where("o_orderstatus <> 'F'").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("from_object"), F.col("l_partkey").alias("to_object"))
     gone, orphans = S.prunable(parts.select(F.col("p_partkey").alias("object_id")), refs, parts.select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") + 1).alias("mask_id")))
     return gone.withColumn("role", F.lit("object")).unionByName(orphans.withColumn("role", F.lit("mask")))
 
 
-@query("drawn AS (SELECT l_orderkey AS k, count(*) AS calls FROM lineitem WHERE l_linenumber >= 3 GROUP BY 1) SELECT o_orderkey AS object_id, o_orderpriority AS filter, calls FROM orders JOIN drawn ON k = o_orderkey")
+@query("drawn AS (SELECT l_orderkey AS k, count(*) AS calls FROM lineitem GROUP BY 1) SELECT o_orderkey AS object_id, o_orderpriority AS filter, calls FROM orders JOIN drawn ON k = o_orderkey")
 def orphan_drop(spark, sf_dir):
-    drawn = table(spark, sf_dir, "lineitem").where("l_linenumber >= 3").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("calls"))
+    drawn = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("calls"))
     return table(spark, sf_dir, "orders").join(drawn, F.col("o_orderkey") == F.col("k")).select(F.col("o_orderkey").alias("object_id"), F.col("o_orderpriority").alias("filter"), "calls")
 
 
@@ -461,14 +516,45 @@ def quality_argmin(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_min(scale)["q"].alias("quality"))
 
 
+@query("e AS (SELECT * FROM events) SELECT event_id, CASE WHEN user_id % 4 = 0 THEN NULL ELSE least(greatest(value / (user_id % 4), 0), 1) END AS progress FROM e")
+def progress(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.progress(F.col("value"), F.col("user_id") % 4).alias("progress"))
+
+
+#: Failures, each with the kind that it is to be told as.
+FAILURES = [
+    ("PdfError", "the Password is wrong", "PdfEncrypted"),
+    ("PdfError", "encrypted", "PdfEncrypted"),
+    ("ValueError", "this is not a PDF", "NotAPdf"),
+    ("PdfError", "no header found", "NotAPdf"),
+    ("PdfError", "no trailer", "PdfCorrupted"),
+    ("IndexError", None, "PdfCorrupted"),
+    ("FileNotFoundError", "gone from disk", "PdfCorrupted"),
+    ("PermissionError", "no space here", "DestinationNotWritable"),
+    ("OSError", "No space left on device", "DiskFull"),
+    ("OSError", "the DISK is full", "DiskFull"),
+    ("OSError", "it is being used", "FileInUse"),
+    ("OSError", "used by another process", "FileInUse"),
+    ("OSError", "anything else", "DestinationNotWritable"),
+    ("KeyboardInterrupt", "", "UserCanceled"),
+    ("PdfPasswordRequired", None, "PdfPasswordRequired"),
+    ("UnsupportedEncryption", None, "UnsupportedEncryption"),
+    ("ImageExtractionFailed", None, "ImageExtractionFailed"),
+    ("ImageRemovalUnsafe", None, "ImageRemovalUnsafe"),
+    ("PostSaveVerificationFailed", "disk", "PostSaveVerificationFailed"),
+    ("MemoryError", "password", "Unexpected"),
+    (None, None, "Unexpected"),
+]
+
+
 @query(
-    "SELECT event_id, CASE WHEN user_id % 4 = 0 THEN NULL ELSE least(greatest(value / (user_id % 4), 0), 1) END AS progress, CASE WHEN lower(event_type) LIKE '%password%' THEN 'EncryptedOrProtected' WHEN event_type = 'click' THEN 'Corrupted' ELSE 'Unknown' END AS error_kind FROM events".replace(
-        "SELECT", "e AS (SELECT * FROM events) SELECT", 1
-    ).replace("FROM events", "FROM e", 2).replace("(SELECT * FROM e)", "(SELECT * FROM events)")
+    f"""t(k, kind) AS (VALUES {", ".join(f"({k}, '{kind}')" for k, (_, _, kind) in enumerate(FAILURES))}), r(kind, remedy) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in X.REMEDIES.items())})
+    SELECT event_id, kind, remedy FROM events JOIN t ON k = event_id % {len(FAILURES)} JOIN r USING (kind)"""
 )
-def progress_and_errors(spark, sf_dir):
-    kind = X.error_kind(F.when(F.col("event_type") == "click", "PdfError").otherwise("X"), F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", X.progress(F.col("value"), F.col("user_id") % 4).alias("progress"), kind.alias("error_kind"))
+def error_kinds_and_remedies(spark, sf_dir):
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]).cast("string") for x in FAILURES]), (F.col("event_id") % len(FAILURES)).cast("int") + 1)
+    told = table(spark, sf_dir, "events").select("event_id", X.error_kind(pick(0), pick(1)).alias("kind"))
+    return told.withColumn("remedy", X.error_remedy(F.col("kind")))
 
 
 # ---- lists and totals --------------------------------------------------------------------------------------
@@ -535,10 +621,3 @@ def file_name_parts(spark, sf_dir):
     path = F.concat(F.lit("/in/"), F.col("lang"), F.lit("/"), F.col("source"), ending)
     name, stem, ext = X.file_parts(F.col("path"))
     return table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).select("doc_id", "path", name.alias("name"), stem.alias("stem"), ext.alias("ext"))
-
-
-@query("""e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'Corrupted' WHEN 'view' THEN 'NotAPdf' ELSE 'Unknown' END AS kind FROM events), t(kind, remedy) AS (VALUES ('Corrupted', 'Open the file in its program and save it again.'), ('NotAPdf', 'Choose a PDF file.'), ('Unknown', 'Try again.'))
-    SELECT event_id, kind, remedy FROM e JOIN t USING (kind)""")
-def error_remedies(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "click", "Corrupted").when(F.col("event_type") == "view", "NotAPdf").otherwise("Unknown")
-    return table(spark, sf_dir, "events").select("event_id", kind.alias("kind")).withColumn("remedy", X.error_remedy(F.col("kind")))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -225,3 +227,53 @@ def wanted_images(images: DataFrame, wanted: DataFrame) -> DataFrame:
     readable = images.where(~F.col("filter").rlike("JPXDecode|JBIG2Decode|CCITTFaxDecode"))
     return readable.join(wanted.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
 
+
+
+def png(samples: bytes, width: int, height: int, channels: int) -> bytes:
+    """Eight-bit grey or RGB samples as a PNG file."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    row = width * channels
+    lines = b"".join(b"\0" + samples[y * row : (y + 1) * row] for y in range(height))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def thumbnail(doc: Document, image: Stream) -> tuple[str, bytes] | None:
+    """(format, bytes) of an image: PNG where its samples can be read, its own bytes where it is a JPEG, otherwise nothing."""
+    info = image.info
+    filters = doc.resolve(info.get("Filter"))
+    last = filters[-1] if isinstance(filters, list) and filters else filters
+    try:
+        data = image.raw if last == "DCTDecode" and filters in ("DCTDecode", ["DCTDecode"]) else image.data(doc)
+        if last == "DCTDecode":
+            return ("jpeg", bytes(data)) if data[:2] == b"\xff\xd8" else None
+        channels = {"DeviceRGB": 3, "DeviceGray": 1}.get(text_of(doc.resolve(info.get("ColorSpace"))))
+        width, height = int(doc.resolve(info["Width"])), int(doc.resolve(info["Height"]))
+        if channels is None or doc.resolve(info.get("BitsPerComponent")) != 8 or len(data) < width * height * channels:
+            return None
+        return "png", png(data, width, height, channels)
+    except (PdfError, KeyError, TypeError, ValueError, zlib.error):
+        return None
+
+
+def thumbnails(files: DataFrame, images: DataFrame, wanted: DataFrame) -> DataFrame:
+    """hash, format, thumbnail for the wanted image hashes; an image that cannot be shown has null.
+
+    Only wanted images are decoded, each hash once, in the first file that holds it; a file without one is not opened.
+    """
+    chosen = images.join(wanted.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("file_id", "object_id")).alias("x"))
+    # Per file the objects to decode; what is listed here is one file's own wanted images.
+    by_file = chosen.groupBy("x.file_id").agg(F.collect_list(F.struct("hash", "x.object_id")).alias("todo"))
+
+    def decode(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for content, todo in zip(pdf.content, pdf.todo, strict=True):
+                doc, rows = Document.open(bytes(content)), []
+                for x in todo:
+                    num, gen, _ = x["object_id"].split(" ")
+                    image = doc.resolve(Ref(int(num), int(gen)))
+                    shown = thumbnail(doc, image) if isinstance(image, Stream) else None
+                    rows.append((x["hash"], *(shown or (None, None))))
+                yield pd.DataFrame(rows, columns=["hash", "format", "thumbnail"])
+
+    return files.select("file_id", "content").join(by_file, "file_id").mapInPandas(decode, "hash string, format string, thumbnail binary")

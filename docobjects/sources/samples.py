@@ -64,6 +64,15 @@ def text(value: str, x: float, y: float, size: float = 12) -> str:
     return f"BT /F1 {size} Tf {x} {y} Td ({value}) Tj ET\n"
 
 
+def tiny_jpeg() -> bytes:
+    """A grey JPEG of one pixel: flat tables, one code of one bit in each, and both codes as its data."""
+    segment = lambda mark, body: bytes([0xFF, mark]) + (len(body) + 2).to_bytes(2, "big") + body
+    codes = bytes([1] + [0] * 15 + [0])
+    frame = segment(0xC0, bytes([8, 0, 1, 0, 1, 1, 1, 0x11, 0]))
+    head = b"\xff\xd8" + segment(0xDB, bytes([0]) + bytes([1] * 64)) + frame + segment(0xC4, b"\x00" + codes) + segment(0xC4, b"\x10" + codes)
+    return head + segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + b"\x3f\xff\xd9"
+
+
 def samples() -> dict[str, bytes]:
     """Files by name; what they hold is told by their names."""
     out = {}
@@ -95,6 +104,15 @@ def samples() -> dict[str, bytes]:
     b.page(draw("Im1", 0, 0, *A4), {"Im1": b.image(80, 110, 4)})
     out["scanned-page.pdf"] = b.bytes()
 
+    b = Builder()
+    b.page(draw("Im1", 0, 0, *A4) + text("A caption on the scan", 60, 742), {"Im1": b.image(80, 110, 4)})
+    out["full-page-overlap.pdf"] = b.bytes()
+
+    b = Builder()
+    info = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 1, "Height": 1, "ColorSpace": Name("DeviceGray"), "BitsPerComponent": 8, "Filter": Name("DCTDecode")}
+    b.page(draw("Im1", 100, 500, 200, 150), {"Im1": b.add(Stream(info, tiny_jpeg()))})
+    out["jpeg-image.pdf"] = b.bytes()
+
     b = Builder()
     for i in range(3):
         b.page(text("CONFIDENTIAL", 200, 800) + text(f"Only on page {i + 1}", 40, 500) + text("Company Footer 2026", 40, 30))

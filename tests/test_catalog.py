@@ -5,7 +5,9 @@ from pathlib import Path
 
 import pytest
 
-from docobjects.plans.catalog import ORACLES, QUERIES
+from docobjects.plans import catalog, pdf_catalog
+
+ORACLES, QUERIES = {**catalog.ORACLES, **pdf_catalog.ORACLES}, {**catalog.QUERIES, **pdf_catalog.QUERIES}
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -173,7 +173,7 @@ def test_labels(spark):
     assert one(spark, X.warning_label(F.lit(False), F.lit(True)), X.warning_label(F.lit(True), F.lit(True)), X.warning_label(F.lit(True), F.lit(False))) == ("unsafe", "full page", "")
     assert one(spark, X.progress(F.lit(3), F.lit(4)), X.progress(F.lit(9), F.lit(4)), X.progress(F.lit(1), F.lit(0))) == (0.75, 1.0, None)
     assert one(spark, X.content_hash(F.lit("abc"))) == ("BA7816BF8F01CFEA414140DE5DAE2223B00361A396177A9CB410FF61F20015AD",)
-    assert one(spark, X.error_kind(F.lit("PdfError"), F.lit("encrypted")), X.error_kind(F.lit("PdfError"), F.lit(None)), X.error_kind(F.lit("Odd"), F.lit(""))) == ("EncryptedOrProtected", "Corrupted", "Unknown")
+    assert one(spark, X.error_kind(F.lit("PdfError"), F.lit("encrypted")), X.error_kind(F.lit("PdfError"), F.lit(None)), X.error_kind(F.lit("Odd"), F.lit(""))) == ("PdfEncrypted", "PdfCorrupted", "Unexpected")
 
 
 def test_page_geometry(spark):

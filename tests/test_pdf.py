@@ -305,7 +305,7 @@ def test_catalogue(spark):
     assert {r.object_id for r in groups if r.file_id == "repeated-logo.pdf"} == {"IMG_001", "TXT_001", "TXT_002", "TXT_003", "TXT_004", "TXT_005"}
     regions = {(r.file_id, r.page_number): (r.members, r.kinds) for r in pdf_catalog.pdf_regions(spark, "").collect()}
     assert regions["image-and-text.pdf", 1] == (2, 2) and regions["flatten-units-a.pdf", 1] == (3, 3) and ("repeated-text.pdf", 1) not in regions
-    assert {(r.file_id, r.kind) for r in pdf_catalog.pdf_rejects(spark, "").collect()} == {("broken.pdf", "Corrupted"), ("empty.pdf", "NotAPdf")}
+    assert {(r.file_id, r.kind) for r in pdf_catalog.pdf_rejects(spark, "").collect()} == {("broken.pdf", "PdfCorrupted"), ("empty.pdf", "NotAPdf")}
     cleaned = pdf_catalog.pdf_clean_roundtrip(spark, "").collect()
     assert len(cleaned) >= 7 and all(r.left_over == 0 and r.error is None for r in cleaned)
 
