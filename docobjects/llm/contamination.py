@@ -1,11 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of 16 words are TF-IDF vectors over the benchmark's words. A randomised SVD over all passages of the corpus (one
-product A'AG with a random G, summed over partitions) spans the latent space. Passages whose TF-IDF vectors can
-be close to an item at all are compared with the items' passages by cosine in that space. What both tests may miss is looked
-up by the items' rare words: a text that is to be reported misses few words of the item, so it holds some of its rarest.
-The texts around all hits are then verified by their longest common subsequence with the item and by a check of the item's
-answer.
+Passages are TF-IDF vectors over the benchmark's words. A randomised SVD over all passages of the corpus (one
+product A'AG with a random G, summed over partitions) spans the latent space. Passages of documents and of items whose cosine
+in that space is high are candidates; nothing else is. Items of 12 words and more are cut into passages of 16 words, shorter
+ones into shorter passages, and so are the documents for them. Around a candidate, an item is verified by its longest
+common subsequence with the text and by a check of its answer.
 """
 
 from __future__ import annotations
@@ -26,23 +25,24 @@ BLOCK = 2 << 20
 MOST_ITEMS = 20_000
 #: Up to so many cells, a table says which item holds which word; beyond, a sorted list.
 TABLE_CELLS = 1 << 24
-#: Places of rare words that are looked at in one go.
-PLACES = 1 << 19
+#: Words around candidates that are looked at in one go.
+PLACES = 1 << 21
+#: Passages of documents that are compared with the items' at once.
+PASSAGES = 4096
 
 
 @dataclass(frozen=True)
 class Settings:
     words: int = 16  # of a passage
     stride: int = 8  # between passages of a document
-    item_stride: int = 4  # between passages of an item
-    dims: int = 32  # of the latent space
+    item_stride: int = 8  # between passages of an item
+    dims: int = 64  # of the latent space
     counters: int = 1 << 18  # for word frequencies
-    share: float = 0.62  # least part of a passage's length (TF-IDF) in the benchmark's words, and in those of one item
-    cosine: float = 0.5  # least cosine in the latent space
+    share: float = 0.45  # least part of a passage's length (TF-IDF) in the benchmark's words: no item's full vector is closer
+    cosine: float = 0.55  # least cosine in the latent space
     covered: float = 0.75  # of an item's words in the common subsequence
     covered_with_answer: float = 0.6  # the same, if the item's answer is there too
     answer_words: int = 6
-    rare: int = 6  # rare words of an item that must stand together for a look at the text around them
     seed: int = 3
 
 
@@ -194,154 +194,137 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+@dataclass
+class Passages:
+    """The passages of all items of about one length, as unit vectors in the latent space, by item."""
+
+    words: int
+    stride: int
+    items: np.ndarray
+    first: np.ndarray
+    vectors: np.ndarray
+
+
 class Searcher:
     """Finds a block's contaminated documents."""
 
     def __init__(self, bench: Benchmark, idf: np.ndarray, space: np.ndarray, settings: Settings):
         self.bench, self.idf, self.space, self.settings = bench, idf, space, settings
         self.own = idf[_counter(bench.vocabulary, settings)]
-        vectors, self.item = [], []
-        for k, words in enumerate(bench.items):
-            for i in self._starts(len(words), settings.item_stride):
-                term = np.unique(bench.lookup(words[i : i + settings.words]))
-                vectors.append(self.own[term] @ space[term])
-                self.item.append(k)
-        self.vectors = self._unit(np.array(vectors, dtype=np.float32).reshape(len(vectors), space.shape[1]))
-        self.item = np.array(self.item, dtype=np.int64)
-        self.first = np.flatnonzero(np.diff(self.item, prepend=-1))
         n = len(bench.vocabulary)
+        self.size = np.array([len(x) for x in bench.items], dtype=np.int64)
+        self.least = np.array([math.ceil(min(settings.covered, settings.covered_with_answer) * k) for k in self.size.tolist()], dtype=np.int64)
         self.item_words = np.unique(np.concatenate([k * n + bench.lookup(x) for k, x in enumerate(bench.items)]))
         self.table = None
         if n * len(bench.items) <= TABLE_CELLS:
             self.table = np.zeros(n * len(bench.items), dtype=bool)
             self.table[self.item_words] = True
-        self._index()
-
-    def _index(self) -> None:
-        """The items by their rarest words, so many that every text to be reported holds `together` of them.
-
-        A reported text has `least` of an item's n words in order, so it misses n - least of them at most.
-        """
-        s, bench, words, items = self.settings, self.bench, [], []
-        self.size = np.array([len(x) for x in bench.items], dtype=np.int64)
-        self.least = np.array([math.ceil(min(s.covered, s.covered_with_answer) * n) for n in self.size.tolist()], dtype=np.int64)
-        self.together = np.minimum(self.least, s.rare)
-        for k, x in enumerate(bench.items):
-            term = bench.lookup(x)
-            rarest = term[np.lexsort((term, -self.own[term]))][: len(x) - self.least[k] + self.together[k]]
-            words.append(np.unique(rarest))
-            items.append(np.full(len(words[-1]), k))
-        word, item = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (words, items))
-        order = np.argsort(word, kind="stable")
-        self.rare_item = item[order]
-        self.rare_first = np.searchsorted(word[order], np.arange(len(bench.vocabulary) + 1))
-
-    def _starts(self, n: int, stride: int) -> list[int]:
-        last = max(n - self.settings.words, 0)
-        return sorted({*range(0, last + 1, stride), last})
+        self.passages, words = [], settings.words
+        above = np.iinfo(np.int64).max
+        while words:
+            # Items of at least three quarters of a passage belong to it; the rest to passages half as long.
+            below = -(-3 * words // 4) if words > 1 else 1
+            own = np.flatnonzero((self.size >= below) & (self.size < above))
+            if len(own):
+                self.passages.append(self._of_items(own, words))
+            words, above = words // 2, below
+
+    def _of_items(self, items: np.ndarray, words: int) -> Passages:
+        s = self.settings
+        item_stride = max(s.item_stride * words // s.words, 1)
+        vectors, first = [], []
+        for k in items.tolist():
+            x = self.bench.items[k]
+            first.append(len(vectors))
+            last = max(len(x) - words, 0)
+            for i in sorted({*range(0, last + 1, item_stride), last}):
+                term = np.unique(self.bench.lookup(x[i : i + words]))
+                vectors.append(self.own[term] @ self.space[term])
+        unit = self._unit(np.array(vectors, dtype=np.float32).reshape(len(vectors), self.space.shape[1]))
+        return Passages(words, max(s.stride * words // s.words, 1), items, np.array(first), unit)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
 
-    def _passages(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _cut(tokens: Tokens, words: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
         """First and end words of all passages of the block's documents; the last passage of a document ends with it."""
-        s = self.settings
         count = tokens.count
-        last = np.maximum(count - s.words, 0)
-        n = np.where(count > 0, -(-last // s.stride) + 1, 0)
+        last = np.maximum(count - words, 0)
+        n = np.where(count > 0, -(-last // stride) + 1, 0)
         doc = np.repeat(np.arange(len(count)), n)
         k = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-        start = np.minimum(k * s.stride, last[doc]) + tokens.first[:-1][doc]
-        return start, np.minimum(start + s.words, tokens.first[1:][doc])
+        start = np.minimum(k * stride, last[doc]) + tokens.first[:-1][doc]
+        return start, np.minimum(start + words, tokens.first[1:][doc])
 
-    def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, bool]]:
-        """(document, item, common words, answer found) for every verified pair."""
-        s, bench, tokens = self.settings, self.bench, stripped(data, offsets)
-        if not len(tokens.hash) or not len(self.item):
-            return []
-        start, end = self._passages(tokens)
-        term = bench.lookup(tokens.hash)
+    def candidates(self, tokens: Tokens, term: np.ndarray, own: Passages) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first words of passages, items) whose cosine in the latent space is high, some passages at a time."""
+        s, n = self.settings, len(self.bench.vocabulary)
+        start, end = self._cut(tokens, own.words, own.stride)
         weight = self.idf[_counter(tokens.hash, s)].astype(np.float64) ** 2
         whole = np.concatenate([[0], np.cumsum(weight)])
         inside = np.concatenate([[0], np.cumsum(np.where(term >= 0, weight, 0))])
-        near = np.flatnonzero(inside[end] - inside[start] >= s.share**2 * (whole[end] - whole[start]))
-        pairs: dict[tuple[int, int], list[int]] = {}
-        for low in range(0, len(near), 4096):
-            part = near[low : low + 4096]
+        near = np.flatnonzero((inside[end] - inside[start] >= s.share**2 * (whole[end] - whole[start])) & (inside[end] > inside[start]))
+        for low in range(0, len(near), PASSAGES):
+            part = near[low : low + PASSAGES]
             size = end[part] - start[part]
             at = np.repeat(start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             owner = np.repeat(np.arange(len(part)), size)
-            code, times = np.unique(owner[term[at] >= 0] * len(bench.vocabulary) + term[at][term[at] >= 0], return_counts=True)
-            owner, word = code // len(bench.vocabulary), code % len(bench.vocabulary)
+            known = term[at] >= 0
+            code = np.unique(owner[known] * n + term[at[known]])
+            owner, word = code // n, code % n
             vectors = np.zeros((len(part), self.space.shape[1]), dtype=np.float32)
-            if len(code):
-                begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                vectors[owner[begins]] = np.add.reduceat(self.space[word] * self.own[word][:, None], begins, axis=0)
-            close = self._unit(vectors) @ self.vectors.T >= s.cosine
-            i, item = np.nonzero(np.logical_or.reduceat(close, self.first, axis=1))
-            # Of these pairs, those whose passage has enough of its length in the item's own words, repetitions counted as in `whole`.
-            begins = np.searchsorted(owner, np.arange(len(part) + 1))
-            size = (begins[1:] - begins[:-1])[i]
-            entry = np.repeat(begins[:-1][i] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            pair = np.repeat(np.arange(len(i)), size)
-            wanted = item[pair] * len(bench.vocabulary) + word[entry]
-            shared = np.bincount(pair, weights=np.where(self._stands(wanted), times[entry] * self.own[word[entry]].astype(np.float64) ** 2, 0), minlength=len(i))
-            keep = shared >= s.share**2 * (whole[end[part]] - whole[start[part]])[i]
-            for p, k in zip(part[i[keep]], item[keep], strict=True):
-                pairs.setdefault((int(tokens.doc[start[p]]), int(k)), []).append(int(start[p]))
-        for doc, item, places in self._by_rare_words(tokens, term):
-            pairs.setdefault((doc, item), []).extend(places)
+            begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            vectors[owner[begins]] = np.add.reduceat(self.space[word] * self.own[word][:, None], begins, axis=0)
+            close = self._unit(vectors) @ own.vectors.T >= s.cosine
+            i, item = np.nonzero(np.logical_or.reduceat(close, own.first, axis=1))
+            yield start[part[i]], own.items[item]
+
+    def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, bool]]:
+        """(document, item, common words, answer found) for every verified pair."""
+        tokens = stripped(data, offsets)
+        if not len(tokens.hash) or not self.passages:
+            return []
+        term = self.bench.lookup(tokens.hash)
+        pairs: dict[tuple[int, int], set[int]] = {}
+        for own in self.passages:
+            for place, item in self.candidates(tokens, term, own):
+                for k in self._possible(tokens, term, place, item, own.words).tolist():
+                    pairs.setdefault((int(tokens.doc[place[k]]), int(item[k])), set()).add(int(place[k]))
         out = []
         for (doc, item), places in sorted(pairs.items()):
-            best = self._verify(tokens, doc, bench.items[item], sorted(set(places)))
+            best = self._verify(tokens, doc, self.bench.items[item], sorted(places))
             if best:
                 out.append((doc, item, *best))
         return out
 
-    def _by_rare_words(self, tokens: Tokens, term: np.ndarray) -> Iterator[tuple[int, int, range]]:
-        """(document, item, places) wherever enough of an item's rare words, and enough of all its words, stand near each other.
-
-        The places are `stride` words apart, so that the regions around them cover whatever may hold these words.
-        """
-        s = self.settings
-        count = np.where(term >= 0, np.diff(self.rare_first)[term], 0)
-        total = np.concatenate([[0], np.cumsum(count)])[tokens.first]
-        reach = np.maximum(self.size, s.words) + 2 * self.size  # words of a region
-        d = 0
-        while d < tokens.n_docs:
-            e = max(d + 1, int(np.searchsorted(total, total[d] + PLACES, side="right")) - 1)
-            at = np.arange(tokens.first[d], tokens.first[e])
-            at, d = at[count[at] > 0], e
-            if not len(at):
-                continue
-            n = count[at]
-            item = self.rare_item[np.repeat(self.rare_first[term[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            place = np.repeat(at, n)
-            order = np.argsort(item, kind="stable")
-            item, place = item[order], place[order]
-            # The last of so many rare words from here on, if it is of the same text and near enough.
-            j = np.arange(len(item)) + self.together[item] - 1
-            fits, j = j < len(item), np.minimum(j, len(item) - 1)
-            fits &= (item[j] == item) & (place[j] - place < reach[item]) & (tokens.doc[place[j]] == tokens.doc[place])
-            item, low, high = item[fits], place[fits], place[j[fits]]
-            begin = np.maximum(high - reach[item] + 1, tokens.first[tokens.doc[low]])
-            end = np.minimum(low + reach[item], tokens.first[tokens.doc[low] + 1])
-            size = end - begin
-            cuts = np.append(np.arange(0, len(item), 4096), len(item))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                length = size[a:b]
-                near = np.repeat(begin[a:b] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-                owner = np.repeat(np.arange(b - a), length)
-                known = term[near] >= 0
-                near, owner = near[known], owner[known]
-                held = np.bincount(owner[self._stands(item[a:b][owner] * len(self.bench.vocabulary) + term[near])], minlength=b - a)
-                for i in np.flatnonzero(held >= self.least[item[a:b]]) + a:
-                    doc, k = int(tokens.doc[low[i]]), int(item[i])
-                    first, last = int(tokens.first[doc]), int(tokens.first[doc + 1])
-                    lowest = max(int(high[i]) - int(reach[k]) + int(self.size[k]) - first, 0) // s.stride
-                    highest = min(int(low[i]) + int(self.size[k]) + s.stride, last - 1) - first
-                    yield doc, k, range(first + lowest * s.stride, first + highest + 1, s.stride)
+    def _region(self, tokens: Tokens, place: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Around a passage, a stretch as long as the item on both sides, within the document."""
+        doc = tokens.doc[place]
+        return np.maximum(place - n, tokens.first[doc]), np.minimum(place + np.maximum(n, words) + n, tokens.first[doc + 1])
+
+    def _possible(self, tokens: Tokens, term: np.ndarray, place: np.ndarray, item: np.ndarray, words: int) -> np.ndarray:
+        """Candidates around which enough words of the item stand at all: no more of them can be common."""
+        low, high = self._region(tokens, place, self.size[item], words)
+        known = term >= 0
+        before = np.concatenate([[0], np.cumsum(known)])
+        words_known = term[known].astype(np.int32 if self.table is not None else np.int64)
+        low, high = before[low], before[high]
+        open_ = np.flatnonzero(high - low >= self.least[item])
+        low, size = low[open_], (high - low)[open_]
+        code = (item[open_] * len(self.bench.vocabulary)).astype(words_known.dtype)
+        upto, out, a = np.cumsum(size), [], 0
+        while a < len(open_):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PLACES, side="right")))
+            own = size[a:b]
+            first = np.cumsum(own) - own
+            at = np.repeat((low[a:b] - first).astype(np.int32), own) + np.arange(int(own.sum()), dtype=np.int32)
+            stands = self._stands(words_known[at] + np.repeat(code[a:b], own))
+            held = np.add.reduceat(stands, first, dtype=np.int32)
+            out.append(open_[a:b][held >= self.least[item[open_[a:b]]]])
+            a = b
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def _stands(self, codes: np.ndarray) -> np.ndarray:
         """Whether an item holds a word, by item x words + word."""
@@ -401,7 +384,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the answer. Every document is searched over its whole text.
 
     Null or empty texts and items give no rows; items or rows with equal ids are reported apart; an item with fewer
-    words than a passage is found by its rare words alone, down to a single word; empty tables give an empty result. Other columns are not read.
+    words than a passage is looked for in shorter ones, down to a single word; very long texts are searched whole, as blocks of
+    their own; empty tables give an empty result. Other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     item_type = benchmark.schema[item_col].dataType.simpleString()
@@ -435,7 +419,11 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs, with all their columns, in which no benchmark item stands."""
+    """The rows of docs, with all their columns, in which no benchmark item stands.
+
+    Null and empty texts stay; rows that repeat an id are decided apart, each by its text; an empty benchmark keeps all; columns
+    of any name pass through.
+    """
     out = docs
     for _, searcher in _searchers(docs.select(F.col(text_col).alias("text")), benchmark, item_col, item_text_col, settings):
         shared = docs.sparkSession.sparkContext.broadcast(searcher)
