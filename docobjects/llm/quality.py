@@ -1,8 +1,9 @@
 """Quality by random-indexing word vectors, pooled per document, and a two-layer network with calibrated temperature.
 
-Every term (a word's hash bucket, or its shape: case, digits, marks, length, repetition) has a fixed sparse ternary index
-vector. A term's vector is the sum of the index vectors of the terms around it over the whole corpus; being integers,
-the sums do not depend on partitions or order. A document is the mean of its terms' vectors.
+Every word, as it is written, has a fixed sparse ternary index vector by its hash. A word's vector is the sum of the index
+vectors of the words around it over the whole corpus; being integers, the sums do not depend on partitions or order. A
+document is the mean of its words' vectors with its length, and how well the words' vectors fit the words around them here:
+mean and spread of their cosine with the local sum of index vectors, and of the product of neighbours' vectors.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Tokens, blocks, crc_mod5, mix, text_bytes
+from .kernels import U64, Tokens, blocks, crc_mod5, text_bytes
 from .training import ROWS_PER_CLASS, Adam, sigmoid, training_rows
 
 BLOCK = 1 << 20
@@ -23,9 +24,8 @@ BLOCK = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 1 << 14
-    shapes: int = 1 << 11
-    dims: int = 32
+    words: int = 1 << 15
+    dims: int = 48
     entries: int = 4
     around: int = 2
     hidden: int = 32
@@ -34,109 +34,95 @@ class Settings:
     decay: float = 1e-3
     seed: int = 5
 
+    @property
+    def features(self) -> int:
+        return self.dims + 6
+
     def index_vectors(self) -> np.ndarray:
-        """A fixed sparse ternary vector for each term."""
+        """A fixed sparse ternary vector for each hash bucket of words."""
         rng = np.random.default_rng(self.seed)
-        n = self.words + self.shapes
-        out = np.zeros((n, self.dims), dtype=np.int8)
+        out = np.zeros((self.words, self.dims), dtype=np.int8)
         for _ in range(self.entries):
-            out[np.arange(n), rng.integers(0, self.dims, n)] = rng.choice(np.array([-1, 1], np.int8), n)
+            out[np.arange(self.words), rng.integers(0, self.dims, self.words)] = rng.choice(np.array([-1, 1], np.int8), self.words)
         return out
 
 
-# Classes of bytes in a word's shape.
-_UPPER, _LOWER_CASE, _DIGIT, _MARK = 1, 2, 4, 8
-_CLASS = np.zeros(256, dtype=np.uint8)
-_CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = _UPPER, _LOWER_CASE, _DIGIT
-_CLASS[128:] = _LOWER_CASE
-for _low, _high in ((33, 48), (58, 65), (91, 97), (123, 127)):
-    _CLASS[_low:_high] = _MARK
-
-
-def terms(data: np.ndarray, offsets: np.ndarray, settings: Settings) -> tuple[Tokens, np.ndarray, np.ndarray]:
-    """Tokens (lower case) and for each its word term and its shape term."""
-    tokens = Tokens(data, offsets)
-    n = len(tokens.hash)
-    if not n:
-        return tokens, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = _CLASS[data]
-    totals = {}
-    for k in (_UPPER, _LOWER_CASE, _DIGIT, _MARK):
-        sums = np.concatenate([[0], np.cumsum(kind == k)])
-        totals[k] = sums[tokens.end] - sums[tokens.start]
-    length = tokens.end - tokens.start
-    last = np.where(kind[tokens.end - 1] == _MARK, data[tokens.end - 1], 0).astype(np.int64)
-    case = np.where(totals[_UPPER] == 0, 0, np.where(totals[_LOWER_CASE] > 0, 1, np.where(totals[_UPPER] > 1, 3, 2)))
-    again = np.zeros(n, dtype=np.int64)
-    again[1:] = (tokens.hash[1:] == tokens.hash[:-1]) & (tokens.doc[1:] == tokens.doc[:-1])
-    shape = last
-    for part, base in ((case, 4), (totals[_DIGIT] > 0, 2), (np.minimum(totals[_MARK], 3), 4), (again, 2), (np.minimum(length.astype(np.int64) // 4, 7), 8)):
-        shape = shape * base + part
-    return tokens, (tokens.hash >> U64(20) & U64(settings.words - 1)).astype(np.int64), settings.words + (mix(shape.astype(U64)) & U64(settings.shapes - 1)).astype(np.int64)
+def words_of(data: np.ndarray, offsets: np.ndarray, settings: Settings) -> tuple[Tokens, np.ndarray]:
+    """Tokens as they are written, and the bucket of each."""
+    tokens = Tokens(data, offsets, lower=False)
+    return tokens, (tokens.hash >> U64(20) & U64(settings.words - 1)).astype(np.int64)
+
+
+def surroundings(tokens: Tokens, word: np.ndarray, index: np.ndarray, settings: Settings) -> np.ndarray:
+    """For each token the sum of the index vectors of the words around it in its text."""
+    near = np.zeros((len(word), settings.dims), dtype=np.int8)
+    own = index[word]
+    for k in range(1, min(settings.around, len(word) - 1) + 1):
+        same = (tokens.doc[k:] == tokens.doc[:-k])[:, None]
+        near[k:] += own[:-k] * same
+        near[:-k] += own[k:] * same
+    return near
 
 
 def _context_sums(settings: Settings):
-    """Of each partition, the summed context vector and count of each term that occurs in it."""
+    """Of each partition, the summed context vector and count of each word that occurs in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = settings.index_vectors()
-        total = np.zeros((settings.words + settings.shapes, settings.dims + 1), dtype=np.int64)
+        total = np.zeros((settings.words, settings.dims + 1), dtype=np.int64)
         for batch in batches:
             for block in blocks(batch, "text", BLOCK):
-                tokens, word, shape = terms(*text_bytes(block.column(0)), settings)
-                n = len(word)
-                if not n:
+                tokens, word = words_of(*text_bytes(block.column(0)), settings)
+                if not len(word):
                     continue
-                own = index[word] + index[shape]
-                near = np.zeros((n, settings.dims), dtype=np.int8)
-                for k in range(1, min(settings.around, n - 1) + 1):
-                    same = (tokens.doc[k:] == tokens.doc[:-k])[:, None]
-                    near[k:] += own[:-k] * same
-                    near[:-k] += own[k:] * same
-                for term in (word, shape):
-                    order = np.argsort(term, kind="stable")
-                    ids, start = np.unique(term[order], return_index=True)
-                    total[ids, :-1] += np.add.reduceat(near[order], start, axis=0, dtype=np.int64)
-                    total[ids, -1] += np.diff(np.append(start, n))
+                near = surroundings(tokens, word, index, settings)
+                order = np.argsort(word, kind="stable")
+                ids, start = np.unique(word[order], return_index=True)
+                total[ids, :-1] += np.add.reduceat(near[order], start, axis=0, dtype=np.int64)
+                total[ids, -1] += np.diff(np.append(start, len(word)))
         seen = np.flatnonzero(total[:, -1])
-        yield pa.record_batch([pa.array(seen.astype(np.int32))] + [pa.array(total[seen, j]) for j in range(settings.dims + 1)], names=["term"] + [f"s{j}" for j in range(settings.dims + 1)])
+        yield pa.record_batch([pa.array(seen.astype(np.int32))] + [pa.array(total[seen, j]) for j in range(settings.dims + 1)], names=["word"] + [f"s{j}" for j in range(settings.dims + 1)])
 
     return run
 
 
-def term_vectors(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """Centred unit vectors of all terms, from every text of docs; a term that never occurs is the zero vector."""
+def word_vectors(docs: DataFrame, settings: Settings) -> np.ndarray:
+    """Centred unit vectors of all words, from every text of docs; a word that never occurs is the zero vector."""
     names = [f"s{j}" for j in range(settings.dims + 1)]
-    sums = docs.mapInArrow(_context_sums(settings), "term int, " + ", ".join(f"{c} long" for c in names))
-    table = sums.groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).toPandas().sort_values("term")  # words + shapes rows
-    out = np.zeros((settings.words + settings.shapes, settings.dims), dtype=np.float64)
-    counts = np.zeros(len(out))
-    ids = table["term"].to_numpy(dtype=np.int64)
-    values = table[names].to_numpy(dtype=np.float64)
+    sums = docs.mapInArrow(_context_sums(settings), "word int, " + ", ".join(f"{c} long" for c in names))
+    table = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]).toPandas().sort_values("word")  # a fixed number of buckets
+    out, counts = np.zeros((settings.words, settings.dims)), np.zeros(settings.words)
+    ids, values = table["word"].to_numpy(dtype=np.int64), table[names].to_numpy(dtype=np.float64)
     counts[ids] = values[:, -1]
     out[ids] = values[:, :-1] / np.maximum(values[:, -1:], 1)
-    for part in (slice(0, settings.words), slice(settings.words, None)):
-        seen = counts[part] > 0
-        if seen.any():
-            own = out[part]
-            own[seen] -= np.average(own[seen], axis=0, weights=counts[part][seen])
-            own[seen] /= np.linalg.norm(own[seen], axis=1, keepdims=True) + 1e-6
+    seen = counts > 0
+    if seen.any():
+        out[seen] -= np.average(out[seen], axis=0, weights=counts[seen])
+        out[seen] /= np.linalg.norm(out[seen], axis=1, keepdims=True) + 1e-6
     return out.astype(np.float32)
 
 
-def pool(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, settings: Settings) -> np.ndarray:
-    """Each document's mean word vector, mean shape vector, their lengths and its log word count (no words: zeros)."""
-    tokens, word, shape = terms(data, offsets, settings)
+def pool(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, index: np.ndarray, settings: Settings) -> np.ndarray:
+    """Each document's mean word vector, its length, log word count, and mean and spread of the words' fit to the words
+    around them and of neighbours' products (no words: zeros)."""
+    tokens, word = words_of(data, offsets, settings)
     some = tokens.count > 0
-    out = np.zeros((tokens.n_docs, 2 * settings.dims + 3), dtype=np.float64)
+    out = np.zeros((tokens.n_docs, settings.features), dtype=np.float64)
     if some.any():
-        starts = tokens.first[:-1][some]
-        count = tokens.count[some][:, None]
-        for k, term in enumerate((word, shape)):
-            mean = np.add.reduceat(vectors[term], starts, axis=0, dtype=np.float64) / count
-            out[some, k * settings.dims : (k + 1) * settings.dims] = mean
-            out[some, 2 * settings.dims + k] = np.linalg.norm(mean, axis=1)
-        out[some, -1] = np.log(count[:, 0])
+        starts, count = tokens.first[:-1][some], tokens.count[some].astype(np.float64)
+        mean = lambda x: np.add.reduceat(x, starts, axis=0, dtype=np.float64)
+        own = vectors[word]
+        near = surroundings(tokens, word, index, settings).astype(np.float32)
+        fit = np.einsum("ij,ij->i", near, own) / (np.sqrt(np.einsum("ij,ij->i", near, near)) + 1e-6)
+        step = np.zeros(len(word), dtype=np.float32)
+        step[1:] = np.einsum("ij,ij->i", own[1:], own[:-1]) * (tokens.doc[1:] == tokens.doc[:-1])
+        out[some, : settings.dims] = mean(own) / count[:, None]
+        out[some, settings.dims] = np.linalg.norm(out[some, : settings.dims], axis=1)
+        out[some, settings.dims + 1] = np.log(count)
+        for k, x in enumerate((fit, step)):
+            middle = mean(x) / count
+            out[some, settings.dims + 2 + 2 * k] = middle
+            out[some, settings.dims + 3 + 2 * k] = np.sqrt(np.maximum(mean(x * x) / count - middle * middle, 0))
     return out
 
 
@@ -181,30 +167,31 @@ def train_network(x: np.ndarray, y: np.ndarray, totals: dict[int, int], settings
 
 
 class Scorer:
-    """Scores blocks of texts with term vectors and a network."""
+    """Scores blocks of texts with word vectors and a network."""
 
     def __init__(self, vectors: np.ndarray, network: Network, settings: Settings):
-        self.vectors, self.network, self.settings = vectors, network, settings
+        self.vectors, self.network, self.settings, self.index = vectors, network, settings, settings.index_vectors()
 
     def __call__(self, column: pa.Array) -> np.ndarray:
-        return self.network.score(pool(*text_bytes(column), self.vectors, self.settings))
+        return self.network.score(pool(*text_bytes(column), self.vectors, self.index, self.settings))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held_out_fold: int, settings: Settings) -> Scorer:
-    """Term vectors from all texts of docs (no labels enter them), and a network from at most ROWS_PER_CLASS labelled
+    """Word vectors from all texts of docs (no labels enter them), and a network from at most ROWS_PER_CLASS labelled
     rows of each class outside the held-out fold."""
-    vectors = docs.sparkSession.sparkContext.broadcast(term_vectors(docs.select(F.col(text_col).alias("text")), settings))
+    vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs.select(F.col(text_col).alias("text")), settings))
     rows, totals = training_rows(docs, labels, label_col, id_col, text_col, held_out_fold, ROWS_PER_CLASS)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = settings.index_vectors()
         for batch in batches:
             for block in blocks(batch, "text", BLOCK):
-                x = pool(*text_bytes(block.column(1)), vectors.value, settings)
+                x = pool(*text_bytes(block.column(1)), vectors.value, index, settings)
                 yield pa.record_batch([block.column(0), block.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     sample = rows.mapInArrow(pooled, f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<double>").collect()  # bounded: ROWS_PER_CLASS
     sample.sort(key=lambda r: (r.id, r.x))
-    x = np.array([r.x for r in sample]).reshape(len(sample), 2 * settings.dims + 3)
+    x = np.array([r.x for r in sample]).reshape(len(sample), settings.features)
     return Scorer(vectors.value, train_network(x, np.array([r.y for r in sample], dtype=np.int64), totals, settings), settings)
 
 
@@ -212,7 +199,8 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """doc_id, held_out, score, predicted for every whole text of df.
 
     A null or empty text is the zero vector; a null id counts as the empty text in the fold; rows with equal ids
-    are scored apart; without labels of both classes the score is the share of label 1. Other columns are not read.
+    are scored apart; with fewer than ten labelled rows, or without labels of both classes, the score is the share of label 1.
+    Very long texts are pooled whole, as blocks of their own; an empty table gives an empty result. Other columns are not read.
     """
     scorer = df.sparkSession.sparkContext.broadcast(learn(df, labels, id_col, text_col, label_col, held_out_fold, settings))
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -228,7 +216,11 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, held_out_fold: int = 0, settings: Settings = Settings()) -> DataFrame:
-    """The rows of df, with all their columns, whose quality score reaches the threshold; row by row, without a join."""
+    """The rows of df, with all their columns, whose quality score reaches the threshold; row by row, without a join.
+
+    Null and empty texts, repeated ids, few labels, very long texts and empty tables are handled as by `score_quality`; columns
+    of any name pass through.
+    """
     scorer = df.sparkSession.sparkContext.broadcast(learn(df, labels, id_col, text_col, label_col, held_out_fold, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
