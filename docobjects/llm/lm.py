@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from ..lineage import cut, width
+from ..lineage import cut, steady, width
 from .kernels import U64, Tokens, blocks, crc_mod5, gaps, home_key, mix, narrow, pack, release, text_bytes, unpack
 
 #: The mark that ends every text, and stands before its first word as context.
@@ -265,7 +265,7 @@ def score_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = 8 * width(spark)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    asked = docs.mapInArrow(_ask(keys, id_type, test_fold, deleted_fold), SCHEMA_ASK)
+    asked = steady(docs).mapInArrow(_ask(keys, id_type, test_fold, deleted_fold), SCHEMA_ASK)
     answered = asked.groupBy("key").applyInPandas(_sum_range, SCHEMA_ASK)
     resolved = cut(answered.groupBy("block").applyInPandas(_resolve, SCHEMA_ASK))
     stats = np.zeros(4)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from ..lineage import width
+from ..lineage import steady, width
 from .kernels import POWERS, U64, Powers, blocks, gaps, home_key, mix, narrow, pack, prefix_hash, range_hash, release, text_bytes, unpack
 
 #: Bytes of an anchor.
@@ -457,7 +457,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"length must lie between {ANCHOR + 1} and 255")
     keys = 8 * width(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    asked = docs.mapInArrow(_ask(keys, length), ROWS_DDL)
+    asked = steady(docs).mapInArrow(_ask(keys, length), ROWS_DDL)
     settled = asked.groupBy("key").applyInArrow(_settle_anchors, ROWS_DDL)
     left = settled.groupBy("block").applyInArrow(_ask_contexts(keys, length), ROWS_DDL)
     compared = left.groupBy("key").applyInArrow(_settle_contexts(length), ROWS_DDL)

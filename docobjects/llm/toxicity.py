@@ -21,6 +21,8 @@ from .training import Adam, sigmoid, training_rows
 
 #: At most so many labelled rows of each class are learned from.
 ROWS_PER_CLASS = 1500
+#: And at most so many bytes of text of each class, so that the sample fits the driver; every text is scored whole.
+BYTES_PER_CLASS = 32 << 20
 
 BLOCK = 2 << 20
 
@@ -162,13 +164,13 @@ def train(texts: list[str | None], y: np.ndarray, totals: dict[int, int], settin
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, held_out_fold: int = 0, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted for every whole text of df.
 
-    Learns from at most ROWS_PER_CLASS labelled rows of each class outside the held-out fold; nothing but the text
+    Learns from at most ROWS_PER_CLASS labelled rows and BYTES_PER_CLASS of each class outside the held-out fold; nothing but the text
     enters a score. A null or empty text scores as the bias; a null id counts as the empty text in the
     fold; rows with equal ids are scored apart; without labels of both classes the score is the share of label 1.
-    Very long texts are scored over all their runs. Other columns are not read.
+    Very long texts are scored over all their runs; an empty table gives an empty result. Other columns are not read.
     """
-    rows, totals = training_rows(df, labels, label_col, id_col, text_col, held_out_fold, ROWS_PER_CLASS)
-    sample = sorted(rows.collect(), key=lambda r: (r.id, r.text or ""))  # bounded: ROWS_PER_CLASS
+    rows, totals = training_rows(df, labels, label_col, id_col, text_col, held_out_fold, ROWS_PER_CLASS, BYTES_PER_CLASS)
+    sample = sorted(rows.collect(), key=lambda r: (r.id, r.text or ""))  # bounded: ROWS_PER_CLASS and BYTES_PER_CLASS
     model = df.sparkSession.sparkContext.broadcast(train([r.text for r in sample], np.array([r.y for r in sample], dtype=np.int64), totals, settings))
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

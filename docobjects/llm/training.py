@@ -5,17 +5,21 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..lineage import cut
 
 #: At most so many labelled rows of each class are learned from.
 ROWS_PER_CLASS = 3000
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", held_out_fold: int = 0, rows_per_class: int = ROWS_PER_CLASS) -> tuple[DataFrame, dict[int, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", held_out_fold: int = 0, rows_per_class: int = ROWS_PER_CLASS, bytes_per_class: int | None = None) -> tuple[DataFrame, dict[int, int]]:
     """(id, text, y) of a bounded sample of labelled rows, and how many labelled rows each class has.
 
     Only ids whose crc32(id as text) mod 5 is not `held_out_fold` count. Rows of `labels` with a null id or
     label are left out; if an id has several labels the larger holds. Of each class the `rows_per_class` rows
-    with the smallest id hashes are taken, so the sample does not depend on partitions.
+    with the smallest id hashes are taken, so the sample does not depend on partitions; of rows of `docs` that repeat an id, the
+    text of least hash. With `bytes_per_class`, texts in that order are taken up to so many bytes, and longer ones passed over.
     """
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -30,7 +34,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
         chosen = own if chosen is None else chosen.unionByName(own)
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
     joined = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most 2 x rows_per_class rows
-    return joined.select(F.col("_id").alias("id"), "text", "y"), totals
+    sample = cut(joined.groupBy(F.col("_id").alias("id"), "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "y"))
+    if bytes_per_class is not None:
+        upto = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+        sizes = sample.select("id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+        taken = sizes.where(F.col("size") <= bytes_per_class).withColumn("upto", upto).where(F.col("upto") <= bytes_per_class).select("id")
+        sample = sample.join(F.broadcast(taken), "id", "left_semi")  # at most 2 x rows_per_class rows
+    return sample, totals
 
 
 class Adam:

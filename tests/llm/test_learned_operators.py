@@ -146,6 +146,86 @@ def test_contamination_repeated_words(spark):
     assert len(planted) > 24 and planted <= {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
 
 
+def test_contamination_candidates_come_from_the_cosine():
+    """A closer cosine gives fewer candidates, none gives every passage with every item; copies are among the few."""
+    from dataclasses import replace
+
+    import pyarrow as pa
+
+    from docobjects.llm import contamination as C
+    from docobjects.llm.kernels import text_bytes
+
+    rng = random.Random(15)
+    syllables = "qua vel mor sti lan gro pex dun".split()
+    items = [(i, prose(rng, 24, syllables)) for i in range(20)]
+    texts = [prose(rng, 60, syllables) + " " + t + " " + prose(rng, 60, syllables) for _, t in items]
+    bench, s = C.Benchmark.of(items), C.Settings()
+    data, offsets = text_bytes(pa.array(texts, pa.large_string()))
+    tokens = C.stripped(data, offsets)
+    term = bench.lookup(tokens.hash)
+    idf = np.ones(s.counters, dtype=np.float32)
+    # The exact singular vectors of the items' passages stand in for those of a corpus.
+    rows = np.zeros((len(items), len(bench.vocabulary)))
+    for k, x in enumerate(bench.items):
+        rows[k, bench.lookup(x)] = 1
+    space = np.linalg.svd(rows, full_matrices=False)[2].T.astype(np.float32)
+    pairs = {}
+    for cosine in (-2.0, 0.3, s.cosine):
+        searcher = C.Searcher(bench, idf, space, replace(s, cosine=cosine))
+        pairs[cosine] = {(int(tokens.doc[p]), int(k)) for place, item in searcher.candidates(tokens, term, searcher.passages[0]) for p, k in zip(place, item)}
+    assert {(k, k) for k in range(20)} <= pairs[s.cosine] < pairs[0.3] < pairs[-2.0] == {(d, k) for d in range(20) for k in range(20)}
+    off = C.Searcher(bench, idf, space, replace(s, cosine=2.0))
+    assert off.hits(data, offsets) == [] and {(d, k) for d, k, *_ in C.Searcher(bench, idf, space, s).hits(data, offsets)} == {(k, k) for k in range(20)}
+
+
+def plain_quality(texts, index, vectors, network, settings):
+    """Scores text by text and word by word."""
+    from docobjects.llm import kernels
+
+    out = []
+    for text in texts:
+        import pyarrow as pa
+
+        tokens = kernels.Tokens(*kernels.text_bytes(pa.array([text], pa.large_string())), lower=False)
+        words = [int(h >> np.uint64(20)) % settings.words for h in tokens.hash]
+        x = np.zeros(settings.features)
+        if words:
+            near = [sum((index[w].astype(float) for j, w in enumerate(words) if 0 < abs(i - j) <= settings.around), np.zeros(settings.dims)) for i in range(len(words))]
+            fit = [float(near[i] @ vectors[w] / (np.linalg.norm(near[i]) + 1e-6)) for i, w in enumerate(words)]
+            step = [0.0] + [float(vectors[a] @ vectors[b]) for a, b in itertools.pairwise(words)]
+            mean = np.mean([vectors[w] for w in words], axis=0)
+            x = np.array([*mean, np.linalg.norm(mean), np.log(len(words)), np.mean(fit), np.std(fit), np.mean(step), np.std(step)])
+        out.append(float(network.score(x[None, :])[0]))
+    return out
+
+
+def test_quality_scores_equal_plain_ones(labelled):
+    import pyarrow as pa
+
+    from docobjects.llm import quality as Q
+
+    docs, labels = labelled
+    scorer = Q.learn(docs, labels, "doc_id", "text", "quality", 0, Q.Settings())
+    texts = ["", None, "one", "Same Same Same", " ".join(prose(random.Random(1), 400).split()), "A b. C!! d\ne"]
+    assert scorer(pa.array(texts, pa.large_string())) == pytest.approx(plain_quality(texts, scorer.index, scorer.vectors, scorer.network, Q.Settings()), abs=1e-4)
+
+
+def test_quality_needs_its_word_vectors(labelled):
+    docs, labels = labelled
+    from docobjects.llm import quality as Q
+
+    scorer = Q.learn(docs, labels, "doc_id", "text", "quality", 0, Q.Settings())
+    want = {r.doc_id: r.quality for r in labels.where("quality is not null and doc_id is not null").collect()}
+    rows = [r for r in docs.collect() if r.doc_id in want and r.doc_id != 5 and brute.fold(r.doc_id) == 0]
+    import pyarrow as pa
+
+    column = pa.array([r.text for r in rows], pa.large_string())
+    y = np.array([want[r.doc_id] for r in rows])
+    with_vectors = ((scorer(column) >= 0.3) == y).mean()
+    scorer.vectors = np.zeros_like(scorer.vectors)
+    assert with_vectors > 0.95 and ((scorer(column) >= 0.3) == y).mean() < 0.8
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
