@@ -137,8 +137,8 @@ def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, settings: S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench, idf = shared.value
-        planes = _random_planes(n, settings)
-        own = idf[_counter(bench.vocabulary, settings)]
+        own = idf[_counter(bench.vocabulary, settings)][:, None]
+        planes = _random_planes(n, settings) * own
         total = np.zeros((n, settings.dims))
         for batch in batches:
             for block in blocks(batch, "text", BLOCK // 2):
@@ -155,13 +155,15 @@ def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, settings: S
                 if not len(at):
                     continue
                 term, passage = term[at], passage[at]
-                value = (own[term] / length[passage])[:, None]
+                # A row of A is its words' weights over the passage's length: both scale rows, before and after the sums.
                 starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
                 product = np.zeros((len(begins), settings.dims), dtype=np.float32)
-                product[passage[starts]] = np.add.reduceat(planes[term] * value, starts, axis=0)
+                product[passage[starts]] = np.add.reduceat(planes[term], starts, axis=0) / (length[passage[starts]] ** 2)[:, None]
                 order = np.argsort(term, kind="stable")
-                starts = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
-                total[term[order][starts]] += np.add.reduceat(product[passage[order]] * value[order], starts, axis=0)
+                term, passage = term[order], passage[order]
+                starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+                total[term[starts]] += np.add.reduceat(product[passage], starts, axis=0)
+        total *= own
         seen = np.flatnonzero(np.abs(total).sum(axis=1))
         grid = np.round(total[seen] * (1 << 20)).astype(np.int64)
         yield pa.record_batch([pa.array(seen.astype(np.int32))] + [pa.array(grid[:, j]) for j in range(settings.dims)], names=["term", *names])
@@ -196,12 +198,11 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 @dataclass
 class Passages:
-    """The passages of all items of about one length, as unit vectors in the latent space, by item."""
+    """The passages of all items of about one length: the item of each, and unit vectors in the latent space."""
 
     words: int
     stride: int
-    items: np.ndarray
-    first: np.ndarray
+    owner: np.ndarray
     vectors: np.ndarray
 
 
@@ -210,15 +211,16 @@ class Searcher:
 
     def __init__(self, bench: Benchmark, idf: np.ndarray, space: np.ndarray, settings: Settings):
         self.bench, self.idf, self.space, self.settings = bench, idf, space, settings
-        self.own = idf[_counter(bench.vocabulary, settings)]
+        own = idf[_counter(bench.vocabulary, settings)]
+        self.scaled = (space * own[:, None]).astype(np.float32)
         n = len(bench.vocabulary)
         self.size = np.array([len(x) for x in bench.items], dtype=np.int64)
         self.least = np.array([math.ceil(min(settings.covered, settings.covered_with_answer) * k) for k in self.size.tolist()], dtype=np.int64)
-        self.item_words = np.unique(np.concatenate([k * n + bench.lookup(x) for k, x in enumerate(bench.items)]))
+        self.item_words, self.times = np.unique(np.concatenate([k * n + bench.lookup(x) for k, x in enumerate(bench.items)]), return_counts=True)
         self.table = None
         if n * len(bench.items) <= TABLE_CELLS:
-            self.table = np.zeros(n * len(bench.items), dtype=bool)
-            self.table[self.item_words] = True
+            self.table = np.zeros(n * len(bench.items), dtype=np.int32)
+            self.table[self.item_words] = self.times
         self.passages, words = [], settings.words
         above = np.iinfo(np.int64).max
         while words:
@@ -232,16 +234,16 @@ class Searcher:
     def _of_items(self, items: np.ndarray, words: int) -> Passages:
         s = self.settings
         item_stride = max(s.item_stride * words // s.words, 1)
-        vectors, first = [], []
+        vectors, owner = [], []
         for k in items.tolist():
             x = self.bench.items[k]
-            first.append(len(vectors))
             last = max(len(x) - words, 0)
             for i in sorted({*range(0, last + 1, item_stride), last}):
                 term = np.unique(self.bench.lookup(x[i : i + words]))
-                vectors.append(self.own[term] @ self.space[term])
+                vectors.append(self.scaled[term].sum(axis=0))
+                owner.append(k)
         unit = self._unit(np.array(vectors, dtype=np.float32).reshape(len(vectors), self.space.shape[1]))
-        return Passages(words, max(s.stride * words // s.words, 1), items, np.array(first), unit)
+        return Passages(words, max(s.stride * words // s.words, 1), np.array(owner), unit)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -276,10 +278,12 @@ class Searcher:
             owner, word = code // n, code % n
             vectors = np.zeros((len(part), self.space.shape[1]), dtype=np.float32)
             begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            vectors[owner[begins]] = np.add.reduceat(self.space[word] * self.own[word][:, None], begins, axis=0)
-            close = self._unit(vectors) @ own.vectors.T >= s.cosine
-            i, item = np.nonzero(np.logical_or.reduceat(close, own.first, axis=1))
-            yield start[part[i]], own.items[item]
+            vectors[owner[begins]] = np.add.reduceat(self.scaled[word], begins, axis=0)
+            i, k = np.nonzero(self._unit(vectors) @ own.vectors.T >= s.cosine)
+            item = own.owner[k]
+            new = np.ones(len(i), dtype=bool)  # an item's passages lie side by side
+            new[1:] = (i[1:] != i[:-1]) | (item[1:] != item[:-1])
+            yield start[part[i[new]]], item[new]
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, bool]]:
         """(document, item, common words, answer found) for every verified pair."""
@@ -305,7 +309,7 @@ class Searcher:
         return np.maximum(place - n, tokens.first[doc]), np.minimum(place + np.maximum(n, words) + n, tokens.first[doc + 1])
 
     def _possible(self, tokens: Tokens, term: np.ndarray, place: np.ndarray, item: np.ndarray, words: int) -> np.ndarray:
-        """Candidates around which enough words of the item stand at all: no more of them can be common."""
+        """Candidates around which enough words of the item stand at all, as often as in the item: no more can be common."""
         low, high = self._region(tokens, place, self.size[item], words)
         known = term >= 0
         before = np.concatenate([[0], np.cumsum(known)])
@@ -320,18 +324,24 @@ class Searcher:
             own = size[a:b]
             first = np.cumsum(own) - own
             at = np.repeat((low[a:b] - first).astype(np.int32), own) + np.arange(int(own.sum()), dtype=np.int32)
-            stands = self._stands(words_known[at] + np.repeat(code[a:b], own))
-            held = np.add.reduceat(stands, first, dtype=np.int32)
-            out.append(open_[a:b][held >= self.least[item[open_[a:b]]]])
+            times = self._times(words_known[at] + np.repeat(code[a:b], own))
+            least = self.least[item[open_[a:b]]]
+            enough = np.add.reduceat(times > 0, first, dtype=np.int32) >= least
+            # Of these, no word counts more often than it stands in the item.
+            flat = np.flatnonzero(np.repeat(enough, own) & (times > 0))
+            owner = np.repeat(np.arange(b - a), own)[flat]
+            _, where, count = np.unique(owner * len(self.bench.vocabulary) + words_known[at[flat]], return_index=True, return_counts=True)
+            held = np.bincount(owner[where], weights=np.minimum(count, times[flat[where]]), minlength=b - a)
+            out.append(open_[a:b][enough & (held >= least)])
             a = b
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def _stands(self, codes: np.ndarray) -> np.ndarray:
-        """Whether an item holds a word, by item x words + word."""
+    def _times(self, codes: np.ndarray) -> np.ndarray:
+        """How often a word stands in an item, by item x words + word."""
         if self.table is not None:
             return self.table[codes]
         at = np.minimum(np.searchsorted(self.item_words, codes), len(self.item_words) - 1)
-        return self.item_words[at] == codes
+        return np.where(self.item_words[at] == codes, self.times[at], 0)
 
     def _verify(self, tokens: Tokens, doc: int, words: np.ndarray, places: list[int]) -> tuple[int, bool] | None:
         s, first, last = self.settings, int(tokens.first[doc]), int(tokens.first[doc + 1])

@@ -1,8 +1,8 @@
 """Exact removal of repeated 100-byte strings by a sparse, hash-compared suffix sort.
 
 Every 100-byte window is assigned to an anchor: the leftmost of its 24-byte strings with the least hash. Equal windows have
-equal anchors at equal places, so windows are only compared within the context around an anchor. Contexts that stand
-once, or repeat as a whole, are settled by their hashes. For the others, the windows of equal anchor and place
+equal anchors at equal places, so windows are only compared within the context around an anchor. Contexts that repeat as a
+whole are found by their hashes, in a block verified byte by byte, across blocks by hashes alone. For the others, the windows of equal anchor and place
 are sorted as suffixes: a mergesort whose comparisons find the common extension by binary search over prefix
 polynomial hashes; runs of equal suffixes are verified byte by byte, and all but the first occurrence are removed.
 Anchors with very many contexts are settled window by window, dealt by the window's hash.
@@ -218,6 +218,37 @@ def _first_of_runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, first
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a+size] and data[b:b+size] are equal, byte by byte."""
+    out, upto, i = np.zeros(len(a), dtype=bool), np.cumsum(size), 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE, side="right")))
+        own = size[i:j]
+        first = np.cumsum(own) - own
+        step = np.arange(int(own.sum()))
+        equal = data[np.repeat(a[i:j] - first, own) + step] == data[np.repeat(b[i:j] - first, own) + step]
+        out[i:j] = np.logical_and.reduceat(equal, first)
+        i = j
+    return out
+
+
+def repeats_in_block(data: np.ndarray, gram: np.ndarray, context: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of a block's contexts, whether each is the first of its hashes, and the contexts' hashes: one whose bytes differ from
+    the first of its hashes gets a hash of its own, so that it is compared like any other."""
+    while True:
+        order, first = _first_of_runs(gram, context, low)
+        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
+        again = np.flatnonzero(~first)
+        a, b = head[again], order[again]
+        span = high[b] - low[b]
+        lied = high[a] - low[a] != span
+        lied[~lied] = ~same_bytes(data, low[a[~lied]], low[b[~lied]], span[~lied] + length)
+        if not lied.any():
+            return order, first, context
+        context = context.copy()
+        context[b[lied]] = mix(context[b[lied]] + low[b[lied]].astype(U64) + U64(1))
+
+
 def _ask(keys: int, length: int):
     """Blocks in the order of their ids: the first anchor of each context is asked about, later ones are repeats."""
 
@@ -240,7 +271,7 @@ def _ask(keys: int, length: int):
                 gram, context, low, high, lead, doc = (np.concatenate(x) for x in zip(*found, strict=True))
                 name = f"{TaskContext.get().partitionId():07d}.{number:05d}"
                 number += 1
-                order, first = _first_of_runs(gram, context, low)
+                order, first, context = repeats_in_block(data, gram, context, low, high, length)
                 again, order = order[~first], order[first]
                 edges = np.searchsorted(_key(gram[order], keys), np.arange(keys + 1))
                 rows = []

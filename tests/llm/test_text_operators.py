@@ -99,6 +99,25 @@ def test_remove_repeats(docs, spark):
     assert len(remove_repeats(odd(spark)).collect()) == 5
 
 
+def test_equal_hashes_of_different_contexts_are_told_apart():
+    """Contexts with one hash for all: only those whose bytes agree count as repeats."""
+    data = np.frombuffer(b"abcdefgh" * 2 + b"abcdefgX" + b"abcdefgh" + b"abcdefgX", np.uint8)
+    low = np.arange(0, 40, 8)
+    gram, context = np.full(5, 7, np.uint64), np.full(5, 9, np.uint64)
+    order, first, told = substrings.repeats_in_block(data, gram, context, low, low + 3, 5)
+    assert {tuple(sorted(np.flatnonzero(told == c).tolist())) for c in np.unique(told)} == {(0, 1, 3), (2,), (4,)}
+    assert sorted(order[first].tolist()) == [0, 2, 4]
+    assert substrings.same_bytes(data, np.array([0, 0]), np.array([8, 16]), np.array([8, 8])).tolist() == [True, False]
+
+
+def test_remove_repeats_in_texts_longer_than_a_slice(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdefgh ", k=400))
+    filler = lambda k: "".join(rng.choices("abcdefghijklmnop ", k=k))
+    rows = [(1, filler(substrings.SLICE + 1000) + passage + filler(50) + passage, None), (2, passage + filler(300), None), (3, passage[:99], None)]
+    assert collected(remove_repeats(spark.createDataFrame(rows, DOCS))) == brute.repeats([(i, t) for i, t, _ in rows])
+
+
 def test_remove_repeats_with_hot_anchors(spark, monkeypatch):
     rng = random.Random(5)
     passage = "".join(rng.choices("abcdefgh ", k=150))
