@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .kernels import U64, Tokens, blocks, text_bytes
 
-BLOCK = 2 << 20
+#: Bytes of text in a block: small ones stay in a processor's cache.
+BLOCK = 1 << 19
 #: Items that are searched for in one pass over the documents.
 MOST_ITEMS = 20_000
 #: Up to so many cells, a table says which item holds which word; beyond, a sorted list.
@@ -28,7 +29,7 @@ TABLE_CELLS = 1 << 24
 #: Words around candidates that are looked at in one go.
 PLACES = 1 << 21
 #: Passages of documents that are compared with the items' at once.
-PASSAGES = 4096
+PASSAGES = 512
 
 
 @dataclass(frozen=True)
@@ -141,7 +142,7 @@ def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, settings: S
         planes = _random_planes(n, settings) * own
         total = np.zeros((n, settings.dims))
         for batch in batches:
-            for block in blocks(batch, "text", BLOCK // 2):
+            for block in blocks(batch, "text", BLOCK // 4):
                 tokens = stripped(*text_bytes(block.column(0)))
                 if not len(tokens.hash):
                     continue
