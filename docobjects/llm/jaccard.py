@@ -35,7 +35,7 @@ FRAGMENT_BITS = 3
 #: Pairs for each place of a prefix that are verified at once; as long as there are more, stars are verified.
 PAIRS = 1
 #: Stars end, too, when less than this share of their pairs are links.
-PROGRESS = 0.5
+PROGRESS = 0.25
 #: Vertices of a task: few vertices lie in few partitions, so that a turn leaves few files behind.
 VERTICES = 500
 #: Places of a document's prefix whose lists have stars.
@@ -198,6 +198,11 @@ def count_overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return partial.groupBy(*pairs.columns).agg(F.sum("part").alias("common"))
 
 
+def _few(df: DataFrame, vertices: DataFrame) -> DataFrame:
+    """df written down in no more partitions than the vertices have."""
+    return cut(df.coalesce(vertices.rdd.getNumPartitions()))
+
+
 def _verified(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb) those that reach the threshold."""
     # A bit of one sketch that the other lacks is a shingle that is not common; pairs that cannot reach the threshold go first.
@@ -205,7 +210,7 @@ def _verified(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     sketched = pairs.join(sketches.select(F.col("c").alias("a"), F.col("shared").alias("sa"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("c").alias("b"), F.col("shared").alias("sb"), F.col("sketch").alias("kb")), "b")
     apart = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (t, k) -> t + k)"
     most = F.expr(f"least(sa - {apart('ka', 'kb')}, sb - {apart('kb', 'ka')})")
-    pairs = cut(sketched.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select(*pairs.columns))
+    pairs = _few(sketched.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select(*pairs.columns), vertices)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     parts = vertices.select("c", "parts").join(needed, "c", "left_semi").select("c", F.posexplode("parts").alias("f", "part")).where(F.size("part") > 0)
     return count_overlaps(pairs, parts).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
@@ -224,7 +229,7 @@ def _links(vertices: DataFrame, percent: int) -> DataFrame:
         else:
             now = own.join(connected_components(links).select(F.col("id").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
         open_ = now.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-        return cut(now.join(open_, "shingle"))
+        return _few(now.join(open_, "shingle"), vertices)
 
     others = F.col("x.component") != F.col("y.component")
     while True:
@@ -241,15 +246,15 @@ def _links(vertices: DataFrame, percent: int) -> DataFrame:
         heads = now.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), *FACTS, "place", "component")).alias("h")).select("shingle", "h.*")
         met = now.alias("x").join(heads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & others & _reach(percent))
         nearest = met.groupBy(F.col("x.c").alias("a"), F.col("x.n").alias("na")).agg(F.min(F.struct("y.rank", F.col("y.c").alias("b"), F.col("y.n").alias("nb"))).alias("h"))
-        nearest = cut(nearest.select("a", "h.b", "na", "h.nb"))
-        found = cut(_verified(nearest, vertices, percent))
-        links, turn = found if links is None else cut(links.unionByName(found)), turn + 1
+        nearest = _few(nearest.select("a", "h.b", "na", "h.nb"), vertices)
+        found = _few(_verified(nearest, vertices, percent), vertices)
+        links, turn = found if links is None else _few(links.unionByName(found), vertices), turn + 1
         if found.count() < PROGRESS * nearest.count():
             break
     now = placed(prefixes)
     met = now.alias("x").join(now.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") < F.col("y.c")) & others & _reach(percent))
     found = _verified(met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct(), vertices, percent)
-    return cut(found if links is None else links.unionByName(found))
+    return _few(found if links is None else links.unionByName(found), vertices)
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
