@@ -198,6 +198,13 @@ def count_overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return partial.groupBy(*pairs.columns).agg(F.sum("part").alias("common"))
 
 
+def _sketched(percent: int) -> Column:
+    """Whether x and y can reach the threshold by their sketches: a bit of one that the other lacks is a shingle that is not common."""
+    apart = lambda a, b: f"aggregate(zip_with({a}.sketch, {b}.sketch, (p, q) -> bit_count(p & ~q)), 0, (t, k) -> t + k)"
+    most = F.expr(f"least(x.shared - {apart('x', 'y')}, y.shared - {apart('y', 'x')})")
+    return (100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))
+
+
 def _few(df: DataFrame, vertices: DataFrame) -> DataFrame:
     """df written down in no more partitions than the vertices have."""
     return cut(df.coalesce(vertices.rdd.getNumPartitions()))
@@ -205,12 +212,9 @@ def _few(df: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb) those that reach the threshold."""
-    # A bit of one sketch that the other lacks is a shingle that is not common; pairs that cannot reach the threshold go first.
-    sketches = vertices.select("c", "shared", "sketch")
-    sketched = pairs.join(sketches.select(F.col("c").alias("a"), F.col("shared").alias("sa"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("c").alias("b"), F.col("shared").alias("sb"), F.col("sketch").alias("kb")), "b")
-    apart = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (t, k) -> t + k)"
-    most = F.expr(f"least(sa - {apart('ka', 'kb')}, sb - {apart('kb', 'ka')})")
-    pairs = _few(sketched.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select(*pairs.columns), vertices)
+    sketches = vertices.select("c", "n", "shared", "sketch")
+    sketched = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.c")).join(sketches.alias("y"), F.col("b") == F.col("y.c"))
+    pairs = _few(sketched.where(_sketched(percent)).select(*pairs.columns), vertices)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     parts = vertices.select("c", "parts").join(needed, "c", "left_semi").select("c", F.posexplode("parts").alias("f", "part")).where(F.size("part") > 0)
     return count_overlaps(pairs, parts).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
@@ -251,8 +255,8 @@ def _links(vertices: DataFrame, percent: int) -> DataFrame:
         links, turn = found if links is None else _few(links.unionByName(found), vertices), turn + 1
         if found.count() < PROGRESS * nearest.count():
             break
-    now = placed(prefixes)
-    met = now.alias("x").join(now.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") < F.col("y.c")) & others & _reach(percent))
+    now = _few(placed(prefixes).join(vertices.select("c", "shared", "sketch"), "c"), vertices)
+    met = now.alias("x").join(now.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") < F.col("y.c")) & others & _reach(percent) & _sketched(percent))
     found = _verified(met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct(), vertices, percent)
     return _few(found if links is None else links.unionByName(found), vertices)
 
