@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Tokens, blocks, text_bytes
+from .kernels import U64, Tokens, blocks, release, text_bytes
 
 #: Bytes of text in a block: small ones stay in a processor's cache.
 BLOCK = 1 << 19
@@ -384,7 +384,9 @@ def _searchers(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
         rows.sort(key=lambda r: (r.item_id is None, r.item_id, r.text))
         bench = Benchmark.of([(r.item_id, r.text) for r in rows])
         if bench.items:
-            yield bench, Searcher(bench, idf, latent_space(texts, bench, idf, settings), settings)
+            searcher = Searcher(bench, idf, latent_space(texts, bench, idf, settings), settings)
+            release()
+            yield bench, searcher
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings()) -> DataFrame:

@@ -35,7 +35,7 @@ FRAGMENT_BITS = 3
 #: Pairs for each place of a prefix that are verified at once; as long as there are more, stars are verified.
 PAIRS = 1
 #: Stars end, too, when less than this share of their pairs are links.
-PROGRESS = 0.25
+PROGRESS = 0.5
 #: Vertices of a task: few vertices lie in few partitions, so that a turn leaves few files behind.
 VERTICES = 500
 #: Places of a document's prefix whose lists have stars.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Tokens, blocks, crc_mod5, text_bytes
+from .kernels import U64, Tokens, blocks, crc_mod5, release, text_bytes
 from .training import ROWS_PER_CLASS, Adam, sigmoid, training_rows
 
 BLOCK = 1 << 20
@@ -192,7 +192,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     sample = rows.mapInArrow(pooled, f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<double>").collect()  # bounded: ROWS_PER_CLASS
     sample.sort(key=lambda r: (r.id, r.x))
     x = np.array([r.x for r in sample]).reshape(len(sample), settings.features)
-    return Scorer(vectors.value, train_network(x, np.array([r.y for r in sample], dtype=np.int64), totals, settings), settings)
+    scorer = Scorer(vectors.value, train_network(x, np.array([r.y for r in sample], dtype=np.int64), totals, settings), settings)
+    del sample, x
+    release()
+    return scorer
 
 
 def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, held_out_fold: int = 0, settings: Settings = Settings()) -> DataFrame:
