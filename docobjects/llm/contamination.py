@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Tokens, blocks, release, text_bytes
+from .kernels import U64, Tokens, blocks, narrow, release, text_bytes
 
 #: Bytes of text in a block: small ones stay in a processor's cache.
 BLOCK = 1 << 19
@@ -30,6 +30,10 @@ TABLE_CELLS = 1 << 24
 PLACES = 1 << 21
 #: Passages of documents that are compared with the items' at once.
 PASSAGES = 512
+#: Words that are counted together for a first bound of what a stretch has in common with each item.
+CHUNK = 8
+#: Up to so many sums (of words by items) that bound is worked out.
+SUMS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -160,7 +164,7 @@ def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, settings: S
                 starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
                 product = np.zeros((len(begins), settings.dims), dtype=np.float32)
                 product[passage[starts]] = np.add.reduceat(planes[term], starts, axis=0) / (length[passage[starts]] ** 2)[:, None]
-                order = np.argsort(term, kind="stable")
+                order = np.argsort(narrow(term), kind="stable")
                 term, passage = term[order], passage[order]
                 starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
                 total[term[starts]] += np.add.reduceat(product[passage], starts, axis=0)
@@ -213,15 +217,24 @@ class Searcher:
     def __init__(self, bench: Benchmark, idf: np.ndarray, space: np.ndarray, settings: Settings):
         self.bench, self.idf, self.space, self.settings = bench, idf, space, settings
         own = idf[_counter(bench.vocabulary, settings)]
-        self.scaled = (space * own[:, None]).astype(np.float32)
         n = len(bench.vocabulary)
+        # The last row is the zero vector, of any other word.
+        self.scaled = np.zeros((n + 1, space.shape[1]), dtype=np.float32)
+        self.scaled[:n] = space * own[:, None]
         self.size = np.array([len(x) for x in bench.items], dtype=np.int64)
         self.least = np.array([math.ceil(min(settings.covered, settings.covered_with_answer) * k) for k in self.size.tolist()], dtype=np.int64)
         self.item_words, self.times = np.unique(np.concatenate([k * n + bench.lookup(x) for k, x in enumerate(bench.items)]), return_counts=True)
-        self.table = None
+        self.table = self.holds = None
         if n * len(bench.items) <= TABLE_CELLS:
             self.table = np.zeros(n * len(bench.items), dtype=np.int32)
             self.table[self.item_words] = self.times
+            # A word that a stretch around a passage (of three times the item's length) is likely to hold more often than the
+            # item does is counted as often as the item holds it, wherever; only the others are looked for.
+            item, word = np.divmod(self.item_words, n)
+            often = 3 * self.size[item] > self.times * settings.words * np.expm1(idf[_counter(bench.vocabulary[word], settings)].astype(np.float64))
+            self.holds = np.zeros((n + 1, len(bench.items)), dtype=np.uint8)
+            self.holds[word[~often], item[~often]] = 1
+            self.least_others = self.least - np.bincount(item[often], weights=self.times[often], minlength=len(bench.items)).astype(np.int64)
         self.passages, words = [], settings.words
         above = np.iinfo(np.int64).max
         while words:
@@ -264,6 +277,7 @@ class Searcher:
     def candidates(self, tokens: Tokens, term: np.ndarray, own: Passages) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(first words of passages, items) whose cosine in the latent space is high, some passages at a time."""
         s, n = self.settings, len(self.bench.vocabulary)
+        words = np.where(term >= 0, term, n).astype(np.min_scalar_type(n))
         start, end = self._cut(tokens, own.words, own.stride)
         weight = self.idf[_counter(tokens.hash, s)].astype(np.float64) ** 2
         whole = np.concatenate([[0], np.cumsum(weight)])
@@ -271,16 +285,13 @@ class Searcher:
         near = np.flatnonzero((inside[end] - inside[start] >= s.share**2 * (whole[end] - whole[start])) & (inside[end] > inside[start]))
         for low in range(0, len(near), PASSAGES):
             part = near[low : low + PASSAGES]
-            size = end[part] - start[part]
-            at = np.repeat(start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            owner = np.repeat(np.arange(len(part)), size)
-            known = term[at] >= 0
-            code = np.unique(owner[known] * n + term[at[known]])
-            owner, word = code // n, code % n
-            vectors = np.zeros((len(part), self.space.shape[1]), dtype=np.float32)
-            begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            vectors[owner[begins]] = np.add.reduceat(self.scaled[word], begins, axis=0)
-            i, k = np.nonzero(self._unit(vectors) @ own.vectors.T >= s.cosine)
+            at = start[part, None] + np.arange(own.words)
+            held = words[np.minimum(at, len(words) - 1)]
+            held[at >= end[part, None]] = n
+            held.sort(axis=1)
+            held[:, 1:][held[:, 1:] == held[:, :-1]] = n  # a word that repeats counts once
+            close = self._unit(self.scaled[held].sum(axis=1)) @ own.vectors.T >= s.cosine
+            i, k = np.divmod(np.flatnonzero(close), len(own.vectors))
             item = own.owner[k]
             new = np.ones(len(i), dtype=bool)  # an item's passages lie side by side
             new[1:] = (i[1:] != i[:-1]) | (item[1:] != item[:-1])
@@ -311,6 +322,33 @@ class Searcher:
 
     def _possible(self, tokens: Tokens, term: np.ndarray, place: np.ndarray, item: np.ndarray, words: int) -> np.ndarray:
         """Candidates around which enough words of the item stand at all, as often as in the item: no more can be common."""
+        near = self._bounded(tokens, term, place, item, words)
+        kept = self._counted(tokens, term, place[near], item[near], words)
+        return near[kept]
+
+    def _bounded(self, tokens: Tokens, term: np.ndarray, place: np.ndarray, item: np.ndarray, words: int) -> np.ndarray:
+        """Candidates around which, rounded up to whole chunks, enough words of the item can stand; all, where the sums would be many."""
+        every = np.arange(len(place))
+        if self.holds is None or not len(place):
+            return every
+        low, high = self._region(tokens, place, self.size[item], words)
+        first = int(low.min()) // CHUNK
+        low, high = low // CHUNK - first, -(-high // CHUNK) - first
+        chunks, items = int(high.max()), self.holds.shape[1]
+        if chunks * items > SUMS:
+            return every
+        own = np.full(chunks * CHUNK, len(self.bench.vocabulary))
+        span = term[first * CHUNK : (first + chunks) * CHUNK]
+        own[: len(span)][span >= 0] = span[span >= 0]
+        held = np.zeros((chunks, items), dtype=np.uint8)
+        for j in range(CHUNK):
+            held += self.holds[own[j::CHUNK]]
+        upto = np.zeros((chunks + 1, items), dtype=np.int32)
+        np.cumsum(held, axis=0, out=upto[1:])
+        return np.flatnonzero(upto[high, item] - upto[low, item] >= self.least_others[item])
+
+    def _counted(self, tokens: Tokens, term: np.ndarray, place: np.ndarray, item: np.ndarray, words: int) -> np.ndarray:
+        """Candidates around which enough words of the item stand, counted one by one."""
         low, high = self._region(tokens, place, self.size[item], words)
         known = term >= 0
         before = np.concatenate([[0], np.cumsum(known)])
