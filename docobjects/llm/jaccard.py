@@ -8,7 +8,8 @@ places that leave enough shingles behind them. Every such pair is verified in on
 fragment apart, and the partial overlaps are summed per pair.
 
 A large group of copies is not expanded into all its pairs. As long as pairs abound, only a star of each list is verified: one
-document with all others that no link has yet joined to it. In the end every pair of different components is verified.
+document with all others that no link has yet joined to it. Then all pairs of different components that meet on a few
+places are verified, in the end all that meet anywhere.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ BLOCK, SLICE = 16 << 20, 2 << 20
 BITS = 56
 #: Bits of a shingle's hash that say in which fragment its overlaps are counted.
 FRAGMENT_BITS = 3
-#: Pairs for each place of a prefix that are verified at once; as long as there are more, stars are verified.
-PAIRS = 1
+#: Pairs for each document that are compared at once; as long as there are more, stars are verified.
+PAIRS = 16
 #: Stars end, too, when less than this share of their pairs are links.
 PROGRESS = 0.5
+#: The same, when they have fewer pairs for each document: what is close to any head is joined to it by then.
+STARS = 0.05
 #: Vertices of a task: few vertices lie in few partitions, so that a turn leaves few files behind.
 VERTICES = 500
 #: Places of a document's prefix whose lists have stars.
@@ -212,53 +215,64 @@ def _few(df: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b, na, nb) those that reach the threshold."""
-    sketches = vertices.select("c", "n", "shared", "sketch")
-    sketched = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.c")).join(sketches.alias("y"), F.col("b") == F.col("y.c"))
-    pairs = _few(sketched.where(_sketched(percent)).select(*pairs.columns), vertices)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     parts = vertices.select("c", "parts").join(needed, "c", "left_semi").select("c", F.posexplode("parts").alias("f", "part")).where(F.size("part") > 0)
     return count_overlaps(pairs, parts).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _links(vertices: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that hold together what all linked pairs of vertices (c, n, prefix, parts) do."""
+def _links(vertices: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that hold together what all linked pairs of the n vertices (c, n, prefix, parts) do."""
     prefixes = vertices.withColumn("p", F.size("prefix")).select(*FACTS, (F.col("n") - F.col("shared")).alias("lone"), F.transform("prefix", lambda s, i: F.struct((i + 0).alias("i"), s.alias("shingle"))).alias("prefix"))
-    links, turn = None, 0
+    facts = [*FACTS, "shared", "sketch", "place", "component"]
+    joined = None
+
+    def least(turn: int) -> DataFrame:
+        """Documents that share much of their prefixes are likely to share the shingles of least hash: each turn has other ones."""
+        order = F.transform("prefix", lambda x: F.struct(F.xxhash64(x["shingle"], F.lit(turn)).alias("h"), x["i"].alias("i"), x["shingle"].alias("shingle")))
+        return prefixes.withColumn("prefix", F.slice(F.array_sort(order), 1, STAR_PLACES))
 
     def placed(own: DataFrame) -> DataFrame:
         """Places with the components so far, of shingles that stand in several."""
         own = own.select(*FACTS, "lone", F.explode("prefix").alias("x")).select(*FACTS, "lone", "x.shingle", (F.col("lone") + F.col("x.i")).alias("place"))
-        if links is None:
+        if joined is None:
             now = own.withColumn("component", F.col("c"))
         else:
-            now = own.join(connected_components(links).select(F.col("id").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+            now = own.join(joined.select(F.col("a").alias("c"), F.col("b").alias("component")), "c", "left").withColumn("component", F.coalesce("component", "c"))
         open_ = now.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-        return _few(now.join(open_, "shingle"), vertices)
+        return _few(now.join(open_, "shingle").join(vertices.select("c", "shared", "sketch"), "c"), vertices)
+
+    def compared(now: DataFrame, others: DataFrame, which: Column) -> DataFrame:
+        """Pairs of different components that meet on a place and can reach the threshold by all that is known without a count."""
+        apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & which
+        met = now.alias("x").join(others.alias("y"), apart & _reach(percent) & _sketched(percent))
+        low, high = (f(F.struct("x.c", "x.n"), F.struct("y.c", "y.n")) for f in (F.least, F.greatest))
+        return _few(met.select(low["c"].alias("a"), high["c"].alias("b"), low["n"].alias("na"), high["n"].alias("nb")).distinct(), vertices)
+
+    def with_found(found: DataFrame) -> DataFrame:
+        """Components as stars: those so far, joined by what was found."""
+        edges = found if joined is None else joined.unionByName(found)
+        return _few(connected_components(edges).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")), vertices)
 
-    others = F.col("x.component") != F.col("y.component")
+    turn = 0
     while True:
-        # Documents that share much of their prefixes are likely to share the shingles of least hash: each turn has other ones.
-        least = F.slice(F.array_sort(F.transform("prefix", lambda x: F.struct(F.xxhash64(x["shingle"], F.lit(turn)).alias("h"), x["i"].alias("i"), x["shingle"].alias("shingle")))), 1, STAR_PLACES)
-        now = placed(prefixes.withColumn("prefix", least))
-        sizes = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("ordered"), F.sum("k").alias("k"))
-        left = sizes.agg(F.coalesce(F.sum(F.col("ordered").cast("double") / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("k"), F.lit(0)).alias("places")).first()
-        if left.pairs <= PAIRS * left.places:
+        now = placed(least(turn))
+        sizes = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("ordered"))
+        if sizes.agg(F.coalesce(F.sum(F.col("ordered").cast("double") / 2), F.lit(0.0)).alias("pairs")).first().pairs <= PAIRS * n:
             break
-        # The first stars stand around the documents with the fewest shingles of their own, the next ones around any;
-        # a document is verified with one of them.
+        # The first stars stand around the documents with the fewest shingles of their own, the next ones around any.
         rank = F.col("lone") if not turn else F.xxhash64("c", F.lit(turn))
-        heads = now.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), *FACTS, "place", "component")).alias("h")).select("shingle", "h.*")
-        met = now.alias("x").join(heads.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & others & _reach(percent))
-        nearest = met.groupBy(F.col("x.c").alias("a"), F.col("x.n").alias("na")).agg(F.min(F.struct("y.rank", F.col("y.c").alias("b"), F.col("y.n").alias("nb"))).alias("h"))
-        nearest = _few(nearest.select("a", "h.b", "na", "h.nb"), vertices)
-        found = _few(_verified(nearest, vertices, percent), vertices)
-        links, turn = found if links is None else _few(links.unionByName(found), vertices), turn + 1
-        if found.count() < PROGRESS * nearest.count():
+        heads = now.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), *facts)).alias("h")).select("shingle", "h.*")
+        pairs = compared(now, heads, F.lit(True))
+        found = _few(_verified(pairs, vertices, percent), vertices)
+        compared_now = pairs.count()
+        few = found.count() < PROGRESS * compared_now or compared_now < STARS * n
+        joined, turn = with_found(found), turn + 1
+        if few:
+            now = placed(least(turn))
             break
-    now = _few(placed(prefixes).join(vertices.select("c", "shared", "sketch"), "c"), vertices)
-    met = now.alias("x").join(now.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") < F.col("y.c")) & others & _reach(percent) & _sketched(percent))
-    found = _verified(met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct(), vertices, percent)
-    return _few(found if links is None else links.unionByName(found), vertices)
+    joined = with_found(_verified(compared(now, now, F.col("x.c") < F.col("y.c")), vertices, percent))
+    now = placed(prefixes)
+    return _few(joined.unionByName(_verified(compared(now, now, F.col("x.c") < F.col("y.c")), vertices, percent)), vertices)
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -271,8 +285,9 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     alive = sets.where(F.size("prefix") > 0).groupBy("class").agg(F.first(F.struct("n", "prefix", "parts", *[f"m{k}" for k in range(MAP)], "sketch")).alias("x"))
     shared = F.expr("aggregate(x.parts, 0L, (t, p) -> t + size(p))")
     vertices = cut(alive.select(F.monotonically_increasing_id().alias("c"), "class", "x.*", shared.alias("shared")))
-    vertices = vertices.coalesce(vertices.count() // VERTICES + 1)
-    joined = connected_components(_links(vertices, percent))
+    n = vertices.count()
+    vertices = vertices.coalesce(n // VERTICES + 1)
+    joined = connected_components(_links(vertices, n, percent))
     of_class = vertices.select("class", "c").join(joined, F.col("c") == F.col("id"), "left").select("class", F.coalesce("component", "c").alias("group"))
     # Documents of equal sets share a group; a class without vertex is a group of its own.
     rows = sets.select("doc_id", "mark", "n", "class").join(of_class, "class", "left").select("doc_id", "mark", "n", "class", "group")
