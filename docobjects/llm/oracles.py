@@ -70,3 +70,26 @@ FROM documents LEFT JOIN seq USING (doc_id) LEFT JOIN found USING (doc_id) LEFT
 
 
 OP6 = _licenses()
+
+OP11 = f"""WITH d AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+  known AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+  fails AS (SELECT part, doc_id, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+  marked AS (SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS f,
+    count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM fails LEFT JOIN known USING (doc_id) GROUP BY ALL),
+  l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+  orders AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+  steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+  told AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, n, good, toxic, f,
+    contains(f, substr(filter_order, step, 1)) AS fails, len(f) > 0 AND regexp_matches(f, '[' || substr(filter_order, 1, step - 1) || '-]') AS before FROM steps, marked),
+  sums AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (WHERE NOT before AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT before AND fails), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE before AND fails), 0) AS redundant, coalesce(sum(n) FILTER (WHERE f = letter), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE NOT before AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT before AND fails), 0) AS toxic_lost FROM told GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM sums"""
+
+OP13 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
