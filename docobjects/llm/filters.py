@@ -104,38 +104,34 @@ def audit_filters(docs: DataFrame, labels: DataFrame, filters: dict[str, Column]
     """
     filters = document_filters() if filters is None else filters
     names = [*filters, copies]
-    if any(len(x) != 1 for x in names) or len(set(names)) < len(names):
-        raise ValueError("filters need different names of one letter")
+    if any(len(x) != 1 or not x.isalnum() for x in names) or len(set(names)) < len(names):
+        raise ValueError("filters need different names of one letter or digit")
     n, everything = len(names), (1 << len(names)) - 1
     cells = survivors(failure_masks(docs, labels, filters, id_col, text_col, part_col), n)
-    left = lambda s: F.col("cells")[F.lit(everything) - s]
+    left = lambda s: f"cells[{everything} - {s}]"
 
-    def shapley(bit: int) -> Column:
-        sets = [s for s in range(everything + 1) if not s & bit]
+    def shapley(bit: int) -> str:
         weight = lambda s: factorial(s.bit_count()) * factorial(n - 1 - s.bit_count())
-        return sum((weight(s) * (left(F.lit(s))["n"] - left(F.lit(s | bit))["n"]) for s in sets), F.lit(0).cast("long"))
+        return " + ".join(f"{weight(s)} * ({left(s)}.n - {left(s | bit)}.n)" for s in range(everything + 1) if not s & bit)
 
-    shares = cells.withColumn("shapley", F.array(*[shapley(1 << i) for i in range(n)]))
-    orders = shares.withColumn("filter_order", F.explode(F.array(*[F.lit("".join(p)) for p in permutations(names)])))
-    place = lambda letter: F.instr(F.lit("".join(names)), letter)
-    bits = F.array(*[F.lit(1 << i) for i in range(n)])
+    shares = cells.withColumn("shapley", F.expr(f"array({', '.join(shapley(1 << i) for i in range(n))})"))
+    orders = shares.withColumn("filter_order", F.explode(F.split(F.lit(",".join("".join(p) for p in permutations(names))), ",")))
+    place = f"instr('{''.join(names)}', substring(filter_order, i, 1))"
     steps = (
-        orders.withColumn("letters", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: place(F.substring("filter_order", i, F.lit(1)))))
+        orders.withColumn("letters", F.expr(f"transform(sequence(1, {n}), i -> {place})"))
         .select("part", "filter_order", "cells", "shapley", "letters", F.posexplode("letters").alias("before", "at"))
-        .withColumn("bit", F.element_at(bits, F.col("at")))
-        .withColumn("gone", F.aggregate(F.slice("letters", F.lit(1), F.col("before")), F.lit(0), lambda s, x: s + F.element_at(bits, x)))
+        .withColumns({"bit": F.expr("shiftleft(1, at - 1)"), "gone": F.expr("aggregate(slice(letters, 1, before), 0, (s, x) -> s + shiftleft(1, x - 1))")})
     )
-    now, then = left(F.col("gone") + F.col("bit")), left(F.col("gone"))
-    fails = left(F.lit(0))["n"] - left(F.col("bit"))["n"]
-    return steps.select(
+    now, then, fails = left("(gone + bit)"), left("gone"), f"({left(0)}.n - {left('bit')}.n)"
+    return steps.selectExpr(
         "part",
         "filter_order",
-        (F.col("before") + 1).cast("int").alias("step"),
-        now["n"].alias("kept"),
-        (then["n"] - now["n"]).alias("removed"),
-        (fails - (then["n"] - now["n"])).alias("redundant"),
-        (left(F.lit(everything) - F.col("bit"))["n"] - left(F.lit(everything))["n"]).alias("unique_fails"),
-        (then["good"] - now["good"]).alias("good_lost"),
-        (then["toxic"] - now["toxic"]).alias("toxic_lost"),
-        F.element_at("shapley", F.col("at")).alias("shapley"),
+        "cast(before + 1 as int) as step",
+        f"{now}.n as kept",
+        f"{then}.n - {now}.n as removed",
+        f"{fails} - ({then}.n - {now}.n) as redundant",
+        "cells[bit].n - cells[0].n as unique_fails",
+        f"{then}.good - {now}.good as good_lost",
+        f"{then}.toxic - {now}.toxic as toxic_lost",
+        "element_at(shapley, at) as shapley",
     )
