@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,12 +21,13 @@ from .kernels import blocks, release
 #: Where the vocabulary files of the two tokenizers lie, on every machine.
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of texts that are encoded at once, and characters after which a text is cut at the next safe place.
-BLOCK, STRETCH = 1 << 20, 1 << 16
+#: Bytes of texts that are told at once, characters after which a text is cut at the next safe place, and characters of the
+#: words whose tokens a worker remembers.
+BLOCK, STRETCH, REMEMBERED = 1 << 20, 1 << 20, 1 << 22
 #: Most id pairs that every task holds; rarer ones are joined by a shuffle.
 COMMON_PAIRS = 1 << 18
-#: A space between a letter and a letter: both tokenizers begin a token there.
-SAFE = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: A single space between other characters: both tokenizers begin a token there.
+SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -36,7 +38,7 @@ def byte_level_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """The two tokenizers, and the bytes and decimal ids of their tokens."""
+    """The two tokenizers, the bytes of their tokens, and how they tell the words met so far."""
 
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
@@ -53,10 +55,21 @@ class Pair:
         self.b_bytes = [piece(i) for i in range(self.b.get_piece_size())]
         if b"" in self.a_bytes or b"" in self.b_bytes:
             raise ValueError("a token without bytes")
-        self.a_size, self.b_size = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
-        self.a_name, self.b_name = ([str(i) for i in range(len(table))] for table in (self.a_bytes, self.b_bytes))
-        # A piece with a space after other characters could stand across a cut.
-        self.cuts = not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
+        if any(b" " in x.lstrip(b" ") for x in self.b_bytes):
+            raise ValueError("a piece that goes on after a space")
+        self.told: dict[str, str | None] = {}
+        self.facts: dict[str, tuple[int, int, list[int]]] = {}
+        self.characters = 0
+
+    def learn(self, words: list[str]) -> None:
+        """Tokens of words that are not remembered: told has their groups as text (None if tokens do not spell them), facts their
+        numbers of tokens and the linked pairs in order."""
+        size = sum(map(len, words))
+        if self.characters + size > REMEMBERED:
+            self.told, self.facts, self.characters = {}, {}, 0
+        self.characters += size
+        for w, e, b in zip(words, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True):
+            self.told[w], self.facts[w] = merged(self, w, e.ids, b)
 
 
 @lru_cache(maxsize=1)
@@ -65,60 +78,64 @@ def tokenizer_pair(byte_path: str, piece_path: str) -> Pair:
 
 
 def stretches(text: str, most: int = STRETCH) -> list[str]:
-    """text cut before spaces between letters, each part as long as `most` characters and what follows up to such a space."""
+    """text cut at safe spaces, which are left out, into parts of `most` characters and what follows up to such a space."""
     out, at = [], 0
     while len(text) - at > most and (hit := SAFE.search(text, at + most)):
         out.append(text[at : hit.start()])
-        at = hit.start()
+        at = hit.end()
     return [*out, text[at:]]
 
 
-def merged(pair: Pair, text: str, a: list[int], b: list[int]) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """The groups of a stretch as text, and the ids that end each; None if the tokens do not spell the stretch.
+def merged(pair: Pair, word: str, a: list[int], b: list[int]) -> tuple[str | None, tuple[int, int, list[int]]]:
+    """The groups of a word (and the space before it) as text, its numbers of tokens, and the pairs that end its groups.
 
-    Both lists of token ends are increasing, so one merge of the two finds the ends they share.
+    Both lists of token ends increase, so one pass with a pointer in each finds the ends they share.
     """
-    spelled = text.encode()
+    spelled = f" {word}".encode()
     if b"".join([pair.a_bytes[i] for i in a]) != spelled or b"".join([pair.b_bytes[i] for i in b]) != spelled:
-        return None
-    a_ids, b_ids = np.array(a), np.array(b)
-    _, i, j = np.intersect1d(np.cumsum(pair.a_size[a_ids]), np.cumsum(pair.b_size[b_ids]), assume_unique=True, return_indices=True)
-    a_names, b_names = [pair.a_name[x] for x in a], [pair.b_name[x] for x in b]
-    groups, p, q = [], 0, 0
-    for x, y in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
-        groups.append(f"{a_names[p]}|{b_names[q]}" if x - p == 1 == y - q else f"{','.join(a_names[p:x])}|{','.join(b_names[q:y])}")
-        p, q = x, y
-    return ";".join(groups), a_ids[i], b_ids[j]
+        return None, (0, 0, [])
+    groups, pairs, p, q, j, wide = [], [], 0, 0, 0, len(pair.b_bytes)
+    a_end = b_end = 0
+    for i, x in enumerate(a):
+        a_end += len(pair.a_bytes[x])
+        while b_end < a_end:
+            b_end += len(pair.b_bytes[b[j]])
+            j += 1
+        if a_end == b_end:
+            groups.append(f"{','.join(map(str, a[p : i + 1]))}|{','.join(map(str, b[q:j]))}")
+            pairs.append(x * wide + b[j - 1])
+            p, q = i + 1, j
+    return ";".join(groups), (len(a), len(b), pairs)
 
 
 def _aligned(byte_path: str, piece_path: str):
-    none = np.zeros(0, np.int64)
+    def one(pair: Pair, text: str | None) -> tuple:
+        digest, n_a, n_b, n_groups, ids, times = hashlib.sha256(), 0, 0, 0, [], []
+        for k, stretch in enumerate(stretches(text) if text else []):
+            words = SAFE.split(stretch)
+            count = Counter(words)
+            if count.keys() - pair.told.keys():
+                # Remembered words may be given up for new ones, so all words of the stretch are asked for together.
+                pair.learn(list(count.keys() - pair.told.keys()))
+                if count.keys() - pair.told.keys():
+                    pair.learn(list(count))
+            told = [pair.told[w] for w in words]
+            if None in told:
+                return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
+            digest.update(((";" if k else "") + ";".join(told)).encode())
+            for w, n in count.items():
+                a, b, pairs = pair.facts[w]
+                n_a, n_b, n_groups = n_a + n * a, n_b + n * b, n_groups + n * len(pairs)
+                ids += pairs
+                times += [n] * len(pairs)
+        found, at = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return n_a, n_b, n_groups, digest.hexdigest() if n_groups else "", found, np.bincount(at, times, len(found)).astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizer_pair(byte_path, piece_path)
-        wide = len(pair.b_bytes)
         for batch in batches:
             for block in blocks(batch, "text", BLOCK):
-                # Each text with a space before it: the second tokenizer adds that one, and so at every cut.
-                parts = [stretches(" " + t, STRETCH if pair.cuts else len(t) + 1) if t else [] for t in block.column(1).to_pylist()]
-                flat = [s for p in parts for s in p]
-                a = [e.ids for e in pair.a.encode_batch_fast(flat, add_special_tokens=False)] if flat else []
-                b = pair.b.encode([s[1:] for s in flat], num_threads=1) if flat else []
-                out, at = [], 0
-                for own in parts:
-                    digest, sizes, ids = hashlib.sha256(), [0, 0, 0], [none]
-                    for k, stretch in enumerate(own):
-                        found = merged(pair, stretch, a[at + k], b[at + k])
-                        if found is None:
-                            sizes, ids = [0, 0, 0], [none]
-                            break
-                        digest.update((";" * (k > 0) + found[0]).encode())
-                        sizes = [sizes[0] + len(a[at + k]), sizes[1] + len(b[at + k]), sizes[2] + len(found[1])]
-                        ids.append(found[1].astype(np.int64) * wide + found[2])
-                    at += len(own)
-                    pairs, times = np.unique(np.concatenate(ids), return_counts=True)
-                    out.append((*sizes, digest.hexdigest() if sizes[2] else "", pairs, times.astype(np.int32)))
-                columns = list(zip(*out, strict=True))
+                columns = list(zip(*(one(pair, t) for t in block.column(1).to_pylist()), strict=True))
                 lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32), np.concatenate(c)) for c in columns[4:]]
                 yield pa.record_batch([block.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string()), *lists], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"])
         release()
@@ -130,8 +147,9 @@ def align_tokenizers(docs: DataFrame, byte_path: str = f"{FOLDER}/{BYTE_BPE}", p
     """(documents, pairs): how the tokens of a byte-level and a piece tokenizer lie over the texts of docs.
 
     A text is encoded with a space before it. Where a token of both ends, a group ends; the tokens that end there are linked, and
-    since no token is without bytes that is one link a group. Texts longer than STRETCH are encoded in parts cut at spaces between
-    letters, where both tokenizers begin a token, so memory does not grow with a text. Every document's distinct linked id pairs
+    since no token is without bytes that is one link a group. At a single space between other characters both tokenizers begin
+    a token, so a text is encoded word by word, and a worker remembers words up to REMEMBERED characters; texts longer than
+    STRETCH are told part by part. Every document's distinct linked id pairs
     are written down with how often it holds them; their sums over all documents are joined back to them. At most `common_pairs`
     pairs, the most frequent, are held by every task, as nearly all links have them; links of rarer pairs go through a shuffle.
 

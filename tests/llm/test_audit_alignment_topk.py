@@ -163,13 +163,24 @@ def test_alphabet_spells_every_byte_once():
     assert sorted(alignment.byte_level_alphabet().values()) == list(range(256))
 
 
-def test_stretches_are_cut_between_letters():
-    text = " one two 3 four\n five six"
-    parts = stretches(text, 3)
-    assert "".join(parts) == text and parts == [" one", " two 3 four\n five", " six"]
+def test_stretches_are_cut_at_single_spaces():
+    text = "one two 3  four\n five six"
+    assert stretches(text, 3) == ["one", "two", "3  four\n five", "six"]
+    assert " ".join(stretches(text, 5)) == text
     assert stretches("", 3) == [""]
 
 
+def test_words_are_forgotten_and_learnt_again():
+    pair = tokenizer_pair(f"{alignment.FOLDER}/{alignment.BYTE_BPE}", f"{alignment.FOLDER}/{alignment.PIECE_BPE}")
+    pair.learn(["one", "two"])
+    told = pair.told["one"]
+    pair.characters = alignment.REMEMBERED
+    pair.learn(["three"])
+    assert set(pair.told) == {"three"}
+    pair.learn(["one"])
+    assert pair.told["one"] == told
+
+
 def plain_topk(rows, every=50, k=5):
     usable = []
     for i, v in rows:
