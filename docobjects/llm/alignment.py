@@ -55,21 +55,25 @@ class Pair:
         self.b_bytes = [piece(i) for i in range(self.b.get_piece_size())]
         if b"" in self.a_bytes or b"" in self.b_bytes:
             raise ValueError("a token without bytes")
+        self.a_size, self.b_size = ([len(x) for x in table] for table in (self.a_bytes, self.b_bytes))
+        self.a_name, self.b_name = ([str(i) for i in range(len(table))] for table in (self.a_bytes, self.b_bytes))
         if any(b" " in x.lstrip(b" ") for x in self.b_bytes):
             raise ValueError("a piece that goes on after a space")
         self.told: dict[str, str | None] = {}
         self.facts: dict[str, tuple[int, int, list[int]]] = {}
         self.characters = 0
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], forget: bool = True) -> bool:
         """Tokens of words that are not remembered: told has their groups as text (None if tokens do not spell them), facts their
-        numbers of tokens and the linked pairs in order."""
+        numbers of tokens and the linked pairs in order. Returns whether others were forgotten for them."""
         size = sum(map(len, words))
-        if self.characters + size > REMEMBERED:
+        full = forget and 0 < self.characters and self.characters + size > REMEMBERED
+        if full:
             self.told, self.facts, self.characters = {}, {}, 0
         self.characters += size
         for w, e, b in zip(words, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True):
             self.told[w], self.facts[w] = merged(self, w, e.ids, b)
+        return full
 
 
 @lru_cache(maxsize=1)
@@ -95,15 +99,20 @@ def merged(pair: Pair, word: str, a: list[int], b: list[int]) -> tuple[str | Non
     if b"".join([pair.a_bytes[i] for i in a]) != spelled or b"".join([pair.b_bytes[i] for i in b]) != spelled:
         return None, (0, 0, [])
     groups, pairs, p, q, j, wide = [], [], 0, 0, 0, len(pair.b_bytes)
+    a_size, b_size, a_name, b_name = pair.a_size, pair.b_size, pair.a_name, pair.b_name
     a_end = b_end = 0
     for i, x in enumerate(a):
-        a_end += len(pair.a_bytes[x])
+        a_end += a_size[x]
         while b_end < a_end:
-            b_end += len(pair.b_bytes[b[j]])
+            b_end += b_size[b[j]]
             j += 1
         if a_end == b_end:
-            groups.append(f"{','.join(map(str, a[p : i + 1]))}|{','.join(map(str, b[q:j]))}")
-            pairs.append(x * wide + b[j - 1])
+            y = b[j - 1]
+            if i == p and j == q + 1:
+                groups.append(f"{a_name[x]}|{b_name[y]}")
+            else:
+                groups.append(f"{','.join([a_name[k] for k in a[p : i + 1]])}|{','.join([b_name[k] for k in b[q:j]])}")
+            pairs.append(x * wide + y)
             p, q = i + 1, j
     return ";".join(groups), (len(a), len(b), pairs)
 
@@ -114,11 +123,9 @@ def _aligned(byte_path: str, piece_path: str):
         for k, stretch in enumerate(stretches(text) if text else []):
             words = SAFE.split(stretch)
             count = Counter(words)
-            if count.keys() - pair.told.keys():
-                # Remembered words may be given up for new ones, so all words of the stretch are asked for together.
-                pair.learn(list(count.keys() - pair.told.keys()))
-                if count.keys() - pair.told.keys():
-                    pair.learn(list(count))
+            if fresh := [w for w in count if w not in pair.told]:
+                if pair.learn(fresh):  # words of the stretch were forgotten for new ones
+                    pair.learn([w for w in count if w not in pair.told], forget=False)
             told = [pair.told[w] for w in words]
             if None in told:
                 return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
