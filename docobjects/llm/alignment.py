@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,13 +21,16 @@ from .kernels import blocks, release
 #: Where the vocabulary files of the two tokenizers lie, on every machine.
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of texts that are told at once, characters after which a text is cut at the next safe place, and characters of the
-#: words whose tokens a worker remembers.
-BLOCK, STRETCH, REMEMBERED = 1 << 20, 1 << 20, 1 << 22
+#: Bytes of texts that are encoded at once, and characters after which a text is cut at the next safe place.
+BLOCK, STRETCH = 1 << 20, 1 << 16
 #: Most id pairs that every task holds; rarer ones are joined by a shuffle.
 COMMON_PAIRS = 1 << 18
 #: A single space between other characters: both tokenizers begin a token there.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: how a byte-level tokenizer splits text before it merges bytes.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs that merging by ranks takes long for, as its time grows with their square.
+LONG_RUN = re.compile(r"\S{512}|\s{512}")
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -38,11 +41,16 @@ def byte_level_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """The two tokenizers, the bytes of their tokens, and how they tell the words met so far."""
+    """The two tokenizers, and the bytes and decimal ids of their tokens.
+
+    Where the ids of a byte-level vocabulary are the ranks of its merges, the same merges are done by rank, which takes a fifth of the
+    time; texts with long runs without a split are left to the tokenizer itself.
+    """
 
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         self.a = tokenizers.Tokenizer.from_file(byte_path)
@@ -55,25 +63,23 @@ class Pair:
         self.b_bytes = [piece(i) for i in range(self.b.get_piece_size())]
         if b"" in self.a_bytes or b"" in self.b_bytes:
             raise ValueError("a token without bytes")
-        self.a_size, self.b_size = ([len(x) for x in table] for table in (self.a_bytes, self.b_bytes))
-        self.a_name, self.b_name = ([str(i) for i in range(len(table))] for table in (self.a_bytes, self.b_bytes))
         if any(b" " in x.lstrip(b" ") for x in self.b_bytes):
             raise ValueError("a piece that goes on after a space")
-        self.told: dict[str, str | None] = {}
-        self.facts: dict[str, tuple[int, int, list[int]]] = {}
-        self.characters = 0
-
-    def learn(self, words: list[str], forget: bool = True) -> bool:
-        """Tokens of words that are not remembered: told has their groups as text (None if tokens do not spell them), facts their
-        numbers of tokens and the linked pairs in order. Returns whether others were forgotten for them."""
-        size = sum(map(len, words))
-        full = forget and 0 < self.characters and self.characters + size > REMEMBERED
-        if full:
-            self.told, self.facts, self.characters = {}, {}, 0
-        self.characters += size
-        for w, e, b in zip(words, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True):
-            self.told[w], self.facts[w] = merged(self, w, e.ids, b)
-        return full
+        self.a_size, self.b_size = ([len(x) for x in table] for table in (self.a_bytes, self.b_bytes))
+        self.a_name, self.b_name = ([str(i) for i in range(len(table))] for table in (self.a_bytes, self.b_bytes))
+        told = json.loads(self.a.to_str())
+        vocabulary, merges, first = told["model"]["vocab"], told["model"]["merges"], told["pre_tokenizer"]
+        ranked = all(vocabulary["".join(m)] == 256 + k for k, m in enumerate(merges)) and told["normalizer"] is None and first == first | {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        ranks = {self.a_bytes[i]: i for i in vocabulary.values() if i < 256 + len(merges)}
+        self.ranked = tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranked else None
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Tokens of both for texts without the space before them."""
+        b = self.b.encode(texts, num_threads=1)
+        if self.ranked is None:
+            return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], b
+        whole = lambda t: self.a.encode(" " + t, add_special_tokens=False).ids
+        return [whole(t) if LONG_RUN.search(t) else self.ranked.encode_ordinary(" " + t) for t in texts], b
 
 
 @lru_cache(maxsize=1)
@@ -90,12 +96,12 @@ def stretches(text: str, most: int = STRETCH) -> list[str]:
     return [*out, text[at:]]
 
 
-def merged(pair: Pair, word: str, a: list[int], b: list[int]) -> tuple[str | None, tuple[int, int, list[int]]]:
-    """The groups of a word (and the space before it) as text, its numbers of tokens, and the pairs that end its groups.
+def merged(pair: Pair, text: str, a: list[int], b: list[int]) -> tuple[str | None, tuple[int, int, list[int]]]:
+    """The groups of a text (and the space before it), written down, its numbers of tokens, and the pairs that end its groups.
 
     Both lists of token ends increase, so one pass with a pointer in each finds the ends they share.
     """
-    spelled = f" {word}".encode()
+    spelled = f" {text}".encode()
     if b"".join([pair.a_bytes[i] for i in a]) != spelled or b"".join([pair.b_bytes[i] for i in b]) != spelled:
         return None, (0, 0, [])
     groups, pairs, p, q, j, wide = [], [], 0, 0, 0, len(pair.b_bytes)
@@ -118,31 +124,23 @@ def merged(pair: Pair, word: str, a: list[int], b: list[int]) -> tuple[str | Non
 
 
 def _aligned(byte_path: str, piece_path: str):
-    def one(pair: Pair, text: str | None) -> tuple:
-        digest, n_a, n_b, n_groups, ids, times = hashlib.sha256(), 0, 0, 0, [], []
-        for k, stretch in enumerate(stretches(text) if text else []):
-            words = SAFE.split(stretch)
-            count = Counter(words)
-            if fresh := [w for w in count if w not in pair.told]:
-                if pair.learn(fresh):  # words of the stretch were forgotten for new ones
-                    pair.learn([w for w in count if w not in pair.told], forget=False)
-            told = [pair.told[w] for w in words]
-            if None in told:
-                return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
-            digest.update(((";" if k else "") + ";".join(told)).encode())
-            for w, n in count.items():
-                a, b, pairs = pair.facts[w]
-                n_a, n_b, n_groups = n_a + n * a, n_b + n * b, n_groups + n * len(pairs)
-                ids += pairs
-                times += [n] * len(pairs)
-        found, at = np.unique(np.array(ids, np.int64), return_inverse=True)
-        return n_a, n_b, n_groups, digest.hexdigest() if n_groups else "", found, np.bincount(at, times, len(found)).astype(np.int32)
+    def one(pair: Pair, parts: list[str]) -> tuple:
+        digest, n_a, n_b, ids = hashlib.sha256(), 0, 0, []
+        for k, (text, a, b) in enumerate(zip(parts, *pair.encode(parts), strict=True)):
+            told, (own_a, own_b, pairs) = merged(pair, text, a, b)
+            if told is None:
+                n_a, n_b, ids = 0, 0, []
+                break
+            digest.update(((";" if k else "") + told).encode())
+            n_a, n_b, ids = n_a + own_a, n_b + own_b, [*ids, pairs]
+        found, times = np.unique(np.concatenate([np.array(x, np.int64) for x in [[], *ids]]), return_counts=True)
+        return n_a, n_b, int(times.sum()), digest.hexdigest() if len(times) else "", found, times.astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizer_pair(byte_path, piece_path)
         for batch in batches:
             for block in blocks(batch, "text", BLOCK):
-                columns = list(zip(*(one(pair, t) for t in block.column(1).to_pylist()), strict=True))
+                columns = list(zip(*(one(pair, stretches(t) if t else []) for t in block.column(1).to_pylist()), strict=True))
                 lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32), np.concatenate(c)) for c in columns[4:]]
                 yield pa.record_batch([block.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string()), *lists], names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"])
         release()
@@ -155,8 +153,7 @@ def align_tokenizers(docs: DataFrame, byte_path: str = f"{FOLDER}/{BYTE_BPE}", p
 
     A text is encoded with a space before it. Where a token of both ends, a group ends; the tokens that end there are linked, and
     since no token is without bytes that is one link a group. At a single space between other characters both tokenizers begin
-    a token, so a text is encoded word by word, and a worker remembers words up to REMEMBERED characters; texts longer than
-    STRETCH are told part by part. Every document's distinct linked id pairs
+    a token, so texts longer than STRETCH are encoded part by part and memory does not grow with them. Every document's distinct linked id pairs
     are written down with how often it holds them; their sums over all documents are joined back to them. At most `common_pairs`
     pairs, the most frequent, are held by every task, as nearly all links have them; links of rarer pairs go through a shuffle.
 

@@ -170,15 +170,11 @@ def test_stretches_are_cut_at_single_spaces():
     assert stretches("", 3) == [""]
 
 
-def test_words_are_forgotten_and_learnt_again():
+def test_merging_by_ranks_equals_the_tokenizer():
     pair = tokenizer_pair(f"{alignment.FOLDER}/{alignment.BYTE_BPE}", f"{alignment.FOLDER}/{alignment.PIECE_BPE}")
-    pair.learn(["one", "two"])
-    told = pair.told["one"]
-    pair.characters = alignment.REMEMBERED
-    pair.learn(["three"])
-    assert set(pair.told) == {"three"}
-    pair.learn(["one"])
-    assert pair.told["one"] == told
+    texts = [t for _, t in token_texts() if t]
+    assert pair.ranked is not None
+    assert pair.encode(texts)[0] == [pair.a.encode(" " + t, add_special_tokens=False).ids for t in texts]
 
 
 def plain_topk(rows, every=50, k=5):
