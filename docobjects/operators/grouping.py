@@ -188,3 +188,11 @@ def first_warnings(warnings: DataFrame, by: list[str], order: list[str], message
     ranked = warnings.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     shown = F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.struct("_k", F.col(message).alias("m")))))
     return ranked.groupBy(*by).agg(F.array_join(F.transform(shown, lambda x: x["m"]), "\n").alias("shown"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).cast("long").alias("more"))
+
+
+def batch_report(rows: DataFrame, file_col: str, page: Column, counts: dict[str, Column]) -> DataFrame:
+    """file, level ('file' or 'batch'), pages_modified (distinct non-null pages) and one count a condition: every file's totals and the
+    whole batch's (with a null file) from one pass over the rows."""
+    told = [F.sum(F.when(how, 1).otherwise(0)).alias(name) for name, how in counts.items()]
+    rolled = rows.withColumn("_page", page).rollup(file_col).agg(F.grouping_id().alias("_g"), F.count_distinct("_page").alias("pages_modified"), *told)
+    return rolled.select(file_col, F.when(F.col("_g") == 1, "batch").otherwise("file").alias("level"), "pages_modified", *counts)

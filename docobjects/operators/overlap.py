@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import FULL_PAGE, padded
+from ..lineage import cut
 from ..schema import SHAPE
+from .components import keyed_components
 
 #: Tops farther apart than this begin a new line of the reading order.
 LINE_GAP = 8
@@ -54,29 +54,12 @@ def overlap_edges(placements: DataFrame, page: list[str], page_w, page_h, cell:
     return joined.select(*[F.col(f"a.{k}").alias(k) for k in page], F.col("a.obj").alias("a"), F.col("b.obj").alias("b"))
 
 
-def _page_components(page: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
-        a, b = at.reshape(-1, 2).T
-        root = np.arange(len(ids))
-        while True:
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            np.minimum.at(low, b, root[a])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in page}, "obj": ids.astype(np.int64), "region": ids[root].astype(np.int64)})
-
-    return run
-
-
 def region_members(edges: DataFrame, page: list[str]) -> DataFrame:
-    """page, obj, region for every object with an edge; region is the least obj that edges reach. Pages are independent."""
-    kinds = dict(edges.dtypes)
-    ddl = ", ".join(f"{k} {kinds[k]}" for k in page) + ", obj long, region long"
-    return edges.groupBy(*page).applyInPandas(_page_components(page), ddl)
+    """page, obj, region for every object with an edge; region is the least obj that edges reach. Pages are independent.
+
+    They are written down, as regions and what is left over both read them.
+    """
+    return cut(keyed_components(edges, page).withColumnRenamed("component", "region"))
 
 
 def regions(placements: DataFrame, members: DataFrame, page: list[str], page_w, page_h) -> DataFrame:

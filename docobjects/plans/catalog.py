@@ -39,9 +39,9 @@ PREFIX = "list_value(" + ", ".join(f"'{p}'" for p in KIND_PREFIXES) + ")[kind +
 LABEL = "list_value(" + ", ".join(f"'{p}'" for p in KIND_LABELS) + ")[kind + 1]"
 FULL = f"(w >= 0.9 * {PAGE_WIDTH} AND h >= 0.9 * {PAGE_HEIGHT})"
 INSIDE = "({p}.x >= {q}.x AND {p}.x + {p}.w <= {q}.x + {q}.w AND {p}.y >= {q}.y AND {p}.y + {p}.h <= {q}.y + {q}.h)"
-EDGES = f"""{NUMBERED}, edges AS (
-  SELECT a.page_uid, a.obj AS a, b.obj AS b FROM numbered a JOIN numbered b ON a.page_uid = b.page_uid AND a.obj < b.obj
-    AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h
+EDGES = f"""{NUMBERED}, cells AS (SELECT page_uid, obj, x, y, w, h, hides, unnest(range(x // 100, (x + w) // 100 + 1)) AS cx FROM numbered), gridded AS (SELECT *, unnest(range(y // 100, (y + h) // 100 + 1)) AS cy FROM cells), edges AS (
+  SELECT a.page_uid, a.obj AS a, b.obj AS b FROM gridded a JOIN gridded b ON a.page_uid = b.page_uid AND a.cx = b.cx AND a.cy = b.cy AND a.obj < b.obj
+    AND a.cx = greatest(a.x, b.x) // 100 AND a.cy = greatest(a.y, b.y) // 100 AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h
     AND CASE WHEN NOT a.hides THEN {INSIDE.format(p="a", q="b")} WHEN NOT b.hides THEN {INSIDE.format(p="b", q="a")}
       ELSE a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h END)"""
 REGIONS = f"""{EDGES}, both_ways AS (SELECT page_uid, a, b FROM edges UNION ALL SELECT page_uid, b, a FROM edges),
@@ -112,6 +112,12 @@ def object_labels(spark, sf_dir):
     return showings(spark, sf_dir).select("doc_id", "line_no", X.object_label(v).alias("label"), X.thumbnail_text(v).alias("shown"), X.size_label(F.lit(1), F.lit(0), F.lit(0), v).alias("size"))
 
 
+@query(f"{PLACED} SELECT seq, x, y, CASE WHEN kind = 1 THEN length('text ' || identity) || ' chars' WHEN kind IN (2, 3) THEN w || 'x' || h || ' pt' ELSE w || 'x' || h END AS size FROM placed")
+def size_labels(spark, sf_dir):
+    shown = F.concat(F.lit("text "), F.col("identity").cast("string"))
+    return placements(spark, sf_dir).select("seq", "x", "y", X.size_label(F.col("kind"), F.col("w"), F.col("h"), shown).alias("size"))
+
+
 # ---- groups ------------------------------------------------------------------------------------------------
 
 
@@ -394,15 +400,19 @@ def retained_except(spark, sf_dir):
 
 
 @query(
-    """refs AS (SELECT o_orderkey AS from_object, l_partkey AS to_object FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F'), doomed AS (SELECT p_partkey AS object_id FROM part),
-    gone AS (SELECT object_id FROM doomed WHERE object_id NOT IN (SELECT to_object FROM refs)), masks AS (SELECT p_partkey AS image_id, p_partkey + 1 AS mask_id FROM part), left_refs AS (SELECT * FROM refs WHERE from_object NOT IN (SELECT object_id FROM gone)),
+    """refs AS (SELECT l_orderkey AS from_object, l_partkey AS to_object FROM lineitem UNION ALL SELECT p_partkey AS from_object, p_partkey + 1 AS to_object FROM part WHERE p_size % 2 = 0),
+    doomed AS (SELECT p_partkey AS object_id FROM part UNION SELECT o_orderkey FROM orders), gone AS (SELECT object_id FROM doomed WHERE object_id NOT IN (SELECT to_object FROM refs)),
+    masks AS (SELECT o_orderkey AS image_id, 2 * o_orderkey + 1 AS mask_id FROM orders), left_refs AS (SELECT * FROM refs WHERE from_object NOT IN (SELECT object_id FROM gone)),
     orphans AS (SELECT DISTINCT mask_id AS object_id FROM masks WHERE image_id IN (SELECT object_id FROM gone) AND mask_id NOT IN (SELECT to_object FROM left_refs))
     SELECT object_id, 'object' AS role FROM gone UNION ALL SELECT object_id, 'mask' AS role FROM orphans"""
 )
 def prune_unreferenced(spark, sf_dir):
+    """Line items refer to parts and even parts to the next one; orders have masks, and most of them nothing refers to."""
     orders, items, parts = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
-    refs = orders.where("o_orderstatus <> 'F'").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("from_object"), F.col("l_partkey").alias("to_object"))
-    gone, orphans = S.prunable(parts.select(F.col("p_partkey").alias("object_id")), refs, parts.select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") + 1).alias("mask_id")))
+    refs = items.select(F.col("l_orderkey").alias("from_object"), F.col("l_partkey").alias("to_object"))
+    refs = refs.unionByName(parts.where("p_size % 2 = 0").select(F.col("p_partkey").alias("from_object"), (F.col("p_partkey") + 1).alias("to_object")))
+    doomed = parts.select(F.col("p_partkey").alias("object_id")).unionByName(orders.select(F.col("o_orderkey").alias("object_id")))
+    gone, orphans = S.prunable(doomed, refs, orders.select(F.col("o_orderkey").alias("image_id"), (2 * F.col("o_orderkey") + 1).alias("mask_id")))
     return gone.withColumn("role", F.lit("object")).unionByName(orphans.withColumn("role", F.lit("mask")))
 
 

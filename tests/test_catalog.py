@@ -5,9 +5,9 @@ from pathlib import Path
 
 import pytest
 
-from docobjects.plans import catalog, pdf_catalog
+from docobjects.plans import catalog, editing, pdf_catalog
 
-ORACLES, QUERIES = {**catalog.ORACLES, **pdf_catalog.ORACLES}, {**catalog.QUERIES, **pdf_catalog.QUERIES}
+ORACLES, QUERIES = {**catalog.ORACLES, **editing.SQL, **pdf_catalog.ORACLES}, {**catalog.QUERIES, **editing.ADDED, **pdf_catalog.QUERIES}
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
