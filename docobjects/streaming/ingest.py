@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..schema import PLACEMENTS
 from ..sources.documents import PARSED, _parse
 
+CHANGES = "kind int, identity string, usage_count long, files long, is_safe boolean, batch long"
+
 
 def placements_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """Placements of every PDF file that appears in a folder, each file parsed once."""
@@ -29,7 +31,26 @@ def group_counts(placements: DataFrame) -> DataFrame:
     return placements.groupBy("kind", "identity").agg(F.count(F.lit(1)).alias("usage_count"), F.approx_count_distinct("file_id").alias("files"), F.bool_and("is_safe").alias("is_safe"))
 
 
-def start_ingest(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the groups of a folder's files in an in-memory table of that name; state and progress live in `checkpoint`."""
-    counts = group_counts(placements_stream(spark, folder))
-    return counts.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).start()
+def keep_groups(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the groups that every batch changes under `path`, one folder a batch.
+
+    The running counts are state of the stream, keyed by group and spread over its tasks; a batch costs what it changes, and nothing
+    passes through the driver. A batch that is run again after a failure writes the same folder anew, so no change counts twice.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def current_groups(spark: SparkSession, path: str) -> DataFrame:
+    """The groups as the last batch that changed each of them left them; a path without batches is an error."""
+    changes = spark.read.schema(CHANGES).parquet(path)
+    last = changes.groupBy("kind", "identity").agg(F.max_by(F.struct("usage_count", "files", "is_safe"), "batch").alias("r"))
+    return last.select("kind", "identity", "r.*")
+
+
+def start_ingest(spark: SparkSession, folder: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the groups of a folder's files under `path` (see current_groups); state and progress live in `checkpoint`."""
+    return keep_groups(group_counts(placements_stream(spark, folder)), path, checkpoint)

@@ -318,20 +318,32 @@ def test_clean_files_isolates_failures(spark):
 
 
 def test_streaming_ingest(spark, tmp_path):
-    from docobjects.streaming.ingest import start_ingest
+    from docobjects.streaming.ingest import current_groups, start_ingest
 
     inbox = tmp_path / "inbox"
     inbox.mkdir()
     (inbox / "a.pdf").write_bytes(FILES["repeated-logo.pdf"])
-    query = start_ingest(spark, str(inbox), "ingested", str(tmp_path / "progress"))
-    try:
-        query.processAllAvailable()
-        (inbox / "b.pdf").write_bytes(FILES["one-image.pdf"])
-        query.processAllAvailable()
-        (row,) = spark.table("ingested").where("kind = 0").collect()
-        assert (row.usage_count, row.files, row.is_safe) == (6, 2, True)
-    finally:
-        query.stop()
+    kept, progress = str(tmp_path / "groups"), str(tmp_path / "progress")
+    for name, source in (("a", None), ("b", "one-image.pdf")):  # the second run goes on from where the first one stopped
+        if source:
+            (inbox / f"{name}.pdf").write_bytes(FILES[source])
+        query = start_ingest(spark, str(inbox), kept, progress)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    (row,) = current_groups(spark, kept).where("kind = 0").collect()
+    assert (row.usage_count, row.files, row.is_safe) == (6, 2, True)
+    assert len(list((tmp_path / "groups").glob("batch=*"))) == 2
+
+
+def test_a_batch_that_is_run_again_counts_once(spark, tmp_path):
+    from docobjects.streaming.ingest import CHANGES, current_groups
+
+    kept = str(tmp_path / "groups")
+    for batch, rows in ((0, [(0, "a", 2, 1, True), (1, "b", 1, 1, True)]), (1, [(0, "a", 5, 2, False)]), (1, [(0, "a", 5, 2, False)])):
+        spark.createDataFrame([(*r, batch) for r in rows], CHANGES).drop("batch").write.mode("overwrite").parquet(f"{kept}/batch={batch}")
+    assert sorted(map(tuple, current_groups(spark, kept).collect())) == [(0, "a", 5, 2, False), (1, "b", 1, 1, True)]
 
 
 def test_corpus_of_nothing(spark):
