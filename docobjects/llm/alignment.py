@@ -65,8 +65,10 @@ class Pair:
             raise ValueError("a token without bytes")
         if any(b" " in x.lstrip(b" ") for x in self.b_bytes):
             raise ValueError("a piece that goes on after a space")
-        self.a_size, self.b_size = ([len(x) for x in table] for table in (self.a_bytes, self.b_bytes))
-        self.a_name, self.b_name = ([str(i) for i in range(len(table))] for table in (self.a_bytes, self.b_bytes))
+        self.a_size, self.b_size = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+        # Decimal ids with what follows them inside of a group, and at the end of its tokens.
+        text = lambda n, last: np.array([[f"{i}{c}" for i in range(n)] for c in (",", last)], object)
+        self.a_text, self.b_text = text(len(self.a_bytes), "|"), text(len(self.b_bytes), ";")
         told = json.loads(self.a.to_str())
         vocabulary, merges, first = told["model"]["vocab"], told["model"]["merges"], told["pre_tokenizer"]
         ranked = all(vocabulary["".join(m)] == 256 + k for k, m in enumerate(merges)) and told["normalizer"] is None and first == first | {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -96,44 +98,41 @@ def stretches(text: str, most: int = STRETCH) -> list[str]:
     return [*out, text[at:]]
 
 
-def merged(pair: Pair, text: str, a: list[int], b: list[int]) -> tuple[str | None, tuple[int, int, list[int]]]:
-    """The groups of a text (and the space before it), written down, its numbers of tokens, and the pairs that end its groups.
+def merged(pair: Pair, text: str, a: list[int], b: list[int]) -> tuple[str, np.ndarray] | None:
+    """The groups of a text (and the space before it), written down, and the pairs that end its groups; None if the tokens do not spell it.
 
-    Both lists of token ends increase, so one pass with a pointer in each finds the ends they share.
+    The ends of both token lists increase, so a stable sort of the two, one after the other, is one merge, in which ends that both
+    have stand side by side. Each token's place in the written groups follows from how many of the other's stand before it.
     """
     spelled = f" {text}".encode()
     if b"".join([pair.a_bytes[i] for i in a]) != spelled or b"".join([pair.b_bytes[i] for i in b]) != spelled:
-        return None, (0, 0, [])
-    groups, pairs, p, q, j, wide = [], [], 0, 0, 0, len(pair.b_bytes)
-    a_size, b_size, a_name, b_name = pair.a_size, pair.b_size, pair.a_name, pair.b_name
-    a_end = b_end = 0
-    for i, x in enumerate(a):
-        a_end += a_size[x]
-        while b_end < a_end:
-            b_end += b_size[b[j]]
-            j += 1
-        if a_end == b_end:
-            y = b[j - 1]
-            if i == p and j == q + 1:
-                groups.append(f"{a_name[x]}|{b_name[y]}")
-            else:
-                groups.append(f"{','.join([a_name[k] for k in a[p : i + 1]])}|{','.join([b_name[k] for k in b[q:j]])}")
-            pairs.append(x * wide + y)
-            p, q = i + 1, j
-    return ";".join(groups), (len(a), len(b), pairs)
+        return None
+    x, y = np.array(a), np.array(b)
+    ends = np.concatenate([np.cumsum(pair.a_size[x]), np.cumsum(pair.b_size[y])])
+    order = np.argsort(ends, kind="stable")
+    ends = ends[order]
+    shared = np.flatnonzero(ends[1:] == ends[:-1])
+    i, j = order[shared], order[shared + 1] - len(x)
+    a_last, b_last = np.zeros(len(x), int), np.zeros(len(y), int)
+    a_last[i], b_last[j] = 1, 1
+    written = np.empty(len(x) + len(y), object)
+    written[np.arange(len(x)) + np.concatenate([[0], j + 1])[np.cumsum(a_last) - a_last]] = pair.a_text[a_last, x]
+    written[np.arange(len(y)) + (i + 1)[np.cumsum(b_last) - b_last]] = pair.b_text[b_last, y]
+    return "".join(written.tolist())[:-1], x[i] * len(pair.b_bytes) + y[j]
 
 
 def _aligned(byte_path: str, piece_path: str):
     def one(pair: Pair, parts: list[str]) -> tuple:
         digest, n_a, n_b, ids = hashlib.sha256(), 0, 0, []
         for k, (text, a, b) in enumerate(zip(parts, *pair.encode(parts), strict=True)):
-            told, (own_a, own_b, pairs) = merged(pair, text, a, b)
-            if told is None:
+            found = merged(pair, text, a, b)
+            if found is None:
                 n_a, n_b, ids = 0, 0, []
                 break
-            digest.update(((";" if k else "") + told).encode())
-            n_a, n_b, ids = n_a + own_a, n_b + own_b, [*ids, pairs]
-        found, times = np.unique(np.concatenate([np.array(x, np.int64) for x in [[], *ids]]), return_counts=True)
+            digest.update(((";" if k else "") + found[0]).encode())
+            n_a, n_b = n_a + len(a), n_b + len(b)
+            ids.append(found[1])
+        found, times = np.unique(np.concatenate([np.zeros(0, np.int64), *ids]), return_counts=True)
         return n_a, n_b, int(times.sum()), digest.hexdigest() if len(times) else "", found, times.astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
