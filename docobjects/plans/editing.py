@@ -8,7 +8,7 @@ from ..functions import jpeg
 from ..lineage import scratch
 from ..operators import assertions, naming, places, ranges, transforms
 from ..operators import grouping as A
-from ..sources import publish
+from ..sources import publish, published
 from ..sources.adapters import numbered_placements, placements, table
 from .catalog import NUMBERED, ORACLES, PLACED, QUERIES, SELECTED, _selected, query
 
@@ -19,19 +19,37 @@ _BEFORE = set(QUERIES)
 VOLUMES = """volumes AS (SELECT coalesce(source, 'none') || '-' || CAST(floor(doc_id / 100.0) AS BIGINT) || '.txt' AS name, count(*) AS n, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id, text) AS t FROM documents GROUP BY 1)"""
 
 
-@query(f"""{VOLUMES} SELECT name, CASE WHEN n > 1 THEN CAST(octet_length(encode(t)) AS BIGINT) END AS n_bytes, CASE WHEN n > 1 THEN sha256(t) END AS sha256, CASE WHEN n = 1 THEN 'verification failed' END AS error FROM volumes""")
-def published_manifest(spark, sf_dir):
-    """Volumes of documents of a source, written, read back and published as one batch; volumes of one document do not pass."""
+def _volumes(spark, sf_dir):
     # A hundred ids at most lie in a volume.
     volume = F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit(".txt"))
     rows = table(spark, sf_dir, "documents").select(volume.alias("name"), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("d"))
     volumes = rows.groupBy("name").agg(F.array_sort(F.collect_list("d")).alias("d"))
     content = F.encode(F.array_join(F.transform("d", lambda d: d["text"]), "\n"), "UTF-8")
+    return volumes.select("name", content.alias("content"), (F.size("d") > 1).alias("passed"))
+
+
+@query(f"""{VOLUMES} SELECT name, CASE WHEN n > 1 THEN CAST(octet_length(encode(t)) AS BIGINT) END AS n_bytes, CASE WHEN n > 1 THEN sha256(t) END AS sha256, CASE WHEN n = 1 THEN 'verification failed' END AS error FROM volumes""")
+def published_manifest(spark, sf_dir):
+    """Volumes of documents of a source, written, read back and published as one batch; volumes of one document do not pass."""
     path = scratch(spark, "published")
-    publish.publish(volumes.select("name", content.alias("content"), (F.size("d") > 1).alias("passed")), path, failures="skip")
+    publish.publish(_volumes(spark, sf_dir), path, failures="skip")
     return publish.manifest(spark, path).select("name", "n_bytes", "sha256", "error")
 
 
+@query(
+    f"""{VOLUMES}, numbered_volumes AS (SELECT *, CAST(regexp_extract(name, '-([0-9]+).txt$', 1) AS BIGINT) AS no FROM volumes)
+    SELECT name, sha256(t) AS sha256, CAST(octet_length(encode(t)) AS BIGINT) AS n_bytes, CAST(length(t) - length(replace(t, chr(10), '')) + 1 AS BIGINT) AS n_lines FROM numbered_volumes WHERE n > 1 AND sha256(t) IN (SELECT sha256(t) FROM numbered_volumes WHERE no % 3 = 1)"""
+)
+def published_wanted(spark, sf_dir):
+    """Every third volume, wanted by its digest, read back from what is published; other files are not opened."""
+    volumes, path = _volumes(spark, sf_dir), scratch(spark, "published")
+    publish.publish(volumes, path, failures="skip")
+    wanted = volumes.where("cast(regexp_extract(name, '-([0-9]+).txt$', 1) as bigint) % 3 = 1").select(F.sha2("content", 256).alias("sha256"))
+    text = F.decode("content", "UTF-8")
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return published.read_published(spark, path, wanted).select("name", "sha256", "n_bytes", lines.alias("n_lines"))
+
+
 # ---- places ------------------------------------------------------------------------------------------------
 
 _SAME = "abs({a}.x - {b}.x) < 0.1 AND abs({a}.y - {b}.y) < 0.1 AND abs({a}.w - {b}.w) < 0.1 AND abs({a}.h - {b}.h) < 0.1"

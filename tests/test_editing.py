@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docobjects.functions import jpeg
 from docobjects.operators import assertions, naming, places, ranges, transforms
 from docobjects.operators.components import keyed_components
-from docobjects.sources import publish
+from docobjects.sources import publish, published
 
 
 def rows(df):
@@ -383,3 +383,63 @@ def test_cleaned_copies_are_published_under_their_names(spark, tmp_path):
     names = spark.createDataFrame([("in/a", "a_cleaned.pdf"), ("in/b", "b_cleaned.pdf")], "file_id string, name string")
     publish.publish_cleaned(cleaned, names, str(tmp_path / "out"))
     assert sorted((r.name, r.error) for r in publish.manifest(spark, str(tmp_path / "out")).collect()) == [("a_cleaned.pdf", None), ("b_cleaned.pdf", "verification failed")]
+
+
+def _digest(content):
+    return hashlib.sha256(content).hexdigest()
+
+
+def _place(spark, target, name):
+    return target / publish.manifest(spark, str(target)).where(F.col("name") == name).first().path
+
+
+def test_only_wanted_files_are_opened(spark, tmp_path):
+    target = tmp_path / "out"
+    files = [(f"f{i}", b"%d" % (i // 2), True, 1) for i in range(40)] + [("empty", b"", True, 1), ("failed", b"3", False, 1)]
+    publish.publish(spark.createDataFrame(files, FILES).repartition(3), str(target), failures="skip")
+    want = [(_digest(b"3"), "x"), (_digest(b"3"), "y"), (_digest(b""), "z"), ("0" * 64, "nowhere"), (None, "null")]
+    wanted = spark.createDataFrame(want, "sha256 string, name string")
+    found = {(r.name, bytes(r.content), r.n_bytes, r.sha256) for r in published.read_published(spark, str(target), wanted).collect()}
+    assert found == {("f6", b"3", 1, _digest(b"3")), ("f7", b"3", 1, _digest(b"3")), ("empty", b"", 0, _digest(b""))}
+    assert sorted((r.name, bytes(r.content)) for r in published.read_published(spark, str(target), wanted, once=True).collect()) == [("empty", b""), ("f6", b"3")]
+    assert published.read_published(spark, str(target)).count() == 41 and published.read_published(spark, str(target), once=True).count() == 21
+    assert published.read_published(spark, str(target), wanted.limit(0)).count() == 0
+    # A changed file is noticed where it is read, and nowhere else.
+    _place(spark, target, "f20").write_bytes(b"changed")
+    assert published.read_published(spark, str(target), wanted).count() == 3
+    with pytest.raises(Exception, match="does not hold what was published"):
+        published.read_published(spark, str(target)).collect()
+
+
+def test_conditions_on_the_manifest_are_handed_down(spark, tmp_path):
+    target = tmp_path / "out"
+    publish.publish(spark.createDataFrame([(f"f{i}", b"x" * i, True, 1) for i in range(30)], FILES).repartition(3), str(target))
+    publish.publish(spark.createDataFrame([("g1", b"xxxxx", True, 1)], FILES), str(target))
+    for name in ("f3", "f17"):
+        _place(spark, target, name).unlink()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        files = published.read_published(spark, str(target))
+        names = lambda df: sorted(r.name for r in df.collect())
+        assert names(files.where("name = 'f5'")) == ["f5"] and names(files.where("name in ('f5', 'g1', 'none')")) == ["f5", "g1"]
+        assert names(files.where("n_bytes > 25 and n_bytes <= 27")) == ["f26", "f27"] and names(files.where("name like 'g%'")) == ["g1"]
+        assert names(files.where(F.col("sha256") == _digest(b"xxxxx"))) == ["f5", "g1"]
+        assert names(files.where("name = 'f5' and name = 'f6'")) == [] and names(files.where("name > 'f8' and n_bytes < 9")) == ["g1"]
+        with pytest.raises(Exception, match="f17"):
+            files.where("n_bytes = 17").collect()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_nothing_published_is_an_empty_result(spark, tmp_path):
+    assert published.read_published(spark, str(tmp_path / "none")).count() == 0
+    publish.publish(spark.createDataFrame([], FILES), str(tmp_path / "out"))
+    assert published.read_published(spark, str(tmp_path / "out"), spark.createDataFrame([("0" * 64,)], "sha256 string")).count() == 0
+
+
+def test_a_filter_of_digests_loses_none(spark, tmp_path):
+    digests = [(_digest(b"%d" % i),) for i in range(3000)]
+    bits = published.write_digest_filter(spark.createDataFrame(digests, "sha256 string").repartition(3), str(tmp_path / "bits"))
+    kept = published.DigestFilter(str(tmp_path / "bits"), bits)
+    assert all(kept.may_hold(d) for (d,) in digests)
+    assert sum(kept.may_hold(_digest(b"no %d" % i)) for i in range(3000)) < 60
