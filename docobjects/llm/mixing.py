@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -11,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import cut
+from .flow import cheapest_flow, flow_in_parts
 from .names import own_columns, private, quoted
 
-#: Membership patterns whose flow is worked out at once; more are dealt into parts, each with its share of the quotas.
+#: Membership patterns whose flow is worked out at once; of more, so many lie in a part. The flow costs the same either way.
 MOST_PATTERNS = 100_000
 
 
@@ -40,67 +40,6 @@ def capped_targets(sizes: dict, weights: dict, share: Fraction, most: int) -> di
     return out
 
 
-def cheapest_flow(capacity: list[int], members: list[list[int]], quota: list[int], costs: list[int]) -> list[dict[int, int]]:
-    """Words that each pattern sends to each of its sources, as many as fit at least total cost.
-
-    Pattern p may be used once at costs[0] a word, again at costs[1], and so on (ascending, so the cost is convex). Only
-    these uses cost anything, so a shortest augmenting path is one that begins with the cheapest use still open: the uses are
-    opened one by one, and each time blocking flows in the layered residual network route what fits. All figures are whole words.
-    """
-    if sorted(costs) != costs:
-        raise ValueError("costs must ascend")
-    n, left = len(capacity), list(quota)
-    sent = [dict.fromkeys(m, 0) for m in members]
-    # Nodes: patterns, then sources. A pattern can send to all its sources, a source give back what patterns have sent.
-    links = [[n + s for s in m] for m in members] + [[] for _ in quota]
-    for p, m in enumerate(members):
-        for s in m:
-            links[n + s].append(p)
-    spare = [0] * n
-    for _ in costs:
-        spare = [x + c for x, c in zip(spare, capacity, strict=True)]
-        while True:
-            level, queue, ends = [-1] * len(links), deque(p for p in range(n) if spare[p]), False
-            for p in queue:
-                level[p] = 0
-            while queue:
-                a = queue.popleft()
-                ends |= a >= n and left[a - n] > 0
-                for b in links[a]:
-                    if level[b] < 0 and (a < n or sent[b][a - n]):
-                        level[b] = level[a] + 1
-                        queue.append(b)
-            if not ends:
-                break
-            turn = [0] * len(links)
-            for p in [p for p in range(n) if spare[p]]:
-                path = [p]
-                while path and spare[p]:
-                    a = path[-1]
-                    if a >= n and left[a - n]:
-                        back = list(zip(path[1:-1:2], path[2::2], strict=True))
-                        words = min([spare[p], left[a - n], *(sent[b][s - n] for s, b in back)])
-                        spare[p] -= words
-                        left[a - n] -= words
-                        for s, b in back:
-                            sent[b][s - n] -= words
-                        for b, s in zip(path[::2], path[1::2], strict=True):
-                            sent[b][s - n] += words
-                        path = [p]
-                        continue
-                    while turn[a] < len(links[a]):
-                        b = links[a][turn[a]]
-                        if level[b] == level[a] + 1 and (a < n or sent[b][a - n]):
-                            path.append(b)
-                            break
-                        turn[a] += 1
-                    else:
-                        path.pop()
-                        if path:
-                            turn[path[-1]] += 1
-    return sent
-
-
 @dataclass
 class Mix:
     """A mix that is worked out: `apply` says how often each row is taken; targets and sizes by source."""
@@ -169,8 +108,8 @@ def mix_sources(
     where a second pass over a pattern costs more than the first. Each pattern then takes whole passes
     over all its documents and, for the rest, documents in the order of a seeded hash up to the one that
     brings it nearest to the words routed. Of rows that repeat id and text, as many are taken once more as bring it nearest.
-    More than MOST_PATTERNS patterns are dealt into parts by their hash; each part routes its share of every quota
-    (by its words of the source), so no pattern is left out and the driver holds one part at a time.
+    More than MOST_PATTERNS patterns are dealt into parts by their hash and routed by tasks, with paths over all parts in the
+    end, so that as many words are sent at the same cost as at once; the driver holds sums by source and part.
 
     Sources stand in code point order, null last (an empty array counts as null), and weights repeat
     along it. Null or empty texts have size 0 and can be taken with 0 words; very long texts count whole. Rows with equal ids
@@ -185,25 +124,24 @@ def mix_sources(
     sizes = {r.source: r.words for r in sorted(of_source, key=lambda r: by_code(r.source))}
     targets = capped_targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(sizes)}, share, most)
     at = {s: i for i, s in enumerate(sizes)}
-    parts = max(1, -(-totals.count() // MOST_PATTERNS))
-    plan, seen = None, dict.fromkeys(sizes, 0)
-    for part in range(parts):
-        own = {tuple(r.pattern): r.words for r in totals.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).collect()}  # about MOST_PATTERNS
+    parts, quota = max(1, -(-totals.count() // MOST_PATTERNS)), [round(targets[s]) for s in sizes]
+    if parts == 1:
+        own = {tuple(r.pattern): r.words for r in totals.collect()}  # MOST_PATTERNS at most
         patterns = sorted(own, key=lambda p: [by_code(s) for s in p])
-        # A source's quota up to here, in proportion to its words up to here, less what the parts before had.
-        upto = dict(seen)
-        for p in patterns:
-            for s in p:
-                upto[s] += own[p]
-        goal = lambda s, words: round(targets[s] * words / sizes[s]) if sizes[s] else 0
-        flow = cheapest_flow([own[p] for p in patterns], [[at[s] for s in p] for p in patterns], [goal(s, upto[s]) - goal(s, seen[s]) for s in sizes], list(range(most)))
-        seen = upto
+        flow = cheapest_flow([own[p] for p in patterns], [[at[s] for s in p] for p in patterns], quota, list(range(most)))
         lines = []
         for i, p in enumerate(patterns):
             passes, rest = divmod(sum(flow[i].values()), own[p]) if own[p] else (0, 0)
             lines.append((list(p), passes, rest, sum(sizes[s] for s in p), float(sum(targets[s] for s in p))))
-        table = spark.createDataFrame(lines, "p array<string>, passes int, rest long, source_size long, target double")
-        plan = table if plan is None else cut(plan.unionByName(table))
+        plan = spark.createDataFrame(lines, "p array<string>, passes int, rest long, source_size long, target double")
+    else:
+        of_member = spark.createDataFrame([(i, sizes[s], float(targets[s])) for s, i in at.items()], "i int, size long, target double")
+        sent = flow_in_parts(totals, list(sizes), quota, most, parts)
+        each = sent.select("p", "words", "sent", F.explode("members").alias("i")).join(F.broadcast(of_member), "i")  # a row a source
+        summed = each.groupBy("p", "words", "sent").agg(F.sum("size").alias("source_size"), F.sum("target").alias("target"))
+        used = F.when(F.col("words") > 0, F.expr("cast(sent div words as int)")).otherwise(0)
+        rest = F.when(F.col("words") > 0, F.col("sent") % F.col("words")).otherwise(0)
+        plan = cut(summed.select("p", used.alias("passes"), rest.cast("long").alias("rest"), "source_size", "target"))
     # Where a pattern's cut lies: its documents fall into 1024 ranges of the seeded order, those of the range that holds
     # the cut into 1024 again, and only what is left in that range is ranked, by distinct id and text.
     same, hint = F.col("pattern").eqNullSafe(F.col("p")), F.broadcast if parts == 1 else (lambda x: x)

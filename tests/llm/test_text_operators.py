@@ -271,10 +271,35 @@ def test_mixing_in_parts(spark, monkeypatch):
     rows = [(i, " ".join(["w"] * rng.randint(5, 30)), sorted(rng.sample("abcde", rng.randint(1, 3)))) for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
     mix = mixing.mix_sources(df)
+    assert {tuple(r.p) for r in mix.plan.collect()} == {tuple(x) for _, _, x in rows} and mix.plan.count() > 8
     taken = mix.apply(df, "m").selectExpr("m.times as n", "text").collect()
     assert len(taken) == 500 and not mix.small and sum(r.n * len(r.text.split()) for r in taken) > 0.8 * min(sum(mix.targets.values()), 2 * sum(len(t.split()) for _, t, _ in rows))
 
 
+def test_flow_in_parts_costs_what_it_costs_at_once(spark):
+    from docobjects.llm.flow import flow_in_parts
+
+    rng = random.Random(21)
+    chain = {(chr(97 + k), chr(98 + k)): 50 for k in range(6)} | {("a",): 400, ("g",): 1}
+    tables = [(chain, [100, 50, 50, 50, 50, 50, 300])]
+    for n, most in ((60, 3), (40, 4)):
+        names = "abcdefgh"
+        table = {tuple(sorted(rng.sample(names, rng.randint(1, most)))): rng.choice([0, 1, 3, 40, 500]) for _ in range(n)}
+        tables.append((table | {(None,): 7}, [rng.choice([0, 5, 300, 2000]) for _ in range(8)] + [30]))
+    for table, quota in tables:
+        order = sorted({s for p in table for s in p}, key=lambda s: (s is None, s or ""))
+        quota = quota[: len(order)]
+        members = [[order.index(s) for s in p] for p in table]
+        df = spark.createDataFrame([(list(p), w) for p, w in table.items()], "pattern array<string>, words long")
+        for uses in (1, 2):
+            whole = cheapest_flow(list(table.values()), members, quota, list(range(uses)))
+            got = {tuple(r.p): r.sent for r in flow_in_parts(df.repartition(3), order, quota, uses, 5).collect()}
+            assert got.keys() == table.keys() and all(0 <= got[p] <= uses * w for p, w in table.items())
+            again = sum(max(0, sum(f.values()) - w) for f, w in zip(whole, table.values()))
+            assert sum(got.values()) == sum(sum(f.values()) for f in whole)
+            assert sum(max(0, got[p] - w) for p, w in table.items()) == again
+
+
 def plain_flow(capacity, members, quota, costs):
     """Most words at least cost, by trying how many words each use of each pattern sends: a linear programme over tiny figures."""
     import itertools
