@@ -57,12 +57,21 @@ _EDGE[[ord(c) for c in ".,;:!?\"'()[]{}|*#&%$"]] = True
 
 
 def stripped(data: np.ndarray, offsets: np.ndarray) -> Tokens:
-    """Tokens without punctuation at their ends (up to three marks on either side; a word of marks alone stays)."""
+    """Tokens without punctuation at their ends; of a word of marks alone the middle one stays."""
     tokens = Tokens(data, offsets)
     start, end = tokens.start.copy(), tokens.end.copy()
     for _ in range(3):
         start += _EDGE[tokens.data[np.minimum(start, len(data) - 1)]] & (end - start > 1) if len(start) else 0
         end -= _EDGE[tokens.data[end - 1]] & (end - start > 1) if len(end) else 0
+    # Few words have more marks than that: where the marks end is told for all bytes at once.
+    more = np.flatnonzero((end - start > 1) & (_EDGE[tokens.data[start]] | _EDGE[tokens.data[end - 1]])) if len(start) else np.zeros(0, np.int64)
+    if len(more):
+        inside = np.flatnonzero(~_EDGE[tokens.data])
+        a, b = np.searchsorted(inside, start[more]), np.searchsorted(inside, end[more])
+        some, middle = b > a, (start[more] + end[more]) // 2
+        begin = np.where(some, inside[np.minimum(a, max(len(inside) - 1, 0))], middle) if len(inside) else middle
+        stop = np.where(some, inside[np.maximum(b, 1) - 1] + 1, middle + 1) if len(inside) else middle + 1
+        start[more], end[more] = begin, stop
     tokens.start, tokens.end = start, end
     return tokens
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docobjects.llm.components import connected_components
@@ -276,3 +277,19 @@ def test_embeddings(spark, monkeypatch):
         if i is not None:
             assert r.kept == (r.vec_id == r.component_id) and r.component_id >= (root[i] if i in use else i)
     assert near_duplicate_vectors(df.limit(0)).collect() == []
+
+
+def test_words_lose_all_marks_at_their_ends():
+    from docobjects.llm import contamination as C
+    from docobjects.llm.kernels import text_bytes
+
+    marks = ".,;:!?\"'()[]{}|*#&%$"
+
+    def plain(word):
+        return word.strip(marks) or word[len(word) // 2]
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("ab" + marks * 2) for _ in range(rng.randint(1, 12))) for _ in range(800)] + ["." * 5000, "(" * 9 + "x", "y" + "!" * 9, "é" + "." * 7]
+    for text in [words, ["....", "!?!?!"], ["plain"], []]:
+        tokens = C.stripped(*text_bytes(pa.array([" ".join(text)], pa.large_string())))
+        assert [bytes(tokens.data[i:j]).decode() for i, j in zip(tokens.start, tokens.end)] == [plain(w) for w in text]
