@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -279,6 +280,52 @@ def test_embeddings(spark, monkeypatch):
     assert near_duplicate_vectors(df.limit(0)).collect() == []
 
 
+def test_embeddings_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    a, b = ([float(x) for x in np.float32(rng.normal(size=8))] for _ in range(2))
+    near = [x * 3 for x in a[:-1]] + [a[-1] * 3.01]
+    rows = [(1, a, 0, 1.0), (1, b, 0, 1.0), (2, a, 0, 1.0), (3, near, 0, None), (4, b, 1, 2.0), (5, b, None, 2.0), (2, a, 0, 1.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, key double").selectExpr("*", "label as uid", "key as id", "1 as slot")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df).collect())
+    # Id 1 holds two vectors: one is linked with the two copies under id 2 and with id 3, the other with nothing.
+    assert got == [(1, 0, 1, True), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    from docobjects.llm import embeddings as E
+
+    rng = np.random.default_rng(3)
+    for n in (100, 100_000, 10**9):
+        bits, tables = E.plan_tables(n, 0.98)
+        signs = max(bits * tables, E.LEAST_SIGNS)
+        bound = E.sketch_bound(signs, 0.98)
+        assert 0 < bound < signs / 4
+        u = E._unit([x.tobytes() for x in rng.normal(size=(4000, 32))], np.float64)
+        w = rng.normal(size=u.shape)
+        w -= (w * u).sum(axis=1, keepdims=True) * u
+        v = 0.98 * u + math.sqrt(1 - 0.98**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+        planes = rng.normal(size=(32, signs))
+        x, y = (E._signs([r.tobytes() for r in E.sketches(m, planes)], signs) for m in (u, v))
+        assert ((x != y).sum(axis=1) <= bound).all()
+        assert (E._words(x, bits, tables)[:, 0] == x[:, :bits] @ (1 << np.arange(bits))).all()
+    assert E.sketch_bound(10, 1.0) == 0
+
+
+def test_vectors_travel_only_to_partners(spark, monkeypatch):
+    from docobjects.llm import embeddings as E
+
+    rng = np.random.default_rng(4)
+    lone = [(i, [float(x) for x in rng.normal(size=64)], 1) for i in range(2000)]
+    twins = [(5000 + i, [x + 1e-4 for x in lone[i][1]], 1) for i in range(50)]
+    seen = []
+    cut = E.cut
+    monkeypatch.setattr(E, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    got = near_duplicate_vectors(spark.createDataFrame(lone + twins, "vec_id long, embedding array<float>, label int"))
+    assert sorted((r.vec_id, r.n_links) for r in got.where("n_links > 0").collect()) == sorted((i, 1) for j in range(50) for i in (j, 5000 + j))
+    # A pair meets once, so each of its vectors is sent to one cell; chance partners by sketch are few.
+    assert 100 <= next(x for x in seen if "cell" in x.columns).count() <= 120
+
+
 def test_words_lose_all_marks_at_their_ends():
     from docobjects.llm import contamination as C
     from docobjects.llm.kernels import text_bytes
