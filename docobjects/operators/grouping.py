@@ -196,3 +196,23 @@ def batch_report(rows: DataFrame, file_col: str, page: Column, counts: dict[str,
     told = [F.sum(F.when(how, 1).otherwise(0)).alias(name) for name, how in counts.items()]
     rolled = rows.withColumn("_page", page).rollup(file_col).agg(F.grouping_id().alias("_g"), F.count_distinct("_page").alias("pages_modified"), *told)
     return rolled.select(file_col, F.when(F.col("_g") == 1, "batch").otherwise("file").alias("level"), "pages_modified", *counts)
+
+
+#: Different boxes in a row of usage_boxes, on average.
+BOXES_A_ROW = 1000
+
+
+def usage_boxes(placements: DataFrame, by: list[str], a_row: int = BOXES_A_ROW) -> DataFrame:
+    """Per group (a page of a file): shown, its placements, and boxes, their different boxes (x, y, w, h, times) in order.
+
+    Groups of more than a_row different boxes give several rows, each with the boxes of its piece (dealt by hash), so that no
+    row and no task holds a crowded page; pieces is 1 and piece is 0 for all others. Nulls in a box or a group are
+    values like others.
+    """
+    each = placements.groupBy(*by, "x", "y", "w", "h").agg(F.count(F.lit(1)).alias("times"))
+    crowded = each.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > a_row)
+    same = F.expr(" and ".join(f"p.{k} <=> c.{k}" for k in by))
+    dealt = each.alias("p").join(crowded.alias("c"), same, "left").select("p.*", F.coalesce(F.ceil(F.col("_n") / a_row), F.lit(1)).cast("long").alias("pieces"))
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("x", "y", "w", "h"), "pieces"))
+    box = F.struct("x", "y", "w", "h", "times")
+    return dealt.groupBy(*by, "pieces", "piece").agg(F.sum("times").alias("shown"), F.array_sort(F.collect_list(box)).alias("boxes"))

@@ -51,12 +51,36 @@ def same_box(a: str, b: str, edges: tuple[str, ...] = ("x", "y", "w", "h")) -> C
     return F.expr(" and ".join(f"abs({a}.{e} - {b}.{e}) < {SAME_PLACE}" for e in edges))
 
 
-def first_match(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, id_col: str, order: list[str]) -> DataFrame:
-    """left (alias l) with the first of right (alias r) in `order` that meets keys and condition."""
-    equal = F.expr(" and ".join(f"l.{k} = r.{k}" for k in keys))
+def first_match(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, id_col: str, order: list[str], band: tuple[str, ...] = ()) -> DataFrame:
+    """left (alias l) with the first of right (alias r) in `order` that meets keys and condition.
+
+    band names columns of both whose values the condition wants closer than SAME_PLACE. They are cut into cells of twice that
+    width and become equality keys (left stands in a cell and its neighbours), so a page with many objects is no product of
+    its rows. Nulls in keys or band columns match nothing.
+    """
+    cells = []
+    for n, c in enumerate(band):
+        cell = F.floor(F.col(c) / (2 * SAME_PLACE))
+        left = left.withColumn(f"_cell{n}", F.explode(F.sequence(cell - 1, cell + 1)))
+        right = right.withColumn(f"_cell{n}", cell)
+        cells.append(f"_cell{n}")
+    equal = F.expr(" and ".join(f"l.{k} = r.{k}" for k in [*keys, *cells]))
     joined = left.alias("l").join(right.alias("r"), equal & condition)
     rank = F.row_number().over(Window.partitionBy(*[f"l.{k}" for k in keys], f"l.{id_col}").orderBy(*order))
-    return joined.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return joined.withColumn("_rank", rank).where("_rank = 1").drop("_rank", *cells)
+
+
+def flatten_behind(occurrences: DataFrame, places: DataFrame, page: list[str], id_col: str, order: str) -> DataFrame:
+    """page, id_col and `order` of the place that each occurrence is the picture of; null for ordinary occurrences.
+
+    occurrences: page, id_col, x, y, w, h; places: page, order, x, y, w, h (where flattening drew a picture). The first place
+    in `order` at the occurrence's box counts. Occurrences are kept as often as they are there; id_col is unique in a page.
+    """
+    boxes = ["x", "y", "w", "h"]
+    drawn = places.select(*page, *boxes, F.col(order).alias("_place"))
+    found = first_match(occurrences.select(*page, id_col, *boxes), drawn, page, same_box("l", "r"), id_col, ["r._place"], ("x", "y"))
+    found = found.select(*[F.col(f"l.{k}").alias(k) for k in page], F.col(f"l.{id_col}").alias(id_col), F.col("r._place").alias(order))
+    return occurrences.select(*page, id_col).join(found, [*page, id_col], "left")
 
 
 def uncovered(placements: DataFrame, covered: DataFrame, page: list[str]) -> DataFrame:

@@ -429,7 +429,28 @@ def orphan_drop(spark, sf_dir):
 def picture_match(spark, sf_dir):
     p = numbered_placements(spark, sf_dir)
     left = p.withColumn("x", F.col("x") - 0.05)
-    return S.first_match(left, p, ["page_uid"], S.same_box("l", "r", ("x", "w")) & F.expr("l.obj <> r.obj"), "obj", ["r.obj"]).select(F.col("l.page_uid").alias("page_uid"), F.col("l.obj").alias("place"), F.col("r.obj").alias("picture"))
+    return S.first_match(left, p, ["page_uid"], S.same_box("l", "r", ("x", "w")) & F.expr("l.obj <> r.obj"), "obj", ["r.obj"], ("x", "w")).select(F.col("l.page_uid").alias("page_uid"), F.col("l.obj").alias("place"), F.col("r.obj").alias("picture"))
+
+
+COARSE = "page_uid, obj, x // 40 * 40 AS x, y // 50 * 50 AS y, w // 10 AS w, h // 10 AS h"
+
+
+@query(
+    f"""{NUMBERED}, o AS (SELECT {COARSE}, kind = 0 AND hides AS flattened FROM numbered)
+    SELECT o.page_uid, o.obj, min(p.obj) AS place FROM o LEFT JOIN o p ON p.flattened AND o.page_uid = p.page_uid AND abs(o.x - p.x) < 0.1 AND abs(o.y - p.y) < 0.1 AND abs(o.w - p.w) < 0.1 AND abs(o.h - p.h) < 0.1 GROUP BY o.page_uid, o.obj"""
+)
+def flatten_behind(spark, sf_dir):
+    """Opaque images are taken for the pictures of flattened places; coordinates are coarse, so that places lie over one another."""
+    coarse = numbered_placements(spark, sf_dir).select("page_uid", "obj", "kind", "hides", *[F.expr(f"{c} div {n} * {k}").alias(c) for c, n, k in (("x", 40, 40), ("y", 50, 50), ("w", 10, 1), ("h", 10, 1))])
+    drawn = coarse.where("kind = 0 and hides").withColumnRenamed("obj", "place")
+    return S.flatten_behind(coarse, drawn, ["page_uid"], "obj", "place")
+
+
+@query(f"""{PLACED}, each AS (SELECT file_id, page_number, x, y, w, h, count(*) AS times FROM placed GROUP BY ALL)
+    SELECT file_id, page_number, CAST(1 AS BIGINT) AS pieces, CAST(0 AS BIGINT) AS piece, CAST(sum(times) AS BIGINT) AS shown, string_agg(concat_ws(' ', x, y, w, h, times), ';' ORDER BY x, y, w, h) AS boxes FROM each GROUP BY file_id, page_number""")
+def usage_boxes(spark, sf_dir):
+    boxes = F.array_join(F.transform("boxes", lambda b: F.concat_ws(" ", b["x"], b["y"], b["w"], b["h"], b["times"])), ";")
+    return A.usage_boxes(placements(spark, sf_dir), ["file_id", "page_number"]).withColumn("boxes", boxes)
 
 
 UNITS = f"{NUMBERED}, units AS (SELECT page_uid, CAST(obj % 6 AS BIGINT) AS unit, obj, w FROM numbered), chosen AS (SELECT page_uid, unit, obj FROM units WHERE w > 45)"

@@ -249,3 +249,30 @@ def test_verification(spark):
     assert S.verification(names, removed, retained, "file_id", "identity").first().passed
     assert not S.verification(names, removed, retained, "file_id", "identity", strict=True).first().passed
     assert not S.verification(names, names.where("identity = 'b'"), retained, "file_id", "identity").first().passed
+
+
+def test_bands_lose_no_match(spark):
+    rng = random.Random(8)
+    value = lambda: None if rng.random() < 0.05 else rng.choice([0.0, -0.1, 0.2, 5.0]) + rng.choice([0.0, 0.05, 0.0999999, 0.1, -0.07])
+    rows = [(rng.choice([1, 2, None]), i, value(), value(), 3.0, 4.0, "extra") for i in range(120)]
+    df = spark.createDataFrame(rows, "page_number int, obj long, x double, y double, w double, h double, _place string")
+    near = lambda a, b: all(p is not None and q is not None and abs(p - q) < 0.1 for p, q in zip(a[2:6], b[2:6], strict=True))
+    drawn = df.where("obj % 3 = 0").withColumnRenamed("obj", "place")
+    got = sorted((r.obj, r.page_number, r.place) for r in S.flatten_behind(df, drawn, PAGE, "obj", "place").collect())
+    want = [(b[1], b[0], min((a[1] for a in rows if a[1] % 3 == 0 and a[0] is not None and a[0] == b[0] and near(a, b)), default=None)) for b in rows]
+    assert got == sorted(want)
+    assert S.flatten_behind(df.limit(0), drawn, PAGE, "obj", "place").collect() == []
+    assert {r.place for r in S.flatten_behind(df, drawn.limit(0), PAGE, "obj", "place").collect()} == {None}
+
+
+def test_boxes_of_a_page(spark):
+    rows = [(1, 1, float(i % 7), None if i % 5 == 0 else 1.0, 2.0, 3.0) for i in range(70)] + [(1, None, 1.0, 1.0, 1.0, 1.0)] * 3 + [(2, 1, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "file_id long, page_number int, x double, y double, w double, h double").withColumn("times", F.lit(9)).withColumn("piece", F.lit(1))
+    by = ["file_id", "page_number"]
+    for a_row in (1000, 4):
+        got = A.usage_boxes(df, by, a_row).collect()
+        boxes = sorted(((r.file_id, r.page_number, *b) for r in got for b in r.boxes), key=str)
+        assert boxes == sorted(((*k, rows.count(k)) for k in set(rows)), key=str)
+        assert sum(r.shown for r in got) == len(rows)
+        assert all(r.pieces == (4 if a_row == 4 and (r.file_id, r.page_number) == (1, 1) else 1) and 0 <= r.piece < r.pieces for r in got)
+    assert A.usage_boxes(df.limit(0), by).collect() == []
