@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut, width
+from ..lineage import cut, tasks_for, width
 
 PARTS = ["a", "b", "c", "d", "e", "f"]
-SCAN = "_part int, _page_key long, pops array<double>, pushed array<double>"
 
 
 def _matrix(v: np.ndarray) -> np.ndarray:
@@ -67,20 +66,24 @@ def _walk(pdf: pd.DataFrame, stack: Stack) -> Iterator[None]:
         yield
 
 
-def _runs(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _runs(keys: list[str]):
     """The first pass: what each page's operators in a range do, one row for a page and range."""
-    key, stack, part = None, Stack(), None
-    told = lambda: pd.DataFrame({"_part": [part], "_page_key": [key], "pops": [np.concatenate([_flat(m) for m in stack.exposed])], "pushed": [np.array([x for m in stack.opened for x in _flat(m)], float)]})
-    for pdf in pdfs:
-        for k, own in pdf.groupby("_page_key", sort=False):
-            if k != key and key is not None:
-                yield told()
-            if k != key:
-                key, stack, part = k, Stack(), int(own._part.iloc[0])
-            for _ in _walk(own, stack):
-                pass
-    if key is not None:
-        yield told()
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, stack, head = None, Stack(), None
+        told = lambda: head.assign(pops=[np.concatenate([_flat(m) for m in stack.exposed])], pushed=[np.array([x for m in stack.opened for x in _flat(m)], float)])
+        for pdf in pdfs:
+            for k, own in pdf.groupby("_page_key", sort=False):
+                if k != key and key is not None:
+                    yield told()
+                if k != key:
+                    key, stack, head = k, Stack(), own[["_part", "_page_key", *keys]].iloc[:1].reset_index(drop=True)
+                for _ in _walk(own, stack):
+                    pass
+        if key is not None:
+            yield told()
+
+    return run
 
 
 def _entering(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -90,21 +93,25 @@ def _entering(pdf: pd.DataFrame) -> pd.DataFrame:
         out.append([x for m in stack for x in _flat(m)])
         six = lambda v: [_matrix(np.array(x)) for x in np.reshape(np.asarray(v, float), (-1, 6))]
         stack = Stack(six(row.pops), six(row.pushed)).after(stack)
-    return pdf.sort_values("_part")[["_part", "_page_key"]].assign(stack=out)
+    return pdf.sort_values("_part").drop(columns=["pops", "pushed"]).assign(stack=out)
 
 
 def _resumed(keys: list[str]):
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, below, run = None, [], Stack()
         for pdf in pdfs:
-            for k, own in pdf.groupby("_page_key", sort=False):
+            for k, own in pdf.groupby(["_part", "_page_key"], sort=False):
                 if k != key:
+                    # The stack that the range meets stands before its operators.
                     key, run = k, Stack()
                     below = [_matrix(np.array(x)) for x in np.reshape(np.asarray(own["stack"].iloc[0], float), (-1, 6))]
+                    own = own.iloc[1:]
                 out = []
                 for _ in _walk(own, run):
                     now = run.after(below)
                     out.append([*_flat(now[-1]), len(now) - 1])
+                if not out:
+                    continue
                 told = own[[*keys, "idx"]].reset_index(drop=True)
                 yield pd.concat([told, pd.DataFrame(out, columns=[*PARTS, "depth"])], axis=1)
 
@@ -124,11 +131,17 @@ def current_matrices(ops: DataFrame, page: list[str]) -> DataFrame:
     """
     spark = ops.sparkSession
     keyed = ops.where("idx is not null").select(*page, F.col("idx").cast("long").alias("idx"), "op", *[F.col(c).cast("double").alias(c) for c in PARTS], F.xxhash64(*page).alias("_page_key"))
-    ranged = cut(keyed.repartitionByRange(2 * width(spark), "_page_key", "idx").sortWithinPartitions("_page_key", "idx").withColumn("_part", F.spark_partition_id()))
-    runs = cut(ranged.mapInPandas(_runs, SCAN))
-    starts = runs.groupBy("_page_key").applyInPandas(_entering, "_part int, _page_key long, stack array<double>")
+    tasks = max(2 * width(spark), tasks_for(keyed))
+    ranged = cut(keyed.repartitionByRange(tasks, "_page_key", "idx").sortWithinPartitions("_page_key", "idx").withColumn("_part", F.spark_partition_id()))
     kinds = dict(keyed.dtypes)
-    ddl = ", ".join(f"{k} {kinds[k]}" for k in page) + ", idx long, " + ", ".join(f"{c} double" for c in PARTS) + ", depth long"
-    # A row for each page and range; the range's rows are brought back into their order beside it.
-    met = ranged.join(starts, ["_part", "_page_key"]).repartition("_part", "_page_key").sortWithinPartitions("_part", "_page_key", "idx")
+    named = ", ".join(f"{k} {kinds[k]}" for k in page)
+    range_ddl = f"_part int, _page_key long, {named}"
+    runs = cut(ranged.mapInPandas(_runs(page), f"{range_ddl}, pops array<double>, pushed array<double>"))
+    starts = runs.groupBy("_page_key").applyInPandas(_entering, f"{range_ddl}, stack array<double>")
+    ddl = f"{named}, idx long, " + ", ".join(f"{c} double" for c in PARTS) + ", depth long"
+    # A row for each page and range holds the stack and comes before the range's rows. It has all keys and a position, so that no whole
+    # number becomes a float beside it.
+    starts = starts.withColumns({"idx": F.lit(0).cast("long"), "_row": F.lit(False)})
+    both = ranged.withColumn("_row", F.lit(True)).unionByName(starts, allowMissingColumns=True).repartition(tasks, "_part", "_page_key")
+    met = both.sortWithinPartitions("_part", "_page_key", "_row", "idx")
     return met.mapInPandas(_resumed(page), ddl)

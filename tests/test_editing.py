@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docobjects import lineage
 from docobjects.functions import jpeg
 from docobjects.operators import assertions, naming, places, ranges, transforms
 from docobjects.operators.components import keyed_components
@@ -248,6 +249,15 @@ def test_matrices_in_force_equal_a_walk(spark, partitions, monkeypatch):
     assert transforms.current_matrices(df.limit(0), ["page"]).count() == 0
 
 
+def test_matrices_are_worked_out_in_more_tasks_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 40)
+    far = 1 << 60  # positions and pages beyond what a float holds
+    df = spark.range(400).selectExpr("cast(id % 2 + 1152921504606846977 as bigint) as page", f"{far} + id as idx", "'cm' as op", "1d as a", "0d as b", "0d as c", "1d as d", "1d as e", "0d as f")
+    found = transforms.current_matrices(df, ["page"])
+    assert found.rdd.getNumPartitions() == 10
+    assert {(r.page, r.idx): r.e for r in found.collect()} == {(i % 2 + far + 1, far + i): i // 2 + 1.0 for i in range(400)}
+
+
 # ---- names ----
 
 
