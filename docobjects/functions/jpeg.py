@@ -29,16 +29,25 @@ SUMS = [sum(scaled(q)) for q in range(1, 101)]
 
 
 def table_sum(entries: Column) -> Column:
-    """Sum of the 64 entries of a table; null for any other number of them or a null among them."""
-    whole = (F.size(entries) == 64) & ~F.exists(entries, lambda v: v.isNull())
-    return F.when(whole, F.aggregate(entries, F.lit(0).cast("long"), lambda s, v: s + v))
+    """Sum of the 64 entries of a table; null for any other number of them or a null among them, which makes the sum null."""
+    return F.when(F.size(entries) == 64, F.aggregate(entries, F.lit(0).cast("long"), lambda s, v: s + v))
 
 
 def nearest_quality(total: Column) -> Column:
-    """The quality whose sum is nearest to a table's; of equally near ones the lowest."""
-    sums = F.array(*[F.lit(s).cast("long") for s in SUMS])
-    away = F.transform(sums, lambda s: F.abs(s - total))
-    return F.when(total.isNotNull(), F.array_position(away, F.array_min(away)).cast("int"))
+    """The quality whose sum is nearest to a table's; of equally near ones the lowest.
+
+    Sums never rise with the quality, so it is looked up by halves among the middles between neighbouring sums.
+    """
+    steps = [q for q in range(1, 101) if q == 1 or SUMS[q - 1] < SUMS[q - 2]]  # the lowest quality of each sum
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(steps[low])
+        half = (low + high) // 2
+        middle = (SUMS[steps[half] - 1] + SUMS[steps[half + 1] - 1]) / 2
+        return F.when(total >= middle, among(low, half)).otherwise(among(half + 1, high))
+
+    return F.when(total.isNotNull(), among(0, len(steps) - 1))
 
 
 def table_quality(entries: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jpeg
-from ..lineage import scratch
+from ..lineage import dealt, scratch
 from ..operators import assertions, naming, places, ranges, transforms
 from ..operators import grouping as A
 from ..sources import publish, published
@@ -207,8 +207,9 @@ def table_quality(spark, sf_dir):
     """Qualities of quantisation tables of 64 entries, each scaled from the standard one and moved up a little."""
     q = "(p_partkey % 100 + 1)"
     percent = f"(case when {q} < 50 then 5000 div {q} else 200 - 2 * {q} end)"
-    entries = F.expr(f"transform(array({', '.join(map(str, jpeg.STANDARD))}), v -> least(greatest((v * {percent} + 50) div 100, 1), 255) + p_size % 3)")
-    tables = table(spark, sf_dir, "part").select("p_partkey", jpeg.table_sum(entries).alias("total"))
+    entries = F.expr(f"array({', '.join(f'least(greatest(({v} * {percent} + 50) div 100, 1), 255) + p_size % 3' for v in jpeg.STANDARD)})")
+    # A file of small rows is one task's read, however many tables its rows make.
+    tables = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_partkey"]).select("p_partkey", jpeg.table_sum(entries).alias("total"))
     return tables.select("p_partkey", "total", jpeg.nearest_quality(F.col("total")).alias("quality"))
 
 

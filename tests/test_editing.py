@@ -12,6 +12,7 @@ from docobjects import lineage
 from docobjects.functions import jpeg
 from docobjects.operators import assertions, naming, places, ranges, transforms
 from docobjects.operators.components import keyed_components
+from docobjects.plans import editing
 from docobjects.sources import publish, published
 
 
@@ -331,6 +332,17 @@ def test_preconditions_of_cleaning(spark, job, options, message):
             checked.count()
 
 
+def test_quality_of_any_sum_is_that_of_a_search(spark):
+    totals = [*range(-5, max(jpeg.SUMS) + 50, 3), *jpeg.SUMS, None]
+    got = spark.createDataFrame([(t,) for t in totals], "t long").select("t", jpeg.nearest_quality(F.col("t")).alias("q")).collect()
+    assert all(r.q == (None if r.t is None else min(range(1, 101), key=lambda q: (abs(jpeg.SUMS[q - 1] - r.t), q))) for r in got)
+
+
+def test_table_qualities_are_worked_out_in_more_than_one_task(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 20)
+    assert editing.table_quality(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 10
+
+
 def test_quality_from_table_sums(spark):
     tables = [(q, jpeg.scaled(q)) for q in range(1, 101)] + [(0, [1] * 63), (0, [None] * 64), (0, None), (-1, [10**6] * 64)]
     got = [(r.q, r.found) for r in spark.createDataFrame(tables, "q int, t array<int>").select("q", jpeg.table_quality(F.col("t")).alias("found")).collect()]
