@@ -72,6 +72,30 @@ def first_thumbnails(placements: DataFrame, thumbnails: DataFrame, by: list[str]
     return seen.groupBy(*by).agg(F.min_by("thumbnail", F.when(F.col("thumbnail").isNotNull(), F.col("seq"))).alias("thumbnail"))
 
 
+def group_facts(placements: DataFrame, thumbnails: DataFrame, by: list[str], object_key: list[str], hash_col: str = "identity") -> DataFrame:
+    """What merge_files merges, from one pass over the placements: by, usage_count, is_safe, full_page, estimated_bytes, thumbnail.
+
+    placements: by, object_key (the stored object within a group), seq, is_safe, full_page, n_bytes and the hash of the picture;
+    thumbnails: hash and thumbnail, one row per hash. The same as object_groups, estimated_sizes (of the greatest n_bytes of each
+    stored object) and first_thumbnails side by side; of equal seq the least thumbnail counts.
+    """
+    seen = placements.join(thumbnails.select(F.col("hash").alias(hash_col), "thumbnail"), hash_col, "left")
+    stored = seen.groupBy(*by, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(object_key)]).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.bool_and("is_safe").alias("_safe"),
+        F.bool_or("full_page").alias("_full"),
+        F.max("n_bytes").alias("_bytes"),
+        F.min(F.when(F.col("thumbnail").isNotNull(), F.struct("seq", "thumbnail"))).alias("_first"),
+    )
+    return stored.groupBy(*by).agg(
+        F.sum("_n").alias("usage_count"),
+        F.bool_and("_safe").alias("is_safe"),
+        F.bool_or("_full").alias("full_page"),
+        F.sum("_bytes").alias("estimated_bytes"),
+        F.min("_first")["thumbnail"].alias("thumbnail"),
+    )
+
+
 def occurrences(placements: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Every showing of a group as a row, numbered in order over all files: what a list of occurrences would hold, without
     gathering it in one place, so that a group shown everywhere is no hot key."""

@@ -6,11 +6,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docobjects import lineage
 from docobjects.functions import geometry as G
 from docobjects.functions import text as X
 from docobjects.operators import grouping as A
 from docobjects.operators import overlap as O
 from docobjects.operators import selection as S
+from docobjects.plans import catalog
+from docobjects.sources import adapters
 
 PLACED = "file_id long, page_number int, obj long, seq long, kind int, identity string, x double, y double, w double, h double, hides boolean"
 PAGE = ["page_number"]
@@ -218,6 +221,38 @@ def test_pruning(spark):
     assert [r.object_id for r in gone.collect()] == [1] and [r.object_id for r in orphans.collect()] == [11]
 
 
+def test_pruning_takes_more_tasks_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 100)
+    doomed = spark.range(300).select(F.col("id").alias("object_id"))
+    refs = spark.range(900).selectExpr("id + 250 as from_object", "case when id % 3 = 0 then id + 1000 when id % 3 = 1 then id % 200 end as to_object")
+    masks = spark.range(300).selectExpr("id as image_id", "id + 1100 as mask_id")
+    gone, orphans = S.prunable(doomed, refs, masks)
+    told = [(r.from_object, r.to_object) for r in refs.collect()]
+    want = set(range(300)) - {t for _, t in told}
+    kept = {t for f, t in told if f not in want}
+    assert {r.object_id for r in gone.collect()} == want
+    assert {r.object_id for r in orphans.collect()} == {i + 1100 for i in want} - kept
+    assert "hashpartitioning(to_object" in (plan := gone._jdf.queryExecution().toString()) and "REPARTITION_BY_NUM" in plan
+
+
+def test_placements_are_dealt_to_as_many_tasks_as_there_are_rows_for(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 1000)
+    dealt = adapters.placements(spark, "/root/testdata/sf0.001", ["file_id", "identity"])
+    assert dealt.rdd.getNumPartitions() == 6
+    assert A.page_runs(dealt, ["file_id", "identity"]).rdd.getNumPartitions() == 6
+    grouped = catalog._groups(spark, "/root/testdata/sf0.001")
+    assert grouped.rdd.getNumPartitions() == 6
+
+
+def test_group_facts_equal_the_operators_side_by_side(spark):
+    by = ["file_id", "kind", "identity"]
+    p = spark.range(400).selectExpr("id % 3 as file_id", "cast(id % 2 as int) as kind", "id % 7 as identity", "id as seq", "id % 5 as w", "id % 11 as h", "id % 6 <> 1 as is_safe", "id % 13 = 0 as full_page", "id * 7 % 40 as n_bytes", "0d as x", "0d as y", "id % 4 as page_number")
+    pictures = spark.range(0, 11, 3).selectExpr("id as hash", "concat('t', id) as thumbnail")
+    sizes = A.estimated_sizes(p.groupBy(*by, "w").agg(F.max("n_bytes").alias("n_bytes")), p, by, ["w"]).select(*by, "estimated_bytes")
+    side = A.object_groups(p).select(*by, "usage_count", "is_safe").join(p.groupBy(*by).agg(F.bool_or("full_page").alias("full_page")), by).join(sizes, by).join(A.first_thumbnails(p, pictures, by, "h"), by)
+    assert sorted(map(tuple, A.group_facts(p, pictures, by, ["w"], "h").collect()), key=str) == sorted(map(tuple, side.collect()), key=str)
+
+
 def test_units(spark):
     members = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 1, 3), (1, 1, 4), (2, 0, 1), (2, 1, 2)], "page_number int, unit long, obj long")
     checked = spark.createDataFrame([(1, 1), (1, 3), (2, 1)], "page_number int, obj long")
