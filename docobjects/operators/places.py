@@ -8,13 +8,14 @@ from pyspark.sql.window import Window
 
 from ..lineage import cut
 from ..schema import IMAGE
+from .components import keyed_components
 from .selection import same_box
 
 #: Side of a cell that boxes are looked up by, in points; wider than the tolerance of same_box.
 CELL = 16.0
 
 
-def _parents(places: DataFrame, members: DataFrame, page: list[str]) -> DataFrame:
+def first_parents(places: DataFrame, members: DataFrame, page: list[str]) -> DataFrame:
     """page, child, parent: the first later place with an image member where the earlier place's picture was drawn.
 
     A picture's corner is in one cell; a member looks into the cells that its own corner may have come from.
@@ -30,53 +31,46 @@ def _parents(places: DataFrame, members: DataFrame, page: list[str]) -> DataFram
 
 
 def roots(parents: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, child, root: where following parents ends. Every round doubles the steps, so depth d takes log2(d) rounds.
+    """keys, child, root: where following parents ends. Places are whole numbers.
 
-    A parent must come after its child; a chain that leads back to itself is an error, not an endless loop. Only rows that
-    still moved in the last round go into the next one.
+    A parent must come after its child; a chain that leads back to itself is an error, not an endless loop. As every child has one
+    parent, which comes later, what hangs together ends in its last place: pages are worked out whole, crowded ones by joins.
     """
     ordered = F.when(F.col("parent") > F.col("child"), F.col("parent")).otherwise(F.raise_error(F.concat(F.lit("a place cannot absorb a later one: "), F.col("child").cast("string"))))
-    now = cut(parents.select(*keys, "child", ordered.alias("root")))
-    settled: list[DataFrame] = []
-    moving = now
-    while True:
-        step = now.select(*keys, F.col("child").alias("root"), F.col("root").alias("next"))
-        moved = cut(moving.join(step, [*keys, "root"], "left").select(*keys, "child", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("more")))
-        settled.append(moved.where(~F.col("more")).drop("more"))
-        moving = moved.where("more").drop("more")
-        if moving.limit(1).count() == 0:
-            break
-        now = cut(moving.unionByName(_all(settled)))
-    return _all(settled)
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    kind = dict(parents.dtypes)["child"]
+    down = lambda c: -c.cast("long")
+    found = keyed_components(parents.select(*keys, down(F.col("child")).alias("a"), down(ordered).alias("b")), keys)
+    return found.where("obj <> component").select(*keys, (-F.col("obj")).cast(kind).alias("child"), (-F.col("component")).cast(kind).alias("root"))
+
+
+def places_left(places: DataFrame, parents: DataFrame, page: list[str]) -> DataFrame:
+    """places, each once, that no later place has taken over by parents (page, child, parent)."""
+    places = places.select(*page, "place", "x", "y", "w", "h")
+    return places.join(parents.select(*page, F.col("child").alias("place")), [*page, "place"], "left_anti").distinct()
 
 
 def absorb_all(places: DataFrame, members: DataFrame, page: list[str]) -> tuple[DataFrame, DataFrame]:
     """(places, members) after all places of a page were made in their order, absorption carried to its end.
 
-    places: page, place (their order), x, y, w, h of the picture that each leaves; members: page, place, obj, kind, x, y, w, h. A
-    member that is an image where an earlier place's picture lies stands for that place: the first later place with such a member
-    takes it over with everything it has taken over itself, and the earlier place is gone. A later image at the same spot finds
-    nothing and stays a member. All earlier places at a member's spot are taken.
+    places: page, place (their order, whole numbers), x, y, w, h of the picture that each leaves; members: page, place, obj, kind, x, y, w,
+    h. A member that is an image where an earlier place's picture lies stands for that place: the first later place with such a
+    member takes it over with everything it has taken over itself, and the earlier place is gone. A later image at the same spot
+    finds nothing and stays a member. All earlier places at a member's spot are taken.
 
     Members with null boxes or kinds stay; places with null boxes are never absorbed; repeated rows count once; places without
     members stay places. Empty tables give empty tables. Other columns are not read.
     """
-    places, members = places.select(*page, "place", "x", "y", "w", "h").distinct(), members.select(*page, "place", "obj", "kind", "x", "y", "w", "h").distinct()
-    parents = cut(_parents(places, members, page))
+    places, members = places.select(*page, "place", "x", "y", "w", "h"), members.select(*page, "place", "obj", "kind", "x", "y", "w", "h")
+    parents = cut(first_parents(places, members, page))
     top = roots(parents, page)
     taken = parents.join(places.withColumnRenamed("place", "child"), [*page, "child"]).select(*page, F.col("parent").alias("place"), "x", "y", "w", "h")
     keys = F.expr(" and ".join(f"m.{k} = p.{k}" for k in [*page, "place"]))
-    plain = members.alias("m").join(taken.alias("p"), keys & same_box("m", "p") & F.expr(f"m.kind = {IMAGE}"), "left_anti")
+    # Only an image can stand for a place.
+    image = F.coalesce(F.col("kind") == IMAGE, F.lit(False))
+    stay = members.where(image).alias("m").join(taken.alias("p"), keys & same_box("m", "p"), "left_anti").select(*page, "place", "obj")
+    plain = members.where(~image).select(*page, "place", "obj").unionByName(stay)
     moved = plain.join(top.select(*page, F.col("child").alias("place"), "root"), [*page, "place"], "left")
-    left = places.join(parents.select(*page, F.col("child").alias("place")), [*page, "place"], "left_anti")
-    return left, moved.select(*page, F.coalesce("root", "place").alias("place"), "obj").distinct()
+    return places_left(places, parents, page), moved.select(*page, F.coalesce("root", "place").alias("place"), "obj").distinct()
 
 
 def place_behind(occurrences: DataFrame, places: DataFrame, page: list[str], id_col: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import jpeg
 from ..lineage import dealt, scratch
@@ -64,16 +65,16 @@ MADE = f"""{NUMBERED}, made AS (SELECT page_uid, obj AS place, identity, CAST(x
 
 def _made(spark, sf_dir):
     p = numbered_placements(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in "xywh"}).withColumn("obj", F.col("obj").cast("long"))
+    # Objects are numbered without gaps: the places made one and two before lie three and six objects back.
+    order = Window.partitionBy("page_uid").orderBy("seq", "x", "y", "w", "h", "hides")
+    box = F.struct("x", "y", "w", "h")
+    p = p.withColumns({"e3": F.lag(box, 3).over(order), "e6": F.lag(box, 6).over(order)})
+    row = lambda place, obj, kind, x, y, w, h: F.expr(f"struct({place} as place, {obj} as obj, {kind} as kind, {x} as x, {y} as y, {w} as w, {h} as h)")
+    plain = F.when(F.expr("obj % 3 <> 0"), row("obj - obj % 3 + 3", "obj", "kind", "x", "y", "w", "h"))
+    one = F.when(F.expr("obj % 3 = 0 and identity % 4 <> 0 and e3 is not null"), row("obj", "obj + 1000000", "0", "e3.x + 0.05", "e3.y", "e3.w", "e3.h"))
+    two = F.when(F.expr("obj % 3 = 0 and identity % 5 = 0 and e6 is not null"), row("obj", "obj + 2000000", "0", "e6.x", "e6.y - 0.05", "e6.w", "e6.h"))
+    held = p.select("page_uid", F.explode(F.array(plain, one, two)).alias("m")).where("m is not null").select("page_uid", "m.*")
     made = p.where("obj % 3 = 0").withColumnRenamed("obj", "place")
-    plain = p.where("obj % 3 <> 0").withColumn("place", F.expr("obj - obj % 3 + 3"))
-    columns = ["page_uid", "place", "obj", "kind", "x", "y", "w", "h"]
-    earlier = made.select("page_uid", F.col("place").alias("e"), "x", "y", "w", "h")
-
-    def pictures(back: int, start: int, x: float, y: float, which: str):
-        of = made.where(which).select("page_uid", "place", (F.col("place") - back).alias("e"))
-        return of.join(earlier, ["page_uid", "e"]).select("page_uid", "place", (F.col("place") + start).alias("obj"), F.lit(0).alias("kind"), (F.col("x") + x).alias("x"), (F.col("y") + y).alias("y"), "w", "h")
-
-    held = plain.select(*columns).unionByName(pictures(3, 1_000_000, 0.05, 0.0, "identity % 4 <> 0")).unionByName(pictures(6, 2_000_000, 0.0, -0.05, "identity % 5 = 0"))
     return made.select("page_uid", "place", "x", "y", "w", "h"), held
 
 
@@ -88,7 +89,8 @@ def absorbed_members(spark, sf_dir):
 
 @query(f"{MADE} SELECT page_uid, place FROM made m WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.page_uid = m.page_uid AND p.child = m.place)", recursive=True)
 def places_left(spark, sf_dir):
-    return places.absorb_all(*_made(spark, sf_dir), ["page_uid"])[0].select("page_uid", "place")
+    made, held = _made(spark, sf_dir)
+    return places.places_left(made, places.first_parents(made, held, ["page_uid"]), ["page_uid"]).select("page_uid", "place")
 
 
 @query(f"""{NUMBERED} SELECT o.page_uid, o.obj, min(p.obj) AS place FROM numbered o JOIN numbered p ON p.page_uid = o.page_uid AND p.obj % 4 = 0 AND abs(o.x + 0.05 - p.x) < 0.1 AND abs(o.y - p.y) < 0.1 AND abs(o.w - p.w) < 0.1 AND abs(o.h - p.h) < 0.1 GROUP BY ALL""")

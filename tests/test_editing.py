@@ -121,6 +121,27 @@ def test_a_chain_of_places_ends_in_the_last(spark):
     assert rows(held.select("place", "obj")) == sorted(((39, 1000 + k) for k in range(40)), key=str)
 
 
+def test_deep_chains_take_no_more_jobs_than_short_ones(spark):
+    def jobs(depth):
+        group = f"chain of {depth}"
+        spark.sparkContext.setJobGroup(group, group)
+        parents = spark.range(depth).selectExpr("'p' as page", "id as child", "id + 1 as parent")
+        got = {(r.child, r.root) for r in places.roots(parents, ["page"]).collect()}
+        assert got == {(i, depth) for i in range(depth)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    try:
+        assert jobs(200) == jobs(3)
+    finally:
+        spark.sparkContext.setJobGroup("others", "others")
+
+
+def test_places_left_need_no_ends_of_chains(spark):
+    made = spark.createDataFrame([("p", 1, 5.0, 5.0, 1.0, 1.0), ("p", 1, 5.0, 5.0, 1.0, 1.0), ("p", 2, 0.0, 0.0, 1.0, 1.0)] * 2, PLACES)
+    parents = spark.createDataFrame([("p", 1, 2)], "page string, child long, parent long")
+    assert rows(places.places_left(made, parents, ["page"]).select("place")) == [(2,)]
+
+
 def test_absorption_with_nulls_and_nothing(spark):
     made = [("p", 1, None, 0.0, 1.0, 1.0), ("p", 2, 5.0, 5.0, 1.0, 1.0)]
     members = [("p", 2, 7, 0, None, 0.0, 1.0, 1.0), ("p", 2, 8, None, 5.0, 5.0, 1.0, 1.0), ("p", 3, 9, 0, 5.0, 5.0, 1.0, 1.0)]
