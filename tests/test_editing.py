@@ -121,6 +121,19 @@ def test_a_chain_of_places_ends_in_the_last(spark):
     assert rows(held.select("place", "obj")) == sorted(((39, 1000 + k) for k in range(40)), key=str)
 
 
+def test_more_edges_take_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 50)
+    edges = spark.range(400).selectExpr("id % 20 as page", "id as a", "id + 20 as b")
+    found = keyed_components(edges, ["page"])
+    assert found.rdd.getNumPartitions() == 8
+    assert {(r.page, r.obj, r.component) for r in found.collect()} == {(i % 20, i, i % 20) for i in range(420)}
+
+
+def test_placements_of_loose_units_are_numbered_once(spark):
+    plan = editing.QUERIES["loose_units"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1  # that of the units; the placements are read as they were written down
+
+
 def test_deep_chains_take_no_more_jobs_than_short_ones(spark):
     def jobs(depth):
         group = f"chain of {depth}"
