@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import jpeg
-from ..lineage import dealt, scratch
+from ..lineage import dealt, scratch, width
 from ..operators import assertions, naming, places, ranges, transforms
 from ..operators import grouping as A
 from ..sources import publish, published
@@ -29,11 +29,19 @@ def _volumes(spark, sf_dir):
     return volumes.select("name", content.alias("content"), (F.size("d") > 1).alias("passed"))
 
 
+#: Documents whose volumes a task publishes, on average.
+DOCUMENTS_A_TASK = 4000
+
+
+def _volume_tasks(spark, sf_dir) -> int:
+    return max(width(spark), -(-table(spark, sf_dir, "documents").count() // DOCUMENTS_A_TASK))
+
+
 @query(f"""{VOLUMES} SELECT name, CASE WHEN n > 1 THEN CAST(octet_length(encode(t)) AS BIGINT) END AS n_bytes, CASE WHEN n > 1 THEN sha256(t) END AS sha256, CASE WHEN n = 1 THEN 'verification failed' END AS error FROM volumes""")
 def published_manifest(spark, sf_dir):
     """Volumes of documents of a source, written, read back and published as one batch; volumes of one document do not pass."""
     path = scratch(spark, "published")
-    publish.publish(_volumes(spark, sf_dir), path, failures="skip")
+    publish.publish(_volumes(spark, sf_dir), path, failures="skip", tasks=_volume_tasks(spark, sf_dir))
     return publish.manifest(spark, path).select("name", "n_bytes", "sha256", "error")
 
 
@@ -44,7 +52,7 @@ def published_manifest(spark, sf_dir):
 def published_wanted(spark, sf_dir):
     """Every third volume, wanted by its digest, read back from what is published; other files are not opened."""
     volumes, path = _volumes(spark, sf_dir), scratch(spark, "published")
-    publish.publish(volumes, path, failures="skip")
+    publish.publish(volumes, path, failures="skip", tasks=_volume_tasks(spark, sf_dir))
     wanted = volumes.where("cast(regexp_extract(name, '-([0-9]+).txt$', 1) as bigint) % 3 = 1").select(F.sha2("content", 256).alias("sha256"))
     text = F.decode("content", "UTF-8")
     lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")

@@ -156,19 +156,22 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/batch-*/manifest")
 
 
-def publish(files: DataFrame, path: str, failures: str = "abort", source: str | None = None) -> None:
+def publish(files: DataFrame, path: str, failures: str = "abort", source: str | None = None, tasks: int | None = None) -> None:
     """Publishes files (name, content, passed; other columns are not read) under a path as one batch.
 
     A file whose content is null or which has not passed makes the whole batch fail and leaves nothing behind; with
     failures='skip' it is named in the manifest and left out. Names must be plain file names, each once in the whole batch; null and
     repeated names fail. No files make a batch with an empty manifest. `source` is a folder that must not be written to. A rename
     is one step on HDFS and mounted file systems; on object stores without one, readers should wait for the manifest.
+
+    A task gets its files in batches of rows, however large these are: `tasks` (else those of a shuffle) should grow with the files.
     """
     files = files.select("name", "content", F.coalesce("passed", F.lit(False)).alias("passed"))
     spark = files.sparkSession
     spark.dataSource.register(VerifiedFiles)
     # Rows of a name meet in one task, which refuses the second one.
-    writer = files.repartition("name").write.format("verified_files").mode("append").option("failures", failures)
+    dealt = files.repartition(tasks, "name") if tasks else files.repartition("name")
+    writer = dealt.write.format("verified_files").mode("append").option("failures", failures)
     (writer.option("source", source) if source else writer).save(path)
 
 

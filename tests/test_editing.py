@@ -121,6 +121,13 @@ def test_a_chain_of_places_ends_in_the_last(spark):
     assert rows(held.select("place", "obj")) == sorted(((39, 1000 + k) for k in range(40)), key=str)
 
 
+def test_volumes_are_published_by_more_tasks_as_documents_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(editing, "DOCUMENTS_A_TASK", 20)
+    monkeypatch.setattr(editing, "scratch", lambda spark, name: str(tmp_path / name))
+    assert editing.published_manifest(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(list(tmp_path.glob("published/batch-*/manifest/*.parquet"))) == 10
+
+
 def test_more_edges_take_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(lineage, "ROWS_A_TASK", 50)
     edges = spark.range(400).selectExpr("id % 20 as page", "id as a", "id + 20 as b")
