@@ -7,9 +7,9 @@ only reach the threshold if they share a shingle of their prefixes in that order
 places that leave enough shingles behind them. Every such pair is verified in one way: its overlap is counted in each
 fragment apart, and the partial overlaps are summed per pair.
 
-A large group of copies is not expanded into all its pairs. As long as pairs abound, only a star of each list is verified: one
-document with all others that no link has yet joined to it. Then all pairs of different components that meet on a few
-places are verified, in the end all that meet anywhere.
+A large group of copies is not expanded into all its pairs. Stars come first: of each list one document is verified with all
+others that no link has yet joined to it, so that pairs are no more than places, and links go to few documents. Only pairs of
+different components that still meet anywhere are verified then, as long as there are many one for each two components first.
 """
 
 from __future__ import annotations
@@ -33,15 +33,13 @@ BLOCK, SLICE = 16 << 20, 2 << 20
 BITS = 56
 #: Bits of a shingle's hash that say in which fragment its overlaps are counted.
 FRAGMENT_BITS = 3
-#: Pairs for each document that are compared at once; as long as there are more, stars are verified.
-PAIRS = 16
-#: Stars end, too, when less than this share of their pairs are links.
-PROGRESS = 0.5
-#: The same, when they have fewer pairs for each document: what is close to any head is joined to it by then.
+#: Pairs for each document that are left to be verified at once; if there are more, one for each two components comes first.
+PAIRS = 0.05
+#: Stars over all places end when they find less links for each document.
 STARS = 0.05
 #: Vertices of a task: few vertices lie in few partitions, so that a turn leaves few files behind.
 VERTICES = 500
-#: Places of a document's prefix whose lists have stars.
+#: Places of a document's prefix whose lists have the first stars.
 STAR_PLACES = 3
 
 ROWS = pa.schema([("key", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("body", pa.binary())])
@@ -176,18 +174,20 @@ FACTS = ["c", "n", "p", *[f"m{k}" for k in range(MAP)]]
 
 
 def _reach(percent: int) -> Column:
-    """Whether two documents whose first common shingle stands at x.place and y.place can reach the threshold.
+    """Whether x and y can reach the threshold by sizes and prefixes.
 
-    All common shingles stand there or later. And one prefix ends first: up to there, all that is common stands in both
-    prefixes (each bit that one map has and the other lacks is a shingle that is not), and behind it less than its
-    document's `percent` share is left.
+    One prefix ends first: up to there, all that is common stands in both prefixes (each bit that one map has and the other
+    lacks is a shingle that is not), and behind it less than its document's `percent` share is left.
     """
-    most = F.expr("least(x.n - x.place, y.n - y.place)")
     apart = lambda a, b: " + ".join(f"bit_count({a}.m{k} & ~{b}.m{k})" for k in range(MAP))
     common = F.expr(f"least(x.p - ({apart('x', 'y')}), y.p - ({apart('y', 'x')}))")
     behind = F.floor((percent * F.greatest("x.n", "y.n") + 99) / 100) - 1
-    need = percent * (F.col("x.n") + F.col("y.n"))
-    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * most >= need) & ((100 + percent) * (common + behind) >= need)
+    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * (common + behind) >= percent * (F.col("x.n") + F.col("y.n")))
+
+
+def _reach_from(percent: int) -> Column:
+    """Whether x and y can reach the threshold if x.place and y.place are their first common shingle: all others stand behind."""
+    return (100 + percent) * F.expr("least(x.n - x.place, y.n - y.place)") >= percent * (F.col("x.n") + F.col("y.n"))
 
 
 def count_overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -226,53 +226,71 @@ def _links(vertices: DataFrame, n: int, percent: int) -> DataFrame:
     facts = [*FACTS, "shared", "sketch", "place", "component"]
     joined = None
 
-    def least(turn: int) -> DataFrame:
-        """Documents that share much of their prefixes are likely to share the shingles of least hash: each turn has other ones."""
-        order = F.transform("prefix", lambda x: F.struct(F.xxhash64(x["shingle"], F.lit(turn)).alias("h"), x["i"].alias("i"), x["shingle"].alias("shingle")))
-        return prefixes.withColumn("prefix", F.slice(F.array_sort(order), 1, STAR_PLACES))
+    def of_components(rows: DataFrame) -> DataFrame:
+        """Rows (c, and others) with the components so far."""
+        if joined is None:
+            return rows.withColumn("component", F.col("c"))
+        return rows.join(joined.select(F.col("a").alias("c"), F.col("b").alias("component")), "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+    def of_sides(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, and others) with the components of both."""
+        for x in "ab":
+            pairs = of_components(pairs.withColumnRenamed(x, "c")).withColumnsRenamed({"c": x, "component": f"of_{x}"})
+        return pairs
+
+    def open_lists(now: DataFrame) -> DataFrame:
+        """Places of shingles that stand in several components, with the one that most of the shingle's places are in as `main`."""
+        sizes = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle")
+        open_ = sizes.agg(F.max(F.struct("k", "component")).alias("most"), F.count(F.lit(1)).alias("several")).where("several > 1")
+        return now.join(open_.select("shingle", F.col("most.component").alias("main")), "shingle")
 
     def placed(own: DataFrame) -> DataFrame:
-        """Places with the components so far, of shingles that stand in several."""
         own = own.select(*FACTS, "lone", F.explode("prefix").alias("x")).select(*FACTS, "lone", "x.shingle", (F.col("lone") + F.col("x.i")).alias("place"))
-        if joined is None:
-            now = own.withColumn("component", F.col("c"))
-        else:
-            now = own.join(joined.select(F.col("a").alias("c"), F.col("b").alias("component")), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        open_ = now.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-        return _few(now.join(open_, "shingle").join(vertices.select("c", "shared", "sketch"), "c"), vertices)
+        return _few(open_lists(of_components(own)).join(vertices.select("c", "shared", "sketch"), "c"), vertices)
 
-    def compared(now: DataFrame, others: DataFrame, which: Column) -> DataFrame:
+    def compared(some: DataFrame, others: DataFrame, which: Column) -> DataFrame:
         """Pairs of different components that meet on a place and can reach the threshold by all that is known without a count."""
-        apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & which
-        met = now.alias("x").join(others.alias("y"), apart & _reach(percent) & _sketched(percent))
+        apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component"))
+        met = some.alias("x").join(others.alias("y"), apart & which & _reach(percent) & _sketched(percent))
         low, high = (f(F.struct("x.c", "x.n"), F.struct("y.c", "y.n")) for f in (F.least, F.greatest))
         return _few(met.select(low["c"].alias("a"), high["c"].alias("b"), low["n"].alias("na"), high["n"].alias("nb")).distinct(), vertices)
 
+    def star(now: DataFrame, some: DataFrame, heads: DataFrame, rank: Column) -> DataFrame:
+        """Links of some places with the head of their list, the document of least rank, whether or not they met before."""
+        heads = heads.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), *facts)).alias("h")).select("shingle", "h.*")
+        return _few(_verified(compared(some, heads, F.lit(True)), vertices, percent), vertices)
+
     def with_found(found: DataFrame) -> DataFrame:
         """Components as stars: those so far, joined by what was found."""
         edges = found if joined is None else joined.unionByName(found)
         return _few(connected_components(edges).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")), vertices)
 
-    turn = 0
+    # Documents that share much of their prefixes are likely to share the shingles of least hash.
+    order = F.transform("prefix", lambda x: F.struct(F.xxhash64(x["shingle"]).alias("h"), x["i"].alias("i"), x["shingle"].alias("shingle")))
+    now = placed(prefixes.withColumn("prefix", F.slice(F.array_sort(order), 1, STAR_PLACES)))
+    # The first stars stand around the documents with the fewest shingles of their own, the next ones around any of the list's main component.
+    joined = with_found(star(now, now, now, F.col("lone")))
+    now, turn = placed(prefixes), 1
+    main = F.col("component") == F.col("main")
     while True:
-        now = placed(least(turn))
-        sizes = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("ordered"))
-        if sizes.agg(F.coalesce(F.sum(F.col("ordered").cast("double") / 2), F.lit(0.0)).alias("pairs")).first().pairs <= PAIRS * n:
-            break
-        # The first stars stand around the documents with the fewest shingles of their own, the next ones around any.
-        rank = F.col("lone") if not turn else F.xxhash64("c", F.lit(turn))
-        heads = now.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), *facts)).alias("h")).select("shingle", "h.*")
-        pairs = compared(now, heads, F.lit(True))
-        found = _few(_verified(pairs, vertices, percent), vertices)
-        compared_now = pairs.count()
-        few = found.count() < PROGRESS * compared_now or compared_now < STARS * n
-        joined, turn = with_found(found), turn + 1
+        found = star(now, now.where(~main), now.where(main), F.xxhash64("c", F.lit(turn)))
+        few = found.count()
         if few:
-            now = placed(least(turn))
+            joined, turn = with_found(found), turn + 1
+            now = _few(open_lists(of_components(now.drop("component", "main"))), vertices)
+        if few <= STARS * n:
             break
-    joined = with_found(_verified(compared(now, now, F.col("x.c") < F.col("y.c")), vertices, percent))
-    now = placed(prefixes)
-    return _few(joined.unionByName(_verified(compared(now, now, F.col("x.c") < F.col("y.c")), vertices, percent)), vertices)
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.c") < F.col("y.c"))
+    pairs = compared(now.where(~main), now, once & _reach_from(percent))
+    left, before = pairs.count(), None
+    while left > PAIRS * n and (before is None or 2 * left < before):
+        one = of_sides(pairs).groupBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).agg(F.min(F.struct(*pairs.columns)).alias("x"))
+        one = _few(one.select("x.*"), vertices)
+        joined = with_found(_verified(one, vertices, percent))
+        apart = of_sides(pairs).where("of_a <> of_b").select(*pairs.columns)
+        pairs = _few(apart.join(one.select("a", "b"), ["a", "b"], "left_anti"), vertices)
+        left, before = pairs.count(), left
+    return _few(joined.unionByName(_verified(pairs, vertices, percent)), vertices)
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:

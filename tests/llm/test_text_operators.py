@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docobjects.llm import kernels, substrings
+from docobjects.llm.components import connected_components
 from docobjects.llm.jaccard import count_overlaps, jaccard_components, one_of_each_group
 from docobjects.llm.licenses import scan_licenses
 from docobjects.llm.lm import learn_weights, score_corpus
@@ -169,6 +170,52 @@ def test_jaccard_by_stars_and_by_pairs(spark, monkeypatch, pairs):
     assert len(linked) >= sets - len({c for *_, c in got}) and (pairs > 1 or len(found) < 50 * 49 / 4)
 
 
+def drifting_copies(n, seed=11):
+    """Each copy is the one before with a word changed: neighbours link, far ones do not."""
+    rng = random.Random(seed)
+    w, rows = [f"w{rng.randrange(500)}" for _ in range(60)], []
+    for i in range(n):
+        w[rng.randrange(60)] = f"x{rng.randrange(900)}"
+        rows.append((i, " ".join(w), None))
+    return rows
+
+
+def close_copies(n, seed=12):
+    """A group of n / 8 texts with a word or two of 240 changed, all of which link, among pairs of copies."""
+    rng = random.Random(seed)
+    source, texts = [f"w{rng.randrange(500)}" for _ in range(240)], []
+    for i in range(n // 8):
+        w = list(source)
+        for k in rng.sample(range(240), 1 + i % 2):
+            w[k] = f"x{i}"
+        texts.append(w)
+    while len(texts) < n:
+        w = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        texts += [w, [*w[:30], "y", *w[31:]]]
+    return [(i, " ".join(w), None) for i, w in enumerate(texts[:n])]
+
+
+@pytest.mark.parametrize("copies, n, most", [(close_copies, 240, 1.5), (drifting_copies, 160, 8)])
+def test_jaccard_verifies_few_pairs_of_a_large_group(spark, monkeypatch, copies, n, most):
+    from docobjects.llm import jaccard
+
+    found, edges = [], []
+
+    def counted(pairs, parts):
+        found.append(pairs.count())
+        return count_overlaps(pairs, parts)
+
+    def components(links, *ends):
+        edges.append(links.count())
+        return connected_components(links, *ends)
+
+    monkeypatch.setattr(jaccard, "count_overlaps", counted)
+    monkeypatch.setattr(jaccard, "connected_components", components)
+    rows = copies(n)
+    assert collected(jaccard_components(spark.createDataFrame(rows, DOCS))) == brute.jaccard([(i, t) for i, t, _ in rows])
+    assert sum(found) < most * n and max(edges) < most * n
+
+
 def test_overlaps_are_summed_over_fragments(spark):
     rng = random.Random(4)
     sets = [set(rng.sample(range(80), rng.randint(1, 40))) for _ in range(9)]
