@@ -130,9 +130,9 @@ def word_weights(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, float
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["counter", "n"])
 
-    rows = docs.mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # a fixed number of counters
+    rows = docs.mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # a fixed number of counters
     counts = np.zeros(settings.counters)
-    counts[rows.counter.to_numpy()] = rows.n.to_numpy()
+    counts[rows["counter"].to_numpy()] = rows["n"].to_numpy()
     passages = max(counts.sum() / settings.words, 1.0)
     return np.log1p(passages / np.maximum(counts, 0.5)).astype(np.float32), passages
 
@@ -183,9 +183,9 @@ def latent_space(docs: DataFrame, bench: Benchmark, idf: np.ndarray, settings: S
         yield pa.record_batch([pa.array(seen.astype(np.int32))] + [pa.array(grid[:, j]) for j in range(settings.dims)], names=["term", *names])
 
     sums = docs.mapInArrow(run, "term int, " + ", ".join(f"{c} long" for c in names))
-    table = sums.groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # one row per benchmark word
+    table = sums.groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # one row per benchmark word
     product = np.zeros((n, settings.dims))
-    product[table.term.to_numpy()] = table[names].to_numpy(dtype=np.float64) / (1 << 20)
+    product[table["term"].to_numpy()] = np.stack([table[c].to_numpy() for c in names], axis=1) / (1 << 20)
     planes = _random_planes(n, settings).astype(np.float64)
     core = planes.T @ product
     values, vectors = np.linalg.eigh((core + core.T) / 2)

@@ -221,7 +221,7 @@ def _verified(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(vertices: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) that hold together what all linked pairs of the n vertices (c, n, prefix, parts) do."""
+    """Components of the n vertices (c, n, prefix, parts) under all linked pairs: (a, b), b the smallest of a's component, a others of it."""
     prefixes = vertices.withColumn("p", F.size("prefix")).select(*FACTS, (F.col("n") - F.col("shared")).alias("lone"), F.transform("prefix", lambda s, i: F.struct((i + 0).alias("i"), s.alias("shingle"))).alias("prefix"))
     facts = [*FACTS, "shared", "sketch", "place", "component"]
     joined = None
@@ -255,10 +255,14 @@ def _links(vertices: DataFrame, n: int, percent: int) -> DataFrame:
         low, high = (f(F.struct("x.c", "x.n"), F.struct("y.c", "y.n")) for f in (F.least, F.greatest))
         return _few(met.select(low["c"].alias("a"), high["c"].alias("b"), low["n"].alias("na"), high["n"].alias("nb")).distinct(), vertices)
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of pairs that are written down those that reach the threshold; none are not looked up."""
+        return pairs.select("a", "b") if pairs.isEmpty() else _few(_verified(pairs, vertices, percent), vertices)
+
     def star(now: DataFrame, some: DataFrame, heads: DataFrame, rank: Column) -> DataFrame:
         """Links of some places with the head of their list, the document of least rank, whether or not they met before."""
         heads = heads.groupBy("shingle").agg(F.min(F.struct(rank.alias("rank"), *facts)).alias("h")).select("shingle", "h.*")
-        return _few(_verified(compared(some, heads, F.lit(True)), vertices, percent), vertices)
+        return linked(compared(some, heads, F.lit(True)))
 
     def with_found(found: DataFrame) -> DataFrame:
         """Components as stars: those so far, joined by what was found."""
@@ -286,11 +290,11 @@ def _links(vertices: DataFrame, n: int, percent: int) -> DataFrame:
     while left > PAIRS * n and (before is None or 2 * left < before):
         one = of_sides(pairs).groupBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).agg(F.min(F.struct(*pairs.columns)).alias("x"))
         one = _few(one.select("x.*"), vertices)
-        joined = with_found(_verified(one, vertices, percent))
+        joined = with_found(linked(one))
         apart = of_sides(pairs).where("of_a <> of_b").select(*pairs.columns)
         pairs = _few(apart.join(one.select("a", "b"), ["a", "b"], "left_anti"), vertices)
         left, before = pairs.count(), left
-    return _few(joined.unionByName(_verified(pairs, vertices, percent)), vertices)
+    return with_found(linked(pairs)) if left else joined
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -305,8 +309,8 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     vertices = cut(alive.select(F.monotonically_increasing_id().alias("c"), "class", "x.*", shared.alias("shared")))
     n = vertices.count()
     vertices = vertices.coalesce(n // VERTICES + 1)
-    joined = connected_components(_links(vertices, n, percent))
-    of_class = vertices.select("class", "c").join(joined, F.col("c") == F.col("id"), "left").select("class", F.coalesce("component", "c").alias("group"))
+    joined = _links(vertices, n, percent)
+    of_class = vertices.select("class", "c").join(joined, F.col("c") == F.col("a"), "left").select("class", F.coalesce("b", "c").alias("group"))
     # Documents of equal sets share a group; a class without vertex is a group of its own.
     rows = sets.select("doc_id", "mark", "n", "class").join(of_class, "class", "left").select("doc_id", "mark", "n", "class", "group")
     return cut(rows.withColumn("own", F.when(F.col("group").isNull(), F.col("class"))).drop("class"))

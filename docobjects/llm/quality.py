@@ -90,9 +90,9 @@ def word_vectors(docs: DataFrame, settings: Settings) -> np.ndarray:
     """Centred unit vectors of all words, from every text of docs; a word that never occurs is the zero vector."""
     names = [f"s{j}" for j in range(settings.dims + 1)]
     sums = docs.mapInArrow(_context_sums(settings), "word int, " + ", ".join(f"{c} long" for c in names))
-    table = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]).toPandas().sort_values("word")  # a fixed number of buckets
+    table = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # a fixed number of buckets
     out, counts = np.zeros((settings.words, settings.dims)), np.zeros(settings.words)
-    ids, values = table["word"].to_numpy(dtype=np.int64), table[names].to_numpy(dtype=np.float64)
+    ids, values = table["word"].to_numpy(), np.stack([table[c].to_numpy() for c in names], axis=1).astype(np.float64)
     counts[ids] = values[:, -1]
     out[ids] = values[:, :-1] / np.maximum(values[:, -1:], 1)
     seen = counts > 0

@@ -253,6 +253,23 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("edges, rounds", [(1000, False), (10, True)])
+def test_components_in_one_task_take_no_rounds(spark, monkeypatch, edges, rounds):
+    """Where a task has all edges it gives the components; where several share them, rounds give the same."""
+    from docobjects.llm import components
+
+    cuts = []
+    monkeypatch.setattr(components, "EDGES", edges)
+    monkeypatch.setattr(components, "cut", lambda df, cut=components.cut: cuts.append(1) or cut(df))
+    rng = random.Random(7)
+    links = [(i + 1, i) for i in range(40)] + [(rng.randrange(60, 160), rng.randrange(60, 160)) for _ in range(60)] + [(200, 200 + i) for i in range(30)]
+    rng.shuffle(links)
+    got = sorted(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()))
+    root = brute.components(300, links)
+    assert got == [(i, root[i]) for i in sorted({x for p in links if p[0] != p[1] for x in p})]
+    assert bool(cuts) == rounds
+
+
 def test_embeddings(spark, monkeypatch):
     from docobjects.llm import embeddings
 

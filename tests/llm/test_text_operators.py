@@ -216,6 +216,19 @@ def test_jaccard_verifies_few_pairs_of_a_large_group(spark, monkeypatch, copies,
     assert sum(found) < most * n and max(edges) < most * n
 
 
+def test_one_of_each_group_starts_few_jobs(spark):
+    """Each job leaves plans, threads and compiled code in the driver, so their number is its memory."""
+    rows = near_copies(50)
+    spark.sparkContext.setJobGroup("few_jobs", "")
+    try:
+        kept = one_of_each_group(spark.createDataFrame(rows, DOCS)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r.doc_id for r in kept) == sorted({c for *_, c in brute.jaccard([(i, t) for i, t, _ in rows])})
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few_jobs")
+    assert 10 < len(jobs) < 130
+
+
 def test_overlaps_are_summed_over_fragments(spark):
     rng = random.Random(4)
     sets = [set(rng.sample(range(80), rng.randint(1, 40))) for _ in range(9)]
